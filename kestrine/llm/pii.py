@@ -58,67 +58,86 @@ def kind_of(x: Column) -> Column:
     )
 
 
-def canonical(x: Column) -> Column:
-    """What mentions of one entity share: kind, and the entity without case or separators."""
-    kind = kind_of(x)
-    bare = F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(x, "[^0-9]", "")).when(kind == "iban", F.replace(x, F.lit(" "), F.lit(""))).when(kind == "person", F.regexp_replace(x, HONORIFIC, "")).otherwise(F.lower(x))
-    gender = F.when(kind == "person", F.when(x.rlike(FEMALE), "f").when(x.rlike(MALE), "m").otherwise("n")).otherwise("")
-    return F.concat(kind, gender, F.lit(":"), bare)
+def bound(value: Column, then) -> Column:
+    """then(value), with value computed once however often then uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def described(xs: Column) -> Column:
+    """Entities as structs of x, kind, gender and canon: what mentions of one entity share, without case or separators."""
+    kinds = F.transform(xs, lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
+    gender = lambda e: F.when(e["kind"] != "person", "").when(e["x"].rlike(FEMALE), "f").when(e["x"].rlike(MALE), "m").otherwise("n")
+    known = F.transform(kinds, lambda e: F.struct(e["x"].alias("x"), e["kind"].alias("kind"), gender(e).alias("gender")))
+
+    def canon(e: Column) -> Column:
+        bare = F.when(e["kind"].isin("card", "ssn", "phone"), F.regexp_replace(e["x"], "[^0-9]", "")).when(e["kind"] == "iban", F.replace(e["x"], F.lit(" "), F.lit(""))).when(e["kind"] == "person", F.regexp_replace(e["x"], HONORIFIC, "")).otherwise(F.lower(e["x"]))
+        return F.concat(e["kind"], e["gender"], F.lit(":"), bare)
+
+    return F.transform(known, lambda e: F.struct(e["x"].alias("x"), e["kind"].alias("kind"), e["gender"].alias("gender"), canon(e).alias("canon")))
 
 
 def _hex(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", F.lit(key), *parts), 256)
 
 
+def _draw(h: Column, i: Column) -> Column:
+    """The i-th 32-bit number drawn from h."""
+    return F.conv(F.substring(F.sha2(F.concat(h, i.cast("string")), 256), 1, 8), 16, 10).cast("long")
+
+
 def _nth(h: Column, i: Column, n: int) -> Column:
-    """The i-th of numbers below n drawn from h, for i from 1."""
-    return F.pmod(F.conv(F.substring(F.sha2(F.concat(h, i.cast("string")), 256), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(n)).cast("int")
+    return F.pmod(_draw(h, i), F.lit(n)).cast("int")
+
+
+def _letter(n: Column) -> Column:
+    return F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), n + 1, F.lit(1))
 
 
 def _redrawn(x: Column, h: Column, keep: int | Column = 0) -> Column:
-    """x with every ASCII letter and digit after the first `keep` characters drawn anew, by its place among those; case and separators stay."""
-    chars = F.split(x, "(?!^)")
+    """x with every ASCII letter and digit after the first `keep` characters drawn anew, by its place among those; case, separators and the hexadecimal alphabet stay."""
     keep = F.lit(keep) if isinstance(keep, int) else keep
+    placed = F.transform(F.split(x, "(?!^)"), lambda c, i: F.struct(c.alias("c"), (i >= keep).alias("free"), F.length(F.regexp_replace(F.substring(x, F.lit(1), i + 1), "[^0-9A-Za-z]", "")).alias("at")))
+    letters = F.when(x.rlike("^[0-9A-Fa-f]{16,}$"), 6).otherwise(26)
+    drawn = F.transform(placed, lambda p: F.struct(p["c"].alias("c"), F.when(p["free"] & p["c"].rlike("[0-9A-Za-z]"), _nth(h, p["at"], 7800)).alias("n")))
+    one = lambda d: F.when(d["n"].isNull(), d["c"]).when(d["c"].rlike("[0-9]"), (d["n"] % 10).cast("string")).when(d["c"].rlike("[a-z]"), _letter(F.pmod(d["n"], letters))).otherwise(F.upper(_letter(F.pmod(d["n"], letters))))
+    return F.array_join(F.transform(drawn, one), "")
 
-    def one(c: Column, i: Column) -> Column:
-        place = F.length(F.regexp_replace(F.substring(x, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
-        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _nth(h, place, 26) + 1, F.lit(1))
-        digit = _nth(h, place, 10).cast("string")
-        return F.when(i < keep, c).when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
 
-    return F.array_join(F.transform(chars, one), "")
+def _syllables(e: Column, table: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(2), F.lit(5) + e["attempt"]), lambda i: F.element_at(table, _nth(e["h"], i, 16) + 1)), "")
 
 
-def _person(x: Column, h: Column, attempt: Column) -> Column:
+def _person(e: Column) -> Column:
     out = F.lit(None).cast("string")
-    gender = F.when(x.rlike(FEMALE), "f").when(x.rlike(MALE), "m").otherwise("n")
-    more = F.size(F.split(F.regexp_replace(x, HONORIFIC, ""), " ")) > 1
+    more = F.contains(F.regexp_replace(e["x"], HONORIFIC, ""), F.lit(" "))
     for script, pattern in (("Cyrillic", r"\p{IsCyrillic}"), ("Greek", r"\p{IsGreek}"), ("Latin", None)):
-        first = F.when(gender == "f", F.element_at(F.array(*map(F.lit, FIRST[script]["f"])), _nth(h, F.lit(1), 8) + 1)).when(gender == "m", F.element_at(F.array(*map(F.lit, FIRST[script]["m"])), _nth(h, F.lit(1), 8) + 1)).otherwise(F.element_at(F.array(*map(F.lit, FIRST[script]["n"])), _nth(h, F.lit(1), 8) + 1))
-        table = F.array(*map(F.lit, SYLLABLES[script]))
-        last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(2), F.lit(5) + attempt), lambda i: F.element_at(table, _nth(h, i, 16) + 1)), ""))
+        firsts = F.create_map(*[y for g, names in FIRST[script].items() for y in (F.lit(g), F.array(*map(F.lit, names)))])
+        first = F.element_at(F.element_at(firsts, e["gender"]), _nth(e["h"], F.lit(1), 8) + 1)
+        last = F.initcap(_syllables(e, F.array(*map(F.lit, SYLLABLES[script]))))
         name = F.when(more, F.concat(first, F.lit(" "), last)).otherwise(last)
-        out = F.coalesce(out, F.when(x.rlike(pattern), name) if pattern else name)
-    return F.concat(F.regexp_extract(x, HONORIFIC, 0), out)
-
-
-def surrogate(x: Column, key: str, attempt: Column) -> Column:
-    """Replacement of the entity x; attempt 0 unless it collided."""
-    kind, canon = kind_of(x), canonical(x)
-    h = _hex(key, canon, attempt.cast("string"))
-    low = F.lower(x)
-    host = F.substring_index(low, "@", -1)
-    label = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _nth(_hex(key, F.lit("host"), host), i, 26) + 1, F.lit(1))), "")
-    tail = F.when(attempt > 0, F.concat(F.lit("."), F.substring(h, 1, 6))).otherwise("")
-    email = F.concat(_redrawn(F.substring_index(low, "@", 1), h), tail, F.lit("."), F.substring(h, 7, 6), F.lit("@"), label, F.lit(".example.org"))
-    shout = (x == F.upper(x)) & (x != low)
-    email = F.when(shout, F.upper(email)).otherwise(email)
-    octet = lambda i, n, base: (_nth(h, F.lit(i), n) + base).cast("string")
-    ip = F.concat_ws(".", octet(1, 16, 240), octet(2, 256, 0), octet(3, 256, 0), octet(4, 254, 1))
-    country = F.length(F.regexp_extract(x, r"^\+\d{1,3}(?=[ (.-])", 0))
-    return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", _redrawn(x, h, country)).when(kind == "ssn", F.concat(F.lit("9"), _redrawn(F.substring(x, F.lit(2), F.length(x)), h))).when(kind == "iban", _redrawn(x, h, 2)).when(kind == "person", _person(x, h, attempt)).otherwise(_redrawn(x, h))
-    )
+        out = F.when(e["x"].rlike(pattern), name).otherwise(out) if pattern else F.coalesce(out, name)
+    return F.concat(F.regexp_extract(e["x"], HONORIFIC, 0), out)
+
+
+def surrogates(entities: Column, key: str, attempt) -> Column:
+    """Replacements of described() entities, in order; attempt(canon) is 0 unless the entity collided."""
+    tried = F.transform(entities, lambda e: F.struct(*(e[c].alias(c) for c in ("x", "kind", "gender", "canon")), attempt(e["canon"]).alias("attempt")))
+    hashed = F.transform(tried, lambda e: F.struct(*(e[c].alias(c) for c in ("x", "kind", "gender", "attempt")), _hex(key, e["canon"], e["attempt"].cast("string")).alias("h")))
+
+    def email(e: Column) -> Column:
+        low = F.lower(e["x"])
+        label = bound(_hex(key, F.lit("host"), F.substring_index(low, "@", -1)), lambda h: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: _letter(_nth(h, i, 26))), ""))
+        tail = F.when(e["attempt"] > 0, F.concat(F.lit("."), F.substring(e["h"], 1, 6))).otherwise("")
+        made = F.concat(_redrawn(F.substring_index(low, "@", 1), e["h"]), tail, F.lit("."), F.substring(e["h"], 7, 6), F.lit("@"), label, F.lit(".example.org"))
+        return bound(made, lambda m: F.when((e["x"] == F.upper(e["x"])) & (e["x"] != low), F.upper(m)).otherwise(m))
+
+    def one(e: Column) -> Column:
+        octet = lambda i, n, base: (_nth(e["h"], F.lit(i), n) + base).cast("string")
+        keep = F.when(e["kind"] == "iban", 2).when(e["kind"] == "phone", F.length(F.regexp_extract(e["x"], r"^\+\d{1,3}(?=[ (.-])", 0))).otherwise(0)
+        plain = bound(keep, lambda k: _redrawn(e["x"], e["h"], k))
+        return F.when(e["kind"] == "email", email(e)).when(e["kind"] == "ip", F.concat_ws(".", octet(1, 16, 240), octet(2, 256, 0), octet(3, 256, 0), octet(4, 254, 1))).when(e["kind"] == "person", _person(e)).when(e["kind"] == "ssn", F.overlay(plain, F.lit("9"), F.lit(1))).otherwise(plain)
+
+    return F.transform(hashed, one)
 
 
 def found(text: Column) -> Column:
@@ -131,7 +150,8 @@ def redrawn(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     table = entities.withColumn("attempt", F.lit(0))
     for _ in range(rounds):
         table = cut(table)
-        drawn = table.select("canon", canonical(surrogate(F.col("x"), key, F.col("attempt"))).alias("to"))
+        new = surrogates(described(F.array("x")), key, lambda _: F.col("attempt"))
+        drawn = cut(table.select("canon", F.element_at(described(new), 1)["canon"].alias("to")))
         first = drawn.groupBy("to").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n"))
         many = drawn.join(first.where("n > 1"), "to").where("canon <> first").select("canon")
         real = drawn.join(table.select(F.col("canon").alias("to")), "to", "left_semi").select("canon")
@@ -149,20 +169,19 @@ def pseudonymised(docs: DataFrame, key: str = "kestrine", text_col: str = "text"
     are; repeated rows get equal texts; an empty table gives an empty result.
     """
     hits = docs.select(F.xxhash64(text_col).alias("text_key"), F.array_distinct(found(F.col(text_col))).alias("xs")).where(F.size("xs") > 0)
-    mentions = cut(hits.select("text_key", F.explode("xs").alias("x")).distinct().withColumn("canon", canonical(F.col("x"))))
+    mentions = cut(hits.select("text_key", F.explode("xs").alias("x")).distinct().withColumn("canon", F.element_at(described(F.array("x")), 1)["canon"]))
     again = cut(redrawn(mentions.groupBy("canon").agg(F.min("x").alias("x")), key))
     n_again = again.count()
 
     text = F.col(text_col)
     out = docs.withColumn("xs_", found(text))
-    attempt = lambda x: F.lit(0)
+    attempt = lambda canon: F.lit(0)
     if n_again:
         by_text = mentions.join(again, "canon").groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct("canon", "attempt"))).alias("again_"))
         n_texts = by_text.count()
         by_text = F.broadcast(by_text) if n_again + n_texts <= BROADCAST_REDRAWN else by_text
         out = out.withColumn("key_", F.xxhash64(text_col)).join(by_text, F.col("key_") == F.col("text_key"), "left").drop("key_", "text_key")
-        attempt = lambda x: F.coalesce(F.try_element_at(F.col("again_"), canonical(x)), F.lit(0))
-    new = F.transform("xs_", lambda x: surrogate(x, key, attempt(x)))
-    parts = F.split(text, ALL, -1)
-    woven = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.lit("")))), "")
+        attempt = lambda canon: F.coalesce(F.try_element_at(F.col("again_"), canon), F.lit(0))
+    weave = lambda new: F.array_join(F.transform(F.split(text, ALL, -1), lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.lit("")))), "")
+    woven = bound(surrogates(described(F.col("xs_")), key, attempt), weave)
     return out.withColumn(text_col, F.when(F.size("xs_") > 0, woven).otherwise(text)).withColumn("n_entities", F.size("xs_").cast("long")).drop("xs_", "again_")

@@ -1 +1,13 @@
 """Named queries on the driver tables, and their DuckDB SQL."""
+
+from importlib import import_module
+
+MODULES = ("core",)
+
+
+def queries() -> dict:
+    return {k: v for m in MODULES for k, v in import_module(f"{__name__}.{m}").QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in import_module(f"{__name__}.{m}").SQL.items()}

@@ -27,9 +27,9 @@ CONFIDENT = 0.98
 PSEUDO_WEIGHT = 0.2
 BINS = 16
 SOURCE_BUCKETS = 1024
-N_TEXT, N_META = 15, 3
+N_TEXT, N_META = 16, 3
 STEPS = 20
-KEEP_FROM = 0.5
+KEEP_FROM = 0.4
 
 
 def content(text: bytes) -> list[int]:
@@ -50,10 +50,12 @@ def content(text: bytes) -> list[int]:
     def size(x: float) -> int:
         return min(BINS - 1, int(np.log2(1 + x)))
 
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    ends = [w[-2:] for w in words if len(w) > 2 and w[-1] < 65 and w[-2] < 65]  # words that close with two marks
     hashes, marks = sum(int(hist[c]) for c in b"#$%&*@^~=+_\\"), sum(int(hist[c]) for c in b"!?")
     return [
-        share(upper, upper + lower), share(hashes, total), share(marks, total), share(int(hist[124]), total), share(int(hist[48:58].sum()), total), share(sum(int(hist[c]) for c in b"<>{}[]()/"), total),
-        share(sum(int(hist[c]) for c in b".,;:"), total), share(int(hist[128:].sum()), total), size(len(words)), size(4 * n / nw), share(len(set(words)), nw), share(len(set(lines)), nl), size(n / nl), share(hist[10], nw), share(int(hist.max()), total),
+        share(upper, upper + lower), share(hashes, total), share(marks, total), share(int(hist[124]), total), share(sum(int(hist[c]) for c in b"<>{}[]()/"), total),
+        share(sum(int(hist[c]) for c in b".,;:"), total), share(int(hist[128:].sum()), total), size(len(words)), size(4 * n / nw), share(len(set(words)), nw), share(len(set(lines)), nl), size(n / nl), share(hist[10], nw), share(int(hist.max()), total), share(again, nw), share(sum(not w.isalnum() for w in ends), nw),
     ]
 
 

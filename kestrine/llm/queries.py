@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, quality_score, kept: documents scored below 0.5 are rejected."""
+    """doc_id, quality_score, kept: documents scored below KEEP_FROM are rejected."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     got = quality.scored(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)

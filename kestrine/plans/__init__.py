@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core",)
+MODULES = ("core", "series")
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "series")
+MODULES = ("core", "series", "io")
 
 
 def queries() -> dict:

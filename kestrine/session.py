@@ -14,3 +14,15 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    import tempfile
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = tempfile.mkdtemp(prefix="kestrine-")
+        spark.sparkContext.setCheckpointDir(at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -72,7 +72,7 @@ def haversine(lon1, lat1, lon2, lat2, radius: float = EARTH) -> Column:
     """Metres on a sphere."""
     p1, p2 = F.radians(col(lat1)), F.radians(col(lat2))
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(col(lon2) - col(lon1)) / 2), 2)
-    return F.asin(F.sqrt(F.least(F.lit(1.0), a))) * 2 * radius
+    return F.when(a.isNotNull(), F.asin(F.sqrt(F.least(F.lit(1.0), a))) * 2 * radius)
 
 
 def dms(degrees, minutes, seconds, hemisphere) -> Column:
@@ -86,14 +86,14 @@ def dms(degrees, minutes, seconds, hemisphere) -> Column:
 def tile_x(lon, z) -> Column:
     """Column of the web-map tile, clamped to the grid."""
     n = F.pow(F.lit(2.0), col(z))
-    return F.greatest(F.lit(0), F.least(n - 1, F.floor((col(lon) + 180) / 360 * n))).cast("int")
+    return F.when(col(lon).isNotNull(), F.greatest(F.lit(0), F.least(n - 1, F.floor((col(lon) + 180) / 360 * n)))).cast("int")
 
 
 def tile_y(lat, z) -> Column:
     """Row of the web-map tile; latitudes beyond the projection are clamped."""
     n = F.pow(F.lit(2.0), col(z))
     p = F.radians(F.greatest(F.lit(-85.0511), F.least(F.lit(85.0511), col(lat))))
-    return F.greatest(F.lit(0), F.least(n - 1, F.floor((1 - F.ln(F.tan(p) + 1 / F.cos(p)) / F.pi()) / 2 * n))).cast("int")
+    return F.when(col(lat).isNotNull(), F.greatest(F.lit(0), F.least(n - 1, F.floor((1 - F.ln(F.tan(p) + 1 / F.cos(p)) / F.pi()) / 2 * n)))).cast("int")
 
 
 def quadkey(x, y, z: int) -> Column:

@@ -118,7 +118,7 @@ def stretch(df: DataFrame, keys: Sequence[str], value: str = "v", low: float = 0
     """df with level 0..255 between the percentiles of each band."""
     p = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p_"))
     a, b = F.get("p_", F.lit(0)), F.get("p_", F.lit(1))
-    level = F.when(b > a, F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col(value) - a) / (b - a) * 255)))
+    level = F.when((b > a) & F.col(value).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col(value) - a) / (b - a) * 255)))
     return df.join(p, list(keys)).withColumn("level", F.round(level)).drop("p_")
 
 

@@ -144,7 +144,8 @@ def log_bin(value, low: float, high: float, n: int) -> Column:
     import math
 
     v = F.when(col(value) > 0, F.ln(col(value)))
-    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - math.log(low)) / (math.log(high) - math.log(low)) * n))).cast("int") if n else v
+    place = F.floor((v - math.log(low)) / (math.log(high) - math.log(low)) * n)
+    return F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n - 1), place))).cast("int")
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], ids: Sequence[str], each: int, seed: int = 12345) -> DataFrame:

@@ -180,7 +180,7 @@ def point_in_polygon(spark, d):
     return r.select("id").join(hit, "id", "left").select("id", "country", F.coalesce("n_covering", F.lit(0)).alias("n_covering"))
 
 
-_HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+_HAV = "case when a.lon is not null and b.lon is not null then 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) end"
 _SITES = """sites as (select s_suppkey as id, s_suppkey * 7919 % 36000 / 100.0 - 180 as lon, s_suppkey * 104729 % 16000 / 100.0 - 80 as lat from supplier),
   pts as (select c_custkey as id, c_custkey * 7907 % 36000 / 100.0 - 180 as lon, c_custkey * 104723 % 16000 / 100.0 - 80 as lat from customer)"""
 

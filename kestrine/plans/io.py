@@ -45,7 +45,7 @@ def commented_csv_round_trip(spark, d):
     return got.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"))
 
 
-@query("select event_id, greatest(-32000, least(32000, round_even(case when event_id % 13 <> 0 then value * 100 end / 5, 0))) * 5.0 as stored from events")
+@query("select event_id, case when event_id % 13 <> 0 then greatest(-32000, least(32000, round_even(value * 100 / 5, 0))) * 5.0 end as stored from events")
 def quantised_round_trip(spark, d):
     """Packed in 16 bits with a no-data value, written in order of time, read back."""
     e = table(spark, d, "events").select("event_id", "ts", WR.packed_int16(F.when(F.col("event_id") % 13 != 0, F.col("value") * 100), 5.0).alias("v"))

@@ -220,7 +220,7 @@ def bilinear_sampling(spark, d):
     return G.bilinear(p, cells(spark, d), ["id"]).select("id", F.round("sampled", 6).alias("sampled"))
 
 
-@query(f"with {_CELLS}, q as (select tile, quantile_cont(v, 0.02) as a, quantile_cont(v, 0.98) as b from cells group by 1) select c.tile, i, j, round(greatest(0.0, least(255.0, (v - a) / (b - a) * 255))) as level from cells c join q using (tile)")
+@query(f"with {_CELLS}, q as (select tile, quantile_cont(v, 0.02) as a, quantile_cont(v, 0.98) as b from cells group by 1) select c.tile, i, j, case when v is not null then round(greatest(0.0, least(255.0, (v - a) / (b - a) * 255))) end as level from cells c join q using (tile)")
 def percentile_stretch(spark, d):
     """Levels between two percentiles of a band."""
     return G.stretch(cells(spark, d), ["tile"]).select("tile", "i", "j", "level")

@@ -30,7 +30,8 @@ def flattened(parts: DataFrame, parents: DataFrame, parent_key: str, key: str, d
 
 def packed_int16(value: Column, scale: float = 1.0, nodata: int = -32768, most: int = 32000) -> Column:
     """Rounded half to even and clipped to 16 bits; null is the no-data value."""
-    return F.coalesce(F.greatest(F.lit(-most), F.least(F.lit(most), F.bround(value / scale, 0))), F.lit(nodata)).cast("smallint")
+    clipped = F.when(value.isNotNull(), F.greatest(F.lit(-most), F.least(F.lit(most), F.bround(value / scale, 0))))
+    return F.coalesce(clipped, F.lit(nodata)).cast("smallint")
 
 
 def unpacked(value: Column, scale: float = 1.0, nodata: int = -32768) -> Column:

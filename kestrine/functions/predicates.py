@@ -46,16 +46,16 @@ def year_code(seismic="seismic_at", year_text="year_text", cls="cls", date_min="
         .when(text.rlike(r"^[0-9]{4}\z"), F.expr(f"try_cast({year_text} as int)") if isinstance(year_text, str) else text.try_cast("int"))
         .when(text.ilike("%holocene%"), -1)
         .when(text.ilike("%modern%"), 0)
-        .when(col(cls).ilike("%holocene%"), -1)
-        .when(col(cls).ilike("%modern%"), 0)
+        .when(col(cls).like("%Holocene%"), -1)
+        .when(col(cls).like("%Modern%"), 0)
         .when(col(date_min).isNotNull(), F.year(col(date_min)))
     )
 
 
 def era(year_text="year_text", seismic="seismic_at", date_min="date_min") -> Column:
-    """Year or era of the rule cascade: text is trimmed, and the class has no say."""
+    """Year or era of the rule cascade, -1 for Holocene and 0 for modern: text is trimmed, and the class has no say."""
     text = F.trim(col(year_text))
-    year = F.when(text.rlike(r"^[0-9]+\z"), text.try_cast("int"))
+    year = F.when(text.rlike(r"^[0-9]{4}\z"), text.try_cast("int"))
     return F.coalesce(F.year(col(seismic)), year, F.when(text.ilike("%holocene%"), -1), F.when(text.ilike("%modern%"), 0), F.year(col(date_min)))
 
 
@@ -98,14 +98,14 @@ def is_dated(seismic="seismic_at", date_min="date_min", date_max="date_max", lon
 
 
 def weak_timing(seismic="seismic_at", year_text="year_text", date_min="date_min", date_max="date_max") -> Column:
-    """Why a date is weak, or null."""
-    one = col(date_min).isNull() != col(date_max).isNull()
-    none = col(date_min).isNull() & col(date_max).isNull()
-    return F.when(col(seismic).isNull(), F.when(one, "one-sided bracket").when(none & col(year_text).rlike(r"^[0-9]{4}\z"), "year without bracket"))
+    """Why a date is weak, or null: half a bracket, or a year with nothing to support it."""
+    low, high = col(date_min).isNotNull(), col(date_max).isNotNull()
+    return F.when(col(seismic).isNull(), F.when(high & ~low, "only a last date").when(low & ~high, "only a first date").when(~low & ~high & col(year_text).rlike(r"^[0-9]{4}\z"), "year without bracket"))
 
 
-def is_undated(seismic="seismic_at", year_text="year_text", cls="cls", date_min="date_min", date_max="date_max") -> Column:
-    return year_code(seismic, year_text, cls, date_min).isNull() & col(date_max).isNull()
+def is_undated(seismic="seismic_at", year_text="year_text", cls="cls", date_min="date_min") -> Column:
+    """No age from any source. A last date alone gives none."""
+    return year_code(seismic, year_text, cls, date_min).isNull()
 
 
 def has_bits(bits, mask: int) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .predicates import col
@@ -23,15 +24,56 @@ def slug(name) -> Column:
 
 
 def vocabulary(value, aliases: Mapping[str, str], known: Sequence[str]) -> Column:
-    """Exact parts of matching to a vocabulary: lower-cased and trimmed, then letters only, then an alias, then the singular; else null."""
-    bare = F.regexp_replace(F.lower(F.trim(col(value))), "[^a-z0-9]", "")
+    """Exact parts of matching to a vocabulary: lower-cased and trimmed, then letters and digits only, then an alias, then the singular; else null."""
+    bare = F.regexp_replace(F.lower(F.trim(col(value))), r"[^\p{L}\p{N}]", "")
     out = F.when(bare.isin(*known), bare)
     for a, to in aliases.items():
         out = out.when(bare == a, to)
-    for plural, one in (("ies$", "y"), ("es$", ""), ("s$", "")):
-        single = F.regexp_replace(bare, plural, one)
-        out = out.when(single.isin(*known), single)
-    return out
+    single = F.regexp_replace(bare, r"s\z", "")
+    return out.when(single.isin(*known), single)
+
+
+def close_word(df: DataFrame, value: str, known: Sequence[str], name: str, cutoff: float = 0.8) -> DataFrame:
+    """df with name: the one word of known that a value is close to by matching blocks, else null.
+
+    The comparison runs once for each different value, and is joined back.
+    """
+    import difflib
+
+    words = sorted(known)
+
+    def one(v: str) -> str | None:
+        got = difflib.get_close_matches(v, words, n=2, cutoff=cutoff)
+        return got[0] if len(got) == 1 else None
+
+    def run(vs: pd.Series) -> pd.Series:
+        return vs.map(one, na_action="ignore")
+
+    bare = F.regexp_replace(F.lower(F.trim(F.col(value))), r"[^\p{L}\p{N}]", "")
+    found = df.select(F.col(value)).where(F.col(value).isNotNull()).distinct().withColumn(name, F.pandas_udf(run, "string")(bare))
+    return df.join(found, value, "left")
+
+
+def repaired(text) -> Column:
+    """Text whose UTF-8 was read as Mac Roman or Latin-1, read aright; null if that doesn't work or signs remain."""
+    import re
+
+    sign = re.compile("|".join(MOJIBAKE_SIGNS))
+
+    def one(v: str) -> str | None:
+        for table in ("mac_roman", "latin-1"):
+            try:
+                fixed = v.encode(table).decode()
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if not sign.search(fixed):
+                return fixed
+        return None
+
+    def run(vs: pd.Series) -> pd.Series:
+        return vs.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(col(text))
 
 
 def to_bool(text) -> Column:
@@ -107,8 +149,10 @@ def subdomain(x, y, names: Sequence[str]) -> Column:
 
 
 def percent_change(old, new) -> Column:
-    """Signed percent with one digit; '' if it isn't defined."""
-    return F.when(col(old).isNull() | col(new).isNull() | (col(old) == 0), "").otherwise(F.format_string("%+.1f%%", (col(new) - col(old)) / F.abs(col(old)) * 100))
+    """Signed percent, with more digits the smaller it is; '' if it isn't defined."""
+    p = (col(new) - col(old)) / F.abs(col(old)) * 100
+    shown = F.when(F.abs(p) < 0.01, "≈0%").when(F.abs(p) < 1, F.format_string("%+.3f%%", F.bround(p, 3))).when(F.abs(p) < 100, F.format_string("%+.2f%%", F.bround(p, 2))).otherwise(F.format_string("%+.1f%%", F.bround(p, 1)))
+    return F.when(col(old).isNull() | col(new).isNull() | (col(old) == 0), "").otherwise(shown)
 
 
 def seasonal(level, amplitude, phase, doy) -> Column:
@@ -136,13 +180,13 @@ def shaded(colour, shade) -> Column:
     return F.round(col(colour) * F.pow(col(shade) / 255.0, 0.7))
 
 
-#: Signs of text decoded with the wrong table, in order of test.
-MOJIBAKE = (r"Ã[\x{80}-\x{BF}]", r"â€", r"√[†-∫]", r"\x{FFFD}")
+#: Signs of text decoded with the wrong table, in order of test: fixed values.
+MOJIBAKE_SIGNS = ("\u221a.", "\u201a\u00c4.", "\u00c3[\u0080-\u00ff]", "\u00e2\u20ac.")
 
 
 def mojibake(text) -> Column:
     """Number of the first signature that the text shows, or null."""
     out = F.when(F.lit(False), 0)
-    for n, p in enumerate(MOJIBAKE, 1):
+    for n, p in enumerate(MOJIBAKE_SIGNS, 1):
         out = out.when(col(text).rlike(p), n)
     return out

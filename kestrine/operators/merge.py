@@ -99,6 +99,29 @@ def duplicate_names(df: DataFrame, id_col: str, key: Column, live: Column) -> Da
     return df.where(live).groupBy(key.alias("name_key")).agg(F.sort_array(F.collect_list(id_col)).alias("ids")).where(F.size("ids") > 1)
 
 
+#: A last word that tells a time, and words that tie a name weakly: fixed values.
+TIME_WORD = r"^(\d{4}|holocene|modern)(\.\d+)?\z"
+WEAK_WORD = r"(?i)\b(trib(?:utary)?|neighbou?r)\b"
+
+
+def name_reasons(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """(id, reason): why a name should be looked at; the first of four scans wins.
+
+    A base name is one that begins another's, unless what follows tells it
+    apart on purpose: a time, a number, or ~. The smallest such id decides.
+    """
+    from .relational import next_words
+
+    on_purpose = F.col("extra").rlike(TIME_WORD) | F.col("extra").rlike(r"^\d+\z") | (F.col("extra") == "~")
+    kind = F.when(F.col("extra").rlike(r"^[a-z]\z") & F.col("tail").rlike(TIME_WORD), "first of repeats").otherwise("base of another name")
+    base = next_words(df, id_col, name).where(~on_purpose).groupBy("short_id").agg(F.min_by(kind, "long_id").alias("base_"))
+    words = F.split(F.lower(F.trim(F.col(name))), r"\s+")
+    letter = F.exists(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(words, i - 1).alias("p"))), lambda x: F.coalesce(x["w"].rlike(r"^[a-z]\z") & x["p"].rlike(TIME_WORD), F.lit(False)))
+    out = df.join(base, df[id_col] == base["short_id"], "left")
+    reason = F.coalesce(F.when(F.col(name).rlike(WEAK_WORD), "weakly tied"), F.when(F.array_contains(words, "x"), "lone x"), F.col("base_"), F.when(letter, "letter after a time"))
+    return out.select(F.col(id_col), reason.alias("reason"))
+
+
 def flag_updates(df: DataFrame, reasons: Sequence[Column], flagged: str = "flagged", reason: str = "flag_reason", overwrite: bool = False) -> DataFrame:
     """df with flags set where a scan gives a reason: the first scan wins, and a reason that is there stays."""
     first = F.coalesce(*reasons)

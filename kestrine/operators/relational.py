@@ -69,6 +69,14 @@ def token_prefix_pairs(df: DataFrame, id_col: str, name: str, most_extra: int =
     return heads.join(whole, "key").select("short_id", "long_id")
 
 
+def next_words(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """(short_id, long_id, extra, tail) of names of which one begins the other: the long one's next word, and the short one's last."""
+    toks = df.select(F.col(id_col).alias("id"), F.split(F.lower(F.trim(F.col(name))), r"\s+").alias("t"))
+    whole = toks.select(F.col("id").alias("short_id"), F.array_join("t", " ").alias("key"), F.element_at("t", -1).alias("tail"))
+    heads = toks.where(F.size("t") > 1).select(F.col("id").alias("long_id"), F.inline(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda k: F.struct(F.array_join(F.slice("t", F.lit(1), k), " ").alias("key"), F.get("t", k).alias("extra")))))
+    return heads.join(whole, "key").select("short_id", "long_id", "extra", "tail")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, metres: float, distance) -> DataFrame:
     """Pairs of points within metres, by an equi-join on grid cells and then the distance.
 
@@ -140,12 +148,24 @@ def summary(df: DataFrame, value: str, shares: Sequence[float], *keys: str) -> D
 
 
 def log_bin(value, low: float, high: float, n: int) -> Column:
-    """Bin of equal width in the logarithm, clamped to 0 .. n - 1; null for null or what isn't positive."""
+    """Bin of equal width in the logarithm, clamped to 0 .. n - 1; 0 for what isn't positive, null for null."""
     import math
 
-    v = F.when(col(value) > 0, F.ln(col(value)))
-    place = F.floor((v - math.log(low)) / (math.log(high) - math.log(low)) * n)
-    return F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n - 1), place))).cast("int")
+    place = F.floor((F.ln(F.greatest(col(value), F.lit(1e-300))) - math.log(low)) / ((math.log(high) - math.log(low)) or 1.0) * n)
+    return F.when(col(value) <= 0, 0).when(col(value).isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n - 1), place)).cast("int"))
+
+
+def quantile_bin(value, edges) -> Column:
+    """Bin of a value by quantile_edges(); ties go up."""
+    inner = F.slice(col(edges), 2, F.greatest(F.size(col(edges)) - 2, F.lit(0)))
+    return F.when(col(value).isNotNull(), F.size(F.filter(inner, lambda e: col(value) >= e)))
+
+
+def joint_counts(a: DataFrame, b: DataFrame, keys: Sequence[str], av: str, bv: str, low: int = 1, high: int = 255) -> DataFrame:
+    """(av, bv, n, state): cells of two layers counted by their pair of values; state tells what only one has, and what is at an end of the range."""
+    joined = a.join(b, list(keys), "full").groupBy(av, bv).agg(F.count(F.lit(1)).alias("n"))
+    at_end = F.col(av).isin(low, high) | F.col(bv).isin(low, high)
+    return joined.withColumn("state", F.when(F.col(av).isNull() & F.col(bv).isNull(), "none").when(F.col(av).isNull(), "desc only").when(F.col(bv).isNull(), "asc only").when(at_end, "clipped").otherwise("both"))
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], ids: Sequence[str], each: int, seed: int = 12345) -> DataFrame:

@@ -30,17 +30,19 @@ def size_inclusion(kind="kind", body="area_body", source="area_source", deposit=
 
 
 def creep_behavior(patchy, plain, insar, geomorph, subtle_text, evaluated) -> Column:
-    """A label by priority; patchy before plain, 'Cryptic' if looked at and none seen."""
+    """A label by priority; patchy before plain, 'Cryptic' if looked at and none seen. The labels are fixed values."""
     t = lambda c: F.coalesce(col(c), F.lit(False))
-    return F.when(t(patchy), "Patchy obvious creep").when(t(plain), "Obvious creep").when(t(insar), "Detected creep").when(t(geomorph), "Geomorphic creep").when(F.length(F.trim(col(subtle_text))) > 0, "Subtle creep").when(t(evaluated), "Cryptic")
+    return F.when(t(patchy), "Patchy obvious creep").when(t(plain), "Obvious creep").when(t(insar) | F.coalesce(F.length(F.trim(col(subtle_text))) > 0, F.lit(False)), "Subtle creep").when(t(geomorph), "Geomorph creep").when(t(evaluated), "Cryptic")
 
 
 def record_class(kind="kind", size="size_inclusion", creep="creep_behavior", year_text="year_text", seismic="seismic_at", date_min="date_min") -> Column:
-    """Size first, then creep for slow records, and for the others creep or the era."""
-    e = era(year_text, seismic, date_min)
+    """Size first; then creep for slow records, and for the others the era, with creep if it is recent. Without either: null."""
+    e, kind_, creep_ = era(year_text, seismic, date_min), F.lower(F.trim(col(kind))), F.nullif(F.trim(col(creep)), F.lit(""))
     small = ~F.coalesce(col(size), F.lit(False))
-    fast = F.when(small, "Small catastrophic").when(col(creep).isNotNull() & (col(creep) != "Cryptic"), F.concat(F.lit("Catastrophic "), col(creep))).when(e >= CATASTROPHIC_FROM, "Catastrophic").when((e == 0) | (e >= MODERN_FROM), "Catastrophic Modern").when(e.isNotNull(), "Catastrophic Holocene").otherwise("Catastrophic")
-    return F.when(col(kind) == "slow", F.when(small, "Small slow landslide").otherwise(F.concat(F.lit("Slow "), F.coalesce(col(creep), F.lit("unknown"))))).when(col(kind) == "catastrophic", fast)
+    slow = F.when(small, "Small slow landslide").when(creep_.isNotNull(), F.concat(F.lit("Slow "), creep_))
+    recent = F.when(creep_.isNotNull(), F.concat(F.lit("Catastrophic "), creep_)).otherwise("Catastrophic")
+    fast = F.when(small, "Small catastrophic landslide").when(e >= CATASTROPHIC_FROM, recent).when((e == 0) | (e >= MODERN_FROM), "Catastrophic Modern").when(e.isNotNull(), "Catastrophic Holocene")
+    return F.when(kind_ == "slow", slow).when(kind_ == "catastrophic", fast)
 
 
 def part_volume(kind="kind", permafrost="permafrost", role="role", area="area") -> Column:

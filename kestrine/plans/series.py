@@ -39,27 +39,36 @@ _FEED = f"""{DATED}, feed as (select id, case when seismic_at is not null then '
 b as (select unnest(range(0, 37)) as bin),
 w as (select least(36, cast(floor((doy - 1) / 10) as int)) as bin, 1.0::double as w, volume from feed where timing = 'point'
   union all select b.bin, (least(p[2], case when b.bin = 36 then 366 else (b.bin + 1) * 10 end) - greatest(p[1], b.bin * 10 + 1) + 1) / cast(span as double), volume from pc join b on b.bin between least(36, cast(floor((p[1] - 1) / 10) as int)) and least(36, cast(floor((p[2] - 1) / 10) as int))),
-g as (select bin, sum(w) as n, sum(w * volume) as volume, max(w * volume) as largest, sum(case when volume is null then w end) as n_unknown from w group by 1)
-select b.bin as bin, round(coalesce(n, 0), 6) as n, round(coalesce(volume, 0), 2) as volume, round(coalesce(largest, 0), 2) as largest, round(coalesce(n_unknown, 0), 6) as n_unknown from b left join g using (bin)""")
+g as (select bin, sum(w) as n, sum(w * volume) as volume, max(w * volume) as largest from w group by 1)
+select b.bin as bin, round(coalesce(n, 0), 6) as n, round(coalesce(volume, 0), 2) as volume, round(coalesce(largest, 0), 2) as largest from b left join g using (bin)""")
 def seasonal_histogram(spark, d):
     """Ten-day bins; an interval is spread over its days, and may run over the year's end."""
     h = H.seasonal(event_feed(spark, d), 90)
-    return h.select("bin", F.round("n", 6).alias("n"), F.round("volume", 2).alias("volume"), F.round("largest", 2).alias("largest"), F.round("n_unknown", 6).alias("n_unknown"))
+    return h.select("bin", F.round("n", 6).alias("n"), F.round("volume", 2).alias("volume"), F.round("largest", 2).alias("largest"))
 
 
-_TL = f"""{DATED}, e as (select id, seismic_at as d, case when id % 3 <> 0 then date_min end as d0, date_max as d1, case when id % 4 = 1 then 2000 + id % 20 else {YEAR_CODE} end as year_num from dated)"""
+@query(f"with {_FEED} select count(*) as n, count(*) filter (where volume is null or volume <= 0) as n_unknown from feed where timing = 'point' or span - 1 <= 90")
+def seasonal_totals(spark, d):
+    """Events in the chart, and those of unknown volume."""
+    return H.seasonal_totals(event_feed(spark, d), 90)
 
 
-@query(f"""with {_TL}, w as (select year(d) as y, month(d) as m, 1.0::double as w from e where d is not null
-  union all select year(t.mo), month(t.mo), (date_diff('day', greatest(d0, t.mo), least(d1, last_day(t.mo))) + 1) / cast(date_diff('day', d0, d1) + 1 as double) from (select d0, d1, cast(unnest(range(date_trunc('month', d0)::timestamp, d1::timestamp + interval 1 second, interval 1 month)) as date) as mo from e where d is null and d0 is not null and d1 >= d0) t
-  union all select year_num, unnest(range(1, 13)), 1 / 12.0::double from e where d is null and (d0 is null or d1 is null or d1 < d0) and year_num >= 2012
-  union all select year_num, 1, 1.0 from e where d is null and (d0 is null or d1 is null or d1 < d0) and year_num < 2012),
-l as (select case when y = -1 then 'H' when y < 2000 then 'M' when y < 2012 then cast(y as varchar) else printf('%04d-%02d', y, m) end as bin, w from w)
-select bin, round(sum(w) / case when bin = 'H' then 120000 when bin = 'M' then 1800 when length(bin) = 4 then 12 else 1 end, 8) as rate from l group by bin""")
+_TL = f"""{DATED}, e as (select id, case when seismic_at is not null then seismic_at + to_years(16) end as d, case when id % 3 <> 0 then date_min + to_years(16) end as d0, date_max + to_years(16) as d1, case when id % 4 = 1 then 2000 + id % 20 when id % 4 = 2 then {YEAR_CODE} + 16 else {YEAR_CODE} end as year_num, case when id % 5 <> 0 then volume end as volume from dated)"""
+
+
+@query(f"""with {_TL}, y as (select *, coalesce(year_num, 0) as y from e where coalesce(year_num, 0) <= 2018), w as (select case when y = -1 then 'H' when y < 2000 then 'M' else cast(y as varchar) end as bin, 1.0::double as w, volume as v from y where y < 2012
+  union all select strftime(cast(d as date), '%Y-%m'), 1.0, volume from y where y >= 2012 and d is not null
+  union all select strftime(t.mo, '%Y-%m'), (date_diff('day', greatest(d0, t.mo), least(d1, last_day(t.mo))) + 1) / cast(date_diff('day', d0, d1) + 1 as double), volume from (select cast(d0 as date) as d0, cast(d1 as date) as d1, volume, cast(unnest(range(date_trunc('month', d0)::timestamp, d1::timestamp + interval 1 second, interval 1 month)) as date) as mo from y where y >= 2012 and d is null and d0 is not null and d1 >= d0) t where year(t.mo) between 2012 and 2018
+  union all select cast(y as varchar) || printf('-%02d', m), 1 / 12.0::double, volume from y, (select unnest(range(1, 13)) as m) where y >= 2012 and d is null and (d0 is null or d1 is null)),
+b as (select 'H' as bin union all select 'M' union all select cast(unnest(range(2000, 2012)) as varchar) union all select printf('%04d-%02d', 2012 + m // 12, m % 12 + 1) from (select unnest(range(0, 84)) as m)),
+g as (select bin, sum(w) as rate, sum(w * v) as volume_rate, max(w * v) as largest from w group by 1), p as (select b.bin, g.rate, g.volume_rate, g.largest, case when b.bin = 'H' then 120000 when b.bin = 'M' then 1800 when length(b.bin) = 4 then 12 else 1 end as per from b left join g using (bin))
+select bin, round(coalesce(rate, 0) / per, 8) as rate, round(coalesce(volume_rate, 0) / per, 4) as volume_rate, round(coalesce(largest, 0) / per, 4) as largest from p""")
 def timeline_histogram(spark, d):
-    """Eras, years and months; intervals spread by days."""
-    e = dated(spark, d).select(F.col("seismic_at").alias("day"), F.when(F.col("id") % 3 != 0, F.col("date_min")).alias("d0"), F.col("date_max").alias("d1"), F.when(F.col("id") % 4 == 1, (2000 + F.col("id") % 20).cast("int")).otherwise(P.year_code()).alias("year_num"))
-    return H.timeline(e).select("bin", F.round("rate", 8).alias("rate"))
+    """Eras, years and months, with volumes; intervals spread by days. Days are moved on by 16 years, so that months are met."""
+    later = lambda c: F.add_months(F.col(c), 16 * 12)
+    year = F.when(F.col("id") % 4 == 1, (2000 + F.col("id") % 20).cast("int")).when(F.col("id") % 4 == 2, P.year_code() + 16).otherwise(P.year_code())
+    e = dated(spark, d).select(later("seismic_at").alias("day"), F.when(F.col("id") % 3 != 0, later("date_min")).alias("d0"), later("date_max").alias("d1"), year.alias("year_num"), F.when(F.col("id") % 5 != 0, F.col("volume").cast("double")).alias("volume"))
+    return H.timeline(e, 2018).select("bin", F.round("rate", 8).alias("rate"), F.round("volume_rate", 4).alias("volume_rate"), F.round("largest", 4).alias("largest"))
 
 
 # time series

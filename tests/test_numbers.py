@@ -58,11 +58,13 @@ def test_seasonal_mass_is_the_number_of_events(spark):
 
 
 def test_timeline_weights(spark):
-    s = "day date, d0 date, d1 date, year_num int"
+    s = "day date, d0 date, d1 date, year_num int, volume double"
     import datetime as dt
 
-    rate = lambda *row: {r.bin: r.rate for r in H.timeline(spark.createDataFrame([row], s)).collect()}
-    assert rate(None, dt.date(2012, 1, 31), dt.date(2012, 2, 1), None) == {"2012-01": 0.5, "2012-02": 0.5}
+    rate = lambda *row: {r.bin: r.rate for r in H.timeline(spark.createDataFrame([(*row, 1.0)], s), 2020).collect() if r.rate}
+    assert rate(None, dt.date(2012, 1, 31), dt.date(2012, 2, 1), 2012) == {"2012-01": 0.5, "2012-02": 0.5}
+    assert rate(dt.date(2013, 5, 5), None, None, 2005) == {"2005": 1 / 12}
+    assert rate(dt.date(2013, 5, 5), None, None, 2021) == {}
     assert all(abs(v - 1 / 12) < 1e-12 for v in rate(None, None, None, 2013).values()) and len(rate(None, None, None, 2013)) == 12
     assert rate(None, None, None, 1700) == {"M": 1 / 150 / 12}
 

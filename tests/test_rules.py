@@ -38,7 +38,10 @@ def test_class_by_era(spark):
     s = "kind string, size_inclusion boolean, creep_behavior string, year_text string, seismic_at date, date_min date"
     for text, want in (("2012", "Catastrophic"), ("2011", "Catastrophic Modern"), ("1850", "Catastrophic Modern"), ("1849", "Catastrophic Holocene"), ("early Holocene", "Catastrophic Holocene")):
         assert one(spark, s, ("catastrophic", True, None, text, None, None), U.record_class()) == want
+    assert one(spark, s, ("catastrophic", True, "Cryptic", "2012", None, None), U.record_class()) == "Catastrophic Cryptic"
+    assert one(spark, s, ("catastrophic", True, None, "12", None, None), U.record_class()) is None
     assert one(spark, s, ("slow", None, None, None, None, None), U.record_class()) == "Small slow landslide"
+    assert one(spark, s, ("slow", True, None, None, None, None), U.record_class()) is None
 
 
 def test_part_volume_rounds_to_even(spark):

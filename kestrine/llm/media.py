@@ -2,10 +2,10 @@
 
 A payload becomes the samples of an 8-bit WAV. Its samples are cut where a
 rolling gear hash says so, so equal passages give equal chunks wherever they
-lie. Digests are counted over all documents; a chunk that only one document
-has is stored inline with that document's chunk list, and chunks that several
-share are stored once, chosen by joins on the digest. Reading puts the
-ordered chunks together and checks the digest of the whole.
+lie. Digests are counted over all different media; media none of whose chunks
+another has are stored with their chunks inline, and the chunks of the others
+are stored once each, chosen by joins on the digest. Reading puts the ordered
+chunks together and checks the digest of the whole.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from .common import cut, fresh_path, small_batches, text_bytes
 
 LEAST, MASK_BITS, MOST = 1024, 12, 16384
 BLOCK = 64
-#: Bits of the filter of shared digests that every task gets: 8 MB whatever the input. Its false positives only mean that a chunk takes the way of shared ones.
+#: Bits of each of the two filters that every task gets: 8 MB whatever the input. A false positive only means that a chunk takes the way of shared ones, or that a copy is stored again.
 FILTER_BITS = 1 << 26
 RATE = 8000
+#: Bytes that a writer of chunks buffers.
+ROW_GROUP = 8 << 20
 PACK = "media_sha256 string, samples long, digests array<binary>, z array<binary>"
 
 
@@ -92,8 +94,12 @@ def _chunks(text: bytes, table) -> tuple[bytes, str, list[bytes], list[bytes]]:
     return samples, hashlib.sha256(wav_header(len(samples)) + samples).hexdigest(), parts, [hashlib.sha256(x).digest()[:20] for x in parts]
 
 
+def _owner_at(sha: str, doc: int | None) -> int:
+    return _where(hashlib.blake2b(f"{sha}:{doc}".encode(), digest_size=4).digest())
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, n_bytes, media_sha256, at array<int>) per row of docs; at are the places of its chunks in the filter."""
+    """One row (id, n_bytes, media_sha256, owner_at, at array<int>) per row of docs; owner_at and at are places in the filters, of the row as owner of its media and of its chunks."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -101,72 +107,76 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         table = gear()
         for b in batches:
-            texts = text_bytes(b, "text")
+            texts, ids = text_bytes(b, "text"), b.column("id").to_pylist()
             got = [_chunks(t, table) for t in texts]
-            yield pa.record_batch([b.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([[_where(d) for d in dict.fromkeys(g[3])] for g in got], pa.list_(pa.int32()))], ["id", "n_bytes", "media_sha256", "at"])
+            yield pa.record_batch([b.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([_owner_at(g[1], i) for g, i in zip(got, ids, strict=True)], pa.int32()), pa.array([[_where(d) for d in dict.fromkeys(g[3])] for g in got], pa.list_(pa.int32()))], ["id", "n_bytes", "media_sha256", "owner_at", "at"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, media_sha256 string, at array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, media_sha256 string, owner_at int, at array<int>")
 
 
-def shared_filter(slim: DataFrame) -> bytes:
-    """Bitmap of the filter's places that more than one row of digests() has. Of fixed size."""
-    many = slim.select(F.explode(F.array_distinct("at")).alias("at")).groupBy("at").count().where("count > 1")
-    maps = many.groupBy(F.bitmap_bucket_number("at").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    size = FILTER_BITS // 8
-    held = bytearray(size + 2 * 4096)
-    for no, bits in maps:
-        held[no * 4096 : (no + 1) * 4096] = bits
-    return zlib.compress(bytes(held), 1)
+def filters(slim: DataFrame) -> tuple[bytes, bytes]:
+    """Of digests(): the owner of each different media, the row with the smallest id; and the places of chunks that several different media have. One pass."""
+    media = slim.groupBy("media_sha256").agg(F.min(F.struct("id", "owner_at", "at")).alias("o"))
+    own, parts = F.array(F.struct(F.lit(0).alias("kind"), F.col("o.owner_at").alias("at"))), F.transform(F.array_distinct("o.at"), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("at")))
+    places = media.select(F.inline(F.concat(own, parts))).groupBy("kind", "at").count().where("kind = 0 or count > 1")
+    maps = places.groupBy("kind", F.bitmap_bucket_number("at").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    held = [bytearray(FILTER_BITS // 8 + 2 * 4096) for _ in range(2)]
+    for kind, no, bits in maps:
+        held[kind][no * 4096 : (no + 1) * 4096] = bits
+    return zlib.compress(bytes(held[0]), 1), zlib.compress(bytes(held[1]), 1)
 
 
-def _is_shared(bitmap: bytes, at: int) -> bool:
+def _is_set(bitmap: bytes, at: int) -> bool:
     # a place p > 0 is bit (p - 1) % 32768 of bucket (p - 1) // 32768 + 1, and 0 is bit 0 of bucket 0
     no, bit = ((at - 1) // 32768 + 1, (at - 1) % 32768) if at > 0 else (0, 0)
     return bool(bitmap[no * 4096 + bit // 8] >> (bit % 8) & 1)
 
 
 def store(docs: DataFrame, slim: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs as media under path.
+    """Writes docs as media under path, each different media once (or more often where a filter's false positives say so).
 
-    path/packs: a row per document with its chunks, compressed, in order;
-    kind=own for those without shared chunks, kind=shared for the others, as
-    each task found them. path/chunks: the shared chunks, each once.
-    path/lists: the ordered digests of each different media of kind shared.
+    path/packs: kind=own has a row per document without shared chunks, its
+    chunks compressed and in order; kind=part the same for the others, with
+    null for each shared chunk; kind=chunk a row for each shared chunk, as each
+    task found it. path/chunks: the shared chunks, each once. path/lists: what
+    shared chunk belongs where.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(shared_filter(slim))
+    sent = spark.sparkContext.broadcast(filters(slim))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        table, bitmap, small = gear(), zlib.decompress(sent.value), zstandard.ZstdCompressor(level=3)
-        done: set = set()
+        table, small = gear(), zstandard.ZstdCompressor(level=3)
+        owners, shared = map(zlib.decompress, sent.value)
         for b in batches:
             got = ([], [], [], [], [])
-            for t in text_bytes(b, "text"):
+            for t, i in zip(text_bytes(b, "text"), b.column("id").to_pylist(), strict=True):
                 samples, sha, parts, names = _chunks(t, table)
-                kind = "shared" if any(_is_shared(bitmap, _where(d)) for d in names) else "own"
-                if kind == "shared":
-                    if sha in done:
-                        continue
-                    done.add(sha)
-                for to, x in zip(got, (kind, sha, len(samples), names, [small.compress(p) for p in parts]), strict=True):
-                    to.append(x)
+                if not _is_set(owners, _owner_at(sha, i)):
+                    continue
+                far = [_is_set(shared, _where(d)) for d in names]
+                z = [small.compress(p) for p in parts]
+                rows = [("part" if any(far) else "own", sha, len(samples), names, [None if f else x for f, x in zip(far, z, strict=True)])]
+                rows += [("chunk", sha, k, [names[k]], [z[k]]) for k in range(len(z)) if far[k]]
+                for row in rows:
+                    for to, x in zip(got, row, strict=True):
+                        to.append(x)
             yield pa.record_batch([pa.array(x, k) for x, k in zip(got, (pa.string(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary())), strict=True)], ["kind", "media_sha256", "samples", "digests", "z"])
 
-    packs = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, " + PACK)
-    packs.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{path}/packs")
-    shared = spark.read.schema(PACK + ", kind string").parquet(f"{path}/packs").where("kind = 'shared'").withColumn("file", F.expr("_metadata.file_path"))
-    names = shared.select("file", "media_sha256", "samples", F.posexplode("digests").alias("no", "digest"))
-    chunks = shared.select("file", "media_sha256", F.posexplode(F.arrays_zip("digests", "z")).alias("no", "c")).select("file", "media_sha256", "no", F.col("c.digests").alias("digest"), F.col("c.z").alias("z"))
-    owner = names.groupBy("digest").agg(F.min(F.struct("file", "media_sha256", "no")).alias("o")).select("digest", "o.*")
-    chunks.join(owner, ["digest", "file", "media_sha256", "no"], "left_semi").select("digest", "z").write.option("compression", "uncompressed").parquet(f"{path}/chunks")
-    names.select("media_sha256", "no", "samples", "digest").distinct().write.option("compression", "zstd").parquet(f"{path}/lists")
+    packs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "kind string, " + PACK)
+    packs.write.partitionBy("kind").option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/packs")
+    stored = spark.read.schema(PACK + ", kind string").parquet(f"{path}/packs").withColumn("file", F.expr("_metadata.file_path"))
+    chunks = stored.where("kind = 'chunk'").select("file", "media_sha256", F.col("samples").alias("no"), F.get("digests", F.lit(0)).alias("digest"), F.get("z", F.lit(0)).alias("z"))
+    owner = chunks.groupBy("digest").agg(F.min(F.struct("file", "media_sha256", "no")).alias("o")).select("digest", "o.*")
+    once = chunks.join(owner, ["digest", "file", "media_sha256", "no"], "left_semi").select("digest", "z")
+    once.write.option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/chunks")
+    chunks.select("media_sha256", "no", "digest").distinct().write.option("compression", "zstd").parquet(f"{path}/lists")
 
 
 def read(spark, path: str) -> DataFrame:
-    """One row (media_sha256, media binary) per different media, put together from its chunks and checked."""
+    """Reads what store() wrote. One row (media_sha256, media binary) per different media, put together from its chunks and checked."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -175,7 +185,7 @@ def read(spark, path: str) -> DataFrame:
         open_ = zstandard.ZstdDecompressor()
 
         def done(sha: str, n: int, parts: list[bytes]) -> tuple[str, bytes]:
-            media = wav_header(n) + b"".join(parts)
+            media = b"" if None in parts else wav_header(n) + b"".join(parts)
             if hashlib.sha256(media).hexdigest() != sha:
                 raise ValueError(f"media {sha}: chunks are missing or changed")
             return sha, media
@@ -195,11 +205,12 @@ def read(spark, path: str) -> DataFrame:
             sha, n, parts = None, 0, []
             for b in batches:
                 for s, no, k, zs in zip(*(b.column(c).to_pylist() for c in ("media_sha256", "no", "samples", "z")), strict=True):
-                    if no == 0 and sha is not None:
-                        yield done(sha, n, parts)
-                        parts = []
-                    sha, n = s, k
-                    parts += map(open_.decompress, zs)
+                    if no >= 0:
+                        parts[no] = open_.decompress(zs[0])
+                    elif s != sha:
+                        if sha is not None:
+                            yield done(sha, n, parts)
+                        sha, n, parts = s, k, [z and open_.decompress(z) for z in zs]
             if sha is not None:
                 yield done(sha, n, parts)
 
@@ -207,11 +218,13 @@ def read(spark, path: str) -> DataFrame:
             yield pa.record_batch([pa.array([x[0] for x in held], pa.string()), pa.array([x[1] for x in held], pa.binary())], ["media_sha256", "media"])
 
     small_batches(spark)
-    own = spark.read.schema(PACK + ", kind string").parquet(f"{path}/packs").where("kind = 'own'").select("media_sha256", F.lit(0).alias("no"), "samples", "z")
-    lists, chunks = spark.read.schema("media_sha256 string, no int, samples long, digest binary").parquet(f"{path}/lists"), spark.read.schema("digest binary, z binary").parquet(f"{path}/chunks")
-    many = lists.join(chunks, "digest").repartition("media_sha256").sortWithinPartitions("media_sha256", "no").select("media_sha256", "no", "samples", F.array("z").alias("z"))
+    packs = spark.read.schema(PACK + ", kind string").parquet(f"{path}/packs")
+    docs = lambda kind: packs.where(F.col("kind") == kind).select("media_sha256", F.lit(-1).cast("long").alias("no"), "samples", "z")
+    lists, chunks = spark.read.schema("media_sha256 string, no long, digest binary").parquet(f"{path}/lists"), spark.read.schema("digest binary, z binary").parquet(f"{path}/chunks")
+    far = lists.join(chunks, "digest").select("media_sha256", "no", F.lit(0).cast("long").alias("samples"), F.array("z").alias("z"))
+    many = docs("part").unionByName(far).repartition("media_sha256").sortWithinPartitions("media_sha256", "no")
     schema = "media_sha256 string, media binary"
-    return own.mapInArrow(run, schema).unionByName(many.mapInArrow(run, schema))
+    return docs("own").mapInArrow(run, schema).unionByName(many.mapInArrow(run, schema))
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -241,4 +254,5 @@ def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = cut(digests(docs, id_col, text_col))
     path = fresh_path(docs.sparkSession, "media")
     store(docs, slim, path, id_col, text_col)
-    return slim.select("id", "n_bytes", "media_sha256").join(features(read(docs.sparkSession, path)), "media_sha256")
+    found = features(read(docs.sparkSession, path)).dropDuplicates(["media_sha256"])
+    return slim.select("id", "n_bytes", "media_sha256").join(found, "media_sha256")

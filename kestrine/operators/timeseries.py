@@ -89,64 +89,40 @@ def gathered(df: DataFrame, keys: Sequence[str], fields: Sequence[str], order: s
     return df.groupBy(*keys).agg(obs.alias("o_")).select(*keys, *[F.col(f"o_.{f}").alias(f) for f in dict.fromkeys([order, *fields])])
 
 
-def tukey(residual, scale: float):
-    """Weights that fall to 0 at 4.685 scales."""
-    import numpy as np
-
-    u = residual / (4.685 * max(scale, 1e-9))
-    return np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0.0)
-
-
-def robust_fit(t1, t2, v, sigma, reference: float, passes: int = 4):
-    """(level, trend, cos, sin, rms, n) of one cell by reweighted ridge least squares; the season goes if halves of the years don't agree on it."""
-    import numpy as np
-
-    tau = 2 * np.pi
-    dt = np.maximum(t2 - t1, 1e-9)
-    a = np.stack([np.ones_like(t1), (t1 + t2) / 2 - reference, (np.sin(tau * t2) - np.sin(tau * t1)) / (tau * dt), (np.cos(tau * t1) - np.cos(tau * t2)) / (tau * dt)], axis=1)
-    base = 1 / np.maximum(sigma, 1e-9) ** 2
-
-    def solve(rows, w, cols):
-        x = a[rows][:, cols]
-        m = (x * w[rows, None]).T @ x
-        return np.linalg.solve(m + np.eye(len(cols)) * 1e-6 * np.trace(m) / len(cols), (x * w[rows, None]).T @ v[rows])
-
-    def fit(rows, cols):
-        w = base.copy()
-        c = solve(rows, w, cols)
-        for _ in range(passes):
-            r = v - a[:, cols] @ c
-            scale = MAD * np.median(np.abs(r[rows] - np.median(r[rows])))
-            w = base * tukey(r, scale) + 1e-12
-            c = solve(rows, w, cols)
-        return c, w
-
-    every, all_cols = np.arange(len(v)), [0, 1, 2, 3]
-    cols = all_cols
-    if len(v) < 8:
-        cols = [0]
-    else:
-        odd = np.floor((t1 + t2) / 2).astype(int) % 2 == 1
-        if min(odd.sum(), (~odd).sum()) >= 8:
-            a1, a2 = fit(every[odd], all_cols)[0][2:], fit(every[~odd], all_cols)[0][2:]
-            size = max(np.hypot(*a1), np.hypot(*a2))
-            if size > 0 and np.hypot(*(a1 - a2)) > size:
-                cols = [0, 1]
-    c, w = fit(every, cols)
-    out = np.zeros(4)
-    out[cols] = c
-    r = v - a[:, cols] @ c
-    return [*map(float, out), float(np.sqrt((w * r * r).sum() / max(w.sum(), 1e-12))), float(len(v))]
-
-
-def fit_cells(df: DataFrame, keys: Sequence[str], t1: str, t2: str, v: str, sigma: str, reference: float) -> DataFrame:
-    """(keys, fit array): robust_fit of every cell. Cells with fewer than 3 observations have null."""
-    def run(a: pd.Series, b: pd.Series, y: pd.Series, s: pd.Series) -> pd.Series:
+def fit_cells(df: DataFrame, keys: Sequence[str], reference: float) -> DataFrame:
+    """(keys, cx array, cy array, n, rms, t_first, t_last): kernels.velocity_fit of every cell of df (t1, t2, vx, vy, dt_days, sigma); cells that can't be fitted have nulls."""
+    def run(t1: pd.Series, t2: pd.Series, vx: pd.Series, vy: pd.Series, dt: pd.Series, sigma: pd.Series) -> pd.DataFrame:
         import numpy as np
 
-        return pd.Series([robust_fit(*(np.asarray(q, dtype=float) for q in row), reference) if len(row[0]) >= 3 else None for row in zip(a, b, y, s, strict=True)], dtype=object)
+        from . import kernels
 
-    return gathered(df, keys, [t1, t2, v, sigma], t1).withColumn("fit", F.pandas_udf(run, "array<double>")(t1, t2, v, sigma)).select(*keys, "fit")
+        out = []
+        for row in zip(t1, t2, vx, vy, dt, sigma, strict=True):
+            a, b, x, y, d, s = (np.asarray(q, dtype=float) for q in row)
+            got = kernels.velocity_fit(a, b, np.stack([x, y], axis=1), d, 1 / np.maximum(s, 1e-9) ** 2, reference)
+            out.append((None, None, None, None, None, None) if got is None else (got[0][:, 0].tolist(), got[0][:, 1].tolist(), *got[1:]))
+        return pd.DataFrame(out, columns=["cx", "cy", "n", "rms", "t_first", "t_last"])
+
+    names = ["t1", "t2", "vx", "vy", "dt_days", "sigma"]
+    schema = "cx array<double>, cy array<double>, n int, rms double, t_first double, t_last double"
+    return gathered(df, keys, names, "t1").withColumn("f_", F.pandas_udf(run, schema)(*names)).select(*keys, "f_.*")
+
+
+#: Where a cell's model comes from; a stale one ends more than STALE years before the reference.
+RECENT, FULL, MISSING, OLD = 1, 2, 0, 5
+STALE, EVIDENCE_YEARS, EVIDENCE = 1.0, 3.5, 5
+
+
+def tiered_fit(df: DataFrame, keys: Sequence[str], since: float, reference: float) -> DataFrame:
+    """fit_cells of what is recent; where that fails, of the whole record if the cell has recent evidence; with source."""
+    recent = fit_cells(df.where(F.col("t1") >= since), keys, reference)
+    near = df.where((F.col("t1") + F.col("t2")) / 2 >= reference - EVIDENCE_YEARS).groupBy(*keys).agg(F.count(F.lit(1)).alias("e_")).where(F.col("e_") >= EVIDENCE).select(*keys)
+    todo = df.join(recent.where("cx is not null").select(*keys), list(keys), "left_anti").join(near, list(keys), "left_semi")
+    full = fit_cells(todo, keys, reference).where("cx is not null").withColumn("source", F.lit(FULL))
+    cells = df.select(*keys).distinct()
+    best = recent.where("cx is not null").withColumn("source", F.lit(RECENT)).unionByName(full)
+    out = cells.join(best, list(keys), "left")
+    return out.withColumn("source", F.when(F.col("t_last") < reference - STALE, OLD).otherwise(F.coalesce("source", F.lit(MISSING))))
 
 
 def month_overlap(df: DataFrame, d0: str, d1: str) -> DataFrame:
@@ -156,76 +132,35 @@ def month_overlap(df: DataFrame, d0: str, d1: str) -> DataFrame:
     return out.withColumn("share", days / (F.datediff(d1, d0) + 1))
 
 
-def tv_inversion(rows, cols, share, value, sigma, n: int, strength: float = 1.0, passes: int = 25):
-    """Steps x of n months: least |W (A x - b)|^2 + strength |D x|_1, by reweighting; A has `share` at (rows, cols)."""
-    import numpy as np
+def monthly_cells(df: DataFrame, keys: Sequence[str], start: float, months: int) -> DataFrame:
+    """(keys, mx array, my array, n, rms): kernels.monthly_velocity of every cell of df (t1, t2, vx, vy, dt_days, sigma, context); cells with too few observations have nulls."""
+    def run(t1: pd.Series, t2: pd.Series, vx: pd.Series, vy: pd.Series, dt: pd.Series, sigma: pd.Series, context: pd.Series) -> pd.DataFrame:
+        import numpy as np
 
-    a = np.zeros((len(value), n))
-    a[rows, cols] = share
-    w = 1 / np.maximum(sigma, 1e-9)
-    d = np.diff(np.eye(n), axis=0)
-    m, b = (a * (w * w)[:, None]).T @ a, (a * (w * w)[:, None]).T @ value
-    x = np.full(n, np.average(value, weights=w))
-    for _ in range(passes):
-        e = 1 / (np.abs(d @ x) + 1e-4)
-        x = np.linalg.solve(m + strength * (d * e[:, None]).T @ d + 1e-9 * np.eye(n), b)
-    return x
+        from . import kernels
+
+        out = []
+        for row in zip(t1, t2, vx, vy, dt, sigma, context, strict=True):
+            a, b, x, y, d, s, c = (np.asarray(q, dtype=float) for q in row)
+            got = kernels.monthly_velocity(a, b, np.stack([x, y], axis=1), d, 1 / np.maximum(s, 1e-9) ** 2, start, months, np.nan_to_num(c))
+            out.append((None, None, None, None) if got is None else (got[0][:, 0].tolist(), got[0][:, 1].tolist(), *got[1:]))
+        return pd.DataFrame(out, columns=["mx", "my", "n", "rms"])
+
+    names = ["t1", "t2", "vx", "vy", "dt_days", "sigma", "context"]
+    return gathered(df, keys, names, "t1").withColumn("f_", F.pandas_udf(run, "mx array<double>, my array<double>, n int, rms double")(*names)).select(*keys, "f_.*")
 
 
-def tv_cells(df: DataFrame, keys: Sequence[str], d0: str, d1: str, value: str, strength: float = 1.0) -> DataFrame:
-    """(keys, first, monthly array): monthly values of every cell from means over intervals of dates, piecewise constant."""
-    def run(a: pd.Series, b: pd.Series, v: pd.Series) -> pd.Series:
+def harmonic_cells(df: DataFrame, mx: str, my: str, start: float, most: int = 3) -> DataFrame:
+    """df with coef array, kept and explained of its monthly series; null for series that are short or have gaps."""
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         import numpy as np
 
-        out = []
-        for s, e, y in zip(a, b, v, strict=True):
-            s, e, y = np.asarray(s, dtype="datetime64[D]"), np.asarray(e, dtype="datetime64[D]"), np.asarray(y, dtype=float)
-            m0, m1 = s.astype("datetime64[M]").astype(int), e.astype("datetime64[M]").astype(int)
-            first, n = m0.min(), int(m1.max() - m0.min() + 1)
-            i, j, sh = [], [], []
-            for k in range(len(y)):
-                for m in range(m0[k], m1[k] + 1):
-                    lo, hi = np.datetime64(int(m), "M").astype("datetime64[D]"), np.datetime64(int(m) + 1, "M").astype("datetime64[D]")
-                    part = (min(hi, e[k] + 1) - max(lo, s[k])).astype(int)
-                    i.append(k), j.append(m - first), sh.append(part / ((e[k] - s[k]).astype(int) + 1))
-            out.append([float(q) for q in tv_inversion(i, j, sh, y, np.ones(len(y)), n, strength)])
-        return pd.Series(out, dtype=object)
-
-    g = gathered(df, keys, [d0, d1, value], d0)
-    return g.withColumn("monthly", F.pandas_udf(run, "array<double>")(d0, d1, value)).select(*keys, F.trunc(F.element_at(d0, 1), "MM").alias("first"), "monthly")
-
-
-def harmonics(values, most: int = 3):
-    """(kept, share of variance explained): harmonics of a monthly series without its 13-month mean, each kept if odd and even years agree."""
-    import numpy as np
-
-    y = np.asarray(values, dtype=float)
-    n = len(y)
-    pad = np.concatenate([np.full(6, y[0]), y, np.full(6, y[-1])])
-    r = y - np.convolve(pad, np.ones(13) / 13, mode="valid")
-    total, kept, explained = (r * r).sum(), 0, 0.0
-    t = np.arange(n)
-    odd = t // 12 % 2 == 1
-    for k in range(1, most + 1):
-        b = np.stack([np.cos(2 * np.pi * k * t / 12), np.sin(2 * np.pi * k * t / 12)], axis=1)
-        if min(odd.sum(), (~odd).sum()) < 12:
-            break
-        c1, c2 = (np.linalg.lstsq(b[q], r[q], rcond=None)[0] for q in (odd, ~odd))
-        if np.hypot(*(c1 - c2)) > max(np.hypot(*c1), np.hypot(*c2)):
-            break
-        c = np.linalg.lstsq(b, r, rcond=None)[0]
-        r = r - b @ c
-        kept, explained = k, 1 - (r * r).sum() / total if total else 0.0
-    return kept, float(explained)
-
-
-def harmonic_cells(df: DataFrame, keys: Sequence[str], monthly: str) -> DataFrame:
-    """df with harmonics struct(kept, explained) of its monthly arrays."""
-    def run(m: pd.Series) -> pd.DataFrame:
-        got = [harmonics(x) for x in m]
-        return pd.DataFrame({"kept": [g[0] for g in got], "explained": [g[1] for g in got]})
-
-    return df.withColumn("harmonics", F.pandas_udf(run, "kept int, explained double")(monthly))
+        from . import kernels
+
+        got = [None if a is None or b is None else kernels.harmonics(np.stack([np.asarray(a, dtype=float), np.asarray(b, dtype=float)], axis=1), start, most) for a, b in zip(x, y, strict=True)]
+        return pd.DataFrame([(None, None, None) if g is None else (g[0].ravel().tolist(), g[1], g[2]) for g in got], columns=["coef", "kept", "explained"])
+
+    return df.withColumn("f_", F.pandas_udf(run, "coef array<double>, kept int, explained double")(mx, my)).select(*df.columns, "f_.*")
 
 
 def verdict(residual, sigma, z: float = 3.0) -> Column:

@@ -158,28 +158,37 @@ def weighted_trend(spark, d):
     return s.select("cell", "n", F.round(F.get("coef", F.lit(1)), 3).alias("slope"), F.round(F.get("coef", F.lit(0)), 4).alias("level"))
 
 
+def pairs(spark, d):
+    """Line items as displacements of a supplier's cell: the ship day and quantity make an interval, price and discount a velocity with a season."""
+    from ..session import table
+
+    l = table(spark, d, "lineitem")
+    day = F.unix_date(F.col("l_shipdate").cast("date")) / F.lit(365.25) + 1970
+    dt = (8 + F.col("l_partkey") % 200).cast("double")
+    mid = day + dt / 730.5
+    speed = 200 + 30 * F.cos(2 * 3.141592653589793 * mid) + (F.col("l_discount") - 0.05) * 300
+    return l.select((F.col("l_suppkey") % 60).alias("cell"), day.alias("t1"), (day + dt / 365.25).alias("t2"), speed.alias("vx"), (F.col("l_tax") * 100).alias("vy"), dt.alias("dt_days"), T.pair_sigma(dt, F.col("l_returnflag")).alias("sigma"), F.lit(0.0).alias("context"))
+
+
 @query()
 def robust_cell_fit(spark, d):
-    """Level, trend and season of every cell, and the model's value at the end of the window. No SQL: reweighted by passes."""
-    x = _intervals(spark, d)
-    fit = T.fit_cells(x, ["cell"], "t1", "t2", "v", "sigma", 0.0)
-    window = x.groupBy("cell").agg(F.min("t1").alias("first"), F.max("t2").alias("last"))
-    return fit.join(window, "cell").select("cell", *[F.get("fit", F.lit(i)).alias(n) for i, n in enumerate(("level", "trend", "cos", "sin", "rms", "n"))], T.model_value(F.col("fit"), F.col("last"), F.col("first"), F.col("last"), 0.0).alias("at_last"))
+    """Level, trend and season of every cell in two tiers, and the model's value at the end of its record. No SQL: reweighted by passes."""
+    fit = T.tiered_fit(pairs(spark, d), ["cell"], 1997.0, 2001.0)
+    at = T.model_value(F.col("cx"), F.col("t_last"), F.col("t_first"), F.col("t_last"), 2001.0)
+    return fit.select("cell", *[F.get("cx", F.lit(i)).alias(n) for i, n in enumerate(("level", "trend", "cos", "sin"))], "n", "rms", "t_first", "t_last", "source", at.alias("at_last"))
 
 
 @query()
 def monthly_inversion(spark, d):
-    """Monthly values from means over the brackets of an owner's records, piecewise constant. No SQL: an inversion by passes."""
-    x = dated(spark, d).where("date_max >= date_min").selectExpr("owner_id % 50 as cell", "date_min", "date_max", "cast(volume as double) / 1000 as v")
-    return T.tv_cells(x, ["cell"], "date_min", "date_max", "v", 5.0).select("cell", "first", F.size("monthly").alias("n_months"), F.array_min("monthly").alias("low"), F.array_max("monthly").alias("high"))
+    """Monthly velocities from interval means, piecewise constant. No SQL: an inversion by passes."""
+    return T.monthly_cells(pairs(spark, d), ["cell"], 1995.0, 84).select("cell", "n", "rms", F.size("mx").alias("n_months"), F.array_min("mx").alias("low"), F.array_max("mx").alias("high"))
 
 
 @query()
 def harmonic_decomposition(spark, d):
-    """Harmonics of the monthly totals of every owner group, kept if odd and even years agree. No SQL."""
-    m = records(spark, d).groupBy((F.col("owner_id") % 20).alias("cell"), F.trunc("day", "MM").alias("month")).agg(F.sum("price").alias("v"))
-    g = T.gathered(m, ["cell"], ["v"], "month")
-    return T.harmonic_cells(g, ["cell"], "v").select("cell", F.size("v").alias("n_months"), "harmonics.kept", "harmonics.explained")
+    """Harmonics of the monthly velocities, kept if even and odd years agree. No SQL."""
+    m = T.monthly_cells(pairs(spark, d), ["cell"], 1995.0, 84)
+    return T.harmonic_cells(m, "mx", "my", 1995.0).select("cell", "kept", "explained", F.get("coef", F.lit(0)).alias("cos1"))
 
 
 # rasters: tile by order of part keys, cells by key, value by price

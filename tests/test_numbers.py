@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kestrine.functions import geo, predicates as P, scalars as S
-from kestrine.operators import histograms as H, particles as PT, raster as G, timeseries as T
+from kestrine.operators import histograms as H, kernels as K, particles as PT, raster as G, timeseries as T
 
 
 def test_albers_round_trip_and_equal_area(spark):
@@ -69,37 +69,85 @@ def test_timeline_weights(spark):
     assert rate(None, None, None, 1700) == {"M": 1 / 150 / 12}
 
 
-def test_robust_fit_recovers_the_model():
-    rng = np.random.default_rng(1)
-    t1 = np.sort(rng.uniform(0, 10, 400))
-    t2 = t1 + rng.uniform(0.01, 0.2, 400)
-    tau = 2 * np.pi
-    a = np.stack([np.ones(400), (t1 + t2) / 2 - 5, (np.sin(tau * t2) - np.sin(tau * t1)) / (tau * (t2 - t1)), (np.cos(tau * t1) - np.cos(tau * t2)) / (tau * (t2 - t1))], axis=1)
-    v = a @ np.array([100.0, 3.0, 10.0, -5.0]) + rng.normal(0, 0.5, 400)
-    v[::20] += 500
-    got = T.robust_fit(t1, t2, v, np.ones(400), 5.0)
-    assert np.allclose(got[:4], [100, 3, 10, -5], atol=0.5)
+def observations(seed, years=10, n=800, season=(40.0, -20.0), noise=1.0):
+    rng = np.random.default_rng(seed)
+    t1 = np.sort(rng.uniform(2015, 2015 + years, n))
+    dt = rng.uniform(10, 200, n)
+    t2 = t1 + dt / 365.25
+    a = K.interval_means(t1, t2, 2020.0)
+    truth = np.array([[300.0, 50.0], [8.0, -3.0], [season[0], 5.0], [season[1], 2.0]])
+    v = a @ truth + rng.normal(0, noise, (n, 2))
+    return rng, t1, t2, dt, v, truth
 
 
-def test_seasonal_term_is_dropped_if_years_disagree():
-    rng = np.random.default_rng(2)
-    t1 = np.sort(rng.uniform(0, 10, 400))
-    t2 = t1 + 0.05
+def test_fit_recovers_the_model_among_blunders():
+    rng, t1, t2, dt, v, truth = observations(1)
+    bad = rng.random(len(v)) < 0.15
+    v[bad] += rng.normal(0, 2000, (bad.sum(), 2))
+    c, n, rms, first, last = K.velocity_fit(t1, t2, v, dt, np.ones(len(v)), 2020.0)
+    assert np.allclose(c, truth, atol=2.0) and n < len(v) and 2015 < first < 2016.5 and last > 2024
+
+
+def test_fit_admits_no_separations_that_lag_behind():
+    _, t1, t2, dt, v, truth = observations(2, season=(0.0, 0.0))
+    v[dt > 100] *= 0.3
+    c, *_ = K.velocity_fit(t1, t2, v, dt, dt**2, 2020.0)
+    assert abs(c[0, 0] - 300) < 10
+    assert K.separation_cap(np.where(dt > 64, 100.0, 300.0), dt) == 64.0
+
+
+def test_season_that_years_do_not_share_is_dropped():
+    _, t1, t2, dt, v, _ = observations(3, season=(0.0, 0.0))
     mid = (t1 + t2) / 2
-    v = 50 + np.where(mid.astype(int) % 2 == 1, 1, -1) * 10 * np.cos(2 * np.pi * mid)
-    assert T.robust_fit(t1, t2, v, np.ones(400), 5.0)[2:4] == [0.0, 0.0]
+    v[:, 0] += np.where(np.floor(mid) % 2 == 0, 1, -1) * 60 * np.cos(2 * np.pi * mid)
+    c, *_ = K.velocity_fit(t1, t2, v, dt, np.ones(len(v)), 2020.0)
+    assert (c[2:] == 0).all()
+    assert K.velocity_fit(t1[:5], t2[:5], v[:5], dt[:5], np.ones(5), 2020.0) is None
 
 
 def test_inversion_keeps_one_step():
-    n = 36
-    truth = np.where(np.arange(n) < 18, 10.0, 30.0)
-    rows, cols, share, value = [], [], [], []
-    for k in range(n - 2):
-        for m in range(k, k + 3):
-            rows.append(k), cols.append(m), share.append(1 / 3)
-        value.append(truth[k : k + 3].mean())
-    x = T.tv_inversion(rows, cols, share, np.array(value), np.ones(n - 2), n, 0.05)
-    assert abs(x[5] - 10) < 1 and abs(x[-5] - 30) < 1 and (np.abs(np.diff(x)) > 2).sum() <= 2
+    rng = np.random.default_rng(4)
+    t1 = np.sort(rng.uniform(2015, 2020.5, 900))
+    dt = rng.uniform(10, 120, 900)
+    t2 = t1 + dt / 365.25
+    truth = np.zeros((72, 2))
+    truth[:, 0] = np.where(np.arange(72) < 36, 200.0, 500.0)
+    v = K.overlap_matrix(t1, t2, 2015.0, 72) @ truth + rng.normal(0, 5, (900, 2))
+    x, n, rms = K.monthly_velocity(t1, t2, v, dt, np.ones(900), 2015.0, 72)
+    assert abs(np.median(x[5:30, 0]) - 200) < 15 and abs(np.median(x[42:64, 0]) - 500) < 15
+    assert (np.abs(np.diff(x[3:65, 0])) > 30).sum() <= 4 and n > 800
+
+
+def test_harmonics_are_confirmed_in_order():
+    t = 2015 + (np.arange(120) + 0.5) / 12
+    x = 400 + 50 * np.cos(2 * np.pi * t) + 15 * np.sin(4 * np.pi * t)
+    coef, kept, explained = K.harmonics(np.stack([x, np.full(120, 30.0)], axis=1), 2015.0)
+    assert kept == 2 and explained > 0.95 and abs(coef[0, 0] - 50) < 3
+    flip = 400 + np.where(np.floor(t) % 2 == 0, 1, -1) * 50 * np.cos(2 * np.pi * t)
+    assert K.harmonics(np.stack([flip, flip], axis=1), 2015.0)[1] == 0
+    assert K.harmonics(np.ones((30, 2)), 2015.0) is None
+
+
+def test_tiers(spark):
+    rows = []
+    for cell, lo, hi in (("recent", 2019.0, 2024.9), ("old", 2010.0, 2016.0), ("both", 2010.0, 2024.9)):
+        rng = np.random.default_rng(len(cell))
+        for t in rng.uniform(lo, hi, 300):
+            rows.append((cell, float(t), float(t) + 0.05, 100.0 + float(rng.normal()), float(rng.normal()), 18.0, 20.0))
+    df = spark.createDataFrame(rows, "cell string, t1 double, t2 double, vx double, vy double, dt_days double, sigma double")
+    got = {r.cell: r for r in T.tiered_fit(df, ["cell"], 2018.0, 2025.0).collect()}
+    assert got["recent"].source == T.RECENT and got["both"].source == T.RECENT and abs(got["both"].cx[0] - 100) < 1
+    assert got["old"].source == T.MISSING and got["old"].cx is None
+
+
+def test_close_words_and_repairs(spark):
+    df = spark.createDataFrame([("Deposit ",), ("depsit",), ("bodies",), ("sources",), ("zzz",), (None,)], "v string")
+    known = ("source", "body", "deposit")
+    assert [r[0] for r in df.select(S.vocabulary("v", {"bodies": "body"}, known)).collect()] == ["deposit", None, "body", "source", None, None]
+    assert {r.v: r.w for r in S.close_word(df, "v", known, "w").collect()} == {"Deposit ": "deposit", "depsit": "deposit", "bodies": None, "sources": "source", "zzz": None, None: None}
+    bad = spark.createDataFrame([("caf√©",), ("â€™",), ("plain",), ("Ã¶",)], "t string")
+    assert [r[0] for r in bad.select(S.mojibake("t")).collect()] == [1, 4, None, 3]
+    assert [r[0] for r in bad.select(S.repaired("t")).collect()][:3] == ["café", None, "plain"]
 
 
 def test_circular_mean_wraps(spark):

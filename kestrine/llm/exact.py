@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_bytes
@@ -197,9 +197,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     result; other columns of docs are ignored.
     """
     found = owners(docs, id_col, text_col, largest, budget).select("text_sha256", "keep_id", "group_size")
-    rows = addressed(docs, id_col, text_col).join(found, "text_sha256")
-    nth = F.row_number().over(Window.partitionBy("text_sha256", "id").orderBy(F.lit(1)))
-    return rows.withColumn("kept", F.when(F.col("id").eqNullSafe(F.col("keep_id")), nth == 1).otherwise(False)).select("id", "text_sha256", "keep_id", "group_size", "kept")
+    # rows that repeat id and text can't be told apart: they are counted and told out again, one of them kept
+    rows = addressed(docs, id_col, text_col).groupBy("text_sha256", "id").agg(F.count(F.lit(1)).alias("rows_"))
+    each = rows.join(found, "text_sha256").withColumn("nth_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows_"))))
+    return each.select("id", "text_sha256", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth_") == 1)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

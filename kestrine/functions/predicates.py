@@ -131,3 +131,17 @@ def draw_order(cls, order: Sequence[str]) -> Column:
 def plausible(value, low: float, high: float) -> Column:
     """value, or null outside the range."""
     return F.when(col(value).between(low, high), col(value))
+
+
+def own_flag(reason, prefix: str) -> Column:
+    """A flag that a scan set itself, by the start of its reason."""
+    return F.coalesce(F.startswith(col(reason), F.lit(prefix)), F.lit(False))
+
+
+def in_tile(x, y, x0, y0, x1, y1) -> Column:
+    """In a half-open box: a point on a shared edge is in one tile."""
+    return (col(x) >= col(x0)) & (col(x) < col(x1)) & (col(y) >= col(y0)) & (col(y) < col(y1))
+
+
+def stalled(status, started, now: Column, minutes: int = 30) -> Column:
+    return (col(status) == "processing") & (col(started) < now - F.make_dt_interval(mins=F.lit(minutes)))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "series", "io")
+MODULES = ("core", "series", "io", "shapes")
 
 
 def queries() -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import col
+from .kernels import harmonics, monthly_velocity, velocity_fit
 
 YEAR = 365.25
 #: Cells in a batch of the kernels; a cell is a row with arrays, so one cell's length bounds memory.
@@ -94,12 +95,10 @@ def fit_cells(df: DataFrame, keys: Sequence[str], reference: float) -> DataFrame
     def run(t1: pd.Series, t2: pd.Series, vx: pd.Series, vy: pd.Series, dt: pd.Series, sigma: pd.Series) -> pd.DataFrame:
         import numpy as np
 
-        from . import kernels
-
         out = []
         for row in zip(t1, t2, vx, vy, dt, sigma, strict=True):
             a, b, x, y, d, s = (np.asarray(q, dtype=float) for q in row)
-            got = kernels.velocity_fit(a, b, np.stack([x, y], axis=1), d, 1 / np.maximum(s, 1e-9) ** 2, reference)
+            got = velocity_fit(a, b, np.stack([x, y], axis=1), d, 1 / np.maximum(s, 1e-9) ** 2, reference)
             out.append((None, None, None, None, None, None) if got is None else (got[0][:, 0].tolist(), got[0][:, 1].tolist(), *got[1:]))
         return pd.DataFrame(out, columns=["cx", "cy", "n", "rms", "t_first", "t_last"])
 
@@ -137,12 +136,10 @@ def monthly_cells(df: DataFrame, keys: Sequence[str], start: float, months: int)
     def run(t1: pd.Series, t2: pd.Series, vx: pd.Series, vy: pd.Series, dt: pd.Series, sigma: pd.Series, context: pd.Series) -> pd.DataFrame:
         import numpy as np
 
-        from . import kernels
-
         out = []
         for row in zip(t1, t2, vx, vy, dt, sigma, context, strict=True):
             a, b, x, y, d, s, c = (np.asarray(q, dtype=float) for q in row)
-            got = kernels.monthly_velocity(a, b, np.stack([x, y], axis=1), d, 1 / np.maximum(s, 1e-9) ** 2, start, months, np.nan_to_num(c))
+            got = monthly_velocity(a, b, np.stack([x, y], axis=1), d, 1 / np.maximum(s, 1e-9) ** 2, start, months, np.nan_to_num(c))
             out.append((None, None, None, None) if got is None else (got[0][:, 0].tolist(), got[0][:, 1].tolist(), *got[1:]))
         return pd.DataFrame(out, columns=["mx", "my", "n", "rms"])
 
@@ -155,9 +152,7 @@ def harmonic_cells(df: DataFrame, mx: str, my: str, start: float, most: int = 3)
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         import numpy as np
 
-        from . import kernels
-
-        got = [None if a is None or b is None else kernels.harmonics(np.stack([np.asarray(a, dtype=float), np.asarray(b, dtype=float)], axis=1), start, most) for a, b in zip(x, y, strict=True)]
+        got = [None if a is None or b is None else harmonics(np.stack([np.asarray(a, dtype=float), np.asarray(b, dtype=float)], axis=1), start, most) for a, b in zip(x, y, strict=True)]
         return pd.DataFrame([(None, None, None) if g is None else (g[0].ravel().tolist(), g[1], g[2]) for g in got], columns=["coef", "kept", "explained"])
 
     return df.withColumn("f_", F.pandas_udf(run, "coef array<double>, kept int, explained double")(mx, my)).select(*df.columns, "f_.*")

@@ -19,7 +19,7 @@ from .common import small_batches
 
 CAPACITY = 2048
 #: Documents of a group, on average.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 25_000
 
 
 def encoder(ranks_path: str | None = None):

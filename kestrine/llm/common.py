@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches hold at most this many bytes, so that long texts don't fill a worker.
-BATCH_BYTES = str(16 << 20)
+BATCH_BYTES = str(8 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:

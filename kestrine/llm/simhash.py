@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(links(nodes.select("fp"), radius))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # cut, so that a large component's join can be split
     classes = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(classes, "fp")
 

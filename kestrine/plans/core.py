@@ -175,8 +175,8 @@ def point_in_polygon(spark, d):
     ring = lambda a, b, e, f: F.array(pt(a, b), pt(e, b), pt(e, f), pt(a, f), pt(a, b))
     shapes = n.select(F.col("n_name").alias("name"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), F.array(F.array(ring(x0, y0, x1, y1), ring(x0 + 5, y0 + 20, x0 + 10, y0 + 40))).alias("geom"))
     r = records(spark, d)
-    near = r.join(F.broadcast(shapes), F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    hit = near.where(geo.covers("geom", "lon", "lat")).groupBy("id").agg(F.min("name").alias("country"), F.count("name").alias("n_covering"))
+    near = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
+    hit = r.join(F.broadcast(shapes), geo.covers_in_box(near, "geom", "lon", "lat")).groupBy("id").agg(F.min("name").alias("country"), F.count("name").alias("n_covering"))
     return r.select("id").join(hit, "id", "left").select("id", "country", F.coalesce("n_covering", F.lit(0)).alias("n_covering"))
 
 

@@ -254,5 +254,8 @@ def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = cut(digests(docs, id_col, text_col))
     path = fresh_path(docs.sparkSession, "media")
     store(docs, slim, path, id_col, text_col)
-    found = features(read(docs.sparkSession, path)).dropDuplicates(["media_sha256"])
+    # written, so that the join of many equal texts to their media can be split
+    got = features(read(docs.sparkSession, path)).dropDuplicates(["media_sha256"])
+    got.write.option("compression", "zstd").parquet(f"{path}/features")
+    found = docs.sparkSession.read.schema(got.schema).parquet(f"{path}/features")
     return slim.select("id", "n_bytes", "media_sha256").join(found, "media_sha256")

@@ -2,7 +2,8 @@
 
 Sizes are summed per source, each source gets a target, and rate = target /
 size of the source. A document is emitted floor(rate) times, and once more
-with probability rate - floor(rate), by a coin seeded with its id.
+with probability rate - floor(rate), by a coin from the hash of its id and of
+the seed that its source has been given.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import WORD, cut
 
 #: Weights of the sources in order of code point, null last; they repeat.
 WEIGHTS = (1, 2, 3)
+#: Draws of which a source uses the best.
+SEEDS = 32
 #: Up to so many sources the table of targets is sent to every task; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
 #: No source is repeated more often than this.
@@ -67,24 +70,66 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return table.select("source", "source_size", F.least(F.col("weight") * F.lit(level), (F.col("source_size") * most).cast("double")).alias("target"))
 
 
-def copies(docs: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """One row (id, source, size, source_size, target, times) per row of docs, and its columns named in keep.
+def draw(key: Column, seed: str, k: Column) -> Column:
+    """Uniform in [0, 1) with 32 bits: the k-th draw of a key, from the MD5 of seed, k and key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.floor(k / 4).cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, (8 * (k % 4) + 1).cast("int"), F.lit(8)), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def rates(slim: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, most: float = MOST, seeds: int = SEEDS) -> DataFrame:
+    """(source, source_size, target, k) of slim (id, source, size): what a source shall give, and the draws that its coins use.
+
+    A coin is a document's k-th draw. Of the first `seeds` draws a source uses
+    those that bring its words nearest to its target (the first of equals):
+    the coins stay independent and fair, and a few very long documents don't
+    carry a source away. All sums are combined before the shuffle.
+    """
+    sizes = _sent(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    with_rate = _joined(slim, sizes).withColumn("rate", _rate())
+    part = F.col("rate") - F.floor("rate")
+    sums = with_rate.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first(F.floor("rate")).alias("whole"), F.array(*[F.sum(F.when(draw(F.col("id"), seed, F.lit(k)) < part, F.col("size")).otherwise(0)) for k in range(seeds)]).alias("sums"))
+    away = F.transform("sums", lambda x: F.abs(F.col("whole") * F.col("source_size") + x - F.col("target")))
+    k = F.array_position(away, F.array_min(away)).cast("int") - 1
+    return _sent(cut(sums.select("source", "source_size", "target", k.alias("k"))))
+
+
+def _sent(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+
+
+def _joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    return rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *(f"s.{c}" for c in sources.columns if c != "source"))
+
+
+def _rate() -> Column:
+    return F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+
+
+def _times(seed: str) -> Column:
+    rate = _rate()
+    return (F.floor(rate) + F.when(draw(F.col("id"), seed, F.col("k")) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    return cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
+
+
+def copies(docs: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row (id, source, size, source_size, target, k, times) per row of docs.
 
     Null texts have size 0, null sources are one source, sources without
     words have rate 0 and are never emitted; rows that repeat an id share a
-    coin; an empty table gives an empty result.
+    coin; an empty table gives an empty result; other columns are ignored.
+    """
+    slim = sized(docs, id_col, source_col, text_col)
+    return _joined(slim, rates(slim, seed, weights, most)).withColumn("times", _times(seed))
+
+
+def mix(docs: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """docs (doc_id, source, text and more) with every row as often as the mix takes it; the columns are those of docs.
+
+    The last pass reads ids and sources for the coins; texts only pass by.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    slim = slim if keep else cut(slim)
-    sizes = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SOURCES else sizes
-    rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    joined = slim.alias("d").join(sizes.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target")
-    times = (F.floor(rate) + F.when(coin(F.col("id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    return joined.withColumn("times", times)
-
-
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """docs with every row as often as the mix takes it; the columns are those of docs."""
-    out = copies(docs, seed, keep=docs.columns)
-    return out.where("times > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").alias("id"), F.col("source").alias("source"))
+    out = _joined(rows, rates(sized(docs), seed, weights, most)).select("row_", _times(seed).alias("times_")).where("times_ > 0")
+    return out.select("row_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_"))).alias("copy_")).select("row_.*")

@@ -124,11 +124,20 @@ def test_sources_come_near_their_targets(docs_of):
     for r in got:
         took[r.source] += r.size * r.times
         target[r.source] = r.target
-    assert all(abs(took[s] / target[s] - 1) < 0.03 for s in target)
+    assert all(abs(took[s] / target[s] - 1) < 0.005 for s in target)
     again = mixing.copies(docs).collect()
     assert sorted((r.id, r.times) for r in got) == sorted((r.id, r.times) for r in again)
 
 
+def test_long_documents_do_not_carry_a_source_away(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    took, target = defaultdict(int), {}
+    for r in mixing.copies(docs).collect():
+        took[r.source] += r.size * r.times
+        target[r.source] = r.target
+    assert all(abs(took[s] / target[s] - 1) < 0.05 for s in target)
+
+
 def test_mixed_rows_repeat_as_counted(odd):
     times = Counter()
     for r in mixing.copies(odd).collect():

@@ -18,18 +18,18 @@ from .common import cut
 
 #: Kinds in order of precedence, with Java patterns; none has a capturing group.
 KINDS = {
-    "email": r"(?<![\w.+%-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY) ?[=:] ?\"?)[A-Za-z0-9+/_-]{12,200}|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})\b",
+    "email": r"(?<![\w.+%-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?<=[=: \"])(?=[A-Za-z0-9+/_-]{12})(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY) ?[=:] ?\"?)[A-Za-z0-9+/_-]{12,200}|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![\d.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?:\d{1,3})?(?![\d-])".replace("([ -]?)", "[ -]?").replace(r"\1", "[ -]?"),
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d)",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "person": r"\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία)\b\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
+    "card": r"(?=\d)(?<![\d.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?:\d{1,3})?(?![\d-])".replace("([ -]?)", "[ -]?").replace(r"\1", "[ -]?"),
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?=[+(\d])(?:(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d))",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "person": r"(?=[MDHFSГΚ])\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία)\b\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
 }
 ALL = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without any of these holds no entity; a cheap test before the pattern.
-HINT = r"[0-9@]|Mr|Ms|Dr|Miss|Herr|Frau|Señor|Sr|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY"
+#: A text without a digit, an @ or any of these holds no entity; cheap tests before the pattern.
+HINTS = ("Mr", "Ms", "Miss", "Dr", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "Господин", "Госпожа", "Κύριος", "Κυρία", "=", ":", "AKIA", "ghp_", "sk-")
 
 #: First names by gender and syllables of surnames, by script.
 FIRST = {
@@ -142,7 +142,10 @@ def surrogates(entities: Column, key: str, attempt) -> Column:
 
 def found(text: Column) -> Column:
     """All entities of a text in order, repeats included."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    hint = text.rlike("[0-9@]")
+    for word in HINTS:
+        hint = hint | F.contains(text, F.lit(word))
+    return F.when(hint, F.regexp_extract_all(text, F.lit(ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def redrawn(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:

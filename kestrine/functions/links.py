@@ -101,3 +101,15 @@ def mercator_shift(y, ecc: float = 0.0818191908426215) -> Column:
     lat = F.atan(F.sinh(math.pi * (1 - 2 * col(y))))
     s = F.sin(lat)
     return 0.5 - F.ln(F.tan(math.pi / 4 + lat / 2) * F.pow((1 - ecc * s) / (1 + ecc * s), ecc / 2)) / (2 * math.pi)
+
+
+def patched(text, pattern: str = r"https?://[^\s\"'<>\\]+#[^\s\"'<>\\]*ext=[^\s\"'<>\\]*") -> Column:
+    """A document in which every link that fits the pattern is converted(); the rest stays byte for byte."""
+    found = F.transform(F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0)), converted)
+    parts = F.split(col(text), pattern, -1)
+    weave = lambda new: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.lit("")))), "")
+    return F.element_at(F.transform(F.array(found), weave), 1)
+
+
+def n_patched(text, pattern: str = r"#[^\s\"'<>\\]*ext=") -> Column:
+    return F.regexp_count(col(text), F.lit(pattern))

@@ -190,3 +190,27 @@ def mojibake(text) -> Column:
     for n, p in enumerate(MOJIBAKE_SIGNS, 1):
         out = out.when(col(text).rlike(p), n)
     return out
+
+
+def tile_count(west, south, east, north, zooms: range) -> Column:
+    """Tiles that a box covers, summed over zooms."""
+    out = F.lit(0).cast("long")
+    for z in zooms:
+        across = tile_x(east, F.lit(z)) - tile_x(west, F.lit(z)) + 1
+        down = tile_y(south, F.lit(z)) - tile_y(north, F.lit(z)) + 1
+        out = out + across.cast("long") * down.cast("long")
+    return out
+
+
+def zoom_in_budget(west, south, east, north, budget: int = 6000, first: int = 0, last: int = 19) -> Column:
+    """Deepest zoom up to which the box covers no more than budget tiles."""
+    out = F.lit(first)
+    for z in range(first, last + 1):
+        out = F.when(tile_count(west, south, east, north, range(first, z + 1)) <= budget, z).otherwise(out)
+    return out
+
+
+def field_value(recent, annual, season, most: float = 25_000.0) -> Column:
+    """What is measured recently, else the annual value and its season; null beyond `most`."""
+    v = F.coalesce(col(recent), col(annual) + F.coalesce(col(season), F.lit(0.0)))
+    return F.when(F.abs(v) <= most, v)

@@ -186,3 +186,22 @@ def disambiguated(df: DataFrame, slug: Column, id_col: str) -> DataFrame:
     """df with slug: the smallest id keeps it, the others get their id appended; '' stays ''."""
     rn = F.row_number().over(Window.partitionBy("slug").orderBy(id_col))
     return df.withColumn("slug", slug).withColumn("slug", F.when((F.col("slug") == "") | (rn == 1), F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col(id_col).cast("string"))))
+
+
+def strided(df: DataFrame, step: int) -> DataFrame:
+    """Every step-th cell of a grid in both directions."""
+    return df.where((F.col("i") % step == 0) & (F.col("j") % step == 0))
+
+
+def named_in(df: DataFrame, text: str, pattern: str, records: DataFrame, name: str, id_col: str) -> DataFrame:
+    """df with ref_id: the smallest id of the record whose name a text quotes (first group of pattern), or null."""
+    first = records.groupBy(F.col(name).alias("n_")).agg(F.min(id_col).alias("ref_id"))
+    quoted = df.withColumn("q_", F.nullif(F.regexp_extract(F.col(text), pattern, 1), F.lit("")))
+    return quoted.join(first, F.col("q_") == F.col("n_"), "left").drop("q_", "n_")
+
+
+def gathered_centre(parts: DataFrame, key: str, x: str, y: str, area: str) -> DataFrame:
+    """(key, x, y): centre of all parts of a key, weighted by area; of parts without area the plain mean."""
+    w = F.sum(area)
+    at = lambda c: F.when(w > 0, F.sum(F.col(area) * F.col(c)) / w).otherwise(F.avg(c))
+    return parts.groupBy(key).agg(at(x).alias(x), at(y).alias(y))

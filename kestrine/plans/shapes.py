@@ -136,3 +136,40 @@ def staging_preview(spark, d):
     p = E.preview(s, none, "name", "role", lambda a, b, c, e: F.hypot(F.col(a) - F.col(c), F.col(b) - F.col(e)))
     has = lambda w: F.array_contains("warnings", w)
     return p.select(F.col("name").cast("long").alias("pkey"), "n_parts", has("many parts").alias("many"), has("repeated roles").alias("repeated"), has("parts far apart").alias("dispersed"))
+
+
+@query("with q as (select l_orderkey, 'base name of ''' || p_name || ''' - look' as reason from lineitem join part on l_partkey = p_partkey where l_linenumber = 1) select q.l_orderkey, min(p.p_partkey) as ref_id from q join part p on q.reason = 'base name of ''' || p.p_name || ''' - look' group by q.l_orderkey, q.reason")
+def reason_lookup(spark, d):
+    """The record that a reason names, found by its exact name."""
+    from ..operators import relational as R
+
+    p = table(spark, d, "part")
+    l = table(spark, d, "lineitem").where("l_linenumber = 1").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat(F.lit("base name of '"), "p_name", F.lit("' - look")).alias("reason"))
+    return R.named_in(l.distinct(), "reason", "'(.*)'", p, "p_name", "p_partkey").select("l_orderkey", "ref_id")
+
+
+@query("select c_custkey, c_name, o_orderkey, o_totalprice from customer left join (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) o on o_custkey = c_custkey and rn = 1 where c_nationkey < 8")
+def listing(spark, d):
+    """A page's rows, with what another table has of them."""
+    newest = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("o"))
+    c = table(spark, d, "customer").where("c_nationkey < 8")
+    return c.join(newest, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_name", "o.o_orderkey", "o.o_totalprice")
+
+
+@query(f"with {PARTS} select parent_id, round(sum(area * (pkey % 100)) / sum(area), 6) as x, round(sum(area * (skey % 100)) / sum(area), 6) as y from parts group by 1")
+def gathered_centres(spark, d):
+    """Centre of a record's parts, by area."""
+    from ..operators import relational as R
+
+    p = parts(spark, d).select("parent_id", "area", (F.col("pkey") % 100).cast("double").alias("x"), (F.col("skey") % 100).cast("double").alias("y"))
+    return R.gathered_centre(p, "parent_id", "x", "y", "area").select("parent_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("select event_id, case when abs(v) <= 300 then v end as v from (select event_id, coalesce(case when event_id % 3 = 0 then value end, value * 2 + coalesce(case when event_id % 2 = 0 then 5.0::double end, 0)) as v from events)")
+def field_values(spark, d):
+    """Recent where present, else annual with its season, within bounds."""
+    from ..functions import scalars as S
+
+    e = table(spark, d, "events")
+    k, v = F.col("event_id"), F.col("value")
+    return e.select("event_id", S.field_value(F.when(k % 3 == 0, v), v * 2, F.when(k % 2 == 0, F.lit(5.0)), 300.0).alias("v"))

@@ -104,3 +104,23 @@ def test_part_diff(spark):
     up = spark.createDataFrame([(1, 7, "g"), (2, 7, "H"), (4, 99, "n")], "id int, rec int, geom string")
     got = E.part_diff(cur, up, "id", "rec", cur.select("rec"), F.col("a.geom") == F.col("b.geom"))
     assert {r.id: r.status for r in got.collect()} == {1: "unchanged", 2: "update", 3: "missing", 4: "no parent"}
+
+
+def test_patching_documents(spark):
+    doc = '{"a": "https://m.example/#ext=-150.02,60.99,-149.98,61.01", "b": "https://m.example/#mapCenter=1", "c": "é <x> https://o.example/?ext=1"}'
+    out = one(spark, L.patched(F.lit(doc)))
+    assert out == doc.replace("#ext=-150.02,60.99,-149.98,61.01", "#mapCenter=-150.00000%2C61.00000%2C15&mode=explore")
+    assert one(spark, L.n_patched(F.lit(doc))) == 1
+
+
+def test_tile_budget(spark):
+    n = one(spark, S.tile_count(F.lit(-180.0), F.lit(-85.0), F.lit(179.99), F.lit(85.0), range(3)))
+    assert n == 1 + 4 + 16
+    assert one(spark, S.zoom_in_budget(F.lit(-180.0), F.lit(-85.0), F.lit(179.99), F.lit(85.0), 30)) == 2
+
+
+def test_keyframes(spark):
+    from kestrine.operators import particles as PT
+
+    s = spark.createDataFrame([(i, i / 8) for i in range(33)], "id int, t double")
+    assert sorted(r.t for r in PT.keyframes(s, "t", 0.25, 3, 2.0).collect()) == [1.75, 2.0, 2.25]

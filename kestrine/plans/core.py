@@ -586,7 +586,7 @@ def mojibake_scan(spark, d):
 def shoelace_area(spark, d):
     """Area of a rectangle with a rectangular hole, by the shoelace formula."""
     r = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(F.col("l_quantity") * (1 + F.col("l_linenumber"))).alias("w"), F.min("l_linenumber").cast("double").alias("h"))
-    pt = lambda x, y: F.struct(F.lit(x).cast("double").alias("x") if not hasattr(x, "alias") else x.cast("double").alias("x"), (y.cast("double") if hasattr(y, "alias") else F.lit(float(y))).alias("y"))
+    pt = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
     outer = F.array(pt(0, 0), pt(F.col("w"), 0), pt(F.col("w"), 10), pt(0, 10))
     hole = F.array(pt(1, 1), pt(1, F.col("h") + 1), pt(3, F.col("h") + 1), pt(3, 1))
     return r.where("w * 10 > 40").select("id", F.round(geo.area(F.array(F.array(outer, hole))), 4).alias("area"))

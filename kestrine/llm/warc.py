@@ -119,8 +119,6 @@ def parsed(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
 
         number = lambda x: None if x is None else int(x)
         for b in batches:

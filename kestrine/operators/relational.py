@@ -81,21 +81,30 @@ def near_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, metres: fl
     """Pairs of points within metres, by an equi-join on grid cells and then the distance.
 
     left and right have lon and lat. Every left point looks in its own cell
-    and the cells around it; cells are wide enough for the distance up to 80
-    degrees of latitude, beyond which a row has all longitudes in one cell.
+    and the cells around it. Cells are as high as the distance and wide
+    enough for it up to 79.9 degrees of latitude; beyond, a row has all
+    longitudes in one cell, which also holds right points within the distance
+    of that border for the left points beyond it.
     """
-    step = max(metres / 111_000.0 * 1.01, 1e-6)
-    wide = step / 0.17
-    def cell(d: DataFrame) -> DataFrame:
-        polar = F.abs(F.col("lat")) > 79.9
-        return d.withColumns({"cy": F.floor(F.col("lat") / step), "cx": F.when(polar, F.lit(-1)).otherwise(F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / wide))})
-
-    cells = int(360 / wide)
-    a = cell(left.select(F.col(lid).alias("lid"), "lon", "lat")).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    a = a.withColumn("jx", F.explode(F.array_distinct(F.flatten(F.array(F.array(F.lit(-1)), F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.when(F.col("cx") < 0, F.lit(-1)).otherwise(F.pmod(F.col("cx") + k, F.lit(cells + 1)))))))))
-    a = a.select("lid", F.col("lon").alias("alon"), F.col("lat").alias("alat"), (F.col("cy") + F.col("dy")).alias("jy"), F.col("jx").cast("long").alias("jx"))
-    b = cell(right.select(F.col(rid).alias("rid"), "lon", "lat")).select("rid", F.col("lon").alias("blon"), F.col("lat").alias("blat"), F.col("cy").alias("jy"), F.col("cx").cast("long").alias("jx"))
-    return a.join(b, ["jy", "jx"]).withColumn("metres", distance("alon", "alat", "blon", "blat")).where(F.col("metres") <= metres).select("lid", "rid", "metres")
+    border, step = 79.9, max(metres / 111_000.0 * 1.01, 1e-6)
+    n = max(1, int(360 * 0.17 / step))
+    polar = F.abs(F.col("lat")) > border
+
+    def placed(d: DataFrame, key: str, prefix: str) -> DataFrame:
+        cx = F.least(F.lit(n - 1), F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / (360.0 / n)))
+        return d.select(F.col(key).alias(f"{prefix}id"), F.col("lon").alias(f"{prefix}lon"), F.col("lat").alias(f"{prefix}lat"), polar.alias(f"{prefix}polar"), F.floor(F.col("lat") / step).alias("jy"), cx.alias("jx"))
+
+    around = F.array(*map(F.lit, (-1, 0, 1)))
+    a = placed(left, lid, "l").withColumn("jy", F.explode(F.transform(around, lambda k: F.col("jy") + k)))
+    cells = F.transform(around, lambda k: F.pmod(F.col("jx") + k, F.lit(n)).cast("long"))
+    top = F.array(F.lit(-1).cast("long"))
+    a = a.withColumn("jx", F.explode(F.when(F.col("lpolar"), top).otherwise(F.array_distinct(F.concat(cells, F.when(F.abs(F.col("llat")) > border - step, top).otherwise(F.array().cast("array<long>")))))))
+    b = placed(right, rid, "r")
+    own = F.array(F.col("jx").cast("long"))
+    b = b.withColumn("jx", F.explode(F.when(F.col("rpolar"), top).when(F.abs(F.col("rlat")) > border - step, F.concat(own, top)).otherwise(own)))
+    once = (F.col("jx") >= 0) | F.col("lpolar") | F.col("rpolar")
+    out = a.join(b, ["jy", "jx"]).where(once).withColumn("metres", distance("llon", "llat", "rlon", "rlat"))
+    return out.where(F.col("metres") <= metres).select("lid", "rid", "metres")
 
 
 def stab(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, width: float) -> DataFrame:

@@ -204,7 +204,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows that repeat the kept row's id and text count once.
     """
-    found = near_duplicates(docs, radius=radius)
+    return first_of_each(docs, near_duplicates(docs, radius=radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of docs with the smallest doc_id of each component of found (id, text_key, component_id), once."""
     stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("key_"), F.first("id").alias("id_")).select("id_", "key_")
     keyed = docs.withColumn("key__", F.xxhash64("text"))
     out = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["id_"]) & (keyed["key__"] == stay["key_"]), "left_semi").drop("key__")

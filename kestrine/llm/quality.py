@@ -2,8 +2,9 @@
 
 One sees the text's content (shares of character classes, words and lines, in
 bins), the other the page metadata (language, source, recorded length). Both
-start from the labels. In each round each scores all documents, and those on
-which it is confident become examples of the other. At the end each view's
+start from the labels. In each round each scores all documents, and its best
+and worst of those without labels, by quantiles of its own scores, become
+examples of the other. At the end each view's
 score is calibrated against the labels, and the calibrated log-odds are added.
 Every count is summed by Spark over all documents; the models have a fixed size.
 """
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches, text_bytes
 
 ROUNDS = 3
-#: A view's pseudo-label needs this probability of one class.
-CONFIDENT = 0.98
+#: Share of each class, among documents without labels, that a view gives pseudo-labels to in a round.
+CONFIDENT = 0.1
+#: Steps of a score in which its quantiles are counted.
+FINE = 0.05
 #: Weight of a pseudo-label against a label.
 PSEUDO_WEIGHT = 0.2
 BINS = 16
@@ -79,10 +82,10 @@ class View:
 
         return self.prior + self.weights[np.arange(x.shape[1])[None, :], x].sum(axis=1)
 
-    def probability(self, x):
+    def step(self, x):
         import numpy as np
 
-        return 1 / (1 + np.exp(-np.clip(self.raw(x) / x.shape[1] ** 0.5, -30, 30)))
+        return np.clip(np.floor(self.raw(x) / FINE), -(1 << 20), 1 << 20).astype(int)
 
     def calibrated(self, x):
         """Log-odds of good by the labels of documents with a like score."""
@@ -138,20 +141,70 @@ def _sums(table: DataFrame, count, keys: str) -> dict:
     return {tuple(r)[:-1]: r["n"] for r in table.mapInArrow(run, schema).groupBy(*keys.split()).agg(F.sum("n").alias("n")).collect()}
 
 
+@dataclass
+class Sure:
+    """The last step of a view's worst and the first of its best documents, and the weights of their pseudo-labels."""
+
+    bad: int
+    good: int
+    bad_weight: float
+    good_weight: float
+
+
+def _quantile(counts: list[tuple[int, float]], quota: float) -> tuple[int, float]:
+    """First step at which counts reach the quota, and the weight that makes it count as the quota: documents that tie there share it."""
+    n = 0.0
+    for step, c in counts:
+        n += c
+        if n >= quota:
+            break
+    return step, min(1.0, quota / n)
+
+
+def sure_of(table: DataFrame, views: tuple[View, View]) -> tuple[Sure | None, Sure | None]:
+    """What each view is confident of: CONFIDENT of each class, by the share of the labels, among documents without. None if its scores don't tell them apart."""
+
+    def count(b):
+        import numpy as np
+
+        y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
+        for v in y[~np.isnan(y)]:
+            yield (2, int(v)), 1.0
+        for k, (view, x) in enumerate(zip(views, (_matrix(b.column("t")), _matrix(b.column("m"))), strict=True)):
+            for s, n in zip(*np.unique(view.step(x[np.isnan(y)]), return_counts=True), strict=True):
+                yield (k, int(s)), float(n)
+
+    got = _sums(table, count, "view step")
+    rate = (got.get((2, 1), 0.0) + 0.5) / (got.get((2, 0), 0.0) + got.get((2, 1), 0.0) + 1)
+    out = []
+    for k in (0, 1):
+        steps = sorted((s, n) for (view, s), n in got.items() if view == k)
+        total = sum(n for _, n in steps)
+        if not steps:
+            out.append(None)
+            continue
+        bad, bad_weight = _quantile(steps, CONFIDENT * (1 - rate) * total)
+        good, good_weight = _quantile(steps[::-1], CONFIDENT * rate * total)
+        out.append(Sure(bad, good, PSEUDO_WEIGHT * bad_weight, PSEUDO_WEIGHT * good_weight) if bad < good else None)
+    return out[0], out[1]
+
+
 def _fit(table: DataFrame, text: View | None, meta: View | None) -> tuple[View, View]:
     """Both views from the labels and, for documents without, from what the other view is confident of."""
+    sure = sure_of(table, (text, meta)) if text else (None, None)
 
     def count(b):
         import numpy as np
 
         t, m = _matrix(b.column("t")), _matrix(b.column("m"))
         y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
-        for view, x, other, ox in ((0, t, meta, m), (1, m, text, t)):
+        for view, x, other, ox, at in ((0, t, meta, m, sure[1]), (1, m, text, t, sure[0])):
             target, w = y.copy(), np.where(np.isnan(y), 0.0, 1.0)
-            if other is not None:
-                p = other.probability(ox)
-                sure = np.isnan(y) & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-                target[sure], w[sure] = p[sure] >= 0.5, PSEUDO_WEIGHT
+            if at is not None:
+                step = other.step(ox)
+                for like, quality, weight in ((step <= at.bad, 0.0, at.bad_weight), (step >= at.good, 1.0, at.good_weight)):
+                    like &= np.isnan(y)
+                    target[like], w[like] = quality, weight
             use = w > 0
             for f in range(x.shape[1]):
                 code, inverse = np.unique(x[use, f] * 2 + target[use].astype(int), return_inverse=True)

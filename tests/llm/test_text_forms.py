@@ -217,6 +217,18 @@ def test_rounds_bring_pseudo_labels_in(spark):
     assert taught.meta.raw(m)[0] < alone.meta.raw(m)[0] < 0
 
 
+def test_pseudo_labels_flow_both_ways(spark):
+    """On the given tables each view is confident of documents of both classes, and each view changes by the other's."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    y = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"))
+    rows = quality.features(docs).join(y, "id", "left").cache()
+    alone = quality._fit(rows, None, None)
+    for sure in quality.sure_of(rows, alone):
+        assert sure and sure.bad < sure.good and 0 < sure.bad_weight <= quality.PSEUDO_WEIGHT and 0 < sure.good_weight <= quality.PSEUDO_WEIGHT
+    taught = quality._fit(rows, *alone)
+    assert all(abs(a.weights - b.weights).max() > 0.01 for a, b in zip(alone, taught, strict=True))
+
+
 def test_odd_documents_score(spark, odd):
     labels = spark.createDataFrame([(3, 1), (6, 0), (None, 1), (4, None), (3, 1)], "doc_id long, quality int")
     got = quality.scored(odd, quality.train(odd, labels)).collect()

@@ -10,6 +10,7 @@ group loses about one sequence against packing everything at once.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,17 +23,55 @@ CAPACITY = 2048
 GROUP_ROWS = 25_000
 
 
+#: From this many white-space characters in a row on, the pattern's look-ahead is taken out of the regular expression, which fails on about a million.
+LONG_SPACE = 10_000
+#: Unicode White_Space, which the pattern's \s stands for. Python's \s has four more.
+SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG = re.compile(f"{SPACE}{{{LONG_SPACE},}}")
+
+
 def encoder(ranks_path: str | None = None):
-    """Byte-level BPE from a file of ranks; strings of special tokens are ordinary text.
+    """Byte-level BPE from a file of ranks.
 
-    The default has the vocabulary of byte_bpe_50k.json as ranks and gives the same ids.
+    The default has the vocabulary of byte_bpe_50k.json as ranks and its added tokens, and gives the same ids.
+    A file of one's own has no added tokens.
     """
+    import json
+
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {}
+    if not ranks_path:
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in added.values()}, special_tokens=added)
+
+
+def encode(enc, text: str) -> list[int]:
+    """Ids of a text: added tokens are found first, as tokenizers does, and the rest is ordinary text.
+
+    A long run of white space is one piece of the pattern up to its last
+    character, which goes with what follows, or to its end if nothing does;
+    what is before it ends in another character, so no piece reaches into it.
+    """
+    if not LONG.search(text):
+        return enc.encode(text, allowed_special="all")
+    added = sorted(enc.special_tokens_set, key=len, reverse=True)
+    ids: list[int] = []
+    for part in re.split(f"({'|'.join(map(re.escape, added))})", text) if added else [text]:
+        if part in enc.special_tokens_set:
+            ids.append(enc.encode_single_token(part))
+            continue
+        at = 0
+        for run in LONG.finditer(part):
+            end = run.end() - (run.end() < len(part))
+            ids += enc.encode_ordinary(part[at : run.start()]) + enc._encode_single_piece(part[run.start() : end])
+            at = end
+        ids += enc.encode_ordinary(part[at:])
+    return ids
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -57,7 +96,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         for b in batches:
             got = ([], [], [], [], [])
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.array([*enc.encode_ordinary(text or ""), end_id], dtype="<u4")
+                ids = np.array([*encode(enc, text or ""), end_id], dtype="<u4")
                 for k, (start, n) in enumerate(cuts(len(ids), capacity)):
                     for to, x in zip(got, (doc, k, start, n, ids[start : start + n].tobytes()), strict=True):
                         to.append(x)

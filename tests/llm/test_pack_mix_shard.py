@@ -29,6 +29,35 @@ def test_ids_are_those_of_the_tokenizers_library(spark, hf):
         assert enc.encode_ordinary(text) == hf.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def whole():
+    """The library as the file makes it."""
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_added_tokens_have_their_ids(spark, docs_of, whole):
+    docs = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "x  <|endoftext|>  "), (4, "<|endoftext| > <|endoftext|"), (5, " " * 20_000 + "<|endoftext|>" + "\n" * 20_000 + "z")]
+    rows = queries.packing.pieces(docs_of(docs), capacity=1 << 20).collect()
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), dtype="<u4").tolist() for r in rows}
+    assert got == {i: [*whole.encode(t, add_special_tokens=False).ids, 0] for i, t in docs}
+    assert 50256 in got[1]
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t ", "\u2003", "\x1c", "\xa0 \r\n"])
+@pytest.mark.parametrize("form", ["{}", "{}b", "a{}", "a {} b", "it's{}'s", "!{}9{}.", "{}<|endoftext|>{}x"])
+def test_long_white_space(whole, space, form):
+    enc = packing.encoder()
+    for n in (1, 2, 3, packing.LONG_SPACE - 1, packing.LONG_SPACE, packing.LONG_SPACE + 1):
+        text = form.format(*[space * n] * 2)
+        assert packing.encode(enc, text) == whole.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("space", [" ", "\n"])
+def test_a_million_spaces(whole, space):
+    text = f"a{space * 1_000_000}b"
+    assert packing.encode(packing.encoder(), text) == whole.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, docs, hf):
     by_doc = defaultdict(list)
     for r in rows:

@@ -19,7 +19,7 @@ from .common import cut
 #: Kinds in order of precedence, with Java patterns; none has a capturing group.
 KINDS = {
     "email": r"(?<![\w.+%-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=[=: \"])(?=[A-Za-z0-9+/_-]{12})(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY) ?[=:] ?\"?)[A-Za-z0-9+/_-]{12,200}|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})\b",
+    "secret": r"(?<=[=: \"])(?=[A-Za-z0-9+/_-]{12})(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY) ?[=:] ?\"?)[A-Za-z0-9+/_-]{12,}+|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})\b|\bsk-[A-Za-z0-9_-]{20,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?=\d)(?<![\d.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?:\d{1,3})?(?![\d-])".replace("([ -]?)", "[ -]?").replace(r"\1", "[ -]?"),
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -45,6 +45,8 @@ SYLLABLES = {
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|Κυρία)\b"
 MALE = r"^(?:Mr|Herr|Señor|Sr|Monsieur|Господин|Κύριος)\b"
 HONORIFIC = r"^(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία)\.? "
+#: Longest entity whose letters and digits are counted for each character, which takes the square of its length.
+PLAIN = 200
 #: Rounds of drawing again; each needs a job over the entities.
 ROUNDS = 20
 #: Up to so many entities that drew again are sent to every task; beyond, they are joined by shuffle.
@@ -94,9 +96,9 @@ def _letter(n: Column) -> Column:
 
 
 def _redrawn(x: Column, h: Column, keep: int | Column = 0) -> Column:
-    """x with every ASCII letter and digit after the first `keep` characters drawn anew, by its place among those; case, separators and the hexadecimal alphabet stay."""
+    """x with every ASCII letter and digit after the first `keep` characters drawn anew, by its place among those (among all in entities longer than PLAIN, none of which have canonical forms without separators); case, separators and the hexadecimal alphabet stay."""
     keep = F.lit(keep) if isinstance(keep, int) else keep
-    placed = F.transform(F.split(x, "(?!^)"), lambda c, i: F.struct(c.alias("c"), (i >= keep).alias("free"), F.length(F.regexp_replace(F.substring(x, F.lit(1), i + 1), "[^0-9A-Za-z]", "")).alias("at")))
+    placed = F.transform(F.split(x, "(?!^)"), lambda c, i: F.struct(c.alias("c"), (i >= keep).alias("free"), F.when(F.length(x) > PLAIN, i + 1).otherwise(F.length(F.regexp_replace(F.substring(x, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))).alias("at")))
     letters = F.when(x.rlike("^[0-9A-Fa-f]{16,}$"), 6).otherwise(26)
     drawn = F.transform(placed, lambda p: F.struct(p["c"].alias("c"), F.when(p["free"] & p["c"].rlike("[0-9A-Za-z]"), _nth(h, p["at"], 7800)).alias("n")))
     one = lambda d: F.when(d["n"].isNull(), d["c"]).when(d["c"].rlike("[0-9]"), (d["n"] % 10).cast("string")).when(d["c"].rlike("[a-z]"), _letter(F.pmod(d["n"], letters))).otherwise(F.upper(_letter(F.pmod(d["n"], letters))))

@@ -85,6 +85,18 @@ def test_distinct_entities_stay_distinct(spark, docs_of, monkeypatch):
     assert all(len(v) == 1 for v in to.values()) and len(set.union(*to.values())) == 40
 
 
+@pytest.mark.parametrize("n", [199, 200, 201, 300, 20_000])
+def test_long_secrets_go_whole(docs_of, n):
+    rnd = random.Random(n)
+    body = "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    rows = [(1, f"my token={body} end"), (2, f"see sk-{body} end"), (3, f"see sk-{body}- end"), (4, f'"password": "x" and key: {body[:100]}+/{body[100:]}')]
+    got = {r.doc_id: r for r in pii.pseudonymised(docs_of(rows)).collect()}
+    for i, text in rows:
+        assert got[i].n_entities >= 1 and len(got[i].text) == len(text)
+        assert not [k for k in range(0, n - 20, 10) if body[k : k + 20] in got[i].text]
+    assert got[1].text.startswith("my token=") and got[1].text.endswith(" end")
+
+
 def test_odd_texts_keep_their_form(odd):
     got = pii.pseudonymised(odd)
     assert got.count() == len(ODD) and sorted(map(repr, (r.text for r in got.collect()))) == sorted(repr(t) for _, t in ODD)

@@ -1,9 +1,17 @@
 """Mixing sources to target weights by whole repetitions and a seeded coin.
 
 Sizes are summed per source, each source gets a target, and rate = target /
-size of the source. A document is emitted floor(rate) times, and once more
-with probability rate - floor(rate), by a coin from the hash of its id and of
-the seed that its source has been given.
+size of the source. A document is emitted floor(rate) times, and once more if
+its coin falls below the fraction rate - floor(rate). A coin is uniform in
+[0, 1) from a hash of the seed, so over seeds every document gets its extra
+copy with probability equal to the fraction; nothing is chosen by its outcome.
+
+The coins of a source's long documents, those of over 1 / LONG_SHARE of its
+size (so fewer than LONG_SHARE of them), share one hash and are spread evenly
+in order of size: among neighbours in size the fraction of them gets a copy.
+All other documents have a coin of their own. So a few very long documents
+can't carry a source far from its target, and the others deviate by
+1 / (2 * sqrt(LONG_SHARE)) of the source's size at most (standard deviation).
 """
 
 from __future__ import annotations
@@ -17,10 +25,10 @@ from .common import WORD, cut
 
 #: Weights of the sources in order of code point, null last; they repeat.
 WEIGHTS = (1, 2, 3)
-#: Draws of which a source uses the best.
-SEEDS = 32
-#: Up to so many sources the table of targets is sent to every task; beyond, it is joined by shuffle.
-BROADCAST_SOURCES = 20_000
+#: A document is long if it has over 1 / LONG_SHARE of its source's words.
+LONG_SHARE = 10_000
+#: Up to so many rows a table of sources or of long documents is sent to every task; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 250_000
 #: No source is repeated more often than this.
 MOST = 3
 
@@ -38,16 +46,20 @@ def coin(key: Column, seed: str) -> Column:
 def ranked(sources: DataFrame) -> DataFrame:
     """sources (source, ...) with rank_, their place by code point, null last, from 0.
 
-    Ranks are counted by groups of the first characters, so that no task has
-    to hold all sources: a rank is the number of sources in earlier groups
-    plus the place in the own group.
+    Sources are cut into ranges by Spark; a rank is the number of sources in
+    earlier ranges, of which there are as many as shuffle partitions, plus the
+    place in the own one.
     """
-    keyed = sources.withColumns({"null_": F.col("source").isNull(), "head_": F.coalesce(F.substring("source", 1, 4), F.lit(""))})
-    heads = keyed.groupBy("null_", "head_").agg(F.count(F.lit(1)).alias("n_"))
-    before = heads.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("null_", "head_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("null_", "head_").orderBy("source")) - 1
-    joined = keyed.join(before.drop("n_"), ["null_", "head_"])
-    return joined.withColumn("rank_", F.col("before_") + place).drop("null_", "head_", "before_")
+    order = [F.col("source").isNull(), F.col("source")]
+    cut_up = cut(sources.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
+    before, offsets = 0, {}
+    for r in sorted(cut_up.groupBy("range_").count().collect()):
+        offsets[r.range_], before = before, before + r["count"]
+    if not offsets:
+        return cut_up.select("*", F.lit(0).alias("rank_")).drop("range_")
+    starts = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
+    place = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
+    return cut_up.withColumn("rank_", F.element_at(starts, F.col("range_")) + place).drop("range_")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -70,44 +82,45 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return table.select("source", "source_size", F.least(F.col("weight") * F.lit(level), (F.col("source_size") * most).cast("double")).alias("target"))
 
 
-def draw(key: Column, seed: str, k: Column) -> Column:
-    """Uniform in [0, 1) with 32 bits: the k-th draw of a key, from the MD5 of seed, k and key."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.floor(k / 4).cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, (8 * (k % 4) + 1).cast("int"), F.lit(8)), 16, 10).cast("long") / F.lit(float(1 << 32))
+def _rate() -> Column:
+    return F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
 
 
-def rates(slim: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, most: float = MOST, seeds: int = SEEDS) -> DataFrame:
-    """(source, source_size, target, k) of slim (id, source, size): what a source shall give, and the draws that its coins use.
+def rates(slim: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """(source, source_size, target, rate) of slim (id, source, size). Sums are combined before the shuffle."""
+    sizes = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    return _sent(cut(sizes.withColumn("rate", _rate())))
 
-    A coin is a document's k-th draw. Of the first `seeds` draws a source uses
-    those that bring its words nearest to its target (the first of equals):
-    the coins stay independent and fair, and a few very long documents don't
-    carry a source away. All sums are combined before the shuffle.
-    """
-    sizes = _sent(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    with_rate = _joined(slim, sizes).withColumn("rate", _rate())
-    part = F.col("rate") - F.floor("rate")
-    sums = with_rate.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first(F.floor("rate")).alias("whole"), F.array(*[F.sum(F.when(draw(F.col("id"), seed, F.lit(k)) < part, F.col("size")).otherwise(0)) for k in range(seeds)]).alias("sums"))
-    away = F.transform("sums", lambda x: F.abs(F.col("whole") * F.col("source_size") + x - F.col("target")))
-    k = F.array_position(away, F.array_min(away)).cast("int") - 1
-    return _sent(cut(sums.select("source", "source_size", "target", k.alias("k"))))
 
+def spread(slim: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
+    """(source, id, spread): the coins of long documents. One hash per source, moved on by the rate from each to the next in order of size.
 
-def _sent(sources: DataFrame) -> DataFrame:
-    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+    Of n in a row floor or ceil of n times the fraction fall below the
+    fraction. Rows that repeat an id within a source share its coin.
+    """
+    long = _joined(slim, sources).where(F.col("size") * LONG_SHARE > F.col("source_size")).groupBy("source", "id", "rate").agg(F.max("size").alias("size"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), F.asc_nulls_last("id"))) - 1
+    at = coin(F.col("source"), f"{seed} source") - place * F.col("rate")
+    return _sent(cut(long.select("source", "id", (at - F.floor(at)).alias("spread"))))
 
 
-def _joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    return rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *(f"s.{c}" for c in sources.columns if c != "source"))
+def _sent(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _rate() -> Column:
-    return F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+def _joined(rows: DataFrame, table: DataFrame, *more: str) -> DataFrame:
+    """rows with the columns of their source's row in table, or of that which agrees in the columns `more` too; without one, nulls."""
+    keys = ("source", *more)
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    return rows.alias("d").join(table.alias("s"), on, "left").select("d.*", *(f"s.{c}" for c in table.columns if c not in keys))
 
 
-def _times(seed: str) -> Column:
-    rate = _rate()
-    return (F.floor(rate) + F.when(draw(F.col("id"), seed, F.col("k")) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+def _times(rows: DataFrame, slim: DataFrame, seed: str, weights: Sequence[float], most: float, name: str = "times") -> DataFrame:
+    """rows (id, source, ...) with source_size, target and how often each is taken."""
+    sources = rates(slim, weights, most)
+    tossed = _joined(_joined(rows, sources), spread(slim, sources, seed), "id")
+    u = F.coalesce("spread", coin(F.col("id"), seed))
+    return tossed.withColumn(name, (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")).drop("rate", "spread")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -115,21 +128,22 @@ def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 
 def copies(docs: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row (id, source, size, source_size, target, k, times) per row of docs.
+    """One row (id, source, size, source_size, target, times) per row of docs.
 
-    Null texts have size 0, null sources are one source, sources without
-    words have rate 0 and are never emitted; rows that repeat an id share a
-    coin; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts have size 0, null sources are one source, sources
+    without words have rate 0 and are never emitted; rows that repeat an id
+    within a source share a coin; very long texts are counted whole; an empty
+    table gives an empty result; other columns are ignored.
     """
     slim = sized(docs, id_col, source_col, text_col)
-    return _joined(slim, rates(slim, seed, weights, most)).withColumn("times", _times(seed))
+    return _times(slim, slim, seed, weights, most)
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """docs (doc_id, source, text and more) with every row as often as the mix takes it; the columns are those of docs.
+    """docs (doc_id, source, text and more) with every row as often as copies() takes it; the columns are those of docs, whatever their names.
 
     The last pass reads ids and sources for the coins; texts only pass by.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").alias("id"), F.col("source").alias("source"))
-    out = _joined(rows, rates(sized(docs), seed, weights, most)).select("row_", _times(seed).alias("times_")).where("times_ > 0")
-    return out.select("row_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_"))).alias("copy_")).select("row_.*")
+    out = _times(rows, sized(docs), seed, weights, most).where("times > 0")
+    return out.select("row_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy_")).select("row_.*")

@@ -91,10 +91,12 @@ c as (select *, (size_all - most_to) < (weight_all - weight_to) * (source_size *
 l as (select cast(max(size_all) - coalesce(sum(source_size * 3) filter (where not is_open), 0) as double) / cast(sum(weight) filter (where is_open) as double) as level from c),
 t as (select w.source, w.source_size, least(w.weight * l.level, cast(w.source_size * 3 as double)) as target from w, l),
 r as (select d.doc_id, d.size, d.source, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) as rate from d join t on d.source is not distinct from t.source),
-u as (select r.*, k, cast('0x' || substr(md5('mix:' || (k // 4) || ':' || coalesce(cast(doc_id as varchar), 'null')), 8 * (k % 4) + 1, 8) as bigint) / 4294967296.0::double as u from r, (select unnest(range(0, 32)) as k)),
-m as (select source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(case when u < rate - floor(rate) then size else 0 end) - any_value(target)) as away from u group by source, k),
-b as (select source, min(k) as k from (select source, k, away, min(away) over (partition by source) as least from m) where away = least group by source)
-select u.doc_id, u.size, u.source_size, u.target, cast(u.size * (floor(u.rate) + case when u.u < u.rate - floor(u.rate) then 1 else 0 end) as bigint) as taken from u join b on u.source is not distinct from b.source and u.k = b.k
+v as (select distinct on (source, doc_id) source, doc_id, size, rate from r where size * 10000 > source_size order by source, doc_id, size desc),
+p as (select source, doc_id, cast('0x' || substr(md5('mix source:' || coalesce(source, 'null')), 1, 13) as bigint) / 4503599627370496.0::double
+  - (row_number() over (partition by source order by size desc, doc_id nulls last) - 1) * rate as at from v),
+u as (select r.*, coalesce(p.at - floor(p.at), cast('0x' || substr(md5('mix:' || coalesce(cast(r.doc_id as varchar), 'null')), 1, 13) as bigint) / 4503599627370496.0::double) as u
+  from r left join p on r.source is not distinct from p.source and r.doc_id is not distinct from p.doc_id)
+select doc_id, size, source_size, target, cast(size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end) as bigint) as taken from u
 """
 
 OP4 = """

@@ -16,9 +16,8 @@ from .conftest import ODD
 
 @pytest.fixture(scope="module")
 def hf():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    """The library as the file makes it, with its defaults."""
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_are_those_of_the_tokenizers_library(spark, hf):
@@ -26,36 +25,30 @@ def test_ids_are_those_of_the_tokenizers_library(spark, hf):
     enc = packing.encoder()
     odd = ["", " ", "\n\n  x", "don't I'LL we've", "日本語 ﬁ ½ ²", "a" * 3000, "<|endoftext|> x", "  x", "1234567 89", "é​", "\x00\x01"]
     for text in [*(r.text for r in docs), *odd]:
-        assert enc.encode_ordinary(text) == hf.encode(text, add_special_tokens=False).ids
-
-
-@pytest.fixture(scope="module")
-def whole():
-    """The library as the file makes it."""
-    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        assert packing.encode(enc, text) == hf.encode(text, add_special_tokens=False).ids
 
 
-def test_added_tokens_have_their_ids(spark, docs_of, whole):
+def test_added_tokens_have_their_ids(spark, docs_of, hf):
     docs = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "x  <|endoftext|>  "), (4, "<|endoftext| > <|endoftext|"), (5, " " * 20_000 + "<|endoftext|>" + "\n" * 20_000 + "z")]
     rows = queries.packing.pieces(docs_of(docs), capacity=1 << 20).collect()
     got = {r.doc_id: np.frombuffer(bytes(r.ids), dtype="<u4").tolist() for r in rows}
-    assert got == {i: [*whole.encode(t, add_special_tokens=False).ids, 0] for i, t in docs}
+    assert got == {i: [*hf.encode(t, add_special_tokens=False).ids, 0] for i, t in docs}
     assert 50256 in got[1]
 
 
 @pytest.mark.parametrize("space", [" ", "\n", "\t ", "\u2003", "\x1c", "\xa0 \r\n"])
 @pytest.mark.parametrize("form", ["{}", "{}b", "a{}", "a {} b", "it's{}'s", "!{}9{}.", "{}<|endoftext|>{}x"])
-def test_long_white_space(whole, space, form):
+def test_long_white_space(hf, space, form):
     enc = packing.encoder()
     for n in (1, 2, 3, packing.LONG_SPACE - 1, packing.LONG_SPACE, packing.LONG_SPACE + 1):
         text = form.format(*[space * n] * 2)
-        assert packing.encode(enc, text) == whole.encode(text, add_special_tokens=False).ids
+        assert packing.encode(enc, text) == hf.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("space", [" ", "\n"])
-def test_a_million_spaces(whole, space):
+def test_a_million_spaces(hf, space):
     text = f"a{space * 1_000_000}b"
-    assert packing.encode(packing.encoder(), text) == whole.encode(text, add_special_tokens=False).ids
+    assert packing.encode(packing.encoder(), text) == hf.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(rows, docs, hf):
@@ -134,6 +127,13 @@ def brute_targets(sizes, weights=(1, 2, 3)):
         capped |= above
 
 
+def test_ranks_by_code_point(spark):
+    names = [f"http://{i % 7}.{i}" for i in range(300)] + ["", "é", "Z", "z", "\U0001f389", "\uffee", None]
+    got = mixing.ranked(spark.createDataFrame([(s,) for s in names], "source string").repartition(5)).collect()
+    want = sorted((s for s in names if s is not None), key=lambda s: s.encode()) + [None]
+    assert {r.source: r.rank_ for r in got} == {s: i for i, s in enumerate(want)}
+
+
 def test_targets_by_rounds(docs_of):
     rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 5), ("b", 1), ("B", 400), (None, 2), ("é", 30), ("z", 0), ("aaaab", 3), ("aaaac", 50)])]
     got = mixing.copies(docs_of(rows)).collect()
@@ -158,13 +158,39 @@ def test_sources_come_near_their_targets(docs_of):
     assert sorted((r.id, r.times) for r in got) == sorted((r.id, r.times) for r in again)
 
 
-def test_long_documents_do_not_carry_a_source_away(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    took, target = defaultdict(int), {}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_long_documents_do_not_carry_a_source_away(spark, sf):
+    """The words of a source differ from its target by those of its longest document at most, or by the coins of the short ones."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    took, target, longest = defaultdict(int), {}, defaultdict(int)
     for r in mixing.copies(docs).collect():
         took[r.source] += r.size * r.times
         target[r.source] = r.target
-    assert all(abs(took[s] / target[s] - 1) < 0.05 for s in target)
+        longest[r.source] = max(longest[r.source], r.size)
+    assert all(abs(took[s] - target[s]) <= longest[s] for s in target)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_every_document_gets_its_copy_with_the_fraction(docs_of, n):
+    """Over many sources of few documents, each place in a source has its extra copy as often as the fraction says; sources are what seeds are here."""
+    many = 1500
+    docs = docs_of([(s * n + k, "w " * (10 * (k + 1)), f"{s % 3} {s:05}") for s in range(many) for k in range(n)])
+    got = mixing.copies(docs.orderBy("source"), weights=(0.3,) * (many // 3) + (1.0,) * (many // 3) + (1.7,) * (many // 3)).collect()
+    for k in range(n):
+        for group, rate in enumerate((0.3, 1.0, 1.7)):
+            times = [r.times for r in got if r.id % n == k and r.source.startswith(str(group))]
+            assert len(times) == many // 3 and set(times) <= {int(rate + 1e-9), int(rate + 1e-9) + 1}
+            assert abs(sum(times) / len(times) - rate) < 4.5 * math.sqrt(0.21 / len(times)) * (group != 1) + 1e-9
+
+
+def test_coins_of_short_documents_are_their_own(docs_of):
+    """24,000 documents of one length: none is long, every coin is the hash of its id."""
+    import hashlib
+
+    got = mixing.copies(docs_of([(i, "w", "ab"[i % 2]) for i in range(24_000)])).collect()
+    for r in got:
+        rate = r.target / r.source_size
+        assert r.times == int(rate) + (int(hashlib.md5(f"mix:{r.id}".encode()).hexdigest()[:13], 16) / 2**52 < rate - int(rate))
 
 
 def test_mixed_rows_repeat_as_counted(odd):

@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all run in one process; on a cluster that is an error."""
+    import re
     import tempfile
     import uuid
 
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="kestrine-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

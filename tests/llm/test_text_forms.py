@@ -68,11 +68,81 @@ def test_surrogates(docs_of):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}\.", t[1])
     names = re.findall(r"Mr\. (\w+ \w+)", t[4])
     assert len(set(names)) == 1 and names[0].split()[0] in pii.FIRST["Latin"]["m"]
+    assert all(luhn_ok(c.replace("-", "")) for c in cards)
     assert re.search(r"Mrs\. (\w+)", t[4])[1] in pii.FIRST["Latin"]["f"]
     assert re.search(r"Господин [Ѐ-ӿ]+", t[4])
     assert t[5] == MIXED[4][1] and got[5].n_entities == 0
 
 
+def luhn_ok(digits):
+    d = [int(c) for c in digits][::-1]
+    return sum(d[::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10 == 0
+
+
+def test_check_digits(spark):
+    for n in ("4952935900253052", "79927398713", "4111111111111111", "4111111111111112", "0"):
+        got = spark.range(1).select((pii.luhn(F.lit(n)) % 10 == 0).alias("ok"), pii.mod97(F.lit(n)).alias("r")).first()
+        assert got.ok == luhn_ok(n) and got.r == int(n) % 97
+    code = "WEST12345698765432GB82"
+    assert spark.range(1).select(pii.mod97(F.lit(code))).first()[0] == int("".join(str(int(c, 36)) for c in code)) % 97 == 1
+
+
+def test_numbers_that_are_no_cards_stay(docs_of):
+    """Sixteen digits with a wrong check digit are no card; after a keyword they are a secret all the same."""
+    rows = [(1, "order 4952935900253053 of 2123465659789240 rows"), (2, "card 4952935900253052 here"), (3, "password=4952935900253053 end"), (4, "pay to GB82 WEST 1234 5698 7654 32 now")]
+    got = {r.doc_id: r for r in pii.pseudonymised(docs_of(rows)).collect()}
+    assert got[1].text == rows[0][1] and got[1].n_entities == 0
+    card = re.search(r"\d{16}", got[2].text)[0]
+    assert card != "4952935900253052" and card[0] == "4" and luhn_ok(card)
+    assert re.fullmatch(r"password=\d{16} end", got[3].text) and "4952935900253053" not in got[3].text
+    iban = re.search(r"GB\d\d( [A-Z0-9]{2,4})+", got[4].text)[0].replace(" ", "")
+    assert iban != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_one_name_for_a_person(docs_of):
+    """Honorifics and short forms don't matter; a first name has the gender that the corpus tells."""
+    rows = [(1, "Dr. John Smith, Mr. John Smith and Mr. Smith met Mrs. Jane Smith."), (2, "My name is John Smith and I know Dr. SMITH not. Prof. Smith."), (3, "Dr. Kim Lee"), (4, "Signed: John Doe")]
+    t = {r.doc_id: r.text for r in pii.pseudonymised(docs_of(rows)).collect()}
+    first, last = re.search(r"Dr\. (\S+) (\w+),", t[1]).groups()
+    assert f"Mr. {first} {last} and Mr. {last} met" in t[1] and first.split("-")[0] in pii.FIRST["Latin"]["m"]
+    jane = re.search(rf"Mrs\. (\S+) {last}\.", t[1])[1]
+    assert jane.split("-")[0] in pii.FIRST["Latin"]["f"]
+    assert f"name is {first} {last} and" in t[2] and f"Dr. {last.upper()} not. Prof. {last}." in t[2]
+    assert re.search(r"Dr\. (\w+)", t[3])[1] in pii.FIRST["Latin"]["n"]
+    assert t[4].startswith(f"Signed: {first} ") and "Doe" not in t[4]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = spark.createDataFrame([(1, "mail a.b@c.com", "p", 2, "q", "r")], "doc_id long, text string, xs_ string, known_ int, text_key string, row_ string")
+    got = pii.pseudonymised(rows)
+    assert got.columns == [*rows.columns, "n_entities"]
+    r = got.first()
+    assert (r.xs_, r.known_, r.text_key, r.row_, r.n_entities) == ("p", 2, "q", "r", 1) and "a.b@c.com" not in r.text
+
+
+def test_against_a_count_of_entities(docs_of):
+    """Over many entities of each kind: equal ones have equal surrogates, different ones different, none is real, and the kind's form stays."""
+    rnd = random.Random(11)
+
+    def card():
+        body = f"4{rnd.randrange(10**14):014}"
+        return body + next(str(d) for d in range(10) if luhn_ok(f"{body}{d}"))
+
+    kinds = {
+        "card": ([card() for _ in range(60)], r"\d{16}"), "ip": ([f"{rnd.randrange(1, 224)}.{rnd.randrange(256)}.{rnd.randrange(256)}.7" for _ in range(60)], r"(?:\d{1,3}\.){3}\d{1,3}"), "ssn": ([f"{i:03}-45-{rnd.randrange(10**4):04}" for i in range(100, 160)], r"\d{3}-\d\d-\d{4}"),
+        "email": ([f"u{i}.x@host{i % 4}.com" for i in range(60)], r"\S+@\w+\.example\.org"), "phone": ([f"+1 ({i}) 555-{rnd.randrange(10**4):04}" for i in range(200, 260)], r"\+1 \(\d{3}\) \d{3}-\d{4}"), "name": ([f"Mr. {a}a {b}son" for a in "BCDFGHJK" for b in ("Ander", "Peter", "Jon", "Han")], r"Mr\. \S+ \w+"),
+    }
+    order = [(k, e) for k, (es, _) in kinds.items() for e in es] * 2
+    rnd.shuffle(order)
+    got = {r.doc_id: r.text for r in pii.pseudonymised(docs_of([(i, f"< {e} >") for i, (_, e) in enumerate(order)])).collect()}
+    to = {}
+    for i, (k, e) in enumerate(order):
+        s = got[i][2:-2]
+        assert re.fullmatch(kinds[k][1], s), (k, e, s)
+        assert to.setdefault((k, e), s) == s
+    assert len(set(to.values())) == len(to) and not set(to.values()) & {e for _, e in order}
+
+
 def test_distinct_entities_stay_distinct(spark, docs_of, monkeypatch):
     """Surrogates that collide are drawn again until none do; here addresses have few to choose from."""
     small = lambda h, i, n: F.pmod(pii._draw(h, i), F.lit(min(n, 6))).cast("int")

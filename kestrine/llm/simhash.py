@@ -131,54 +131,67 @@ def forest(fps, sides, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def tiles(keyed: DataFrame, keys: list[str], member: str, radius: int, tile: int) -> DataFrame:
+    """keyed (keys, n: rows of the keys, ones, member, more) as rows of tiles (keys, x, y, side, more), sorted by tile.
+
+    Up to `tile` rows of a key are one tile. Above, they are cut by population
+    count and a hash of the member, each cut is a tile with itself and with
+    each other whose population counts lie within the radius; side tells the
+    two apart.
+    """
+    rest = [c for c in keyed.columns if c not in (*keys, "n")]
+    plain = keyed.where(F.col("n") <= tile).select(*keys, F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), *rest)
+    full = keyed.where(F.col("n") > tile)
+    cuts = full.groupBy(*keys, "ones").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
+    parts = cuts.select(*keys, "ones", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    parts = parts.withColumn("no", F.col("ones") * (1 << 20) + F.col("salt"))
+    other = parts.select(*keys, F.col("ones").alias("ones2"), F.col("no").alias("no2"))
+    pairs = parts.join(other, keys).where((F.col("no") <= F.col("no2")) & (F.abs(F.col("ones") - F.col("ones2")) <= radius))
+    want = pairs.select(*keys, F.col("no").alias("x"), F.col("no2").alias("y"), F.explode(F.expr("if(no = no2, array(struct(no as no, 0 as side)), array(struct(no as no, 0 as side), struct(no2 as no, 1 as side)))")).alias("t"))
+    own = full.join(cuts, [*keys, "ones"]).withColumn("no", F.col("ones") * (1 << 20) + F.expr(f"cast(pmod(xxhash64({member}), salts) as int)"))
+    heavy = own.join(want.select(*keys, "x", "y", F.col("t.no").alias("no"), F.col("t.side").alias("side")), [*keys, "no"]).select(*keys, "x", "y", "side", *rest)
+    job = [*keys, "x", "y"]
+    return plain.unionByName(heavy).repartition(*job).sortWithinPartitions(*job, "side", "ones", member)
+
+
+def tile_arrays(batches: Iterator, job: list[str], columns: list[str]) -> Iterator[list]:
+    """For each tile of rows sorted by tile, the arrays of the columns."""
+    import numpy as np
+
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in job])
+        got = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        at = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1), b.num_rows]
+        for lo, hi in zip(at, at[1:], strict=False):
+            this = tuple(ids[:, lo])
+            if this != now:
+                if held:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                now, held = this, []
+            held.append([x[lo:hi] for x in got])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) that connect all fingerprints of nodes (fp long, distinct) that lie within the radius."""
     blocks = blocks_for(nodes.count(), radius)
     keyed = nodes.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks(blocks, radius)])).alias("tab", "key"))
     sizes = keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, ["tab", "key"])
-    plain = keyed.where(F.col("n") <= tile).select("tab", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "ones", "fp")
-
-    full = keyed.where(F.col("n") > tile)
-    cuts = full.groupBy("tab", "key", "ones").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
-    tiles = cuts.select("tab", "key", "ones", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    tiles = tiles.withColumn("no", F.col("ones") * (1 << 20) + F.col("salt"))
-    other = tiles.select("tab", "key", F.col("ones").alias("ones2"), F.col("no").alias("no2"))
-    pairs = tiles.join(other, ["tab", "key"]).where((F.col("no") <= F.col("no2")) & (F.abs(F.col("ones") - F.col("ones2")) <= radius))
-    want = pairs.select("tab", "key", F.col("no").alias("x"), F.col("no2").alias("y"), F.explode(F.expr("if(no = no2, array(struct(no as no, 0 as side)), array(struct(no as no, 0 as side), struct(no2 as no, 1 as side)))")).alias("t"))
-    own = full.join(cuts, ["tab", "key", "ones"]).withColumn("no", F.col("ones") * (1 << 20) + F.expr("cast(pmod(xxhash64(fp), salts) as int)"))
-    heavy = own.join(want.select("tab", "key", "x", "y", F.col("t.no").alias("no"), F.col("t.side").alias("side")), ["tab", "key", "no"]).select("tab", "key", "x", "y", "side", "ones", "fp")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def emit(rows):
-            got = np.array(forest(rows[1], rows[0], radius), dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.record_batch([pa.array(np.ascontiguousarray(got[:, k])) for k in (0, 1)], ["a", "b"]) if len(got) else None
+        for side, fp in tile_arrays(batches, ["tab", "key", "x", "y"], ["side", "fp"]):
+            got = np.array(forest(fp.view(np.uint64), side, radius), dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            if len(got):
+                yield pa.record_batch([pa.array(np.ascontiguousarray(got[:, k])) for k in (0, 1)], ["a", "b"])
 
-        job, held = None, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tab", "key", "x", "y")])
-            side, fp = b.column("side").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            at = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1), b.num_rows]
-            out = []
-            for lo, hi in zip(at, at[1:], strict=False):
-                now = tuple(ids[:, lo])
-                if now != job:
-                    if held:
-                        out.append(emit([np.concatenate(x) for x in zip(*held, strict=True)]))
-                    job, held = now, []
-                held.append((side[lo:hi], fp[lo:hi]))
-            yield from (x for x in out if x is not None)
-        if held and (x := emit([np.concatenate(x) for x in zip(*held, strict=True)])) is not None:
-            yield x
-
-    job = ["tab", "key", "x", "y"]
-    rows = plain.unionByName(heavy).repartition(*job).sortWithinPartitions(*job, "side", "ones", "fp")
-    return rows.mapInArrow(run, "a long, b long")
+    return tiles(keyed.join(sizes, ["tab", "key"]), ["tab", "key"], "fp", radius, tile).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact, media, mixing, packing, pii, quality, sharding, simhash, warc
-from .common import fresh_path
+from .common import fresh_path, removed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,9 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.resolved(warc.read(spark, path))
+    told = warc.resolved(warc.read(spark, path))
+    removed(spark, path)
+    return told
 
 
 def op10_media_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
-#: Largest block of a record; an archive holds at most FILE_RECORDS records, so its size is bounded.
+#: Largest block of a record; an archive holds at most FILE_RECORDS records, so its size is bounded (128 MB unzipped).
 SEGMENT = 32 << 10
-FILE_RECORDS = 1000
+FILE_RECORDS = 4000
 #: Bytes of a chunk in transfer framing.
 CHUNK = 8192
 #: Smaller payloads are never revisits.
@@ -61,31 +61,36 @@ def unframed(block: bytes) -> bytes:
         at = end + 4 + n
 
 
-def written(key: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page: a response, with continuations if it is large, or a revisit."""
+def written(key: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_key: str | None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page: a response, with continuations if it is large, or a revisit that names its response's record."""
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     common = [("WARC-Target-URI", uri), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"), ("Page-ID", page_id)]
     me = f"<urn:page:{key}>"
     if refers_to is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page-ID", refers_to)], b"")
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_key}>"), ("Refers-To-Page-ID", refers_to)], b"")
         return
     block = framed(payload)
     cuts = range(0, len(block), segment)
     for k, i in enumerate(cuts, 1):
         many = len(cuts) > 1
-        kind = ("response", me, common) if k == 1 else ("continuation", f"<urn:page:{key}:{k}>", [("WARC-Segment-Origin-ID", me), *common])
+        kind = ("response", me, [*common, ("Content-Type", "application/http; msgtype=response")]) if k == 1 else ("continuation", f"<urn:page:{key}:{k}>", [("WARC-Segment-Origin-ID", me), *common])
         yield record([("WARC-Type", kind[0]), ("WARC-Record-ID", kind[1]), *kind[2], ("WARC-Segment-Number", k if many else None), ("WARC-Segment-Total-Length", len(block) if many and k == len(cuts) else None)], block[i : i + segment])
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names lower-cased) and block of each record."""
+    """Headers (names lower-cased) and block of each record. Where none begins after another's end, lengths are wrong or the archive is cut short: ValueError."""
     at = 0
-    while (at := archive.find(b"WARC/", at)) >= 0:
+    while at < len(archive):
+        if not archive.startswith(b"WARC/", at):
+            raise ValueError(f"no record at byte {at}")
         end = archive.index(END, at)
         head = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in archive[at:end].decode("utf-8", "replace").split("\r\n")[1:]))
         n = int(head["content-length"])
-        yield head, archive[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        block = archive[end + 4 : end + 4 + n]
+        at = end + 4 + n + 4
+        if len(block) != n or archive[at - 4 : at] != END:
+            raise ValueError(f"the record before byte {at} is cut short")
+        yield head, block
 
 
 def write(pages: DataFrame, path: str, segment: int = SEGMENT, file_records: int = FILE_RECORDS) -> None:
@@ -99,18 +104,19 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, file_records: int
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("sha", F.sha2("html", 256))
     large = F.octet_length("html") >= REVISIT_FROM
-    first = rows.where(large).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    rows = rows.join(first, "sha", "left").withColumn("refers_to", F.when(large & (F.col("page_id") != F.col("first")), F.col("first")))
-    keyed = rows.withColumn("key", F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.substring("sha", 1, 16), F.monotonically_increasing_id().cast("string")))
+    rows = rows.withColumn("key", F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.substring("sha", 1, 16), F.monotonically_increasing_id().cast("string")))
+    first = rows.where(large & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min(F.struct("page_id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
+    again = large & (F.col("page_id") != F.col("first.page_id"))
+    keyed = rows.join(first, "sha", "left").withColumns({"refers_to": F.when(again, F.col("first.page_id")), "refers_key": F.when(again, F.col("first.key"))})
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            got = [r for row in zip(*(b.column(c).to_pylist() for c in ("key", "page_id", "url", "html", "refers_to")), strict=True) for r in written(*row, segment)]
+            got = [r for row in zip(*(b.column(c).to_pylist() for c in ("key", "page_id", "url", "html", "refers_to", "refers_key")), strict=True) for r in written(*row, segment)]
             yield pa.record_batch([pa.array(got, pa.binary())], ["record"])
 
-    out = keyed.select("key", "page_id", "url", "html", "refers_to").mapInArrow(run, "record binary")
+    out = keyed.select("key", "page_id", "url", "html", "refers_to", "refers_key").mapInArrow(run, "record binary")
     out.select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
@@ -183,8 +189,11 @@ def read(spark, path: str) -> DataFrame:
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """One row (page_id, payload_bytes, payload_digest, record_type, refers_to) per response or revisit; a revisit's payload is that of its response."""
-    rows = found.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "type", "refers_to", "digest")
+    """One row (page_id, payload_bytes, payload_digest, record_type, refers_to) per response or revisit; a revisit's payload is that of its response.
+
+    Archives are read once: what is told of each record is cut, and the join of revisits with responses reads that.
+    """
+    rows = cut(found.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "type", "refers_to", "digest"))
     base = rows.where("type = 'response'")
     told = rows.where("type = 'revisit'").select("page_id", "refers_to", "digest")
     target = base.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("payload_bytes"))

@@ -200,6 +200,22 @@ def test_segments_come_together_across_files(spark, tmp_path):
     assert texts == {1: rows[0][2], 3: rows[2][2]}
 
 
+def test_records_follow_each_other():
+    whole = b"".join(warc.record([("WARC-Type", "response")], b) + warc.END for b in (b"", b"WARC/1.1 inside", b"x" * 100))
+    assert [b for _, b in warc.records(whole)] == [b"", b"WARC/1.1 inside", b"x" * 100]
+    for bad in (whole[:-1], whole[:-30], whole.replace(b"Content-Length: 100", b"Content-Length: 99"), b" " + whole):
+        with pytest.raises(ValueError):
+            list(warc.records(bad))
+
+
+def test_revisits_name_their_record(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame([(i, "u", "same " * 50) for i in (3, 1, 2)], "page_id long, url string, html string").repartition(3), path)
+    lines = [x.value for x in spark.read.text(path).collect()]
+    mine = dict(zip([x.split()[-1] for x in lines if x.startswith("WARC-Record-ID")], [int(x.split()[-1]) for x in lines if x.startswith("Page-ID")], strict=True))
+    assert [mine[x.split()[-1]] for x in lines if x.startswith("WARC-Refers-To:")] == [1, 1]
+
+
 def test_missing_segment_raises(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write(spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string"), path, segment=1000)

@@ -15,10 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, quality_score, kept: documents scored below KEEP_FROM are rejected."""
-    docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    got = quality.scored(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
-    return got.select("doc_id", "quality_score", (F.col("quality_score") >= quality.KEEP_FROM).alias("kept"))
+    got = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select(F.col("id").alias("doc_id"), "quality_score", (F.col("quality_score") >= quality.KEEP_FROM).alias("kept"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,112 @@ def test_pseudo_labels_flow_both_ways(spark):
     assert all(abs(a.weights - b.weights).max() > 0.01 for a, b in zip(alone, taught, strict=True))
 
 
+def brute_cotraining(rows, labels, rounds):
+    """Scores of rows (id, text, lang, source, n_chars) by loops over documents and features, from the docstrings of the module."""
+    import math
+
+    said = {}
+    for i, q in labels:
+        said.setdefault(i, []).append(q)
+    y = [round(sum(said[r[0]]) / len(said[r[0]])) if r[0] in said else None for r in rows]
+    text = []
+    for r in rows:
+        bins, packed = quality.content((r[1] or "").encode())
+        on = "".join(f"{b:08b}" for b in packed)
+        text.append((list(enumerate(bins)), [i for i, c in enumerate(on) if c == "1"]))
+    meta = [(list(enumerate(quality.metadata(*r[2:]))), None) for r in rows]
+
+    def fit(view, target, weight):
+        counts, on, n = {}, {}, [1.0, 1.0]
+        for (fs, gs), t, w in zip(view, target, weight, strict=True):
+            if w:
+                n[t] += w
+                for f in fs:
+                    counts[t, f] = counts.get((t, f), 0.0) + w
+                for g in gs or ():
+                    on[t, g] = on.get((t, g), 0.0) + w
+        return counts, on, n
+
+    def raw(view, model, size, own=None):
+        counts, on, n = model
+        total = [n[k] - 1 + 0.5 * size for k in (0, 1)]
+        all_on = sum(on.get((k, g), 0.0) + 0.5 for k in (0, 1) for g in range(2 * quality.GRAMS))
+        out = []
+        for at, (fs, gs) in enumerate(view):
+            mine = [float(own is not None and own[at] == k) for k in (0, 1)]
+            if own is not None and own[at] is None:
+                out.append(None)
+                continue
+            c = lambda k, f: max(counts.get((k, f), 0.0) + 0.5 - mine[k], 0.5)  # noqa: E731, B023
+            score = math.log(total[1] - mine[1]) - math.log(total[0] - mine[0])
+            score += sum(math.log(c(1, f) / (total[1] - mine[1])) - math.log(c(0, f) / (total[0] - mine[0])) for f in fs)
+            if gs is not None:
+                have = set(gs)
+                o = [[on.get((k, g), 0.0) + 0.5 for g in range(2 * quality.GRAMS)] for k in (0, 1)]
+                left = [[max(v - mine[k], 0.5) if g in have else v for g, v in enumerate(o[k])] for k in (0, 1)]
+                w = [math.log(left[1][g] / (n[1] - mine[1])) - math.log(left[0][g] / (n[0] - mine[0])) for g in range(2 * quality.GRAMS)]
+                middle = sum(x * (a + b) for x, a, b in zip(w, *o, strict=True)) / all_on
+                score += quality.GRAM_WEIGHT * sum(w[g] - middle for g in gs) / (len(gs) + quality.FEW)
+            out.append(score)
+        return out
+
+    sizes = (quality.BINS, quality.META_BUCKETS)
+    known = [0 if v is None else v for v in y]
+    weights = [[float(v is not None) for v in y]] * 2
+    targets, models = [known, known], None
+    for turn in range(rounds + 1):
+        if turn:
+            new = []
+            for me in (0, 1):
+                view, size = (text, meta)[1 - me], sizes[1 - me]
+                steps = [math.floor(v / quality.FINE) for v in raw(view, models[1 - me], size)]
+                free = sorted(s for s, v in zip(steps, y, strict=True) if v is None)
+                rate = (sum(v == 1 for v in y) + 0.5) / (sum(v is not None for v in y) + 1)
+
+                def edge(order, quota):
+                    s = next(s for n, s in enumerate(order, 1) if n >= quota)  # noqa: B023
+                    return s, min(1.0, quota / sum((x <= s) if order[0] <= order[-1] else (x >= s) for x in order))
+
+                bad, bw = edge(free, quality.CONFIDENT * (1 - rate) * len(free))
+                good, gw = edge(free[::-1], quality.CONFIDENT * rate * len(free))
+                t, w = list(known), [float(v is not None) for v in y]
+                if bad < good:
+                    for i, (s, v) in enumerate(zip(steps, y, strict=True)):
+                        if v is None and (s <= bad or s >= good):
+                            t[i], w[i] = (0, quality.PSEUDO_WEIGHT * bw) if s <= bad else (1, quality.PSEUDO_WEIGHT * gw)
+                new.append((t, w))
+            targets, weights = [n[0] for n in new], [n[1] for n in new]
+        models = [fit(v, t, w) for v, t, w in zip((text, meta), targets, weights, strict=True)]
+    return [raw(v, m, s) for v, m, s in zip((text, meta), models, sizes, strict=True)], [raw(v, m, s, y) for v, m, s in zip((text, meta), models, sizes, strict=True)]
+
+
+def test_cotraining_against_brute_force(spark):
+    """Both views' scores of all documents, and the left-out scores of the labelled ones, after two rounds."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model, table = quality.cotrained(docs, labels, rounds=2)
+    rows = sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect())
+    want, left_out = brute_cotraining(rows, [tuple(r) for r in labels.select("doc_id", "quality").collect()], 2)
+    got = sorted((r.id, r.t, bytes(r.g), r.m, r.y) for r in table.collect())
+    t, m = np.array([g[1] for g in got]), np.array([g[3] for g in got])
+    bits = np.array([np.frombuffer(g[2], dtype=np.uint8) for g in got])
+    assert np.allclose(model.text.raw(t, bits), want[0], atol=1e-3) and np.allclose(model.meta.raw(m), want[1], atol=1e-6)
+    use = np.array([g[4] is not None for g in got])
+    y = np.array([g[4] for g in got if g[4] is not None])
+    assert np.allclose(model.text.without(t[use], y, bits[use]), [v for v in left_out[0] if v is not None], atol=1e-3)
+    assert np.allclose(model.meta.without(m[use], y), [v for v in left_out[1] if v is not None], atol=1e-6)
+
+
+def test_scores_are_those_of_the_texts(spark, odd):
+    """From the training's features or from texts anew: the same."""
+    labels = spark.createDataFrame([(3, 1), (6, 0)], "doc_id long, quality int")
+    a = sorted((repr(r.id), round(r.quality_score, 6)) for r in quality.scores(odd, labels).collect())
+    b = sorted((repr(r.doc_id), round(r.quality_score, 6)) for r in quality.scored(odd, quality.train(odd, labels)).collect())
+    assert a == b and len(a) == len(ODD)
+    assert quality.scores(odd.limit(0), labels).count() == 0
+
+
 def test_odd_documents_score(spark, odd):
     labels = spark.createDataFrame([(3, 1), (6, 0), (None, 1), (4, None), (3, 1)], "doc_id long, quality int")
     got = quality.scored(odd, quality.train(odd, labels)).collect()

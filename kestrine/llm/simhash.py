@@ -141,7 +141,10 @@ def tiles(keyed: DataFrame, keys: list[str], member: str, radius: int, tile: int
     """
     rest = [c for c in keyed.columns if c not in (*keys, "n")]
     plain = keyed.where(F.col("n") <= tile).select(*keys, F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), *rest)
+    job = [*keys, "x", "y"]
     full = keyed.where(F.col("n") > tile)
+    if full.isEmpty():
+        return plain.repartition(*job).sortWithinPartitions(*job, "side", "ones", member)
     cuts = full.groupBy(*keys, "ones").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
     parts = cuts.select(*keys, "ones", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     parts = parts.withColumn("no", F.col("ones") * (1 << 20) + F.col("salt"))
@@ -150,7 +153,6 @@ def tiles(keyed: DataFrame, keys: list[str], member: str, radius: int, tile: int
     want = pairs.select(*keys, F.col("no").alias("x"), F.col("no2").alias("y"), F.explode(F.expr("if(no = no2, array(struct(no as no, 0 as side)), array(struct(no as no, 0 as side), struct(no2 as no, 1 as side)))")).alias("t"))
     own = full.join(cuts, [*keys, "ones"]).withColumn("no", F.col("ones") * (1 << 20) + F.expr(f"cast(pmod(xxhash64({member}), salts) as int)"))
     heavy = own.join(want.select(*keys, "x", "y", F.col("t.no").alias("no"), F.col("t.side").alias("side")), [*keys, "no"]).select(*keys, "x", "y", "side", *rest)
-    job = [*keys, "x", "y"]
     return plain.unionByName(heavy).repartition(*job).sortWithinPartitions(*job, "side", "ones", member)
 
 
@@ -191,7 +193,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
             if len(got):
                 yield pa.record_batch([pa.array(np.ascontiguousarray(got[:, k])) for k in (0, 1)], ["a", "b"])
 
-    return tiles(keyed.join(sizes, ["tab", "key"]), ["tab", "key"], "fp", radius, tile).mapInArrow(run, "a long, b long")
+    return tiles(cut(keyed.join(sizes, ["tab", "key"])), ["tab", "key"], "fp", radius, tile).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -39,7 +39,7 @@ GRAMS = 2048
 #: A text's buckets count as so many bins together, fewer if it has not many buckets more than FEW.
 GRAM_WEIGHT, FEW = 16, 20
 #: Rows whose buckets are unpacked at once.
-STRIP = 1024
+STRIP = 128
 STEPS = 20
 KEEP_FROM = 0.4
 

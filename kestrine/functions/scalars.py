@@ -125,6 +125,16 @@ def dms(degrees, minutes, seconds, hemisphere) -> Column:
     return F.when(F.abs(s) <= most, s)
 
 
+def place(lat, lon) -> Column:
+    """struct(lat, lon), both null if either is out of range or both are 0, as cameras without a fix write."""
+    ok = col(lat).between(-90, 90) & col(lon).between(-180, 180) & ~((col(lat) == 0) & (col(lon) == 0))
+    return F.struct(F.when(ok, col(lat)).alias("lat"), F.when(ok, col(lon)).alias("lon"))
+
+
+def azimuth(degrees) -> Column:
+    return F.when((col(degrees) >= 0) & (col(degrees) < 360), col(degrees))
+
+
 def tile_x(lon, z) -> Column:
     """Column of the web-map tile, clamped to the grid."""
     n = F.pow(F.lit(2.0), col(z))

@@ -58,15 +58,16 @@ def timeline(events: DataFrame, last_year: int) -> DataFrame:
     """
     y = F.coalesce("year_num", F.lit(0))
     e = events.withColumns({"y_": y, "v_": F.when(F.col("volume") > 0, F.col("volume"))}).where(y <= last_year)
-    old = e.where(y < MONTHLY_FROM).select(F.when(y == -1, "H").when(y < FIRST_YEAR, "M").otherwise(y.cast("string")).alias("bin"), F.lit(1.0).alias("w"), "v_")
-    new = e.where(y >= MONTHLY_FROM)
     month = lambda d: F.date_format(d, "yyyy-MM")
-    point = new.where("day is not null").select(month("day").alias("bin"), F.lit(1.0).alias("w"), "v_")
-    spans = new.where("day is null and d0 is not null and d1 is not null and d1 >= d0").select("d0", "d1", "v_", F.explode(F.sequence(F.trunc("d0", "MM"), F.trunc("d1", "MM"), F.expr("interval 1 month"))).alias("m_"))
-    days = F.datediff(F.least("d1", F.last_day("m_")), F.greatest("d0", "m_")) + 1
-    spread = spans.where(F.year("m_").between(MONTHLY_FROM, last_year)).select(month("m_").alias("bin"), (days / (F.datediff("d1", "d0") + 1)).cast("double").alias("w"), "v_")
-    alone = new.where("day is null and (d0 is null or d1 is null)").select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.format_string("%04d-%02d", F.col("y_"), m))).alias("bin"), F.lit(1 / 12).alias("w"), "v_")
-    got = old.unionByName(point).unionByName(spread).unionByName(alone)
+    entry = lambda b, w: F.struct(b.alias("bin"), w.cast("double").alias("w"))
+    era = F.when(y == -1, "H").when(y < FIRST_YEAR, "M").otherwise(y.cast("string"))
+    months = F.filter(F.sequence(F.trunc("d0", "MM"), F.trunc("d1", "MM"), F.expr("interval 1 month")), lambda m: F.year(m).between(MONTHLY_FROM, last_year))
+    days = lambda m: F.datediff(F.least("d1", F.last_day(m)), F.greatest("d0", m)) + 1
+    spread = F.transform(months, lambda m: entry(month(m), days(m) / (F.datediff("d1", "d0") + 1)))
+    alone = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: entry(F.format_string("%04d-%02d", F.col("y_"), m), F.lit(1 / 12)))
+    # one pass: the bins of an event and its weight in each
+    entries = F.when(y < MONTHLY_FROM, F.array(entry(era, F.lit(1.0)))).when(F.col("day").isNotNull(), F.array(entry(month("day"), F.lit(1.0)))).when(F.col("d1") >= F.col("d0"), spread).when(F.col("d0").isNull() | F.col("d1").isNull(), alone)
+    got = e.select("v_", F.inline(entries))
     sums = got.groupBy("bin").agg(F.sum("w").alias("rate"), F.sum(F.col("w") * F.col("v_")).alias("volume_rate"), F.max(F.col("w") * F.col("v_")).alias("largest"))
     dim = events.sparkSession.range(1).select(F.explode(F.concat(F.array(F.lit("H"), F.lit("M")), F.transform(F.sequence(F.lit(FIRST_YEAR), F.lit(MONTHLY_FROM - 1)), lambda q: q.cast("string")), F.transform(F.sequence(F.lit(0), F.lit((last_year - MONTHLY_FROM + 1) * 12 - 1)), lambda m: F.format_string("%04d-%02d", (F.lit(MONTHLY_FROM) + F.floor(m / 12)).cast("int"), (m % 12 + 1).cast("int"))))).alias("bin"))
     per = F.when(F.col("bin") == "H", HOLOCENE_YEARS * 12).when(F.col("bin") == "M", MODERN_YEARS * 12).when(F.length("bin") == 4, 12).otherwise(1)

@@ -78,7 +78,8 @@ def first_values(rows: DataFrame, key: str, order: Sequence[str], columns: Seque
     rank = F.struct(*order)
     some = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull()
     aggs = [F.min_by(F.when(some(c), F.col(c)), F.when(some(c), rank)).alias(c) for c in columns]
-    conflict = F.array(*[F.when(F.size(F.collect_set(F.when(some(c), F.col(c).cast("string")))) > 1, F.lit(c)) for c in columns])
+    text = lambda c: F.when(some(c), F.col(c).cast("string"))
+    conflict = F.array(*[F.when(F.min(text(c)) != F.max(text(c)), F.lit(c)) for c in columns])
     return rows.groupBy(key).agg(*aggs, F.filter(conflict, lambda x: x.isNotNull()).alias("conflicts"))
 
 

@@ -1,86 +1,22 @@
-"""Particles carried by a gridded field."""
+"""Particles on a grid: how many a cell has, and snapshots of their states."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest move of a sub-step in cells, most sub-steps, and when a trail gets a vertex.
-MOVE, SUBSTEPS = 0.5, 12
-TURN, GAP = 0.35, 1.0
-#: Cells of a tile's field that a task holds at most.
-FIELD_CELLS = 4_000_000
 
+def managed(particles: DataFrame, cells: DataFrame, keys: Sequence[str], least: int, most: int, slack: int = 1, seed: int = 7) -> DataFrame:
+    """Particles (keys, id, age) brought to between least and most per cell: the newest surplus retires, and ids are spawned at hashed places.
 
-def sample(field, x, y):
-    """Bilinear value of field[i, j, :] at (x, y), nan outside or where corners miss."""
-    import numpy as np
-
-    i, j = (np.floor(np.nan_to_num(q, nan=-1.0)).astype(int) for q in (y, x))
-    ok = (i >= 0) & (j >= 0) & (i < field.shape[0] - 1) & (j < field.shape[1] - 1)
-    i, j = np.where(ok, i, 0), np.where(ok, j, 0)
-    fx, fy = (x - j)[:, None], (y - i)[:, None]
-    v = field[i, j] * (1 - fx) * (1 - fy) + field[i, j + 1] * fx * (1 - fy) + field[i + 1, j] * (1 - fx) * fy + field[i + 1, j + 1] * fx * fy
-    return np.where(ok[:, None], v, np.nan)
-
-
-def advect(field, x, y, dt: float):
-    """One step by the midpoint rule, in as many sub-steps as the speed asks for."""
-    import numpy as np
-
-    v = sample(field, x, y)
-    speed = np.nanmax(np.hypot(v[:, 0], v[:, 1]), initial=0.0)
-    n = int(min(SUBSTEPS, max(1, np.ceil(speed * abs(dt) / MOVE))))
-    h = dt / n
-    for _ in range(n):
-        v = sample(field, x, y)
-        mid = sample(field, x + v[:, 0] * h / 2, y + v[:, 1] * h / 2)
-        x, y = x + mid[:, 0] * h, y + mid[:, 1] * h
-    return x, y
-
-
-def trails(particles: DataFrame, field: DataFrame, steps: int, dt: float, tile: str = "tile") -> DataFrame:
-    """(tile, id, trail array<struct<t, x, y>>): paths of particles (tile, id, x, y) in the field (tile, i, j, vx, vy).
-
-    A tile's field and particles meet in one task by cogroup; the field of a
-    tile is of fixed size. Particles end where the field does. A vertex is
-    kept when the path has turned or gone far enough, and at both ends.
+    A cell retires only once it has over most + slack, so that one at the
+    bound doesn't lose and gain in turn.
     """
-    def run(p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        if p.empty or f.empty:
-            return pd.DataFrame({tile: [], "id": [], "trail": []})
-        i, j = f["i"].to_numpy(dtype=int), f["j"].to_numpy(dtype=int)
-        if (i.max() + 1) * (j.max() + 1) > FIELD_CELLS:
-            raise ValueError("a tile's field is larger than FIELD_CELLS; cut it into tiles")
-        grid = np.full((i.max() + 1, j.max() + 1, 2), np.nan)
-        grid[i, j, 0], grid[i, j, 1] = f["vx"], f["vy"]
-        x, y = p["x"].to_numpy(dtype=float), p["y"].to_numpy(dtype=float)
-        path = [[(0.0, a, b)] for a, b in zip(x, y, strict=True)]
-        last, heading = np.stack([x, y], axis=1), np.full(len(x), np.nan)
-        for s in range(1, steps + 1):
-            nx, ny = advect(grid, x, y, dt)
-            go = np.arctan2(ny - y, nx - x)
-            for k in np.flatnonzero(~np.isnan(nx)):
-                turned = abs((go[k] - heading[k] + np.pi) % (2 * np.pi) - np.pi) > TURN if not np.isnan(heading[k]) else False
-                if turned or np.hypot(nx[k] - last[k, 0], ny[k] - last[k, 1]) >= GAP or s == steps:
-                    path[k].append((s * dt, nx[k], ny[k]))
-                    last[k], heading[k] = (nx[k], ny[k]), go[k]
-            x, y = nx, ny
-        return pd.DataFrame({tile: p[tile], "id": p["id"], "trail": [[{"t": t, "x": a, "y": b} for t, a, b in q] for q in path]})
-
-    types = dict(particles.dtypes)
-    return particles.groupBy(tile).cogroup(field.groupBy(tile)).applyInPandas(run, f"{tile} {types[tile]}, id {types['id']}, trail array<struct<t: double, x: double, y: double>>")
-
-
-def managed(particles: DataFrame, cells: DataFrame, keys: Sequence[str], least: int, most: int, seed: int = 7) -> DataFrame:
-    """Particles (keys, id, age) brought to between least and most per cell: the newest surplus retires, and ids are spawned at hashed places."""
     w = Window.partitionBy(*keys).orderBy(F.desc("age"), "id")
-    kept = particles.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= most).drop("rn_")
+    numbered = particles.withColumns({"rn_": F.row_number().over(w), "all_": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    kept = numbered.where((F.col("all_") <= most + slack) | (F.col("rn_") <= most)).drop("rn_", "all_")
     n = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
     short = cells.join(n, list(keys), "left").withColumn("miss_", least - F.coalesce("n_", F.lit(0))).where("miss_ > 0").withColumn("k_", F.explode(F.sequence(F.lit(1), F.col("miss_").cast("int"))))
     unit = lambda salt: F.pmod(F.xxhash64(*keys, "k_", F.lit(seed), F.lit(salt)), F.lit(1 << 20)) / F.lit(float(1 << 20))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,91 +16,53 @@ def block_mean(df: DataFrame, value: str, tile: str = "tile", size: int = 2) ->
     return rows.groupBy(tile, "bi", "bj").agg(F.avg("m_").alias("mean"))
 
 
-def by_chunks(df: DataFrame, radius: int, kernel, name: str, tile: str = "tile", value: str = "v", chunk: int = 128) -> DataFrame:
-    """(tile, i, j, value, name): kernel(dense array with a margin of radius, nan for no data) for every cell of df.
+def block_max(df: DataFrame, value: str, tile: str = "tile", size: int = 2) -> DataFrame:
+    """(tile, bi, bj, most): largest value of a block; null where no cell has one."""
+    return df.groupBy(tile, F.floor(F.col("i") / size).alias("bi"), F.floor(F.col("j") / size).alias("bj")).agg(F.max(value).alias("most"))
 
-    Cells are grouped in squares of `chunk` cells a side, each with its margin,
-    so a cell is copied to at most four squares and a square has a fixed size.
-    """
-    def span(c: str) -> Column:
-        return F.sequence(F.floor((F.col(c) - radius) / chunk).cast("int"), F.floor((F.col(c) + radius) / chunk).cast("int"))
-
-    sent = df.select(tile, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col(value).cast("double").alias(value)).withColumn("ci", F.explode(span("i"))).withColumn("cj", F.explode(span("j")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
-        i0, j0 = int(pdf["ci"].iloc[0]) * chunk - radius, int(pdf["cj"].iloc[0]) * chunk - radius
-        i, j = pdf["i"].to_numpy() - i0, pdf["j"].to_numpy() - j0
-        grid = np.full((chunk + 2 * radius, chunk + 2 * radius), np.nan)
-        grid[i, j] = pdf[value].to_numpy(dtype=float)
-        out = kernel(grid)
-        core = (i >= radius) & (i < chunk + radius) & (j >= radius) & (j < chunk + radius)
-        got = pdf.loc[core, [tile, "i", "j", value]]
-        return got.assign(**{name: out[i[core] - radius, j[core] - radius]})
+def around(df: DataFrame, radius: int, tile: str = "tile", value: str = "v") -> DataFrame:
+    """(tile, i, j, d2, v_): each cell that has a value, sent to all cells of the square of `radius` around it; d2 is their squared distance."""
+    step = F.sequence(F.lit(-radius), F.lit(radius))
+    sent = df.where(F.col(value).isNotNull()).select(tile, "i", "j", F.col(value).cast("double").alias("v_"), F.explode(step).alias("di"))
+    sent = sent.withColumn("dj", F.explode(step))
+    return sent.select(F.col(tile), (F.col("i") + F.col("di")).cast("int").alias("i"), (F.col("j") + F.col("dj")).cast("int").alias("j"), (F.col("di") * F.col("di") + F.col("dj") * F.col("dj")).alias("d2"), "v_")
 
-    kind = dict(df.dtypes)[tile]
-    out = sent.groupBy(tile, "ci", "cj").applyInPandas(run, f"{tile} {kind}, i int, j int, {value} double, {name} double")
-    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in (value, name)})
 
-
-def shifted(grid, radius: int):
-    """(di, dj, view) of the core's cells shifted by every offset within the radius."""
-    n, m = grid.shape[0] - 2 * radius, grid.shape[1] - 2 * radius
-    for di in range(-radius, radius + 1):
-        for dj in range(-radius, radius + 1):
-            yield di, dj, grid[radius + di : radius + di + n, radius + dj : radius + dj + m]
+def _with(df: DataFrame, found: DataFrame, tile: str) -> DataFrame:
+    return df.join(found, [tile, "i", "j"], "left")
 
 
 def bilateral(df: DataFrame, radius: int = 4, sigma_px: float = 2.0, sigma_v: float = 1.0, tile: str = "tile", value: str = "v") -> DataFrame:
-    """(tile, i, j, value, filtered): edge-keeping mean; weights fall with distance and with difference of value. No data stays so."""
-    def kernel(grid):
-        import numpy as np
-
-        own = grid[radius:-radius, radius:-radius]
-        num, den = np.zeros(own.shape), np.zeros(own.shape)
-        for di, dj, other in shifted(grid, radius):
-            w = np.exp(-(di * di + dj * dj) / (2 * sigma_px**2) - (other - own) ** 2 / (2 * sigma_v**2))
-            ok = ~np.isnan(w)
-            num[ok] += w[ok] * other[ok]
-            den[ok] += w[ok]
-        return np.where(den > 0, num / np.where(den > 0, den, 1), np.nan)
-
-    return by_chunks(df, radius, kernel, "filtered", tile, value)
+    """df (tile, i, j, value) with filtered: edge-keeping mean; weights fall with distance and with difference of value. No data stays so.
 
+    One shuffle by cell serves the join and the sums.
+    """
+    met = around(df, radius, tile, value).join(df.where(F.col(value).isNotNull()).select(tile, "i", "j", F.col(value).alias("own_")), [tile, "i", "j"])
+    nearness, likeness = F.col("d2") / (2.0 * sigma_px * sigma_px), F.pow(F.col("v_") - F.col("own_"), 2) / (2.0 * sigma_v * sigma_v)
+    w = F.exp(-nearness - likeness)
+    return _with(df, met.groupBy(tile, "i", "j").agg((F.sum(w * F.col("v_")) / F.sum(w)).alias("filtered")), tile)
 
-def idw_fill(df: DataFrame, radius: int = 6, least: int = 3, tile: str = "tile", value: str = "v") -> DataFrame:
-    """(tile, i, j, value, filled): own value, or the inverse-distance mean of at least `least` cells within the radius."""
-    def kernel(grid):
-        import numpy as np
 
-        own = grid[radius:-radius, radius:-radius]
-        num, den, n = np.zeros(own.shape), np.zeros(own.shape), np.zeros(own.shape, dtype=int)
-        for di, dj, other in shifted(grid, radius):
-            if di * di + dj * dj <= radius * radius:
-                ok, w = ~np.isnan(other), 1 / max(0.25, di * di + dj * dj)
-                num[ok] += other[ok] * w
-                den[ok] += w
-                n += ok
-        return np.where(np.isnan(own), np.where(n >= least, num / np.where(den > 0, den, 1), np.nan), own)
+def idw_fill(df: DataFrame, radius: int = 6, least: int = 3, tile: str = "tile", value: str = "v", stale: str | None = None) -> DataFrame:
+    """df (tile, i, j, value) with filled: own value, or the mean by inverse squared distance of at least `least` cells of the square around.
 
-    return by_chunks(df, radius, kernel, "filled", tile, value)
+    Cells marked in the column `stale` stay empty: what they had has ended.
+    Sums are combined before the shuffle.
+    """
+    w = 1 / F.greatest(F.lit(0.25), F.col("d2"))
+    donors = around(df, radius, tile, value).groupBy(tile, "i", "j").agg((F.sum(w * F.col("v_")) / F.sum(w)).alias("f_"), F.count(F.lit(1)).alias("n_"))
+    open_ = F.col("n_") >= least
+    if stale:
+        open_ = open_ & ~F.coalesce(F.col(stale), F.lit(False))
+    return _with(df, donors, tile).withColumn("filled", F.coalesce(F.col(value), F.when(open_, F.col("f_")))).drop("f_", "n_")
 
 
 def window_percentile(df: DataFrame, radius: int, share: float, least_share: float = 0.15, tile: str = "tile", value: str = "v") -> DataFrame:
-    """(tile, i, j, value, context): an interpolated percentile of the cells around, null where too few have a value."""
-    def kernel(grid):
-        import warnings
-
-        import numpy as np
-
-        stack = np.stack([x for _, _, x in shifted(grid, radius)])
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            out = np.nanpercentile(stack, share * 100, axis=0)
-        return np.where((~np.isnan(stack)).sum(axis=0) > least_share * len(stack), out, np.nan)
-
-    return by_chunks(df, radius, kernel, "context", tile, value, 64)
+    """df (tile, i, j, value) with context: an interpolated percentile of the square around, null where too few cells have a value."""
+    got = around(df, radius, tile, value).groupBy(tile, "i", "j").agg(F.percentile("v_", share).alias("p_"), F.count(F.lit(1)).alias("n_"))
+    few = least_share * (2 * radius + 1) ** 2
+    return _with(df, got, tile).withColumn("context", F.when(F.col("n_") > few, F.col("p_"))).drop("p_", "n_")
 
 
 def bilinear(points: DataFrame, grid: DataFrame, ids: Sequence[str], tile: str = "tile", value: str = "v") -> DataFrame:
@@ -135,50 +96,6 @@ def tile_pyramid(points: DataFrame, lon: str, lat: str, zooms: range) -> DataFra
     return out
 
 
-def filled_sinks(grid, mask):
-    """Surface with pits raised to their lowest outlet: flooding from the rim and from cells outside the mask."""
-    import heapq
-
-    import numpy as np
-
-    n, m = grid.shape
-    out = np.full(grid.shape, np.inf)
-    heap = []
-    for i in range(n):
-        for j in range(m):
-            rim = i in (0, n - 1) or j in (0, m - 1)
-            if not mask[i, j] or rim:
-                out[i, j] = grid[i, j]
-                heapq.heappush(heap, (out[i, j], i, j))
-    while heap:
-        h, i, j = heapq.heappop(heap)
-        if h > out[i, j]:
-            continue
-        for a in (-1, 0, 1):
-            for b in (-1, 0, 1):
-                x, y = i + a, j + b
-                if (a or b) and 0 <= x < n and 0 <= y < m and out[x, y] > max(h, grid[x, y]):
-                    out[x, y] = max(h, grid[x, y])
-                    heapq.heappush(heap, (out[x, y], x, y))
-    return out
-
-
-def overdeepening(df: DataFrame, tile: str = "tile", value: str = "v", least: float = 10.0) -> DataFrame:
-    """(tile, i, j, depth): how far a cell lies under its basin's outlet; under `least` it is 0. A tile, one basin complex, is one task's."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        i, j = pdf["i"].to_numpy(dtype=int), pdf["j"].to_numpy(dtype=int)
-        grid, mask = np.full((i.max() - i.min() + 1, j.max() - j.min() + 1), np.inf), np.zeros((i.max() - i.min() + 1, j.max() - j.min() + 1), dtype=bool)
-        v = pdf[value].to_numpy(dtype=float)
-        grid[i - i.min(), j - j.min()], mask[i - i.min(), j - j.min()] = np.where(np.isnan(v), np.inf, v), ~np.isnan(v)
-        d = filled_sinks(np.where(mask, grid, -1e9), mask)[i - i.min(), j - j.min()] - v
-        return pd.DataFrame({tile: pdf[tile], "i": i, "j": j, "depth": np.where(d >= least, d, np.where(np.isnan(d), np.nan, 0.0))})
-
-    types = dict(df.dtypes)
-    return df.select(tile, "i", "j", value).groupBy(tile).applyInPandas(run, f"{tile} {types[tile]}, i int, j int, depth double")
-
-
 def fade(value, first, last, t, years: float = 1.0) -> Column:
     """value, falling to 0 over `years` outside [first, last]."""
     out = F.greatest(F.lit(0.0), F.greatest(col(first) - col(t), col(t) - col(last)))

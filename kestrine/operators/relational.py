@@ -39,8 +39,82 @@ def role_rank(role, order: Sequence[str]) -> Column:
 
 
 def representative(parts: DataFrame, parent: str, role: str, primary: str, order: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """One part per parent: by role, then primary ones first (null last), then the ids."""
-    return pick_first(parts, [parent], [role_rank(role, order), F.col(primary).desc_nulls_last(), *map(F.col, ids)])
+    """One part per parent: by role, then primary ones first (null last), then the ids, which should be total.
+
+    A minimum of structs, combined before the shuffle; nothing is sorted.
+    """
+    others = [c for c in parts.columns if c != parent]
+    rank = F.struct(role_rank(role, order), F.coalesce(-F.col(primary).cast("int"), F.lit(1)), *map(F.col, ids))
+    return parts.groupBy(parent).agg(F.min_by(F.struct(*others), rank).alias("p_")).select(parent, "p_.*")
+
+
+def boxes_in_cells(df: DataFrame, size: float, box: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
+    """df with cx and cy, a row for each cell of `size` that the box meets."""
+    x0, y0, x1, y1 = (F.floor(F.col(c) / size) for c in box)
+    return df.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
+
+
+def meeting_boxes(left: DataFrame, right: DataFrame, size: float, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows whose boxes meet, and that agree in the columns `on`: an equi-join on cells of `size`, about as wide as boxes are.
+
+    Columns are named a_ and b_ by side; both have x0, y0, x1, y1. A pair is
+    found in each cell that both meet and kept in the first of them, the one
+    with the lower left corner of what they share.
+    """
+    side = lambda df, p: boxes_in_cells(df, size).select(*(F.col(c).alias(c if c in (*on, "cx", "cy") else f"{p}_{c}") for c in (*df.columns, "cx", "cy")))
+    a, b = side(left, "a"), side(right, "b")
+    low_x, low_y = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
+    meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
+    first = (F.col("cx") == F.floor(low_x / size)) & (F.col("cy") == F.floor(low_y / size))
+    return a.join(b, [*on, "cx", "cy"]).where(meet & first).drop("cx", "cy")
+
+
+def covering_shapes(points: DataFrame, shapes: DataFrame, size: float, x: str, y: str, geom: str = "geom") -> DataFrame:
+    """points with each of the shapes (geom and more) that covers them; the boundary counts.
+
+    Shapes are cut into cells of `size`, points look up their own cell. A cell
+    that no edge of the shape meets is inside or outside as a whole: the
+    latter make no row, and in the former nothing is tested.
+    """
+    from ..functions.geo import box_of, cell_state, covers
+
+    names = [c for c in shapes.columns if c != geom]
+    boxed = shapes.select("*", box_of(geom).alias("b_")).select("*", "b_.*")
+    cut_up = boxes_in_cells(boxed, size).withColumn("state_", cell_state(geom, F.col("cx") * size, F.col("cy") * size, F.lit(size))).where("state_ >= 0")
+    cut_up = cut_up.select("cx", "cy", *names, "state_", F.when(F.col("state_") == 0, F.col(geom)).alias(geom))
+    placed = points.withColumns({"cx": F.floor(F.col(x) / size), "cy": F.floor(F.col(y) / size)})
+    return placed.join(cut_up, ["cx", "cy"]).where((F.col("state_") == 1) | F.when(F.col("state_") == 0, covers(geom, x, y)).otherwise(F.lit(False))).drop("cx", "cy", "state_", geom)
+
+
+def nearest_shapes(points: DataFrame, shapes: DataFrame, key: str, reach: float, on: Sequence[str] = (), geom: str = "geom", turns: int = 40) -> DataFrame:
+    """(key, nearest): distance of points (key, x, y) from the nearest shape that agrees in the columns `on`; null if there is none.
+
+    In each turn points look at shapes within the reach, by cells of its size,
+    and those that found one are done; the reach doubles for the others, so
+    that no point meets all shapes unless it is as far from them as they are
+    wide.
+    """
+    from ..functions.geo import box_of, distance_to
+    from ..session import settled
+
+    boxed = shapes.select(*on, geom, box_of(geom).alias("b_")).select(*on, geom, "b_.*")
+    todo = points.join(shapes.select(*on).distinct(), list(on), "left_semi") if on else (points if not shapes.isEmpty() else points.limit(0))
+    done = None
+    for _ in range(turns):
+        wide = boxed.select(*on, geom, *((F.col(c) + by).alias(c) for c, by in (("x0", -reach), ("y0", -reach), ("x1", reach), ("y1", reach))))
+        cells = boxes_in_cells(wide, 2 * reach)
+        placed = todo.withColumns({"cx": F.floor(F.col("x") / (2 * reach)), "cy": F.floor(F.col("y") / (2 * reach))})
+        near = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+        met = placed.join(cells, [*on, "cx", "cy"]).where(near).withColumn("m_", distance_to(geom, "x", "y"))
+        found = settled(met.groupBy(key).agg(F.min("m_").alias("nearest")).where(F.col("nearest") <= reach))
+        done = found if done is None else done.unionByName(found)
+        todo = settled(todo.join(found, key, "left_anti"))
+        if todo.isEmpty():
+            break
+        reach *= 2
+    else:
+        raise ValueError("shapes are too far away; start with a larger reach")
+    return points.select(key).join(done, key, "left")
 
 
 def matches(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -54,17 +128,17 @@ def delta(current: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFra
     return b.join(a, list(keys), "left_anti").withColumn("action", F.lit("add")).unionByName(a.join(b, list(keys), "left_anti").withColumn("action", F.lit("remove")))
 
 
-def token_prefix_pairs(df: DataFrame, id_col: str, name: str, most_extra: int = 3) -> DataFrame:
+def token_prefix_pairs(df: DataFrame, id_col: str, name: str, most_extra: int | None = None) -> DataFrame:
     """Pairs (short_id, long_id): the words of one name begin another.
 
-    A long name looks up each of its own proper prefixes, at most most_extra
-    words shorter, by equality; so names that share a first word don't meet
-    in one group.
+    A long name looks up each of its own proper prefixes by equality, those at
+    most most_extra words shorter if that is given; so names that share a
+    first word don't meet in one group, and a name of n words makes n - 1 rows.
     """
     toks = df.select(F.col(id_col).alias("id"), F.split(F.lower(F.trim(F.col(name))), r"\s+").alias("t"))
     whole = toks.select(F.col("id").alias("short_id"), F.array_join("t", " ").alias("key"))
     n = F.size("t")
-    cuts = F.sequence(F.greatest(F.lit(1), n - most_extra), n - 1)
+    cuts = F.sequence(F.lit(1) if most_extra is None else F.greatest(F.lit(1), n - most_extra), n - 1)
     heads = toks.where(n > 1).select(F.col("id").alias("long_id"), F.explode(F.transform(cuts, lambda k: F.array_join(F.slice("t", F.lit(1), k), " "))).alias("key"))
     return heads.join(whole, "key").select("short_id", "long_id")
 
@@ -133,15 +207,34 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, value: str) ->
     return left.join(found, [key, at], "left")
 
 
+def _ranked_counts(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, value, n_, to_, m_) per distinct value: how many rows have it, how many have it or less, and all.
+
+    Without keys, values are cut into ranges by Spark and each range starts
+    where the ranges before it end, so no task holds them all.
+    """
+    from ..session import settled
+
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
+    if keys:
+        return n.withColumn("to_", F.sum("n_").over(Window.partitionBy(*keys).orderBy(value))).withColumn("m_", F.sum("n_").over(Window.partitionBy(*keys)))
+    cut_up = settled(n.repartitionByRange(value).withColumn("range_", F.spark_partition_id()))
+    before, starts = 0, []
+    for r in sorted(cut_up.groupBy("range_").agg(F.sum("n_").alias("s")).collect()):
+        starts += [F.lit(r.range_), F.lit(before)]
+        before += r.s
+    start = F.element_at(F.create_map(*starts), F.col("range_")) if starts else F.lit(0)
+    own = F.sum("n_").over(Window.partitionBy("range_").orderBy(value))
+    return cut_up.withColumn("to_", own + start).withColumn("m_", F.lit(before)).drop("range_")
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int, *keys: str) -> DataFrame:
     """(keys, edges array): edge i is the value at position min(m - 1, floor(i / bins * m)) of the sorted values.
 
     Positions are exact and come from counts per distinct value, which are
     combined before the shuffle.
     """
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    cum = n.withColumn("to_", F.sum("n_").over(w)).withColumn("m_", F.sum("n_").over(Window.partitionBy(*keys)))
+    cum = _ranked_counts(df, value, keys)
     at = cum.withColumn("i_", F.explode(F.sequence(F.lit(0), F.lit(bins)))).withColumn("p_", F.least(F.col("m_") - 1, F.floor(F.col("i_") * F.col("m_") / F.lit(bins))))
     hit = at.where((F.col("p_") < F.col("to_")) & (F.col("p_") >= F.col("to_") - F.col("n_")))
     return hit.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i_", value))), lambda s: s[value]).alias("edges"))
@@ -149,8 +242,7 @@ def quantile_edges(df: DataFrame, value: str, bins: int, *keys: str) -> DataFram
 
 def summary(df: DataFrame, value: str, shares: Sequence[float], *keys: str) -> DataFrame:
     """(keys, at array): values at position int(share * (m - 1)) of the sorted values, exactly."""
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
-    cum = n.withColumn("to_", F.sum("n_").over(Window.partitionBy(*keys).orderBy(value))).withColumn("m_", F.sum("n_").over(Window.partitionBy(*keys)))
+    cum = _ranked_counts(df, value, keys)
     at = cum.select("*", F.posexplode(F.array(*map(F.lit, shares))).alias("i_", "s_")).withColumn("p_", F.floor(F.col("s_") * (F.col("m_") - 1)))
     hit = at.where((F.col("p_") < F.col("to_")) & (F.col("p_") >= F.col("to_") - F.col("n_")))
     return hit.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i_", value))), lambda s: s[value]).alias("at"))

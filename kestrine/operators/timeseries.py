@@ -1,18 +1,15 @@
-"""Composites, robust fits and decompositions of observations per cell."""
+"""Composites, fits by normal equations and models of observations per cell."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import col
-from .kernels import harmonics, monthly_velocity, velocity_fit
 
 YEAR = 365.25
-#: Cells in a batch of the kernels; a cell is a row with arrays, so one cell's length bounds memory.
 MAD = 1.4826
 
 
@@ -69,59 +66,33 @@ def normal_equations(df: DataFrame, keys: Sequence[str], columns: Sequence[Colum
 
 
 def ridge_solve(equations: DataFrame, damping: Sequence[float] | None = None, ridge: float = 1e-6) -> DataFrame:
-    """equations with coef: solutions with a small ridge in proportion to the trace, and extra damping per column."""
-    def solve(ata: pd.Series, atb: pd.Series) -> pd.Series:
-        import numpy as np
+    """equations with coef: solutions with a small ridge in proportion to the mean of the diagonal, and extra damping per column; null if singular.
 
-        if not len(ata):
-            return pd.Series([], dtype=object)
-        k = len(atb.iloc[0])
-        a, b = np.stack(ata.to_numpy()).reshape(-1, k, k), np.stack(atb.to_numpy())
-        trace = np.trace(a, axis1=1, axis2=2)
-        a = a + np.eye(k) * (ridge * trace / k)[:, None, None] + np.diag(damping if damping is not None else [0.0] * k)
-        return pd.Series(list(np.linalg.solve(a, b[..., None])[..., 0]))
+    Elimination with column pivots on the rows of (ata | atb), as one fold.
+    """
+    k = F.size("atb")
+    each = F.sequence(F.lit(0), k - 1)
+    trace = F.aggregate(each, F.lit(0.0), lambda s, i: s + F.get("ata", i * k + i))
+    extra = F.array(*[F.lit(float(d)) for d in damping]) if damping is not None else F.transform(each, lambda _: F.lit(0.0))
+    more = lambda i, j: F.when(i == j, F.lit(ridge) * F.col("t_") / k + F.get("d_", i)).otherwise(0.0)
+    rows = F.transform(each, lambda i: F.concat(F.transform(each, lambda j: F.get("ata", i * k + j) + more(i, j)), F.array(F.get("atb", i))))
 
-    return equations.withColumn("coef", F.pandas_udf(solve, "array<double>")("ata", "atb"))
+    def eliminate(m: Column, c: Column) -> Column:
+        size = lambda r: F.abs(F.get(F.get(m, r), c))
+        best = F.array_max(F.transform(F.sequence(c, k - 1), lambda r: F.struct(size(r).alias("size"), (-r).alias("r"))))
 
+        def step(p: Column) -> Column:
+            pivot = F.get(m, p)
+            by = F.when(F.get(pivot, c) == 0, F.lit(float("nan"))).otherwise(F.get(pivot, c))
+            scaled = F.transform(pivot, lambda v: v / by)
+            swapped = F.transform(m, lambda row, r: F.when(r == c, scaled).when(r == p, F.get(m, c)).otherwise(row))
+            return F.transform(swapped, lambda row, r: F.when(r == c, row).otherwise(F.transform(row, lambda v, j: v - F.get(row, c) * F.get(scaled, j))))
 
-def gathered(df: DataFrame, keys: Sequence[str], fields: Sequence[str], order: str) -> DataFrame:
-    """One row per cell with sorted arrays of its observations, for the kernels below."""
-    obs = F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order])))
-    return df.groupBy(*keys).agg(obs.alias("o_")).select(*keys, *[F.col(f"o_.{f}").alias(f) for f in dict.fromkeys([order, *fields])])
+        return F.element_at(F.transform(F.array(-best["r"]), step), 1)
 
-
-def fit_cells(df: DataFrame, keys: Sequence[str], reference: float) -> DataFrame:
-    """(keys, cx array, cy array, n, rms, t_first, t_last): kernels.velocity_fit of every cell of df (t1, t2, vx, vy, dt_days, sigma); cells that can't be fitted have nulls."""
-    def run(t1: pd.Series, t2: pd.Series, vx: pd.Series, vy: pd.Series, dt: pd.Series, sigma: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        out = []
-        for row in zip(t1, t2, vx, vy, dt, sigma, strict=True):
-            a, b, x, y, d, s = (np.asarray(q, dtype=float) for q in row)
-            got = velocity_fit(a, b, np.stack([x, y], axis=1), d, 1 / np.maximum(s, 1e-9) ** 2, reference)
-            out.append((None, None, None, None, None, None) if got is None else (got[0][:, 0].tolist(), got[0][:, 1].tolist(), *got[1:]))
-        return pd.DataFrame(out, columns=["cx", "cy", "n", "rms", "t_first", "t_last"])
-
-    names = ["t1", "t2", "vx", "vy", "dt_days", "sigma"]
-    schema = "cx array<double>, cy array<double>, n int, rms double, t_first double, t_last double"
-    return gathered(df, keys, names, "t1").withColumn("f_", F.pandas_udf(run, schema)(*names)).select(*keys, "f_.*")
-
-
-#: Where a cell's model comes from; a stale one ends more than STALE years before the reference.
-RECENT, FULL, MISSING, OLD = 1, 2, 0, 5
-STALE, EVIDENCE_YEARS, EVIDENCE = 1.0, 3.5, 5
-
-
-def tiered_fit(df: DataFrame, keys: Sequence[str], since: float, reference: float) -> DataFrame:
-    """fit_cells of what is recent; where that fails, of the whole record if the cell has recent evidence; with source."""
-    recent = fit_cells(df.where(F.col("t1") >= since), keys, reference)
-    near = df.where((F.col("t1") + F.col("t2")) / 2 >= reference - EVIDENCE_YEARS).groupBy(*keys).agg(F.count(F.lit(1)).alias("e_")).where(F.col("e_") >= EVIDENCE).select(*keys)
-    todo = df.join(recent.where("cx is not null").select(*keys), list(keys), "left_anti").join(near, list(keys), "left_semi")
-    full = fit_cells(todo, keys, reference).where("cx is not null").withColumn("source", F.lit(FULL))
-    cells = df.select(*keys).distinct()
-    best = recent.where("cx is not null").withColumn("source", F.lit(RECENT)).unionByName(full)
-    out = cells.join(best, list(keys), "left")
-    return out.withColumn("source", F.when(F.col("t_last") < reference - STALE, OLD).otherwise(F.coalesce("source", F.lit(MISSING))))
+    prepared = equations.withColumns({"t_": trace, "d_": extra}).withColumn("m_", rows)
+    solved = prepared.withColumn("m_", F.aggregate(each, F.col("m_"), eliminate))
+    return solved.withColumn("coef", F.when(~F.exists("m_", lambda r: F.isnan(F.element_at(r, -1))), F.transform("m_", lambda r: F.element_at(r, -1)))).drop("t_", "d_", "m_")
 
 
 def month_overlap(df: DataFrame, d0: str, d1: str) -> DataFrame:
@@ -131,45 +102,27 @@ def month_overlap(df: DataFrame, d0: str, d1: str) -> DataFrame:
     return out.withColumn("share", days / (F.datediff(d1, d0) + 1))
 
 
-def monthly_cells(df: DataFrame, keys: Sequence[str], start: float, months: int) -> DataFrame:
-    """(keys, mx array, my array, n, rms): kernels.monthly_velocity of every cell of df (t1, t2, vx, vy, dt_days, sigma, context); cells with too few observations have nulls."""
-    def run(t1: pd.Series, t2: pd.Series, vx: pd.Series, vy: pd.Series, dt: pd.Series, sigma: pd.Series, context: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        out = []
-        for row in zip(t1, t2, vx, vy, dt, sigma, context, strict=True):
-            a, b, x, y, d, s, c = (np.asarray(q, dtype=float) for q in row)
-            got = monthly_velocity(a, b, np.stack([x, y], axis=1), d, 1 / np.maximum(s, 1e-9) ** 2, start, months, np.nan_to_num(c))
-            out.append((None, None, None, None) if got is None else (got[0][:, 0].tolist(), got[0][:, 1].tolist(), *got[1:]))
-        return pd.DataFrame(out, columns=["mx", "my", "n", "rms"])
-
-    names = ["t1", "t2", "vx", "vy", "dt_days", "sigma", "context"]
-    return gathered(df, keys, names, "t1").withColumn("f_", F.pandas_udf(run, "mx array<double>, my array<double>, n int, rms double")(*names)).select(*keys, "f_.*")
-
-
-def harmonic_cells(df: DataFrame, mx: str, my: str, start: float, most: int = 3) -> DataFrame:
-    """df with coef array, kept and explained of its monthly series; null for series that are short or have gaps."""
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        got = [None if a is None or b is None else harmonics(np.stack([np.asarray(a, dtype=float), np.asarray(b, dtype=float)], axis=1), start, most) for a, b in zip(x, y, strict=True)]
-        return pd.DataFrame([(None, None, None) if g is None else (g[0].ravel().tolist(), g[1], g[2]) for g in got], columns=["coef", "kept", "explained"])
-
-    return df.withColumn("f_", F.pandas_udf(run, "coef array<double>, kept int, explained double")(mx, my)).select(*df.columns, "f_.*")
-
-
 def verdict(residual, sigma, z: float = 3.0) -> Column:
     """0 without a model, 1 if within z sigmas, 2 beyond."""
     return F.when(col(residual).isNull(), 0).when(F.abs(col(residual)) <= z * col(sigma), 1).otherwise(2)
 
 
-def pair_sigma(dt_days, sensor, floor: float = 20.0, slow: dict[str, float] | None = None) -> Column:
-    """Error of a displacement over dt days, wider for named sensors."""
-    base = F.greatest(F.lit(floor), F.lit(25.5 * YEAR) / col(dt_days))
-    out = base
-    for prefix, factor in (slow or {}).items():
-        out = F.when(F.startswith(col(sensor), F.lit(prefix)), base * factor).otherwise(out)
-    return out
+def pair_sigma(dt_days, sensors: Sequence, floor: float = 20.0, slow: dict[str, float] | None = None) -> Column:
+    """Error of a displacement over dt days, wider by the largest factor of a prefix that one of its sensors has. floor is each source's own."""
+    base = F.greatest(F.lit(floor), F.lit(25.5 * YEAR) / F.greatest(col(dt_days), F.lit(1.0)))
+    factor = F.lit(1.0)
+    for prefix, wider in (slow or {}).items():
+        met = F.lit(False)
+        for sensor in sensors:
+            met = met | F.coalesce(F.startswith(col(sensor), F.lit(prefix)), F.lit(False))
+        factor = F.greatest(factor, F.when(met, F.lit(float(wider))).otherwise(1.0))
+    return base * factor
+
+
+def yearly_context(df: DataFrame, keys: Sequence[str], at, value: str, dt_days: str, most_days: float, least: int = 3) -> DataFrame:
+    """(keys, year, mean, n): mean of the pairs of at most most_days per year; null below `least`."""
+    short = df.where(F.col(dt_days) <= most_days).groupBy(*keys, F.floor(col(at)).cast("int").alias("year")).agg(F.avg(value).alias("m_"), F.count(value).alias("n"))
+    return short.select(*keys, "year", F.when(F.col("n") >= least, F.col("m_")).alias("mean"), "n")
 
 
 def model_value(coef: Column, t: Column, first: Column, last: Column, reference: float, slack: float = 0.5) -> Column:

@@ -139,11 +139,10 @@ def bridge_join(spark, d):
 
 @query(f"with {PARTS}, {RECORDS} select id, exists (select 1 from parts where parent_id = id and role = 'deposit') as has_deposit, not exists (select 1 from parts where parent_id = id) as empty_ from records where exists (select 1 from parts where parent_id = id and area > 60000) or id not in (select parent_id from parts)")
 def semi_anti_exists(spark, d):
-    """J4 J5 J6 J7."""
-    r, p = records(spark, d), parts(spark, d).withColumnRenamed("parent_id", "id")
-    large, none = r.join(p.where("area > 60000").select("id"), "id", "left_semi"), r.join(p.select("id"), "id", "left_anti")
-    both = large.unionByName(none)
-    return R.matches(both, p.where("role = 'deposit'"), ["id"], "has_deposit").select("id", "has_deposit").join(none.select("id", F.lit(True).alias("e_")), "id", "left").select("id", "has_deposit", F.coalesce("e_", F.lit(False)).alias("empty_"))
+    """One aggregate per parent tells what exists, and one left join."""
+    p = parts(spark, d).groupBy(F.col("parent_id").alias("id")).agg(F.bool_or(F.col("area") > 60000).alias("large"), F.bool_or(F.col("role") == "deposit").alias("deposit"))
+    both = records(spark, d).join(p, "id", "left").where("large is null or large")
+    return both.select("id", F.coalesce("deposit", F.lit(False)).alias("has_deposit"), F.col("large").isNull().alias("empty_"))
 
 
 @query(f"with {PARTS} select parent_id, role, line, pkey, skey, area from (select *, row_number() over (partition by parent_id order by case role when 'deposit' then 0 when 'source' then 1 else 2 end, is_primary desc nulls last, line, pkey, skey) as rn from parts) where rn = 1")
@@ -152,31 +151,27 @@ def lateral_top_one(spark, d):
     return R.representative(parts(spark, d), "parent_id", "role", "is_primary", ("deposit", "source"), ("line", "pkey", "skey")).select("parent_id", "role", "line", "pkey", "skey", "area")
 
 
-@query(f"""with {PARTS}, {RECORDS} select id, cast(coalesce(n, 0) as bigint) as n, slugs from records left join (select parent_id, count(*) as n, array_to_string(list_sort(list(distinct role)), ',') as slugs from parts group by parent_id) on id = parent_id where kind = 'slow'""")
+@query(f"""with {PARTS}, {RECORDS} select id, cast(coalesce(n, 0) as bigint) as n, slugs from records left join (select parent_id, count(*) as n, array_to_string(list_sort(list(distinct role)), ',') as slugs from parts group by parent_id) on id = parent_id""")
 def scalar_aggregates(spark, d):
     """Aggregates per outer row, computed once per key and joined."""
     p = parts(spark, d).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("slugs"))
-    r = records(spark, d).where("kind = 'slow'")
+    r = records(spark, d)
     return r.join(p, r["id"] == p["parent_id"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "slugs")
 
 
 @query(f"""with {RECORDS}, box as (select n_nationkey as k, n_name as name, cast(n_nationkey * 14 - 180 as double) as x0, cast(n_nationkey * 14 - 160 as double) as x1, cast(-80 + n_nationkey * 3 as double) as y0, cast(n_nationkey * 3 as double) as y1 from nation)
 select r.id, min(b.name) as country, count(b.name) as n_covering from records r left join box b on r.lon between b.x0 and b.x1 and r.lat between b.y0 and b.y1 and not (r.lon > b.x0 + 5 and r.lon < b.x0 + 10 and r.lat > b.y0 + 20 and r.lat < b.y0 + 40) group by r.id""")
 def point_in_polygon(spark, d):
-    """The country that covers a point; boundaries count, holes don't, the first name wins.
-
-    25 shapes at most are sent to every task: nation has a fixed size.
-    """
+    """The country that covers a point; boundaries count, holes don't, the first name wins. Shapes are cut into cells of five degrees."""
     c = lambda x: x.cast("double")
     n = table(spark, d, "nation")
     k = F.col("n_nationkey")
     x0, x1, y0, y1 = c(k * 14 - 180), c(k * 14 - 160), c(k * 3 - 80), c(k * 3)
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     ring = lambda a, b, e, f: F.array(pt(a, b), pt(e, b), pt(e, f), pt(a, f), pt(a, b))
-    shapes = n.select(F.col("n_name").alias("name"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), F.array(F.array(ring(x0, y0, x1, y1), ring(x0 + 5, y0 + 20, x0 + 10, y0 + 40))).alias("geom"))
-    r = records(spark, d)
-    near = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-    hit = r.join(F.broadcast(shapes), geo.covers_in_box(near, "geom", "lon", "lat")).groupBy("id").agg(F.min("name").alias("country"), F.count("name").alias("n_covering"))
+    shapes = n.select(F.col("n_name").alias("name"), F.array(F.array(ring(x0, y0, x1, y1), ring(x0 + 5, y0 + 20, x0 + 10, y0 + 40))).alias("geom"))
+    r = records(spark, d).select("id", "lon", "lat")
+    hit = R.covering_shapes(r, shapes, 5.0, "lon", "lat").groupBy("id").agg(F.min("name").alias("country"), F.count("name").alias("n_covering"))
     return r.select("id").join(hit, "id", "left").select("id", "country", F.coalesce("n_covering", F.lit(0)).alias("n_covering"))
 
 
@@ -208,11 +203,12 @@ def group_distance(spark, d):
     return side("slow", "a").join(side("catastrophic", "b"), "owner_id", "left").select("owner_id", F.round(S.haversine("alon", "alat", "blon", "blat")).alias("apart"))
 
 
-@query("""with n as (select distinct p_name || ' ' || lower(p_type) as name from part union select distinct p_name from part) select a.name as short_id, b.name as long_id from n a join n b on starts_with(b.name, a.name || ' ')""")
+@query("""with n as (select distinct p_name || ' ' || lower(p_type) as name from part union select distinct p_name from part union select distinct p_name || ' ' || lower(p_type) || ' a b c d e f' from part where p_size > 25) select a.name as short_id, b.name as long_id from n a join n b on starts_with(b.name, a.name || ' ')""")
 def token_prefix_join(spark, d):
     """Names that begin another, word by word."""
     p = table(spark, d, "part")
-    names = p.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")).union(p.select("p_name")).distinct()
+    long = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    names = p.select(long.alias("name")).union(p.select("p_name")).union(p.where("p_size > 25").select(F.concat(long, F.lit(" a b c d e f")))).distinct()
     return R.token_prefix_pairs(names, "name", "name")
 
 
@@ -262,11 +258,11 @@ def nearest_in_time(spark, d):
     return R.nearest(left, right, "cell", "at", "value").select("event_id", "value")
 
 
-@query(f"with {PARTS}, {RECORDS}, iv as (select parent_id, min(day) as d0, max(day) as d1 from parts group by 1) select r.day as at, count(*) as n from iv join (select distinct day from records where kind = 'other' and id % 50 = 3) r on r.day between d0 and d1 group by 1")
+@query(f"with {PARTS}, {RECORDS}, iv as (select parent_id, min(day) as d0, max(day) as d1 from parts group by 1) select r.day as at, count(*) as n from iv join (select distinct day from records) r on r.day between d0 and d1 group by 1")
 def interval_stab(spark, d):
     """P20: intervals that hold a day, by buckets of the start."""
     iv = parts(spark, d).groupBy("parent_id").agg(F.unix_date(F.min("day")).alias("d0"), F.unix_date(F.max("day")).alias("d1"))
-    at = records(spark, d).where("kind = 'other' and id % 50 = 3").select(F.unix_date("day").alias("at")).distinct()
+    at = records(spark, d).select(F.unix_date("day").alias("at")).distinct()
     return R.stab(iv, at, "d0", "d1", "at", 366).groupBy(F.date_from_unix_date("at").alias("at")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -340,12 +336,12 @@ def max_case_having(spark, d):
     return parts(spark, d).groupBy("parent_id").agg(F.max(F.when(F.col("role") == "source", F.col("area"))).alias("display_area"), F.countDistinct("skey").alias("n_sources"), F.countDistinct("role").alias("n_roles"), F.max("area").alias("m_")).where("m_ > 40000").drop("m_")
 
 
-@query(f"""with {PARTS} select parent_id, string_agg(role || ':' || line || ':' || cast(cast(area as decimal(18, 2)) as varchar), '|' order by line, pkey, skey) as members from parts where line <= 3 group by parent_id""")
+@query(f"""with {PARTS} select parent_id, string_agg(role || ':' || line || ':' || cast(cast(area as decimal(18, 2)) as varchar), '|' order by line, pkey, skey) as members from parts group by parent_id""")
 def ordered_aggregation(spark, d):
     """An ordered list per group."""
     item = F.concat_ws(":", "role", F.col("line").cast("string"), F.col("area").cast("decimal(18,2)").cast("string"))
     packed = F.sort_array(F.collect_list(F.struct("line", "pkey", "skey", item.alias("item"))))
-    return parts(spark, d).where("line <= 3").groupBy("parent_id").agg(F.array_join(F.transform(packed, lambda s: s["item"]), "|").alias("members"))
+    return parts(spark, d).groupBy("parent_id").agg(F.array_join(F.transform(packed, lambda s: s["item"]), "|").alias("members"))
 
 
 @query("select (select count(*) from orders where o_custkey = c_custkey) as n_orders, (select count(*) from lineitem join orders on l_orderkey = o_orderkey where o_custkey = c_custkey) as n_lines, c_custkey from customer")
@@ -502,10 +498,75 @@ select a_id, max(round(i / (s - i), 6)) as iou from j group by a_id having max(i
 def iou_pairing(spark, d):
     """Best overlap above 0.8 among candidates of a group."""
     b = table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_nationkey as g", "cast(s_suppkey % 40 / 10.0 as double) as x0", "cast(s_suppkey % 40 / 10.0 + 1 + s_suppkey % 3 as double) as x1", "cast(s_suppkey % 7 / 10.0 as double) as y0", "cast(s_suppkey % 7 / 10.0 + 2 as double) as y1")
-    a, c = b.alias("a"), b.alias("b")
-    at = lambda s: {k: F.col(f"{s}.{k}") for k in ("x0", "y0", "x1", "y1")}
-    pairs = a.join(c, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a_id"), geo.box_iou(at("a"), at("b")).alias("iou"))
-    return pairs.groupBy("a_id").agg(F.max("iou").alias("m")).where(F.col("m") > M.MAYBE_SHAPE).select("a_id", F.round("m", 6).alias("iou"))
+    pairs = R.meeting_boxes(b, b, 2.0, ["g"]).where("a_id < b_id")
+    at = lambda s: {k: F.col(f"{s}_{k}") for k in ("x0", "y0", "x1", "y1")}
+    return pairs.select("a_id", geo.box_iou(at("a"), at("b")).alias("iou")).groupBy("a_id").agg(F.max("iou").alias("m")).where(F.col("m") > M.MAYBE_SHAPE).select("a_id", F.round("m", 6).alias("iou"))
+
+
+@query("""with b as (select s_suppkey as id, s_nationkey as g, s_suppkey % 5 as k, s_suppkey % 40 / 10.0 as x0, s_suppkey % 40 / 10.0 + 1 + s_suppkey % 3 as x1, s_suppkey % 7 / 10.0 as y0, s_suppkey % 7 / 10.0 + 2 as y1 from supplier),
+u as (select id, g, k, case when id % 3 = 0 then x0 else x0 + 0.2 end as x0, case when id % 3 = 0 then x1 else x1 + 0.2 end as x1, y0, y1 from b),
+j as (select u.id as u_id, b.id as b_id, greatest(0, least(u.x1, b.x1) - greatest(u.x0, b.x0)) * greatest(0, least(u.y1, b.y1) - greatest(u.y0, b.y0)) as i, (u.x1 - u.x0) * (u.y1 - u.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) as s, u.k = b.k as same_name, u.k % 3 = b.k % 3 as same_key from u join b on u.g = b.g and u.x0 <= b.x1 and b.x0 <= u.x1 and u.y0 <= b.y1 and b.y0 <= u.y1)
+select u_id, b_id, case when round(i / (s - i), 9) >= 0.999 then 'update' when same_name then 'block' when same_key or round(i / (s - i), 9) > 0.8 then 'review' end as class from j""")
+def collision_classes(spark, d):
+    """What to do with an upload whose box meets a stored one: same shape, same name, or to be looked at."""
+    b = table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_nationkey as g", "s_suppkey % 5 as k", "cast(s_suppkey % 40 / 10.0 as double) as x0", "cast(s_suppkey % 40 / 10.0 + 1 + s_suppkey % 3 as double) as x1", "cast(s_suppkey % 7 / 10.0 as double) as y0", "cast(s_suppkey % 7 / 10.0 + 2 as double) as y1")
+    moved = lambda c: F.when(F.col("id") % 3 == 0, F.col(c)).otherwise(F.round(F.col(c) + 0.2, 6)).alias(c)
+    u = b.select("id", "g", "k", moved("x0"), moved("x1"), "y0", "y1")
+    at = lambda s: {k: F.col(f"{s}_{k}") for k in ("x0", "y0", "x1", "y1")}
+    pairs = R.meeting_boxes(u, b, 2.0, ["g"]).withColumn("iou", F.round(geo.box_iou(at("a"), at("b")), 9))
+    return pairs.select(F.col("a_id").alias("u_id"), "b_id", M.collision(F.col("iou"), F.col("a_k") % 3, F.col("b_k") % 3, F.col("a_k"), F.col("b_k")).alias("class"))
+
+
+@query(f"with {RECORDS} select id, row_number() over (partition by owner_id order by coalesce(flagged, false) desc, day, id) - 1 as position from records")
+def photo_order(spark, d):
+    """An owner's pictures: featured first, then by day, then by id."""
+    w = Window.partitionBy("owner_id").orderBy(F.coalesce("flagged", F.lit(False)).desc(), "day", "id")
+    return records(spark, d).select("id", (F.row_number().over(w) - 1).alias("position"))
+
+
+@query(f"with {RECORDS}, {PARTS}, g as (select id from records where kind = 'other') select 'parents' as name, count(*) as n, count(*) filter (where id > 0 and (id // 2 * 2) not in (select id from g)) as n_pointers from records where id not in (select id from g) union all select 'parts', count(*), null from parts where parent_id not in (select id from g)")
+def cascade_delete(spark, d):
+    """Records that go take their parts along, and what points at them points nowhere."""
+    r = records(spark, d).select("id", "kind", F.when(F.col("id") > 0, F.floor(F.col("id") / 2) * 2).alias("twin"))
+    left = M.without(r, r.where("kind = 'other'"), "id", {"parts": (parts(spark, d).select("parent_id", "line"), "parent_id")}, "twin")
+    return left["parents"].agg(F.lit("parents").alias("name"), F.count(F.lit(1)).alias("n"), F.count("twin").alias("n_pointers")).unionByName(left["parts"].agg(F.lit("parts").alias("name"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("n_pointers")))
+
+
+@query(f"with {RECORDS}, {PARTS} select parent_id, line, pkey, skey, coalesce(cls, 'record ' || parent_id) || ' (' || role || ')' as label from parts join records on id = parent_id")
+def part_labels(spark, d):
+    """What a part is called where it is listed: its record's name, and its role."""
+    r = records(spark, d).select("id", F.coalesce("cls", F.concat(F.lit("record "), F.col("id").cast("string"))).alias("name"))
+    p = parts(spark, d)
+    return p.join(r, p["parent_id"] == r["id"]).select("parent_id", "line", "pkey", "skey", U.label("name", "role").alias("label"))
+
+
+@query(f"""with {RECORDS} select id, kind = 'slow' as chosen, lon + 3 >= -150 and lon <= -100 and lat + 3 >= 40 and lat <= 70 as met, coalesce(starts_with(cls, '2-'), false) as own, lon >= -170 and lon < -120 and lat >= -40 and lat < 33 as tiled, kind = 'slow' and day < date '1996-01-01' - interval 30 minute as stuck from records""")
+def scan_predicates(spark, d):
+    """One of some kinds, boxes that meet, flags by a scan itself, half-open tiles, stalled jobs."""
+    r = records(spark, d)
+    status = F.when(F.col("kind") == "slow", "processing").otherwise("done")
+    return r.select(
+        "id", P.among("kind", ("slow", "other"), "slow").alias("chosen"), P.boxes_meet("lon", "lat", F.col("lon") + 3, F.col("lat") + 3, (-150, 40, -100, 70)).alias("met"), P.own_flag("cls", "2-").alias("own"), P.in_tile("lon", "lat", *map(F.lit, (-170, -40, -120, 33))).alias("tiled"), P.stalled(status, F.col("day").cast("timestamp"), F.lit("1996-01-01").cast("timestamp")).alias("stuck")
+    )
+
+
+@query("""with c as (select c_custkey as id, c_custkey % 100 as deg, c_custkey % 61 as mi, c_custkey % 7 * 8 as sec, c_custkey * 7 % 200 as lodeg, case when c_custkey % 2 = 0 then 'N' else 'S' end as ns, case when c_custkey % 3 = 0 then 'W' else 'e' end as ew, cast(c_custkey * 13 % 500 - 50 as double) as az from customer),
+p as (select id, az, (deg + mi / 60.0::double + sec / 3600.0::double) * case when ns = 'S' then -1 else 1 end as lat, (lodeg + mi / 60.0::double + sec / 3600.0::double) * case when ew = 'W' then -1 else 1 end as lon from c),
+q as (select *, lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0) as ok from p) select id, case when ok then round(lat, 8) end as lat, case when ok then round(lon, 8) end as lon, case when az >= 0 and az < 360 then az end as azimuth from q""")
+def camera_places(spark, d):
+    """degrees from parts, no place where a camera writes none, and a direction in range."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k.alias("id"), S.dms(k % 100, k % 61, k % 7 * 8, F.when(k % 2 == 0, "N").otherwise("S")).alias("y"), S.dms(k * 7 % 200, k % 61, k % 7 * 8, F.when(k % 3 == 0, "W").otherwise("e")).alias("x"), (k * 13 % 500 - 50).cast("double").alias("az"))
+    at = S.place("y", "x")
+    return c.select("id", F.round(at["lat"], 8).alias("lat"), F.round(at["lon"], 8).alias("lon"), S.azimuth("az").alias("azimuth"))
+
+
+@query("""with w as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(case l_linenumber when 1 then ' Source ' when 2 then 'bodies' when 3 then 'DEPOSITS' when 4 then 'head' when 5 then 'de-posit' when 6 then 'sourcess' else '' end) as v, case l_linenumber when 1 then 'source' when 2 then 'body' when 3 then 'deposit' when 4 then 'source' when 5 then 'deposit' end as word from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, word from w""")
+def role_words(spark, d):
+    """F3, the exact part: words as people write them, to a list; aliases and plurals count."""
+    n = F.col("l_linenumber")
+    said = F.when(n == 1, " Source ").when(n == 2, "bodies").when(n == 3, "DEPOSITS").when(n == 4, "head").when(n == 5, "de-posit").when(n == 6, "sourcess").otherwise("")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.vocabulary(said, {"bodies": "body", "head": "source"}, ("source", "body", "deposit")).alias("word"))
 
 
 @query(f"with {RECORDS}, k as (select lower(trim(coalesce(cls, '') || ' ' || owner_id)) as name_key, id from records where deprecated_at is null) select name_key, array_to_string(list_sort(list(id)), ',') as ids from k group by 1 having count(*) > 1")
@@ -525,11 +586,10 @@ def flag_scans(spark, d):
 
 # scalars
 
-@query("""select doc_id, lower(regexp_replace(trim(left(text, 40), ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g')) as name_key, lower(trim(regexp_replace(left(text, 40), '[^A-Za-z0-9]+', '-', 'g'), '-')) as slug, n_chars % 2 = 0 as even from documents""")
+@query("""select doc_id, lower(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g')) as name_key, lower(trim(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '-')) as slug, n_chars % 2 = 0 as even from documents""")
 def text_keys(spark, d):
     """F1 F2."""
-    t = F.left(F.col("text"), F.lit(40))
-    return table(spark, d, "documents").select("doc_id", S.name_key(t).alias("name_key"), S.slug(t).alias("slug"), (F.col("n_chars") % 2 == 0).alias("even"))
+    return table(spark, d, "documents").select("doc_id", S.name_key("text").alias("name_key"), S.slug("text").alias("slug"), (F.col("n_chars") % 2 == 0).alias("even"))
 
 
 @query("""select o_orderkey, case when o_orderkey % 5 = 0 then true when o_orderkey % 5 = 1 then false end as b, try_cast(case when o_orderkey % 3 = 0 then '' when o_orderkey % 3 = 1 then cast(o_orderkey as varchar) || '.5' else 'x' end as double) as x, cast(o_orderdate as date) as day from orders""")

@@ -45,13 +45,14 @@ def commented_csv_round_trip(spark, d):
     return got.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"))
 
 
-@query("select event_id, case when event_id % 13 <> 0 then greatest(-32000, least(32000, round_even(value * 100 / 5, 0))) * 5.0 end as stored from events")
+@query("select event_id, case when event_id % 13 <> 0 then greatest(-32000, least(32000, round_even(value * 100 / 5, 0))) * 5.0 end as stored, case when event_id <> 7 then cast(event_id as double) end as read from events")
 def quantised_round_trip(spark, d):
     """Packed in 16 bits with a no-data value, written in order of time, read back."""
     e = table(spark, d, "events").select("event_id", "ts", WR.packed_int16(F.when(F.col("event_id") % 13 != 0, F.col("value") * 100), 5.0).alias("v"))
     path = shared_path(spark, "bundle")
     WR.write_sorted(e, path, "ts")
-    return spark.read.parquet(path).select("event_id", WR.unpacked(F.col("v"), 5.0).alias("stored"))
+    back = spark.read.parquet(path).select("event_id", WR.unpacked(F.col("v"), 5.0).alias("stored"), F.col("event_id").cast("double").alias("e"))
+    return back.select("event_id", "stored", RD.unfilled(F.col("e"), 7.0).alias("read"))
 
 
 @query("with c as (select user_id % 50 as cell, cast(ts as date) as day, value from events), n as (select day, count(*) as n from c group by 1 having count(*) > 30), r as (select min(day) as a, max(day) as b from n) select cell, day, count(*) as n from c, r where day between a and b group by 1, 2")
@@ -68,10 +69,10 @@ def snapshot(spark, d):
     return WR.write_snapshot({"orders": (o, "o_custkey"), "customer": (c, "c_custkey")}, c.where("c_nationkey < 5"), "c_custkey", shared_path(spark, "snapshot")).select("name", "n")
 
 
-@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, o_custkey, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 48")
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, o_custkey, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey")
 def flat_export(spark, d):
     """K4: parts with their parent's columns."""
-    parts = table(spark, d, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    parts = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     return WR.flattened(parts, table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "l_orderkey", "o_orderkey")
 
 
@@ -82,8 +83,7 @@ def chunk_pruned_box(spark, d):
     cells = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     cells.withColumns({"xc": F.floor(F.col("x") / 64).cast("int"), "yc": F.floor(F.col("y") / 512).cast("int")}).repartition("xc", "yc").write.partitionBy("xc", "yc").parquet(path)
     got = spark.read.parquet(path)
-    near = got.where(F.col("xc").between(0, 0) & F.col("yc").between(0, 0))
-    return near.where(F.col("x").between(3, 12) & F.col("y").between(10, 60)).select("x", "y", "n")
+    return RD.chunks_in(got, (3, 10, 12, 60), sizes=(64, 512)).select("x", "y", "n")
 
 
 @query("""with w as (select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 3) as total from events group by 1, 2), m as (select max(ts) - interval 1 day as mark from events)

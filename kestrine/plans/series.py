@@ -133,11 +133,26 @@ def adjacent_blend(spark, d):
     return out.withColumn("consecutive", nxt == F.col("yr") + 1).select("cell", "yr", F.round("blended", 6).alias("blended"), "consecutive")
 
 
-@query(f"with {TRACES} select event_id, greatest(20.0::double, 25.5 * 365.25 / (1 + event_id % 120)) * case when sensor = 'error' then 2 else 1 end as sigma, case when value is null then 0 when abs(value - 50) <= 3 * 20 then 1 else 2 end as verdict from traces where 1 + event_id % 120 <= 100")
+@query(f"with {TRACES} select event_id, greatest(8.0::double, 25.5 * 365.25 / (1 + event_id % 120)) * case when sensor = 'error' or event_id % 7 = 0 then 3 when sensor like 'p%' then 2 else 1 end as sigma, case when value is null then 0 when abs(value - 50) <= 3 * 20 then 1 else 2 end as verdict from traces where 1 + event_id % 120 <= 100")
 def pair_weights(spark, d):
-    """Error of a pair, and whether it agrees with the model."""
-    t = traces(spark, d).withColumn("dt", (1 + F.col("event_id") % 120).cast("double")).where("dt <= 100")
-    return t.select("event_id", T.pair_sigma("dt", "sensor", slow={"error": 2.0}).alias("sigma"), T.verdict(F.col("value") - 50, F.lit(20.0)).alias("verdict"))
+    """Error of a pair by both of its sensors, and whether it agrees with the model."""
+    t = traces(spark, d).withColumns({"dt": (1 + F.col("event_id") % 120).cast("double"), "other": F.when(F.col("event_id") % 7 == 0, "error-2").otherwise("none")}).where("dt <= 100")
+    return t.select("event_id", T.pair_sigma("dt", ("sensor", "other"), 8.0, {"error": 3.0, "p": 2.0}).alias("sigma"), T.verdict(F.col("value") - 50, F.lit(20.0)).alias("verdict"))
+
+
+@query(f"with {TRACES}, y as (select cell, year(day) * 12 + month(day) as year, count(*) as n, avg(sqrt(value)) as m from traces where event_id % 30 <= 16 group by 1, 2) select cell, year, n, case when n >= 3 then round(m, 6) end as mean from y")
+def yearly_context(spark, d):
+    """Mean of the short pairs of each year (here month), where there are three."""
+    t = traces(spark, d).select("cell", F.sqrt("value").alias("value"), (F.col("event_id") % 30).cast("double").alias("dt"), (F.year("day") * 12 + F.month("day")).cast("double").alias("at"))
+    return T.yearly_context(t, ["cell"], "at", "value", "dt", 16).select("cell", "year", "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"with {TRACES}, m as (select event_id, value, 2000 + event_id % 400 / 100.0::double as t from traces) select event_id, round(case when t between 2000.5 and 2003.5 then 50 + 2 * (greatest(2001.0::double, least(2003.0::double, t)) - 2002) + 3 * cos(2 * pi() * t) + 4 * sin(2 * pi() * t) end, 6) as at_t, round(value * greatest(0.0::double, 1 - greatest(0.0::double, greatest(2001 - t, t - 2003)) / 1.0), 6) as faded from m")
+def model_values(spark, d):
+    """Level, trend and season at a time; the trend stands still beyond the support, and beyond its slack there is none; values that fade there."""
+    t = F.lit(2000) + F.col("event_id") % 400 / F.lit(100.0)
+    at = T.model_value(F.array(*map(F.lit, (50.0, 2.0, 3.0, 4.0))), t, F.lit(2001.0), F.lit(2003.0), 2002.0)
+    return traces(spark, d).select("event_id", F.round(at, 6).alias("at_t"), F.round(G.fade("value", F.lit(2001.0), F.lit(2003.0), t), 6).alias("faded"))
 
 
 def _intervals(spark, d):
@@ -149,57 +164,39 @@ def _intervals(spark, d):
 _X = """x as (select cell, (epoch_us(ts) / (86400e6 * 365.25) - 19723 / 365.25::double) as t1, (epoch_us(ts) / (86400e6 * 365.25) - 19723 / 365.25::double + (1 + event_id % 30) / 365.25::double) as t2, value as v from traces)"""
 
 
-@query(f"with {TRACES}, {_X}, a as (select cell, (t1 + t2) / 2 as m, v from x) select cell, count(*) as n, round(regr_slope(v, m), 3) as slope, round(regr_intercept(v, m), 4) as level from a group by 1")
-def weighted_trend(spark, d):
-    """Normal equations summed by Spark, solved per cell; here level and trend, without ridge."""
-    x = _intervals(spark, d)
-    eq = T.normal_equations(x, ["cell"], [T.interval_design("t1", "t2", 0.0)[0]], "v", F.lit(1.0))
-    s = T.ridge_solve(eq, ridge=0.0)
-    return s.select("cell", "n", F.round(F.get("coef", F.lit(1)), 3).alias("slope"), F.round(F.get("coef", F.lit(0)), 4).alias("level"))
+@query(f"with {TRACES}, {_X} select cell, count(*) as n, round(sum((t1 + t2) / 2), 5) as t, round(sum((sin(2 * pi() * t2) - sin(2 * pi() * t1)) / (2 * pi() * (t2 - t1))), 5) as c, round(sum((cos(2 * pi() * t1) - cos(2 * pi() * t2)) / (2 * pi() * (t2 - t1))), 5) as s from x group by 1")
+def interval_columns(spark, d):
+    """Means of time, cosine and sine over each interval, here summed by cell."""
+    t, c, s = T.interval_design("t1", "t2", 0.0)
+    return _intervals(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(t), 5).alias("t"), F.round(F.sum(c), 5).alias("c"), F.round(F.sum(s), 5).alias("s"))
 
 
-def pairs(spark, d):
-    """Line items as displacements of a supplier's cell: the ship day and quantity make an interval, price and discount a velocity with a season."""
-    from ..session import table
-
-    l = table(spark, d, "lineitem")
-    day = F.unix_date(F.col("l_shipdate").cast("date")) / F.lit(365.25) + 1970
-    dt = (8 + F.col("l_partkey") % 200).cast("double")
-    mid = day + dt / 730.5
-    speed = 200 + 30 * F.cos(2 * 3.141592653589793 * mid) + (F.col("l_discount") - 0.05) * 300
-    return l.select((F.col("l_suppkey") % 60).alias("cell"), day.alias("t1"), (day + dt / 365.25).alias("t2"), speed.alias("vx"), (F.col("l_tax") * 100).alias("vy"), dt.alias("dt_days"), T.pair_sigma(dt, F.col("l_returnflag")).alias("sigma"), F.lit(0.0).alias("context"))
-
-
-@query()
-def robust_cell_fit(spark, d):
-    """Level, trend and season of every cell in two tiers, and the model's value at the end of its record. No SQL: reweighted by passes."""
-    fit = T.tiered_fit(pairs(spark, d), ["cell"], 1997.0, 2001.0)
-    at = T.model_value(F.col("cx"), F.col("t_last"), F.col("t_first"), F.col("t_last"), 2001.0)
-    return fit.select("cell", *[F.get("cx", F.lit(i)).alias(n) for i, n in enumerate(("level", "trend", "cos", "sin"))], "n", "rms", "t_first", "t_last", "source", at.alias("at_last"))
-
-
-@query()
-def monthly_inversion(spark, d):
-    """Monthly velocities from interval means, piecewise constant. No SQL: an inversion by passes."""
-    return T.monthly_cells(pairs(spark, d), ["cell"], 1995.0, 84).select("cell", "n", "rms", F.size("mx").alias("n_months"), F.array_min("mx").alias("low"), F.array_max("mx").alias("high"))
-
-
-@query()
-def harmonic_decomposition(spark, d):
-    """Harmonics of the monthly velocities, kept if even and odd years agree. No SQL."""
-    m = T.monthly_cells(pairs(spark, d), ["cell"], 1995.0, 84)
-    return T.harmonic_cells(m, "mx", "my", 1995.0).select("cell", "kept", "explained", F.get("coef", F.lit(0)).alias("cos1"))
+@query(f"""with {TRACES}, {_X}, a as (select cell, (t1 + t2) / 2 as p, (sin(2 * pi() * t2) - sin(2 * pi() * t1)) / (2 * pi() * (t2 - t1)) as q, v, 1.0::double / power(10 + cell % 5, 2) as w from x),
+s as (select cell, count(*) as n, sum(w) as a00, sum(w * p) as a01, sum(w * q) as a02, sum(w * p * p) as a11, sum(w * p * q) as a12, sum(w * q * q) as a22, sum(w * v) as b0, sum(w * p * v) as b1, sum(w * q * v) as b2 from a group by 1),
+r as (select cell, n, a00 + 1e-4 * (a00 + a11 + a22) / 3 as x00, a01, a02, a11 + 1e-4 * (a00 + a11 + a22) / 3 as x11, a12, a22 + 1e-4 * (a00 + a11 + a22) / 3 + 0.05 as x22, b0, b1, b2 from s),
+d as (select *, x00 * (x11 * x22 - a12 * a12) - a01 * (a01 * x22 - a12 * a02) + a02 * (a01 * a12 - x11 * a02) as det from r)
+select cell, n, round((b0 * (x11 * x22 - a12 * a12) - a01 * (b1 * x22 - a12 * b2) + a02 * (b1 * a12 - x11 * b2)) / det, 3) as level, round((x00 * (b1 * x22 - a12 * b2) - b0 * (a01 * x22 - a12 * a02) + a02 * (a01 * b2 - b1 * a02)) / det, 3) as slope,
+  round((x00 * (x11 * b2 - b1 * a12) - a01 * (a01 * b2 - b1 * a02) + b0 * (a01 * a12 - x11 * a02)) / det, 3) as season from d""")
+def weighted_trend(spark, d):
+    """Weighted normal equations summed by Spark and solved per cell with a ridge, and damping on the season; level, trend and cosine."""
+    x = _intervals(spark, d)
+    t, c, _ = T.interval_design("t1", "t2", 0.0)
+    eq = T.normal_equations(x, ["cell"], [t, c], "v", 1 / F.pow(10 + F.col("cell") % 5, 2))
+    s = T.ridge_solve(eq, (0.0, 0.0, 0.05), 1e-4)
+    return s.select("cell", "n", *[F.round(F.get("coef", F.lit(i)), 3).alias(k) for i, k in enumerate(("level", "slope", "season"))])
 
 
-# rasters: tile by order of part keys, cells by key, value by price
+# rasters: orders in order of their keys fill tiles of 64 by 64 cells, so tiles grow with the table
 
 def cells(spark, d):
     from ..session import table
 
-    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("tile"), (F.col("l_partkey") % 24).cast("int").alias("i"), (F.col("l_orderkey") % 20).cast("int").alias("j")).agg(F.avg("l_quantity").alias("m")).select("tile", "i", "j", F.when((F.col("i") * 7 + F.col("j") * 3) % 5 != 0, F.round("m", 4)).alias("v"))
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(F.floor(k / 4096).alias("tile"), (F.floor(k / 64) % 64).cast("int").alias("i"), (k % 64).cast("int").alias("j"), (F.sqrt("o_totalprice") / 10).alias("m"))
+    return o.select("tile", "i", "j", F.when((F.col("i") * 7 + F.col("j") * 3) % 5 != 0, F.col("m")).alias("v"), ((F.col("i") + F.col("j")) % 11 == 0).alias("stale"))
 
 
-_CELLS = "cells as (select l_suppkey % 4 as tile, cast(l_partkey % 24 as int) as i, cast(l_orderkey % 20 as int) as j, case when (l_partkey % 24 * 7 + l_orderkey % 20 * 3) % 5 <> 0 then round(avg(l_quantity), 4) end as v from lineitem group by l_suppkey % 4, l_partkey % 24, l_orderkey % 20)"
+_CELLS = "cells as (select tile, i, j, case when (i * 7 + j * 3) % 5 <> 0 then m end as v, (i + j) % 11 = 0 as stale from (select o_orderkey // 4096 as tile, cast(o_orderkey // 64 % 64 as int) as i, cast(o_orderkey % 64 as int) as j, sqrt(o_totalprice) / 10 as m from orders))"
 
 
 @query(f"with {_CELLS}, r as (select tile, i // 2 as bi, j // 2 as bj, i % 2 as r, avg(v) as m from cells group by 1, 2, 3, 4) select tile, bi, bj, round(avg(m), 6) as mean from r group by 1, 2, 3")
@@ -208,16 +205,30 @@ def block_mean(spark, d):
     return G.block_mean(cells(spark, d), "v").select("tile", "bi", "bj", F.round("mean", 6).alias("mean"))
 
 
+@query(f"with {_CELLS} select tile, i // 2 as bi, j // 2 as bj, max(v) as most from cells group by 1, 2, 3")
+def block_maximum(spark, d):
+    """Largest value of a block."""
+    return G.block_max(cells(spark, d), "v")
+
+
+@query(f"with {_CELLS} select tile, i, j, v from cells where i % 4 = 0 and j % 4 = 0")
+def strided_cells(spark, d):
+    """T22, the stride only: every fourth cell both ways."""
+    from ..operators.relational import strided
+
+    return strided(cells(spark, d), 4).select("tile", "i", "j", "v")
+
+
 @query(f"with {_CELLS} select a.tile, a.i, a.j, round(sum(b.v * exp(-((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j)) / 8.0 - pow(b.v - a.v, 2) / 2.0)) / sum(exp(-((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j)) / 8.0 - pow(b.v - a.v, 2) / 2.0)), 6) as filtered from cells a join cells b on a.tile = b.tile and abs(a.i - b.i) <= 4 and abs(a.j - b.j) <= 4 where a.v is not null and b.v is not null group by 1, 2, 3")
 def bilateral_filter(spark, d):
     """Edge-keeping mean."""
     return G.bilateral(cells(spark, d)).where("v is not null").select("tile", "i", "j", F.round("filtered", 6).alias("filtered"))
 
 
-@query(f"with {_CELLS}, f as (select a.tile, a.i, a.j, case when count(*) >= 3 then sum(b.v / greatest(0.25, pow(a.i - b.i, 2) + pow(a.j - b.j, 2))) / sum(1 / greatest(0.25, pow(a.i - b.i, 2) + pow(a.j - b.j, 2))) end as f from cells a join cells b on a.tile = b.tile and pow(a.i - b.i, 2) + pow(a.j - b.j, 2) <= 9 and b.v is not null where a.v is null group by 1, 2, 3) select c.tile, c.i, c.j, round(coalesce(c.v, f.f), 6) as filled from cells c left join f on c.tile = f.tile and c.i = f.i and c.j = f.j")
+@query(f"with {_CELLS}, f as (select a.tile, a.i, a.j, case when count(*) >= 3 then sum(b.v / power(greatest(0.5, sqrt(power(a.i - b.i, 2) + power(a.j - b.j, 2))), 2)) / sum(1 / power(greatest(0.5, sqrt(power(a.i - b.i, 2) + power(a.j - b.j, 2))), 2)) end as f from cells a join cells b on a.tile = b.tile and a.i between b.i - 3 and b.i + 3 and a.j between b.j - 3 and b.j + 3 and b.v is not null where a.v is null and not a.stale group by 1, 2, 3) select c.tile, c.i, c.j, round(coalesce(c.v, f.f), 6) as filled from cells c left join f on c.tile = f.tile and c.i = f.i and c.j = f.j")
 def idw_fill(spark, d):
-    """T5: holes filled from near cells."""
-    return G.idw_fill(cells(spark, d), 3).select("tile", "i", "j", F.round("filled", 6).alias("filled"))
+    """T5: holes filled from the cells of the square around, but for those that are stale."""
+    return G.idw_fill(cells(spark, d), 3, stale="stale").select("tile", "i", "j", F.round("filled", 6).alias("filled"))
 
 
 @query(f"with {_CELLS} select a.tile, a.i, a.j, case when count(b.v) > 0.15 * 25 then round(quantile_cont(b.v, 0.75), 6) end as context from cells a left join cells b on a.tile = b.tile and abs(a.i - b.i) <= 2 and abs(a.j - b.j) <= 2 and b.v is not null group by 1, 2, 3")
@@ -226,15 +237,15 @@ def context_percentile(spark, d):
     return G.window_percentile(cells(spark, d), 2, 0.75).select("tile", "i", "j", F.round("context", 6).alias("context"))
 
 
-@query(f"""with {_CELLS}, p as (select o_orderkey as id, o_custkey % 4 as tile, o_orderkey % 190 / 10.0::double as x, o_orderkey % 230 / 10.0::double as y from orders),
+@query(f"""with {_CELLS}, p as (select c_custkey as id, c_custkey * 10 // 4096 as tile, c_custkey * 37 % 640 / 10.0::double as x, c_custkey * 53 % 640 / 10.0::double as y from customer),
 c as (select p.*, a.a, b.b, case when a.a = 1 then x - floor(x) else 1 - (x - floor(x)) end * case when b.b = 1 then y - floor(y) else 1 - (y - floor(y)) end as w from p, (values (0), (1)) a(a), (values (0), (1)) b(b)),
 s as (select id, case when sum(w) > 0.05 then sum(w * v) / sum(w) end as sampled from c join cells g on g.tile = c.tile and g.j = floor(c.x) + c.a and g.i = floor(c.y) + c.b where v is not null group by 1) select p.id, round(s.sampled, 6) as sampled from p left join s using (id)""")
 def bilinear_sampling(spark, d):
     """Null-aware mean of four corners."""
     from ..session import table
 
-    k = F.col("o_orderkey")
-    p = table(spark, d, "orders").select(k.alias("id"), (F.col("o_custkey") % 4).alias("tile"), (k % 190 / 10.0).cast("double").alias("x"), (k % 230 / 10.0).cast("double").alias("y"))
+    k = F.col("c_custkey")
+    p = table(spark, d, "customer").select(k.alias("id"), F.floor(k * 10 / 4096).alias("tile"), (k * 37 % 640 / 10.0).cast("double").alias("x"), (k * 53 % 640 / 10.0).cast("double").alias("y"))
     return G.bilinear(p, cells(spark, d), ["id"]).select("id", F.round("sampled", 6).alias("sampled"))
 
 
@@ -254,31 +265,12 @@ def tile_pyramid(spark, d):
     return G.tile_pyramid(records(spark, d), "lon", "lat", range(6)).select("z", "x", "y", F.col("n").cast("long").alias("n"))
 
 
-@query()
-def overdeepening(spark, d):
-    """Depth under the outlet, basin by basin. No SQL: flooding by a queue."""
-    return G.overdeepening(cells(spark, d), least=1.0)
-
-
-@query()
-def particle_trails(spark, d):
-    """Paths of order points through a field made of line items. No SQL: stepping."""
-    from ..session import table
-
-    g = cells(spark, d)
-    field = g.select("tile", "i", "j", ((F.coalesce("v", F.lit(25.0)) - 25) / 10).alias("vx"), F.sin(F.col("i") / 3.0).alias("vy"))
-    k = F.col("o_orderkey")
-    p = table(spark, d, "orders").select((F.col("o_custkey") % 4).alias("tile"), k.alias("id"), (k % 190 / 10.0).cast("double").alias("x"), (k % 230 / 10.0).cast("double").alias("y"))
-    t = PT.trails(p, field, 20, 0.25)
-    return t.select("tile", "id", F.size("trail").alias("n_vertices"), F.element_at("trail", -1)["x"].alias("x"), F.element_at("trail", -1)["y"].alias("y"))
-
-
-@query(f"with {TRACES}, w as (select cell, event_id, row_number() over (partition by cell order by value desc, event_id) as rn from traces) select cell, least(5, count(*)) as kept, greatest(0, 3 - count(*)) as spawned from w group by cell")
+@query(f"with {TRACES} select cell, sensor, case when count(*) > 13 then 12 else count(*) end as kept, greatest(0, 12 - count(*)) as spawned from traces group by 1, 2")
 def density_management(spark, d):
-    """Between 3 and 5 per cell; the newest surplus retires."""
-    p = traces(spark, d).select("cell", F.col("event_id").alias("id"), F.col("value").alias("age"))
-    m = PT.managed(p, p.select("cell").distinct(), ["cell"], 3, 5)
-    return m.groupBy("cell").agg(F.count_if(F.col("id") >= 0).alias("kept"), F.count_if(F.col("id") < 0).alias("spawned"))
+    """12 per cell; the newest surplus retires once there are over 13."""
+    p = traces(spark, d).select("cell", "sensor", F.col("event_id").alias("id"), F.col("value").alias("age"))
+    m = PT.managed(p, p.select("cell", "sensor").distinct(), ["cell", "sensor"], 12, 12)
+    return m.groupBy("cell", "sensor").agg(F.count_if(F.col("id") >= 0).alias("kept"), F.count_if(F.col("id") < 0).alias("spawned"))
 
 
 # windows over time: batch forms of the streams

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, links as L
@@ -34,8 +35,8 @@ def _box(x0, y0, x1, y1):
 
 
 def _albers_sql(lon: str, lat: str) -> tuple[str, str]:
-    """The projection of geo.albers() as SQL."""
-    e2, a = geo.E2, geo.A
+    """The equal-area conic of the Alaska grid as SQL, on GRS80."""
+    a, e2 = 6_378_137.0, 0.00669438002290
     e = math.sqrt(e2)
     q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
     m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
@@ -53,9 +54,28 @@ _PLACE = "p as (select o_orderkey as id, -165 + o_orderkey % 300 / 10.0::double
 _CORNERS = ", ".join(f"{_albers_sql(x, y)[i]} as {'xy'[i]}{k}" for k, (x, y) in enumerate((("lon - w", "lat - w"), ("lon + w", "lat - w"), ("lon + w", "lat + w"), ("lon - w", "lat + w"))) for i in (0, 1))
 
 
-@query(f"with {_PLACE}, c as (select id, {_CORNERS} from p), m as (select id, x0, y0, x1 - x0 as x1, y1 - y0 as y1, x2 - x0 as x2, y2 - y0 as y2, x3 - x0 as x3, y3 - y0 as y3 from c), a as (select *, (x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2) / 2 as a from m) select id, round(a / 100) as area, round((x0 + ((x1 + x2) * (x1 * y2 - x2 * y1) + (x2 + x3) * (x2 * y3 - x3 * y2)) / (6 * a)) / 100)::bigint as cx, round((y0 + ((y1 + y2) * (x1 * y2 - x2 * y1) + (y2 + y3) * (x2 * y3 - x3 * y2)) / (6 * a)) / 100)::bigint as cy from a")
+def _albers_inverse_sql(x: str, y: str) -> str:
+    """CTEs i0 to i6 over a table m (id, cx, cy): longitude, and latitude in radians by six steps."""
+    a, e2 = 6_378_137.0, 0.00669438002290
+    e = math.sqrt(e2)
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    p0, p1, p2 = map(math.radians, (50.0, 55.0, 65.0))
+    n = (m(p1) ** 2 - m(p2) ** 2) / (q(math.sin(p2)) - q(math.sin(p1)))
+    c = m(p1) ** 2 + n * q(math.sin(p1))
+    rho0 = a * math.sqrt(c - n * q(math.sin(p0))) / n
+    first = f"i0 as (select *, degrees(atan2({x}, {rho0}::double - {y})) / {n}::double - 154 as lon, ({c}::double - (pow({x}, 2) + pow({rho0}::double - {y}, 2)) * {n * n / (a * a)}::double) / {n}::double as qq from m), j0 as (select *, asin(qq / 2) as p from i0)"
+    t = f"(1 - {e2}::double * pow(sin(p), 2))"
+    step = f"p + pow({t}, 2) / (2 * cos(p)) * (qq / {1 - e2}::double - sin(p) / {t} + ln((1 - {e}::double * sin(p)) / (1 + {e}::double * sin(p))) / {2 * e}::double)"
+    return ", ".join([first, *(f"j{k} as (select * replace ({step} as p) from j{k - 1})" for k in range(1, 7))])
+
+
+_FLAT = f"c as (select id, {_CORNERS} from p), o as (select id, x0, y0, x1 - x0 as x1, y1 - y0 as y1, x2 - x0 as x2, y2 - y0 as y2, x3 - x0 as x3, y3 - y0 as y3 from c), r as (select *, (x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2) / 2 as a from o), m as (select id, a, x0 + ((x1 + x2) * (x1 * y2 - x2 * y1) + (x2 + x3) * (x2 * y3 - x3 * y2)) / (6 * a) as cx, y0 + ((y1 + y2) * (x1 * y2 - x2 * y1) + (y2 + y3) * (x2 * y3 - x3 * y2)) / (6 * a) as cy from r)"
+
+
+@query(f"with {_PLACE}, {_FLAT}, {_albers_inverse_sql('cx', 'cy')} select id, round(a)::bigint as area, round(cx)::bigint as cx, round(cy)::bigint as cy, round(lon, 6) as lon, round(degrees(p), 6) as lat from j6")
 def equal_area_shapes(spark, d):
-    """Area and centroid of shapes in degrees, in the equal-area projection (in 100 m², 100 m)."""
+    """Area and centroid of shapes in degrees, in the equal-area projection (whole metres), and where that is (six digits)."""
     k, w = F.col("o_orderkey"), F.lit(0.001) * (1 + F.col("o_custkey") % 20)
     lon, lat = F.lit(-165) + k % 300 / F.lit(10.0), F.lit(55) + k % 130 / F.lit(10.0)
     rows = table(spark, d, "orders").select(k.alias("id"), lon.cast("double").alias("lon"), lat.cast("double").alias("lat"), w.alias("w"))
@@ -64,8 +84,9 @@ def equal_area_shapes(spark, d):
     # moved to the first corner, where sums of products keep their digits
     first = F.get(F.get(F.get("g", F.lit(0)), F.lit(0)), F.lit(0))
     moved = flat.select("id", first.alias("o"), F.transform("g", lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.struct((q["x"] - first["x"]).alias("x"), (q["y"] - first["y"]).alias("y"))))).alias("g"))
-    c = moved.select("id", "o", geo.area("g").alias("a"), geo.centroid("g").alias("c"))
-    return c.select("id", F.round(F.col("a") / 100).alias("area"), F.round((F.col("o.x") + F.col("c.x")) / 100).cast("long").alias("cx"), F.round((F.col("o.y") + F.col("c.y")) / 100).cast("long").alias("cy"))
+    c = moved.select("id", "o", geo.area("g").alias("a"), geo.centroid("g").alias("c")).select("id", "a", (F.col("o.x") + F.col("c.x")).alias("x"), (F.col("o.y") + F.col("c.y")).alias("y"))
+    lon, lat = geo.albers_inverse("x", "y")
+    return c.select("id", F.round("a").cast("long").alias("area"), F.round("x").cast("long").alias("cx"), F.round("y").cast("long").alias("cy"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 _BOXES = "b as (select s_suppkey as id, s_nationkey as g, s_suppkey % 40 / 10.0::double as x0, s_suppkey % 40 / 10.0::double + 1 + s_suppkey % 3 as x1, s_suppkey % 7 / 10.0::double as y0, s_suppkey % 7 / 10.0::double + 2 as y1 from supplier)"
@@ -75,20 +96,25 @@ def boxes(spark, d):
     return table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_nationkey as g", "cast(s_suppkey % 40 / 10.0 as double) as x0", "cast(s_suppkey % 40 / 10.0 + 1 + s_suppkey % 3 as double) as x1", "cast(s_suppkey % 7 / 10.0 as double) as y0", "cast(s_suppkey % 7 / 10.0 + 2 as double) as y1")
 
 
-@query(f"with {_BOXES}, j as (select a.id as a_id, b.id as b_id, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) as s from b a join b on a.g = b.g and a.id < b.id) select a_id, b_id, round(i / (s - i), 6) as iou from j")
+@query(f"with {_BOXES}, j as (select a.id as a_id, b.id as b_id, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) as s from b a join b on a.g = b.g and a.id < b.id) select a_id, b_id, round(i / (s - i), 6) as iou from j where i > 0")
 def convex_overlaps(spark, d):
-    """Overlap of convex shapes of a group, by clipping."""
-    b = boxes(spark, d).select("g", "id", _box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("r"))
-    a, c = b.select("g", F.col("id").alias("a_id"), F.col("r").alias("ra")), b.select("g", F.col("id").alias("b_id"), F.col("r").alias("rb"))
-    return a.join(c, "g").where("a_id < b_id").select("a_id", "b_id", F.round(geo.convex_iou(F.col("ra"), F.col("rb")), 6).alias("iou"))
+    """Overlaps of convex shapes of a group, by clipping; candidates by cells of their boxes."""
+    from ..operators import relational as R
+
+    b = boxes(spark, d)
+    ring = lambda p: _box(*(F.col(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")))
+    pairs = R.meeting_boxes(b, b, 2.0, ["g"]).where("a_id < b_id")
+    return pairs.select("a_id", "b_id", F.round(geo.convex_iou(ring("a"), ring("b")), 6).alias("iou")).where("iou > 0")
 
 
 @query(f"with {_BOXES}, p as (select c_custkey as id, c_nationkey as g, c_custkey % 97 / 10.0::double as x, c_custkey % 53 / 10.0::double as y from customer) select p.id, min(round(sqrt(pow(greatest(b.x0 - p.x, 0, p.x - b.x1), 2) + pow(greatest(b.y0 - p.y, 0, p.y - b.y1), 2)), 6)) as nearest from p join b using (g) group by p.id")
 def distance_to_shapes(spark, d):
-    """Distance of points from the nearest shape of their group, 0 inside."""
-    b = boxes(spark, d).select("g", F.array(F.array(_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))).alias("s"))
+    """Distance of points from the nearest shape of their group, 0 inside; by cells, in turns of doubling reach."""
+    from ..operators import relational as R
+
+    b = boxes(spark, d).select("g", F.array(F.array(_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))).alias("geom"))
     p = table(spark, d, "customer").selectExpr("c_custkey as id", "c_nationkey as g", "cast(c_custkey % 97 / 10.0 as double) as x", "cast(c_custkey % 53 / 10.0 as double) as y")
-    return p.join(b, "g").groupBy("id").agg(F.min(F.round(geo.distance_to("s", "x", "y"), 6)).alias("nearest"))
+    return R.nearest_shapes(p, b, "id", 1.0, ["g"]).select("id", F.round("nearest", 6).alias("nearest")).where("nearest is not null")
 
 
 @query("with p as (select c_custkey, c_custkey % 3600 / 10.0::double - 180 as lon, c_custkey % 1200 / 10.0::double - 60 as lat from customer) select c_custkey, printf('https://maps.example/#mapCenter=%.5f%%2C%.5f%%2C%d', lon, lat, greatest(10, least(19, cast(round_even(least(log2(156543.03392 * 1280.0 / 111320.0 / 0.04), log2(156543.03392 * 900.0 / 111320.0 * greatest(0.01, cos(radians(lat))) / 0.02)), 0) as int)))) || '&mode=explore' || case when c_custkey % 3 = 0 then '&active=' || c_custkey else '' end as url from p")
@@ -116,43 +142,93 @@ def content_dedupe(spark, d):
     return E.photos_by_content(up, "text", ["id"]).select(F.col("id").alias("doc_id"), "photo_id", "dedupe")
 
 
-@query(f"""with {PARTS}, k as (select parent_id, parent_id || '-' || line || '-' || pkey || '-' || skey as id, area from parts), u as (select case when line = 7 then -parent_id else parent_id end as parent_id, case when line = 6 then 'new-' else '' end || parent_id || '-' || line || '-' || pkey || '-' || skey as id, area + case when line = 5 then 1 else 0 end as area from parts where line > 2)
-select coalesce(k.id, u.id) as id, case when u.parent_id is not null and u.parent_id not in (select parent_id from k) then 'no parent' when k.id is null then 'insert' when u.id is null then 'missing' when k.area <> u.area or k.parent_id <> u.parent_id then 'update' else 'unchanged' end as status from k full join u on k.id = u.id""")
+@query(f"""with {PARTS}, k as (select parent_id, parent_id || '-' || line || '-' || pkey || '-' || skey as id, area, line from parts), u as (select case when line = 7 then -parent_id else parent_id end as parent_id, case when line = 6 then 'new-' else '' end || parent_id || '-' || line || '-' || pkey || '-' || skey as id, area + case when line = 5 then 1 else 0 end as area from parts where line > 2)
+select coalesce(k.id, u.id) as id, case when u.parent_id is not null and u.parent_id not in (select parent_id from k) then 'no parent' when k.id is null then 'insert' when u.id is null then 'missing' when k.area <> u.area or k.parent_id <> u.parent_id or k.line = 4 then 'update' else 'unchanged' end as status from k full join u on k.id = u.id""")
 def part_diff(spark, d):
-    """D3: parts compared with an upload, by shape, columns and parent."""
+    """D3: parts compared with an upload, by shape, columns and parent. Rings that start elsewhere and turn the other way are the same."""
     p = parts(spark, d)
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("parent_id", "line", "pkey", "skey")])
-    cur = p.select("parent_id", key.alias("id"), "area")
-    up = p.where("line > 2").select(F.when(F.col("line") == 7, -F.col("parent_id")).otherwise(F.col("parent_id")).alias("parent_id"), F.concat(F.when(F.col("line") == 6, "new-").otherwise(""), key).alias("id"), (F.col("area") + F.when(F.col("line") == 5, 1).otherwise(0)).alias("area"))
-    return E.part_diff(cur, up, "id", "parent_id", cur.select("parent_id"), F.lit(True))
+    n, zero = F.col("line"), F.lit(0)
+    shape, turned, wider = _box(zero, zero, n, n + 1), _ring((n, n + 1), (n, zero), (zero, zero), (zero, n + 1)), _box(zero, zero, n + 1, n + 1)
+    cur = p.select("parent_id", key.alias("id"), "area", shape.alias("geom"))
+    up = p.where("line > 2").select(F.when(n == 7, -F.col("parent_id")).otherwise(F.col("parent_id")).alias("parent_id"), F.concat(F.when(n == 6, "new-").otherwise(""), key).alias("id"), (F.col("area") + F.when(n == 5, 1).otherwise(0)).alias("area"), F.when(n == 3, turned).when(n == 4, wider).otherwise(shape).alias("geom"))
+    return E.part_diff(cur, up, "id", "parent_id", cur.select("parent_id"), geo.same_shape(F.col("a.geom"), F.col("b.geom")))
+
+
+@query(f"""with {PARTS}, p as (select parent_id, parent_id * 10 + line as id, min(area) as area, max(pkey) as pkey from parts group by 1, 2), n as (select *, count(*) over (partition by parent_id) as n, pkey % 3 = 0 as leaves from p),
+g as (select *, count(*) filter (where leaves) over (partition by parent_id) as g from n), m as (select *, leaves and g < n and pkey % 7 <> 0 as moves from g) select id, case when moves then 'staged' else 'kept' end as place from m""")
+def detached_parts(spark, d):
+    """Parts moved to staging; a record keeps one part at least, and a name that is taken stays."""
+    p = parts(spark, d).groupBy("parent_id", (F.col("parent_id") * 10 + F.col("line")).alias("id")).agg(F.min("area").alias("area"), F.max("pkey").alias("pkey"))
+    name = F.concat(F.lit("Part "), F.col("pkey").cast("string"))
+    who = p.where("pkey % 3 = 0").select("parent_id", "id", name.alias("name"))
+    taken = p.where("pkey % 7 = 0").select(F.upper(name).alias("name")).distinct()
+    kept, staged = E.detached(p, p.select("id", "area", "pkey", F.lit("").alias("name")).limit(0), who, "parent_id", "id", taken, "name")
+    return kept.select("id", F.lit("kept").alias("place")).unionByName(staged.select("id", F.lit("staged").alias("place")))
+
+
+@query(f"""with {PARTS}, p as (select parent_id, parent_id * 10 + line as id, min(area) as area, max(line) as line from parts group by 1, 2) select id, case when line = 2 and abs(area / 2 - area) > 20000 then area / 2 else area end as area from p where line <> 3 union all select -id, area - 30000 from p where line = 4 and area - 30000 >= 1""")
+def saved_parts(spark, d):
+    """A record's parts after an edit: some go, changes below a floor are none, and new ones need an area."""
+    p = parts(spark, d).groupBy("parent_id", (F.col("parent_id") * 10 + F.col("line")).alias("id")).agg(F.min("area").alias("area"), F.max("line").alias("line"))
+    up = p.where("line = 2").select("id", (F.col("area") / 2).alias("new_area"))
+    new = p.where("line = 4").select("parent_id", (-F.col("id")).alias("id"), (F.col("area") - 30000).alias("area"), "line")
+    return E.saved(p, up, p.where("line = 3"), new, "id", F.abs(F.col("new_area") - F.col("area")) > 20000, F.col("area") >= 1).select("id", "area")
+
+
+@query("select c_custkey as key, case when o.v is not null then o.v else c_name end as value from customer left join (select o_custkey, 'order ' || max(o_orderkey) as v from orders group by 1) o on o_custkey = c_custkey")
+def settings_update(spark, d):
+    """Known keys take the posted value; posted keys that aren't known are left out."""
+    current = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    posted = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.concat(F.lit("order "), F.max("o_orderkey").cast("string")).alias("value"))
+    return E.settings(current, posted.unionByName(posted.select((-F.col("key") - 1).alias("key"), "value")))
+
+
+@query("select distinct o_custkey as key from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
+def not_cached_keys(spark, d):
+    """Distinct keys that the cache has not."""
+    cached = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
+    return E.not_cached(table(spark, d, "orders").select(F.col("o_custkey").alias("key")), cached, "key")
+
+
+@query("select c_custkey, case when c_custkey % 4 < 2 then 'story-' || c_custkey || '_a' end as slug from customer")
+def story_slugs(spark, d):
+    """F8: a story's name from its link, null where it isn't one."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("story-"), k.cast("string"), F.lit("_a"))
+    prefix = "https://stories.example/s/"
+    link = F.when(k % 4 == 0, F.concat(F.lit(f" {prefix}"), name, F.lit("/?q=1#x "))).when(k % 4 == 1, F.concat(F.lit(prefix), name)).when(k % 4 == 2, F.concat(F.lit(prefix), F.lit("../"), name)).otherwise(F.concat(F.lit("http://other.example/"), name))
+    return table(spark, d, "customer").select("c_custkey", L.story_slug(link, prefix).alias("slug"))
 
 
-@query(f"""with {PARTS}, s as (select pkey, line as id, role, parent_id % 100 * 100.0::double as x, skey % 10 * 100.0::double as y from parts where skey % 5 = 1),
-a as (select s.pkey, max(sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2))) as span from s join s t on s.pkey = t.pkey and s.id < t.id group by 1) select s.pkey, count(*) as n_parts, count(*) > 4 as many, count(distinct role) < count(*) as repeated, coalesce(max(a.span), 0) > 5000 as dispersed from s left join a using (pkey) group by 1""")
+@query(f"""with {PARTS}, s as (select pkey, row_number() over (partition by pkey order by parent_id, line) as id, role, parent_id % 100 * 100.0::double as x, skey % 10 * 100.0::double as y from parts), e as (select p_partkey as k, p_size % 50 * 200.0::double as ex, p_size * 100.0::double as ey from part where p_size > 25),
+a as (select s.pkey, max(sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2))) as span from s join s t on s.pkey = t.pkey and s.id < t.id group by 1), g as (select pkey, count(*) as n_parts, count(distinct role) as roles, avg(x) as sx, avg(y) as sy from s group by 1)
+select g.pkey, n_parts, e.k as attach_to, n_parts > 4 as many, roles < n_parts as repeated, e.k is null and coalesce(span, 0) > 5000 as dispersed, coalesce(sqrt(pow(sx - ex, 2) + pow(sy - ey, 2)) > 5000, false) as far from g left join a using (pkey) left join e on e.k = g.pkey""")
 def staging_preview(spark, d):
-    """Staged parts by name, with what to be warned of."""
-    s = parts(spark, d).where("skey % 5 = 1").select(F.col("pkey").cast("string").alias("name"), F.col("line").alias("id"), "role", (F.col("parent_id") % 100 * 100).cast("double").alias("x"), (F.col("skey") % 10 * 100).cast("double").alias("y"))
-    none = s.select("id", "name", "x", "y").limit(0)
-    p = E.preview(s, none, "name", "role", lambda a, b, c, e: F.hypot(F.col(a) - F.col(c), F.col(b) - F.col(e)))
+    """Staged parts by name, the record they would be added to, and what to be warned of."""
+    w = Window.partitionBy("pkey").orderBy("parent_id", "line")
+    s = parts(spark, d).withColumn("id", F.row_number().over(w)).select(F.col("pkey").cast("string").alias("name"), "id", "role", (F.col("parent_id") % 100 * 100).cast("double").alias("x"), (F.col("skey") % 10 * 100).cast("double").alias("y"))
+    known = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") % 50 * 200).cast("double").alias("x"), (F.col("p_size") * 100).cast("double").alias("y"))
+    p = E.preview(s, known, "name", "role", lambda a, b, c, e: F.hypot(F.col(a) - F.col(c), F.col(b) - F.col(e)))
     has = lambda w: F.array_contains("warnings", w)
-    return p.select(F.col("name").cast("long").alias("pkey"), "n_parts", has("many parts").alias("many"), has("repeated roles").alias("repeated"), has("parts far apart").alias("dispersed"))
+    return p.select(F.col("name").cast("long").alias("pkey"), "n_parts", "attach_to", has("many parts").alias("many"), has("repeated roles").alias("repeated"), has("parts far apart").alias("dispersed"), has("far from that record").alias("far"))
 
 
-@query("with q as (select l_orderkey, 'base name of ''' || p_name || ''' - look' as reason from lineitem join part on l_partkey = p_partkey where l_linenumber = 1) select q.l_orderkey, min(p.p_partkey) as ref_id from q join part p on q.reason = 'base name of ''' || p.p_name || ''' - look' group by q.l_orderkey, q.reason")
+@query("with q as (select l_orderkey, 'base name of ''' || p_name || ''' - look' as reason from lineitem join part on l_partkey = p_partkey) select q.l_orderkey, min(p.p_partkey) as ref_id from q join part p on q.reason = 'base name of ''' || p.p_name || ''' - look' group by q.l_orderkey, q.reason")
 def reason_lookup(spark, d):
     """The record that a reason names, found by its exact name."""
     from ..operators import relational as R
 
     p = table(spark, d, "part")
-    l = table(spark, d, "lineitem").where("l_linenumber = 1").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat(F.lit("base name of '"), "p_name", F.lit("' - look")).alias("reason"))
+    l = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat(F.lit("base name of '"), "p_name", F.lit("' - look")).alias("reason"))
     return R.named_in(l.distinct(), "reason", "'(.*)'", p, "p_name", "p_partkey").select("l_orderkey", "ref_id")
 
 
-@query("select c_custkey, c_name, o_orderkey, o_totalprice from customer left join (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) o on o_custkey = c_custkey and rn = 1 where c_nationkey < 8")
+@query("select c_custkey, c_name, o_orderkey, o_totalprice from customer left join (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) o on o_custkey = c_custkey and rn = 1")
 def listing(spark, d):
     """A page's rows, with what another table has of them."""
     newest = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("o"))
-    c = table(spark, d, "customer").where("c_nationkey < 8")
+    c = table(spark, d, "customer")
     return c.join(newest, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_name", "o.o_orderkey", "o.o_totalprice")
 
 

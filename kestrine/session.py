@@ -29,3 +29,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         at = tempfile.mkdtemp(prefix="kestrine-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read again: computed once, and safe from lost executors."""
+    path = shared_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

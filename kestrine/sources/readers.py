@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 FEATURES = "type string, features array<struct<type: string, id: string, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
 
 
-def features(spark: SparkSession, path: str) -> DataFrame:
-    """(file, position, id, geometry_type, coordinates, properties) of GeoJSON collections, one per file or line.
+def features(spark: SparkSession, path: str, whole: bool = False, members: str = "*") -> DataFrame:
+    """(file, position, id, geometry_type, coordinates, properties) of GeoJSON collections, one per line, or with whole one per file, however it is laid out.
+
+    members picks files of a folder by a pattern, as of an unzipped upload.
 
     Coordinates stay text and properties are a map, so files need not agree.
     Features without an id are named by place, 'upload-N'. A document that
     isn't a FeatureCollection raises when it is read.
     """
-    rows = spark.read.option("wholetext", False).text(path).select("value", F.expr("_metadata.file_path").alias("file"))
+    rows = spark.read.option("pathGlobFilter", members).option("recursiveFileLookup", True).text(path, wholetext=whole).select("value", F.expr("_metadata.file_path").alias("file"))
     parsed = rows.where(F.length(F.trim("value")) > 0).withColumn("c", F.from_json("value", FEATURES))
     ok = F.when(F.col("c.type") == "FeatureCollection", F.col("c.features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")).cast("array<struct<type: string, id: string, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"))
     f = parsed.select("file", F.posexplode(ok).alias("position", "f"))
@@ -63,15 +65,30 @@ def unfilled(value: Column, fill: float | None) -> Column:
     return F.nullif(value, F.lit(fill)) if fill else value
 
 
-def chunks_in(df: DataFrame, box: tuple[float, float, float, float], x: str = "x", y: str = "y", chunk_x: str = "xc", chunk_y: str = "yc", size: float = 1.0) -> DataFrame:
-    """Cells inside the box; chunk columns are tested first, so that a table partitioned by them is pruned."""
+def chunks_in(df: DataFrame, box: tuple[float, float, float, float], x: str = "x", y: str = "y", chunk_x: str = "xc", chunk_y: str = "yc", sizes: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Cells inside the box; chunk columns are tested first, so that a table partitioned by them is pruned. sizes are a chunk's width and height."""
     x0, y0, x1, y1 = box
     import math
 
-    by_chunk = F.col(chunk_x).between(math.floor(x0 / size), math.floor(x1 / size)) & F.col(chunk_y).between(math.floor(y0 / size), math.floor(y1 / size))
+    by_chunk = F.col(chunk_x).between(math.floor(x0 / sizes[0]), math.floor(x1 / sizes[0])) & F.col(chunk_y).between(math.floor(y0 / sizes[1]), math.floor(y1 / sizes[1]))
     return df.where(by_chunk).where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
 
 
+def grid(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """(i, j, n) of a matrix in a JSON sidecar: {field: [[...], ...]} over any number of lines."""
+    rows = spark.read.option("multiLine", True).schema(f"`{field}` array<array<double>>").json(path)
+    return rows.select(F.posexplode(field).alias("i", "row_")).select("i", F.posexplode("row_").alias("j", "n"))
+
+
+def replaced(rows: DataFrame, path: str, check: Column, probe: Column, what: str) -> DataFrame:
+    """Writes rows as the reference table at path and returns it. A row that fails the check, or no row that the probe finds, raises before the old table goes."""
+    fine = validated(rows, check, what)
+    if fine.where(probe).isEmpty():
+        raise ValueError(f"{what}: the probe finds nothing")
+    fine.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def catalogue(df: DataFrame, exclude: Sequence[str] = ()) -> list[tuple[str, str, bool]]:
     """(name, type, nullable) of a table's columns: what forms, exports and comparisons go by."""
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema if f.name not in exclude]

@@ -46,8 +46,8 @@ def write_sorted(df: DataFrame, path: str, by: str, partitions: int | None = Non
 
 def cropped(df: DataFrame, period: str, value: str, least: int) -> DataFrame:
     """Rows from the first to the last period with more than `least` values."""
-    full = df.groupBy(period).agg(F.count(value).alias("n_")).where(F.col("n_") > least).agg(F.min(period).alias("p0_"), F.max(period).alias("p1_"))
-    return df.join(F.broadcast(full), F.col(period).between(F.col("p0_"), F.col("p1_"))).drop("p0_", "p1_")
+    first, last = df.groupBy(period).agg(F.count(value).alias("n_")).where(F.col("n_") > least).agg(F.min(period), F.max(period)).first()
+    return df.where(F.col(period).between(F.lit(first), F.lit(last)))
 
 
 def write_snapshot(tables: Mapping[str, tuple[DataFrame, str]], members: DataFrame, member_key: str, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Executors need no copy of the package: queries with Python kernels run from another folder."""
+"""Executors need no copy of the package: queries run from another folder."""
 
 import subprocess
 import sys
@@ -12,7 +12,7 @@ sys.path.insert(0, {root!r})
 from kestrine.session import session
 from kestrine import plans
 spark = session("local[2]", 2)
-for q in ("robust_cell_fit", "monthly_inversion", "bilateral_filter", "overdeepening", "particle_trails"):
+for q in ("bilateral_filter", "weighted_trend", "point_in_polygon", "distance_to_shapes"):
     assert plans.queries()[q](spark, {sf!r}).count() > 0
 print("fine")
 """

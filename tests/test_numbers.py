@@ -1,4 +1,4 @@
-"""Geometry, histograms and kernels against what is known of their inputs."""
+"""Geometry, histograms, fits and grids against what is known of their inputs."""
 
 import math
 
@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kestrine.functions import geo, predicates as P, scalars as S
-from kestrine.operators import histograms as H, kernels as K, particles as PT, raster as G, timeseries as T
+from kestrine.operators import histograms as H, particles as PT, raster as G, timeseries as T
 
 
 def test_albers_round_trip_and_equal_area(spark):
@@ -69,75 +69,30 @@ def test_timeline_weights(spark):
     assert rate(None, None, None, 1700) == {"M": 1 / 150 / 12}
 
 
-def observations(seed, years=10, n=800, season=(40.0, -20.0), noise=1.0):
-    rng = np.random.default_rng(seed)
-    t1 = np.sort(rng.uniform(2015, 2015 + years, n))
-    dt = rng.uniform(10, 200, n)
-    t2 = t1 + dt / 365.25
-    a = K.interval_means(t1, t2, 2020.0)
-    truth = np.array([[300.0, 50.0], [8.0, -3.0], [season[0], 5.0], [season[1], 2.0]])
-    v = a @ truth + rng.normal(0, noise, (n, 2))
-    return rng, t1, t2, dt, v, truth
-
-
-def test_fit_recovers_the_model_among_blunders():
-    rng, t1, t2, dt, v, truth = observations(1)
-    bad = rng.random(len(v)) < 0.15
-    v[bad] += rng.normal(0, 2000, (bad.sum(), 2))
-    c, n, rms, first, last = K.velocity_fit(t1, t2, v, dt, np.ones(len(v)), 2020.0)
-    assert np.allclose(c, truth, atol=2.0) and n < len(v) and 2015 < first < 2016.5 and last > 2024
-
-
-def test_fit_admits_no_separations_that_lag_behind():
-    _, t1, t2, dt, v, truth = observations(2, season=(0.0, 0.0))
-    v[dt > 100] *= 0.3
-    c, *_ = K.velocity_fit(t1, t2, v, dt, dt**2, 2020.0)
-    assert abs(c[0, 0] - 300) < 10
-    assert K.separation_cap(np.where(dt > 64, 100.0, 300.0), dt) == 64.0
-
-
-def test_season_that_years_do_not_share_is_dropped():
-    _, t1, t2, dt, v, _ = observations(3, season=(0.0, 0.0))
-    mid = (t1 + t2) / 2
-    v[:, 0] += np.where(np.floor(mid) % 2 == 0, 1, -1) * 60 * np.cos(2 * np.pi * mid)
-    c, *_ = K.velocity_fit(t1, t2, v, dt, np.ones(len(v)), 2020.0)
-    assert (c[2:] == 0).all()
-    assert K.velocity_fit(t1[:5], t2[:5], v[:5], dt[:5], np.ones(5), 2020.0) is None
-
-
-def test_inversion_keeps_one_step():
-    rng = np.random.default_rng(4)
-    t1 = np.sort(rng.uniform(2015, 2020.5, 900))
-    dt = rng.uniform(10, 120, 900)
-    t2 = t1 + dt / 365.25
-    truth = np.zeros((72, 2))
-    truth[:, 0] = np.where(np.arange(72) < 36, 200.0, 500.0)
-    v = K.overlap_matrix(t1, t2, 2015.0, 72) @ truth + rng.normal(0, 5, (900, 2))
-    x, n, rms = K.monthly_velocity(t1, t2, v, dt, np.ones(900), 2015.0, 72)
-    assert abs(np.median(x[5:30, 0]) - 200) < 15 and abs(np.median(x[42:64, 0]) - 500) < 15
-    assert (np.abs(np.diff(x[3:65, 0])) > 30).sum() <= 4 and n > 800
-
-
-def test_harmonics_are_confirmed_in_order():
-    t = 2015 + (np.arange(120) + 0.5) / 12
-    x = 400 + 50 * np.cos(2 * np.pi * t) + 15 * np.sin(4 * np.pi * t)
-    coef, kept, explained = K.harmonics(np.stack([x, np.full(120, 30.0)], axis=1), 2015.0)
-    assert kept == 2 and explained > 0.95 and abs(coef[0, 0] - 50) < 3
-    flip = 400 + np.where(np.floor(t) % 2 == 0, 1, -1) * 50 * np.cos(2 * np.pi * t)
-    assert K.harmonics(np.stack([flip, flip], axis=1), 2015.0)[1] == 0
-    assert K.harmonics(np.ones((30, 2)), 2015.0) is None
-
-
-def test_tiers(spark):
-    rows = []
-    for cell, lo, hi in (("recent", 2019.0, 2024.9), ("old", 2010.0, 2016.0), ("both", 2010.0, 2024.9)):
-        rng = np.random.default_rng(len(cell))
-        for t in rng.uniform(lo, hi, 300):
-            rows.append((cell, float(t), float(t) + 0.05, 100.0 + float(rng.normal()), float(rng.normal()), 18.0, 20.0))
-    df = spark.createDataFrame(rows, "cell string, t1 double, t2 double, vx double, vy double, dt_days double, sigma double")
-    got = {r.cell: r for r in T.tiered_fit(df, ["cell"], 2018.0, 2025.0).collect()}
-    assert got["recent"].source == T.RECENT and got["both"].source == T.RECENT and abs(got["both"].cx[0] - 100) < 1
-    assert got["old"].source == T.MISSING and got["old"].cx is None
+def test_normal_equations_against_numpy(spark):
+    """Weights, season, ridge and damping; a cell without enough rows has no solution where nothing damps."""
+    rng = np.random.default_rng(1)
+    rows = [(c, float(t), float(t + d), float(v), float(w)) for c in range(3) for t, d, v, w in zip(rng.uniform(2015, 2025, 60), rng.uniform(0.02, 0.6, 60), rng.normal(300, 20, 60), rng.uniform(0.5, 2, 60), strict=True)]
+    df = spark.createDataFrame(rows, "cell int, t1 double, t2 double, v double, w double")
+    design = T.interval_design("t1", "t2", 2020.0)
+    for damping, ridge in ((None, 0.0), ((0.0, 0.0, 3.0, 3.0), 1e-3)):
+        got = {r.cell: r.coef for r in T.ridge_solve(T.normal_equations(df, ["cell"], design, "v", "w"), damping, ridge).collect()}
+        for c in range(3):
+            t1, t2, v, w = (np.array([r[k] for r in rows if r[0] == c]) for k in (1, 2, 3, 4))
+            tau = 2 * np.pi
+            a = np.stack([np.ones(60), (t1 + t2) / 2 - 2020, (np.sin(tau * t2) - np.sin(tau * t1)) / (tau * (t2 - t1)), (np.cos(tau * t1) - np.cos(tau * t2)) / (tau * (t2 - t1))], axis=1)
+            n = a.T @ (a * w[:, None])
+            want = np.linalg.solve(n + np.eye(4) * ridge * np.trace(n) / 4 + np.diag(damping or [0] * 4), a.T @ (w * v))
+            assert np.allclose(got[c], want, rtol=1e-7)
+    lone = spark.createDataFrame([(1, 2020.0, 2020.5, 5.0, 1.0)], df.schema)
+    assert T.ridge_solve(T.normal_equations(lone, ["cell"], design[:1], "v", "w"), ridge=0.0).first().coef is None
+    assert abs(T.ridge_solve(T.normal_equations(lone, ["cell"], design[:1], "v", "w"), (0.0, 1.0), 1e-9).first().coef[0] - 5) < 0.5
+
+
+def test_sensors_and_floors(spark):
+    df = spark.createDataFrame([(10.0, "S1A", "S1A"), (1000.0, "S1A", None), (1000.0, None, "L7x"), (0.0, "L7", "L8")], "dt double, a string, b string")
+    got = [r[0] for r in df.select(T.pair_sigma("dt", ("a", "b"), 120.0, {"L7": 3.0, "L8": 2.0})).collect()]
+    assert np.allclose(got, [25.5 * 365.25 / 10, 120.0, 360.0, 25.5 * 365.25 * 3])
 
 
 def test_close_words_and_repairs(spark):
@@ -164,31 +119,58 @@ def test_moving_average_repeats_the_ends(spark):
     assert np.allclose(got, want)
 
 
-def test_bilateral_leaves_a_constant_alone_over_chunk_edges(spark):
-    df = spark.createDataFrame([(1, i, j, 7.0) for i in range(20) for j in range(20)], "tile int, i int, j int, v double")
-    got = G.bilateral(df, 3).collect()
-    assert len(got) == 400 and all(abs(r.filtered - 7) < 1e-12 for r in got)
+def grid_of(spark, v, stale=()):
+    return spark.createDataFrame([(1, i, j, None if np.isnan(v[i, j]) else float(v[i, j]), (i, j) in stale) for i in range(v.shape[0]) for j in range(v.shape[1])], "tile int, i int, j int, v double, stale boolean")
 
 
-def test_chunks_do_not_change_neighbourhoods(spark):
+def test_neighbourhoods_against_loops(spark):
+    """Squares of cells around each, at the rim and with holes."""
     rng = np.random.default_rng(3)
-    rows = [(1, i, j, float(rng.normal())) for i in range(30) for j in range(30)]
-    df = spark.createDataFrame(rows, "tile int, i int, j int, v double")
-    kernel = lambda g: sum(np.nan_to_num(x) for _, _, x in G.shifted(g, 2))
-    a, b = ({(r.i, r.j): r.s for r in G.by_chunks(df, 2, kernel, "s", chunk=c).collect()} for c in (8, 64))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
-
-
-def test_pit_depth(spark):
-    def depth(pit):
-        rows = [(1, i, j, 100.0 - pit if (i, j) == (3, 3) else 100.0) for i in range(7) for j in range(7)]
-        return {(r.i, r.j): r.depth for r in G.overdeepening(spark.createDataFrame(rows, "tile int, i int, j int, v double")).collect()}[3, 3]
-
-    assert depth(30.0) == 30.0 and depth(9.0) == 0.0
-
-
-def test_constant_field_moves_a_particle(spark):
-    field = spark.createDataFrame([(1, i, j, 1.0, 0.0) for i in range(5) for j in range(30)], "tile int, i int, j int, vx double, vy double")
-    p = spark.createDataFrame([(1, 9, 2.0, 2.0)], "tile int, id int, x double, y double")
-    end = PT.trails(p, field, 10, 1.0).first().trail[-1]
-    assert abs(end.x - 12) < 1e-9 and abs(end.y - 2) < 1e-9
+    v = rng.normal(10, 3, (13, 11))
+    v[rng.random(v.shape) < 0.3] = np.nan
+    df = grid_of(spark, v)
+    filled = {(r.i, r.j): r.filled for r in G.idw_fill(df, 2, 3).collect()}
+    smooth = {(r.i, r.j): r.filtered for r in G.bilateral(df, 2, 1.5, 2.0).collect()}
+    context = {(r.i, r.j): r.context for r in G.window_percentile(df, 2, 0.75).collect()}
+    assert len(filled) == len(smooth) == len(context) == v.size
+    for (i, j), own in np.ndenumerate(v):
+        near = [(a - i, b - j, v[a, b]) for a in range(max(0, i - 2), min(13, i + 3)) for b in range(max(0, j - 2), min(11, j + 3)) if not np.isnan(v[a, b])]
+        if np.isnan(own):
+            w = [1 / max(math.hypot(a, b), 0.5) ** 2 for a, b, _ in near]
+            want = np.average([x for *_, x in near], weights=w) if len(near) >= 3 else None
+            assert smooth[i, j] is None and (filled[i, j] is None) == (want is None) and (want is None or abs(filled[i, j] - want) < 1e-9)
+        else:
+            w = [math.exp(-(a * a + b * b) / 4.5 - (x - own) ** 2 / 8) for a, b, x in near]
+            assert filled[i, j] == own and abs(smooth[i, j] - np.average([x for *_, x in near], weights=w)) < 1e-9
+        assert (context[i, j] is None) == (len(near) <= 0.15 * 25) and (context[i, j] is None or abs(context[i, j] - np.percentile([x for *_, x in near], 75)) < 1e-9)
+
+
+def test_fill_reaches_corners_and_leaves_stale_cells(spark):
+    """Donors only in the corners of the square count; what has ended stays empty."""
+    v = np.full((5, 5), np.nan)
+    v[0, 0] = v[0, 4] = v[4, 0] = 1.0
+    assert {(r.i, r.j): r.filled for r in G.idw_fill(grid_of(spark, v), 2, 3).collect()}[2, 2] == 1.0
+    assert {(r.i, r.j): r.filled for r in G.idw_fill(grid_of(spark, v, {(2, 2)}), 2, 3, stale="stale").collect()}[2, 2] is None
+
+
+def test_surplus_retires_with_slack(spark):
+    rows = [(c, n, float(n)) for c, k in (("a", 5), ("b", 6), ("c", 9), ("d", 1)) for n in range(k)]
+    p = spark.createDataFrame(rows, "cell string, id long, age double")
+    got = PT.managed(p, p.select("cell").distinct(), ["cell"], 3, 5).collect()
+    ids = {c: sorted(r.id for r in got if r.cell == c) for c in "abcd"}
+    assert ids["a"] == [0, 1, 2, 3, 4] and ids["b"] == [0, 1, 2, 3, 4, 5] and ids["c"] == [4, 5, 6, 7, 8]
+    assert len(ids["d"]) == 3 and sum(i < 0 for i in ids["d"]) == 2
+
+
+def test_published_coordinates(spark):
+    """Worked examples of the standard manual of map projections: Albers on Clarke 1866, polar stereographic on the International ellipsoid."""
+    x, y = geo.albers(F.lit(-75.0), F.lit(35.0), -96.0, 23.0, 29.5, 45.5, 6_378_206.4, 0.00676866)
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert abs(r.x - 1_885_472.7) < 1 and abs(r.y - 1_535_925.0) < 1
+    lon, lat = geo.albers_inverse(F.lit(1_885_472.7), F.lit(1_535_925.0), -96.0, 23.0, 29.5, 45.5, 6_378_206.4, 0.00676866)
+    r = spark.range(1).select(lon.alias("lon"), lat.alias("lat")).first()
+    assert abs(r.lon + 75) < 1e-5 and abs(r.lat - 35) < 1e-5
+    # 75 S, 150 E about 100 W with a true scale at 71 S, seen from the north
+    x, y = geo.polar_stereographic(F.lit(-150.0), F.lit(75.0), 100.0, 71.0, 6_378_388.0, 0.00672267)
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert abs(r.x - 1_540_033.6) < 1 and abs(r.y - 560_526.4) < 1

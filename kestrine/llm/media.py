@@ -22,8 +22,10 @@ from .common import cut, fresh_path, small_batches, text_bytes
 
 LEAST, MASK_BITS, MOST = 1024, 12, 16384
 BLOCK = 64
-#: Bits of each of the two filters that every task gets: 8 MB whatever the input. A false positive only means that a chunk takes the way of shared ones, or that a copy is stored again.
-FILTER_BITS = 1 << 26
+#: Bits of each of the two filters that every task gets: BITS_EACH for every chunk, up to FILTER_BITS (32 MB) whatever the input. A false positive
+#: only means that a chunk takes the way of shared ones, by joins on its digest, or that a copy is stored again. With over some 10^9 different
+#: chunks the filters say nothing more and all chunks go by the joins: the results are the same, the shuffle is that of all payloads.
+BITS_EACH, LEAST_BITS, FILTER_BITS = 16, 1 << 20, 1 << 28
 RATE = 8000
 #: Bytes that a writer of chunks buffers.
 ROW_GROUP = 8 << 20
@@ -84,9 +86,15 @@ def feature(samples: bytes) -> str:
 
 
 def _where(digest: bytes) -> int:
+    """Place of a digest in a filter of any size: modulo its bits."""
     return int.from_bytes(digest[:4], "big") % FILTER_BITS
 
 
+def bits_for(chunks: int) -> int:
+    """Bits of a filter for so many chunks, a power of two."""
+    return min(FILTER_BITS, max(LEAST_BITS, 1 << (BITS_EACH * chunks).bit_length()))
+
+
 def _chunks(text: bytes, table) -> tuple[bytes, str, list[bytes], list[bytes]]:
     samples = padded(text)
     ends = cut_points(samples, table)
@@ -114,19 +122,23 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, media_sha256 string, owner_at int, at array<int>")
 
 
-def filters(slim: DataFrame) -> tuple[bytes, bytes]:
-    """Of digests(): the owner of each different media, the row with the smallest id; and the places of chunks that several different media have. One pass."""
+def filters(slim: DataFrame) -> tuple[bytes, bytes, int]:
+    """Of digests(): the owner of each different media, the row with the smallest id; the places of chunks that several different media have; and the bits of both."""
+    bits = bits_for(slim.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0])
     media = slim.groupBy("media_sha256").agg(F.min(F.struct("id", "owner_at", "at")).alias("o"))
-    own, parts = F.array(F.struct(F.lit(0).alias("kind"), F.col("o.owner_at").alias("at"))), F.transform(F.array_distinct("o.at"), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("at")))
+    place = lambda x: F.pmod(x, F.lit(bits)).cast("int")
+    own = F.array(F.struct(F.lit(0).alias("kind"), place(F.col("o.owner_at")).alias("at")))
+    parts = F.transform(F.array_distinct(F.transform("o.at", place)), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("at")))
     places = media.select(F.inline(F.concat(own, parts))).groupBy("kind", "at").count().where("kind = 0 or count > 1")
     maps = places.groupBy("kind", F.bitmap_bucket_number("at").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    held = [bytearray(FILTER_BITS // 8 + 2 * 4096) for _ in range(2)]
-    for kind, no, bits in maps:
-        held[kind][no * 4096 : (no + 1) * 4096] = bits
-    return zlib.compress(bytes(held[0]), 1), zlib.compress(bytes(held[1]), 1)
+    held = [bytearray(bits // 8 + 2 * 4096) for _ in range(2)]
+    for kind, no, found in maps:
+        held[kind][no * 4096 : (no + 1) * 4096] = found
+    return zlib.compress(bytes(held[0]), 1), zlib.compress(bytes(held[1]), 1), bits
 
 
-def _is_set(bitmap: bytes, at: int) -> bool:
+def _is_set(bitmap: bytes, at: int, bits: int) -> bool:
+    at %= bits
     # a place p > 0 is bit (p - 1) % 32768 of bucket (p - 1) // 32768 + 1, and 0 is bit 0 of bucket 0
     no, bit = ((at - 1) // 32768 + 1, (at - 1) % 32768) if at > 0 else (0, 0)
     return bool(bitmap[no * 4096 + bit // 8] >> (bit % 8) & 1)
@@ -149,14 +161,15 @@ def store(docs: DataFrame, slim: DataFrame, path: str, id_col: str = "doc_id", t
         import zstandard
 
         table, small = gear(), zstandard.ZstdCompressor(level=3)
-        owners, shared = map(zlib.decompress, sent.value)
+        owners, shared = map(zlib.decompress, sent.value[:2])
+        bits = sent.value[2]
         for b in batches:
             got = ([], [], [], [], [])
             for t, i in zip(text_bytes(b, "text"), b.column("id").to_pylist(), strict=True):
                 samples, sha, parts, names = _chunks(t, table)
-                if not _is_set(owners, _owner_at(sha, i)):
+                if not _is_set(owners, _owner_at(sha, i), bits):
                     continue
-                far = [_is_set(shared, _where(d)) for d in names]
+                far = [_is_set(shared, _where(d), bits) for d in names]
                 z = [small.compress(p) for p in parts]
                 rows = [("part" if any(far) else "own", sha, len(samples), names, [None if f else x for f, x in zip(far, z, strict=True)])]
                 rows += [("chunk", sha, k, [names[k]], [z[k]]) for k in range(len(z)) if far[k]]

@@ -232,21 +232,31 @@ def test_no_pages(spark, tmp_path):
 
 # media
 
-def test_media_against_brute_force(spark, docs_of):
+def brute_media(text):
+    """What op10 is to give for a text, from the contract and the WAV format, by loops."""
     import hashlib
+    import struct
     import zlib
 
+    raw = (text or "").encode()
+    x = raw + b"\0" * (-len(raw) % 64)
+    x = x or b"\0" * 64
+    head = b"RIFF" + struct.pack("<I", 36 + len(x)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(x))
+    level = [c - 128 for c in x]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(level, level[1:], strict=False))
+    feature = f"mean={sum(level) * 1000 // len(x)};crossings={crossings};energy={sum(v * v for v in level) // len(x)}"
+    return len(raw), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), 44 + len(x), hashlib.sha256(head + x).hexdigest(), feature
+
+
+def test_media_against_brute_force(spark, docs_of):
     rnd = random.Random(4)
     shared = "".join(rnd.choice("abcdefgh ") for _ in range(30_000))
-    rows = [*ODD, *((100 + i, f"{i} intro " * 50 + shared + f" end {i}") for i in range(6)), (200, shared), (201, shared)]
+    rows = [*ODD, (90, "x" * 64), (91, "x" * 63), (92, "x" * 65), *((100 + i, f"{i} intro " * 50 + shared + f" end {i}") for i in range(6)), (200, shared), (201, shared)]
     got = media.stored_features(docs_of(rows)).collect()
     assert len(got) == len(rows)
     want = {}
     for i, t in rows:
-        raw = (t or "").encode()
-        x = media.padded(raw)
-        assert len(x) % 64 == 0 and len(x) >= 64 and x.startswith(raw) and not x[len(raw) :].strip(b"\0")
-        want.setdefault(i, set()).add((len(raw), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), 44 + len(x), hashlib.sha256(media.wav_header(len(x)) + x).hexdigest(), media.feature(x)))
+        want.setdefault(i, set()).add(brute_media(t))
     for r in got:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) in want[r.id]
 
@@ -269,20 +279,39 @@ def test_cuts_follow_the_content():
     b = media.cut_points(b"some words before" + data, t)
     assert a[-1] == len(data) and all(x - y <= media.MOST for x, y in zip(a, [0, *a], strict=False))
     assert len({x + 17 for x in a} & set(b)) > 0.8 * len(a)
-    h = 0
-    for i, c in enumerate(data[:3000]):
-        h = ((h << 1) + int(t[c])) & 0xFFFF
-    assert isinstance(h, int)
+
+
+@pytest.mark.parametrize("n", [1, 17, 1023, 1024, 5000, 70_000])
+def test_cuts_are_those_of_a_rolling_hash(n):
+    """The hash rolled byte by byte, and the rules of least and most applied as it goes."""
+    t = media.gear()
+    for data in (random.Random(n).randbytes(n), b"ab" * (n // 2) + b"c"):
+        h, last, ends = 0, 0, []
+        for i, c in enumerate(data, 1):
+            h = ((h << 1) + int(t[c])) & 0xFFFF
+            if i - last == media.MOST and i < len(data):
+                hit = h >> (16 - media.MASK_BITS) == 0
+                ends.append(i)
+                last = i
+                assert not hit or ends[-1] == i
+            elif h >> (16 - media.MASK_BITS) == 0 and i - last >= media.LEAST:
+                ends.append(i)
+                last = i
+        if last < len(data):
+            ends.append(len(data))
+        assert media.cut_points(data, t) == ends
 
 
 def test_filter_has_what_is_put_in(spark):
     import zlib
 
-    places = [0, 1, 32767, 32768, 32769, media.FILTER_BITS - 1]
+    places = [0, 1, 32767, 32768, 32769, media.LEAST_BITS - 1, media.LEAST_BITS + 9]
     slim = spark.createDataFrame([(n, f"m{n}", p, [7]) for n, p in enumerate(places)] + [(99, "m0", 5, [9])], "id long, media_sha256 string, owner_at int, at array<int>")
-    bits, shared = map(zlib.decompress, media.filters(slim))
-    assert [p for p in (5, 7, 9) if media._is_set(shared, p)] == [7] and not media._is_set(bits, 5)
-    assert [p for p in {*places, 2, 40_000, 65_536} if media._is_set(bits, p)] == [p for p in {*places, 2, 40_000, 65_536} if p in places]
+    *maps, bits = media.filters(slim)
+    owners, shared = map(zlib.decompress, maps)
+    assert bits == media.LEAST_BITS and media.bits_for(1 << 20) == 1 << 25 and media.bits_for(1 << 40) == media.FILTER_BITS
+    assert [p for p in (5, 7, 9) if media._is_set(shared, p, bits)] == [7] and not media._is_set(owners, 5, bits)
+    assert [p for p in (*places, 2, 9, 40_000, 65_536) if media._is_set(owners, p, bits)] == [*places, 9]
 
 
 def test_no_media(docs_of):

@@ -145,3 +145,13 @@ def in_tile(x, y, x0, y0, x1, y1) -> Column:
 
 def stalled(status, started, now: Column, minutes: int = 30) -> Column:
     return (col(status) == "processing") & (col(started) < now - F.make_dt_interval(mins=F.lit(minutes)))
+
+
+def in_box(x, y, x0=None, x1=None, y0=None, y1=None) -> Column:
+    """Within the sides of a box that are set; null fails a side that is set, and passes one that isn't."""
+    out = F.lit(True)
+    for value, low, high in ((x, x0, x1), (y, y0, y1)):
+        for bound, ok in ((low, lambda v, b: v >= b), (high, lambda v, b: v <= b)):
+            if bound is not None:
+                out = out & F.coalesce(ok(col(value), F.lit(bound)), F.lit(False))
+    return out

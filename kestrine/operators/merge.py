@@ -73,6 +73,12 @@ def without(parents: DataFrame, gone: DataFrame, key: str, children: dict[str, t
     return {"parents": out} | {n: c.join(g, c[k] == g["gone_"], "left_anti") for n, (c, k) in children.items()}
 
 
+def backfilled(df: DataFrame, values: dict[str, Column], unless: str | None = None) -> DataFrame:
+    """df with values where a column is null; with `unless`, with all of them but where that flag holds."""
+    keep = (lambda c: F.col(c).isNotNull()) if unless is None else (lambda c: F.coalesce(F.col(unless), F.lit(False)))
+    return df.withColumns({c: F.when(keep(c), F.col(c)).otherwise(v) for c, v in values.items()})
+
+
 def first_values(rows: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per key: of each column the first value that isn't empty, and the columns on which rows disagree."""
     rank = F.struct(*order)

@@ -26,6 +26,6 @@ def managed(particles: DataFrame, cells: DataFrame, keys: Sequence[str], least:
 
 def keyframes(states: DataFrame, at: str, every: float, most: int, now: float) -> DataFrame:
     """Snapshots on a grid of times, the `most` nearest to now."""
-    on = states.where(F.abs(F.col(at) / every - F.round(F.col(at) / every)) < 1e-9)
+    on = states.where(F.abs(F.col(at) / every - F.round(F.col(at) / every)) < 1e-6)
     times = on.select(at).distinct().orderBy(F.abs(F.col(at) - now), at).limit(most)
     return on.join(times, at, "left_semi")

@@ -125,6 +125,11 @@ def yearly_context(df: DataFrame, keys: Sequence[str], at, value: str, dt_days:
     return short.select(*keys, "year", F.when(F.col("n") >= least, F.col("m_")).alias("mean"), "n")
 
 
+def context_screen(value, context, fast: float, share: float) -> Column:
+    """False for a slow value where its surroundings are fast: under `share` of a context of `fast` or more. Without context, true."""
+    return F.coalesce(~((col(context) >= fast) & (col(value) < share * col(context))), F.lit(True))
+
+
 def model_value(coef: Column, t: Column, first: Column, last: Column, reference: float, slack: float = 0.5) -> Column:
     """level + trend + season at t; the trend stands still beyond the window, and beyond its slack there is no value."""
     tau = 2 * 3.141592653589793

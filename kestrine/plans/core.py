@@ -80,6 +80,13 @@ def dual_range_filter(spark, d):
     return r.join(s, r["id"] == s["parent_id"], "left").where(P.dual_range("area_source", "area_deposit", "kind", 20_000, 90_000, 10_000, None)).select("id", "kind")
 
 
+@query(f"with {RECORDS} select kind, count(*) filter (where case when id % 6 <> 0 then volume end >= 20000 and case when id % 6 <> 0 then volume end <= 200000 and lat <= 50) as n_in, count(*) filter (where lat >= 0) as n_north, count(*) as n from records group by kind")
+def box_counts(spark, d):
+    """P25: records in a box of two values, whose unset sides let all pass and whose set sides fail null."""
+    r = records(spark, d).withColumn("v", F.when(F.col("id") % 6 != 0, F.col("volume")))
+    return r.groupBy("kind").agg(F.count_if(P.in_box("v", "lat", 20_000, 200_000, None, 50)).alias("n_in"), F.count_if(P.in_box("v", "lat", y0=0)).alias("n_north"), F.count(F.lit(1)).alias("n"))
+
+
 @query(f"with {RECORDS} select id, (case when coalesce(flagged, false) then 1 else 0 end) + (case when cls is null then 2 else 0 end) + (case when seismic_at is not null then 4 else 0 end) as bits, (seismic_at is not null and coalesce(flagged, false)) as both from records")
 def flag_bitmask(spark, d):
     """P13 P14."""

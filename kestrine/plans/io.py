@@ -35,6 +35,22 @@ def feature_round_trip(spark, d):
     return RD.features(spark, path).select("id", "geometry_type", RD.point(F.col("coordinates"))["x"].alias("x"), RD.point(F.col("coordinates"))["y"].alias("y"), p["kind"].alias("kind"), p["cls"].alias("cls"), p["volume"].cast("long").alias("volume"))
 
 
+@query("select cast(c_custkey as varchar) as id, 'MultiPolygon' as geometry_type, 8 as n_points, c_custkey % 100 + 0.25::double as x, round(2.0::double - 0.01, 6) as area from customer")
+def shape_round_trip(spark, d):
+    """Shapes with a hole written as feature collections, routed by their kind, and read back."""
+    from ..functions import geo
+
+    k = (F.col("c_custkey") % 100).cast("double")
+    pt = lambda x, y: F.struct((k + x).alias("x"), F.lit(float(y)).alias("y"))
+    outer, hole = F.array(pt(0.25, 0), pt(1.25, 0), pt(1.25, 2), pt(0.25, 2)), F.array(pt(0.5, 1), pt(0.6, 1), pt(0.6, 1.1), pt(0.5, 1.1), pt(0.5, 1))
+    path = shared_path(spark, "shapes")
+    WR.write_collections(table(spark, d, "customer").select(WR.shape_feature(F.col("c_custkey").cast("string"), F.array(F.array(outer, hole)), [F.col("c_name")]).alias("j")), "j", path)
+    found = RD.features(spark, path)
+    kinds = RD.route(found).where("kind = 'polygons'").select("file")
+    shape = found.join(kinds, "file", "left_semi").withColumn("g", RD.multipolygon(F.col("geometry_type"), F.col("coordinates")))
+    return shape.select("id", "geometry_type", (F.size(F.flatten(F.flatten("g"))) - 2).alias("n_points"), geo.box_of("g")["x0"].alias("x"), F.round(geo.area("g"), 6).alias("area"))
+
+
 @query("select event_id, user_id, value from events where event_id % 7 <> 0")
 def commented_csv_round_trip(spark, d):
     """CSV with comment lines and blanks, read back without them."""

@@ -147,6 +147,21 @@ def yearly_context(spark, d):
     return T.yearly_context(t, ["cell"], "at", "value", "dt", 16).select("cell", "year", "n", F.round("mean", 6).alias("mean"))
 
 
+@query(f"with {TRACES}, c as (select cell, day, quantile_cont(value, 0.75) as context, count(*) as n from traces group by 1, 2) select event_id, not (coalesce(case when n > 3 then context end, 0) >= 60 and value < 0.25 * context) as kept from traces join c using (cell, day)")
+def context_screen(spark, d):
+    """Slow values among fast ones go; the context is the upper quartile of what is around."""
+    t = traces(spark, d)
+    c = t.groupBy("cell", "day").agg(F.percentile("value", 0.75).alias("context"), F.count(F.lit(1)).alias("n")).select("cell", "day", F.when(F.col("n") > 3, F.col("context")).alias("context"))
+    return t.join(c, ["cell", "day"]).select("event_id", T.context_screen("value", "context", 60.0, 0.25).alias("kept"))
+
+
+@query(f"with {TRACES}, k as (select event_id, floor(epoch_us(ts) / 3600e6) / 24 as t from traces), g as (select t from k where abs(t * 24 - round(t * 24)) < 1e-6 group by 1 order by abs(t - 19740), t limit 20) select event_id, round(t, 6) as t from k where t in (select t from g)")
+def keyframes(spark, d):
+    """States at whole hours, the twenty times nearest to now."""
+    t = traces(spark, d).select("event_id", (F.floor(F.unix_micros("ts") / F.lit(3600e6)) / 24).alias("t"))
+    return PT.keyframes(t, "t", 1 / 24, 20, 19740.0).select("event_id", F.round("t", 6).alias("t"))
+
+
 @query(f"with {TRACES}, m as (select event_id, value, 2000 + event_id % 400 / 100.0::double as t from traces) select event_id, round(case when t between 2000.5 and 2003.5 then 50 + 2 * (greatest(2001.0::double, least(2003.0::double, t)) - 2002) + 3 * cos(2 * pi() * t) + 4 * sin(2 * pi() * t) end, 6) as at_t, round(value * greatest(0.0::double, 1 - greatest(0.0::double, greatest(2001 - t, t - 2003)) / 1.0), 6) as faded from m")
 def model_values(spark, d):
     """Level, trend and season at a time; the trend stands still beyond the support, and beyond its slack there is none; values that fade there."""

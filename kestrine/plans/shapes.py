@@ -249,3 +249,67 @@ def field_values(spark, d):
     e = table(spark, d, "events")
     k, v = F.col("event_id"), F.col("value")
     return e.select("event_id", S.field_value(F.when(k % 3 == 0, v), v * 2, F.when(k % 2 == 0, F.lit(5.0)), 300.0).alias("v"))
+
+
+@query(f"""with {PARTS} select parent_id || '-' || line || '-' || pkey || '-' || skey as id, case when line % 4 = 0 then 'sides cross' when line % 4 = 1 and pkey % 2 = 0 then 'no area' when line % 4 = 2 and pkey % 2 = 0 then 'too few points' end as problem from parts""")
+def shape_problems(spark, d):
+    """why a shape isn't valid. Repair isn't built."""
+    n, zero = F.col("line"), F.lit(0)
+    box, bow = _box(zero, zero, n, n + 1), _ring((zero, zero), (n, n), (n, zero), (zero, n))
+    flat, few = _ring((zero, zero), (n, n), (n + 1, n + 1)), _ring((zero, zero), (n, n), (zero, zero))
+    shape = F.when(n % 4 == 0, bow).when((n % 4 == 1) & (F.col("pkey") % 2 == 0), flat).when((n % 4 == 2) & (F.col("pkey") % 2 == 0), few).otherwise(box)
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("parent_id", "line", "pkey", "skey")])
+    return parts(spark, d).select(key.alias("id"), geo.problem(F.array(F.array(shape))).alias("problem"))
+
+
+@query("""with p as (select c_custkey as id, c_custkey % 300 - 150.0::double as lon, c_custkey % 40 + 45.0::double as lat, 0.5::double + c_custkey % 7 as w from customer),
+h as (select *, 2 * 6371008.8::double * asin(sqrt(pow(sin(radians(w) / 2), 2))) as north, 2 * 6371008.8::double * asin(sqrt(pow(cos(radians(lat)) * sin(radians(w) / 2), 2))) as east from p),
+t as (select *, tan(pi() / 4 - radians(lat) / 2) / pow((1 - sqrt(0.00669437999014::double) * sin(radians(lat))) / (1 + sqrt(0.00669437999014::double) * sin(radians(lat))), sqrt(0.00669437999014::double) / 2) as t,
+  tan(pi() / 4 - radians(70) / 2) / pow((1 - sqrt(0.00669437999014::double) * sin(radians(70))) / (1 + sqrt(0.00669437999014::double) * sin(radians(70))), sqrt(0.00669437999014::double) / 2) as tc, cos(radians(70)) / sqrt(1 - 0.00669437999014::double * pow(sin(radians(70)), 2)) as mc from h),
+m as (select *, id % 100 / 100.0::double as row_, atan((exp(pi() * (1 - 2 * (id % 100 / 100.0::double))) - exp(-pi() * (1 - 2 * (id % 100 / 100.0::double)))) / 2) as ml from t)
+select id, round(north + east, 2) as path, round(radians(w) * (sin(radians(lat + w)) - sin(radians(lat))) * pow(6378137.0::double, 2) / 1e6, 3) as km2, round(6378137.0::double * mc / tc * t * sin(radians(lon + 45)), 2) as x, round(-6378137.0::double * mc / tc * t * cos(radians(lon + 45)), 2) as y,
+  round(0.5 - ln(tan(pi() / 4 + ml / 2) * pow((1 - 0.0818191908426215::double * sin(ml)) / (1 + 0.0818191908426215::double * sin(ml)), 0.0818191908426215::double / 2)) / (2 * pi()), 9) as shifted from m""")
+def map_measures(spark, d):
+    """Length of a drawn line and area of a drawn cell on a sphere, polar map coordinates, and rows of the ellipsoidal map."""
+    from ..functions import scalars as S
+
+    k = F.col("c_custkey")
+    p = table(spark, d, "customer").select(k.alias("id"), (k % 300 - 150).cast("double").alias("lon"), (k % 40 + 45).cast("double").alias("lat"), (F.lit(0.5) + k % 7).alias("w"))
+    lon, lat, w = F.col("lon"), F.col("lat"), F.col("w")
+    line = _ring((lon, lat + w), (lon, lat), (lon + w, lat))
+    x, y = geo.polar_stereographic("lon", "lat")
+    return p.select("id", F.round(geo.ring_length(line, lambda a, b, c, e: S.haversine(a, b, c, e, 6_371_008.8)), 2).alias("path"), F.round(geo.spherical_area(_box(lon, lat, lon + w, lat + w)) / 1e6, 3).alias("km2"), F.round(x, 2).alias("x"), F.round(y, 2).alias("y"), F.round(L.mercator_shift(F.col("id") % 100 / F.lit(100.0)), 9).alias("shifted"))
+
+
+@query("with p as (select c_custkey, c_custkey % 3600 / 10.0::double - 180 as lon, c_custkey % 100 / 10.0::double as lat from customer) select c_custkey, '{\"a\": \"https://maps.example/#mapCenter=' || printf('%.5f%%2C%.5f%%2C%d', lon, lat, greatest(10, least(19, cast(round_even(least(log2(156543.03392 * 1280.0 / 111320.0 / 0.04), log2(156543.03392 * 900.0 / 111320.0 * greatest(0.01, cos(radians(lat))) / 0.02)), 0) as int)))) || '&mode=explore\", \"b\": \"https://o.example/?ext=1 ' || c_name || '\"}' as doc, 1 as n from p join customer using (c_custkey)")
+def patched_documents(spark, d):
+    """Links inside frozen documents, converted in place and counted; the rest stays."""
+    k = F.col("c_custkey")
+    p = table(spark, d, "customer").select("c_custkey", "c_name", (k % 3600 / F.lit(10.0) - 180).alias("lon"), (k % 100 / F.lit(10.0)).alias("lat"))
+    box = F.concat_ws(",", *[L.fixed(x, 2) for x in (F.col("lon") - 0.02, F.col("lat") - 0.01, F.col("lon") + 0.02, F.col("lat") + 0.01)])
+    doc = F.concat(F.lit('{"a": "https://maps.example/#ext='), box, F.lit('", "b": "https://o.example/?ext=1 '), F.col("c_name"), F.lit('"}'))
+    return p.select("c_custkey", L.patched(doc).alias("doc"), L.n_patched(doc).cast("int").alias("n"))
+
+
+@query(f"""with {PARTS}, l as (select distinct parent_id as rec, pkey as photo from parts), g as (select distinct parent_id as rec, pkey as photo from parts where role = 'deposit'), k as (select * from l except select * from g), o as (select rec, photo, row_number() over (partition by rec order by photo) - 1 as pos from k)
+select 'link' as what, rec, photo, case when rec % 3 = 0 then pos else -1 end as sort_order from o union all select 'photo', null, photo, null from (select distinct photo from l) p where photo not in (select photo from g) or photo in (select photo from k)""")
+def photo_links(spark, d):
+    """Links taken off, photos that lose their last link with them, and a record's photos put in a posted order."""
+    p = parts(spark, d)
+    links = p.select(F.col("parent_id").alias("rec"), F.col("pkey").alias("photo")).distinct().withColumn("sort_order", F.lit(-1))
+    gone = p.where("role = 'deposit'").select(F.col("parent_id").alias("rec"), F.col("pkey").alias("photo")).distinct()
+    left, photos = E.unlinked(links, gone, links.select("photo").distinct(), "rec", "photo")
+    wanted = left.where("rec % 3 = 0").groupBy("rec").agg(F.sort_array(F.collect_list("photo")).alias("photos"))
+    out = E.reordered(left, wanted, "rec", "photo").select(F.lit("link").alias("what"), "rec", "photo", "sort_order")
+    return out.unionByName(photos.select(F.lit("photo").alias("what"), F.lit(None).cast("long").alias("rec"), "photo", F.lit(None).cast("int").alias("sort_order")))
+
+
+@query("select o_orderkey as id, coalesce(case when o_orderkey % 3 <> 0 then cast(o_orderdate as date) end, date '2000-01-01') as reviewed_at, case when o_orderkey % 5 = 0 then 'by hand' else 'order of ' || o_custkey end as story from orders")
+def backfill(spark, d):
+    """Dates where there are none, and stamps but where someone has set them."""
+    from ..operators import merge as M
+
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(k.alias("id"), F.when(k % 3 != 0, F.col("o_orderdate").cast("date")).alias("reviewed_at"), F.when(k % 5 == 0, "by hand").alias("story"), F.when(k % 5 == 0, True).alias("manual"), "o_custkey")
+    out = M.backfilled(o, {"reviewed_at": F.lit("2000-01-01").cast("date")})
+    return M.backfilled(out, {"story": F.concat(F.lit("order of "), F.col("o_custkey").cast("string"))}, "manual").select("id", "reviewed_at", "story")

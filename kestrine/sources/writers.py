@@ -14,6 +14,15 @@ def feature(ident: Column, lon: Column, lat: Column, properties: Sequence[Column
     return F.to_json(F.struct(F.lit("Feature").alias("type"), ident.alias("id"), geometry.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"})
 
 
+def shape_feature(ident: Column, polygons: Column, properties: Sequence[Column | str]) -> Column:
+    """A multipolygon feature as JSON; rings are closed if they aren't."""
+    pair = lambda q: F.array(q["x"], q["y"])
+    closed = lambda r: F.when(F.get(r, F.lit(0)) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    coordinates = F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(closed(r), pair)))
+    geometry = F.when(polygons.isNotNull(), F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), ident.alias("id"), geometry.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"})
+
+
 def write_collections(rows: DataFrame, json_column: str, path: str) -> None:
     """One FeatureCollection per line for up to some thousand features: a line holds what a batch of rows holds, so no task gathers all."""
     batch = F.floor(F.monotonically_increasing_id() / 1000)

@@ -95,13 +95,6 @@ def ridge_solve(equations: DataFrame, damping: Sequence[float] | None = None, ri
     return solved.withColumn("coef", F.when(~F.exists("m_", lambda r: F.isnan(F.element_at(r, -1))), F.transform("m_", lambda r: F.element_at(r, -1)))).drop("t_", "d_", "m_")
 
 
-def month_overlap(df: DataFrame, d0: str, d1: str) -> DataFrame:
-    """df exploded to the months that each interval spans: month, share (its part of the interval's days)."""
-    out = df.withColumn("month", F.explode(F.sequence(F.trunc(d0, "MM"), F.trunc(d1, "MM"), F.expr("interval 1 month"))))
-    days = F.datediff(F.least(d1, F.last_day("month")), F.greatest(F.col(d0), F.col("month"))) + 1
-    return out.withColumn("share", days / (F.datediff(d1, d0) + 1))
-
-
 def verdict(residual, sigma, z: float = 3.0) -> Column:
     """0 without a model, 1 if within z sigmas, 2 beyond."""
     return F.when(col(residual).isNull(), 0).when(F.abs(col(residual)) <= z * col(sigma), 1).otherwise(2)
@@ -125,6 +118,12 @@ def yearly_context(df: DataFrame, keys: Sequence[str], at, value: str, dt_days:
     return short.select(*keys, "year", F.when(F.col("n") >= least, F.col("m_")).alias("mean"), "n")
 
 
+def season_of(c, s) -> tuple[Column, Column]:
+    """Amplitude of a season c cos + s sin, and the day of year of its crest."""
+    day = F.pmod(F.atan2(col(s), col(c)) / (2 * 3.141592653589793) * YEAR, F.lit(YEAR))
+    return F.hypot(col(c), col(s)), F.when((col(c) != 0) | (col(s) != 0), day)
+
+
 def context_screen(value, context, fast: float, share: float) -> Column:
     """False for a slow value where its surroundings are fast: under `share` of a context of `fast` or more. Without context, true."""
     return F.coalesce(~((col(context) >= fast) & (col(value) < share * col(context))), F.lit(True))

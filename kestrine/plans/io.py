@@ -71,6 +71,22 @@ def quantised_round_trip(spark, d):
     return back.select("event_id", "stored", RD.unfilled(F.col("e"), 7.0).alias("read"))
 
 
+@query("""with e as (select event_id as cell, value as v0, value / 10 - 3 as trend, value * cos(event_id) / 5 as c, value * sin(event_id) / 5 as s, event_id % 30 as n, event_id % 6 as source from events where value is not null)
+select cell, round_even(v0 / 0.5, 0) * 0.5 as v0, round_even(trend / 0.01, 0) * 0.01 as trend, round_even(sqrt(c * c + s * s) / 0.37, 0) * 0.37 as amp, case when n >= 5 then 1 else 0 end as verdict, source from e""")
+def model_bundle(spark, d):
+    """Models of cells packed in 16 bits, with verdict and source, written in order of cells and read back. (Phases are checked in the tests.)"""
+    from ..operators import timeseries as T
+
+    k, v = F.col("event_id"), F.col("value")
+    e = table(spark, d, "events").where("value is not null").select(k.alias("cell"), v.alias("v0"), (v / 10 - 3).alias("trend"), (v * F.cos(k.cast("double")) / 5).alias("c"), (v * F.sin(k.cast("double")) / 5).alias("s"), (k % 30).alias("n"), (k % 6).alias("source"))
+    amp, phase = T.season_of("c", "s")
+    packed = e.select("cell", WR.packed_int16(F.col("v0"), 0.5).alias("v0"), WR.packed_int16(F.col("trend"), 0.01).alias("trend"), WR.packed_int16(amp, 0.37).alias("amp"), WR.packed_int16(phase, 1.0).alias("phase"), (F.col("n") >= 5).cast("tinyint").alias("verdict"), F.col("source").cast("tinyint").alias("source"))
+    path = shared_path(spark, "models")
+    WR.write_sorted(packed, path, "cell")
+    b = spark.read.parquet(path)
+    return b.select("cell", WR.unpacked(F.col("v0"), 0.5).alias("v0"), WR.unpacked(F.col("trend"), 0.01).alias("trend"), WR.unpacked(F.col("amp"), 0.37).alias("amp"), F.col("verdict").cast("int").alias("verdict"), F.col("source").cast("int").alias("source"))
+
+
 @query("with c as (select user_id % 50 as cell, cast(ts as date) as day, value from events), n as (select day, count(*) as n from c group by 1 having count(*) > 30), r as (select min(day) as a, max(day) as b from n) select cell, day, count(*) as n from c, r where day between a and b group by 1, 2")
 def cropped_periods(spark, d):
     """From the first to the last period with enough values."""

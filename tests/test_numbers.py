@@ -174,3 +174,11 @@ def test_published_coordinates(spark):
     x, y = geo.polar_stereographic(F.lit(-150.0), F.lit(75.0), 100.0, 71.0, 6_378_388.0, 0.00672267)
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert abs(r.x - 1_540_033.6) < 1 and abs(r.y - 560_526.4) < 1
+
+
+def test_crest_of_a_season(spark):
+    df = spark.createDataFrame([(3.0, 4.0), (-1.0, 0.0), (0.0, -2.0), (0.0, 0.0)], "c double, s double")
+    amp, phase = T.season_of("c", "s")
+    got = [tuple(r) for r in df.select(amp, phase).collect()]
+    assert [g[0] for g in got] == [5.0, 1.0, 2.0, 0.0] and got[3][1] is None
+    assert np.allclose([g[1] for g in got[:3]], [math.atan2(4, 3) / 2 / math.pi * 365.25, 365.25 / 2, 365.25 * 0.75])

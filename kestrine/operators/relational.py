@@ -117,11 +117,6 @@ def nearest_shapes(points: DataFrame, shapes: DataFrame, key: str, reach: float,
     return points.select(key).join(done, key, "left")
 
 
-def matches(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """left with a boolean: has right such a key. right is made distinct first, so no row of left is repeated."""
-    return left.join(right.select(*keys).distinct().withColumn("hit_", F.lit(True)), list(keys), "left").withColumn(name, F.coalesce("hit_", F.lit(False))).drop("hit_")
-
-
 def delta(current: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with what to do: add or remove."""
     a, b = current.select(*keys).distinct(), wanted.select(*keys).distinct()

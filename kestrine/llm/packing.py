@@ -83,8 +83,10 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, ranks_path: str | None = None, end_id: int = 0) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit, end_id closes a document.
 
-    Null texts are empty: their only id is end_id. Every row of docs is cut
-    by itself, so repeated rows give repeated pieces.
+    Null and empty texts have one id, end_id. Every row of docs is cut by
+    itself, so repeated rows and ids give repeated pieces; very long texts
+    are encoded whole and give many; an empty table gives none; other columns
+    are ignored.
     """
     small_batches(docs.sparkSession)
 
@@ -156,9 +158,11 @@ class OpenSequences:
 def pack(rows: DataFrame, n_docs: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """rows (with length long, 1 to capacity) and where each goes: sequence_id long, offset long.
 
-    All columns of rows are kept; they shall not hold sequence_id or offset.
-    n_docs sets the number of groups. Offsets of a sequence are gapless from 0.
+    All columns of rows are kept, but for those named sequence_id or offset,
+    which are replaced. n_docs sets the number of groups. Offsets of a
+    sequence are gapless from 0; no rows make no sequences.
     """
+    rows = rows.drop("sequence_id", "offset")
     schema = rows.schema
 
     def run(batches: Iterator) -> Iterator:
@@ -177,7 +181,7 @@ def pack(rows: DataFrame, n_docs: int, capacity: int = CAPACITY, group_rows: int
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
-    """Pieces of docs with their ids and places: doc_id, piece, start, length, ids, sequence_id, offset."""
+    """pieces() of docs and where they go: doc_id, piece, start, length, ids, sequence_id, offset."""
     return pack(pieces(docs, capacity=capacity, ranks_path=ranks_path), docs.count(), capacity)
 
 

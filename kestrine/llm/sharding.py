@@ -62,6 +62,9 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int | Mapping[int, float] = 8, id_col: str = "doc_id") -> None:
-    """Writes docs as Parquet, a folder for each shard, with all their columns; shard_no must not be one of them."""
+    """Writes docs as Parquet, a folder for each shard, with all their columns. The folders are named shard_no=..., with more underscores if docs has such a column."""
     names = range(shards) if isinstance(shards, int) else shards
-    docs.withColumn("shard_no", rendezvous(F.col(id_col), names)).write.partitionBy("shard_no").parquet(path)
+    folder = "shard_no"
+    while folder.lower() in {c.lower() for c in docs.columns}:
+        folder += "_"
+    docs.withColumn(folder, rendezvous(F.col(id_col), names)).write.partitionBy(folder).parquet(path)

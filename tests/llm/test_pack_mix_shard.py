@@ -109,6 +109,8 @@ def test_odd_documents_pack(odd):
     rows = packing.packed(odd).collect()
     assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(i for i, _ in ODD)
     assert packing.packed(odd.limit(0)).count() == 0
+    again = packing.pack(packing.packed(odd), len(ODD))
+    assert again.columns == packing.packed(odd).columns and again.count() == len(rows)
 
 
 # mixing
@@ -235,6 +237,13 @@ def test_weights_are_kept(spark):
 
 
 def test_shards_written(spark, odd, tmp_path):
+    from pyspark.sql import functions as F
+
     sharding.write_shards(odd.drop("shard"), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(ODD)
+    sharding.write_shards(odd.withColumn("shard_no", F.lit("mine")), str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert {r.shard_no for r in back.collect()} == {"mine"} and "shard_no_" in back.columns
+    got = sharding.sharded(odd).collect()
+    assert len(got) == len(ODD) and {r["size"] for r in got if r.doc_id == 7} == {200_001}
     assert sharding.sharded(odd.limit(0)).count() == 0

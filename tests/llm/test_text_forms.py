@@ -42,6 +42,12 @@ def test_chat_ties_nulls_and_empty(spark):
     assert chat.formatted(spark.createDataFrame([], s)).count() == 0
 
 
+def test_chat_of_very_long_texts(spark):
+    long = "<|im_end|>& " * 50_000
+    r = chat.formatted(spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")).select(chat.parsed(F.col("formatted")).alias("p"), chat.learned(F.col("segments")).alias("l"), "valid").first()
+    assert [x.text for x in r.p] == [long, long] and r.l == long and r.valid
+
+
 # surrogates
 
 MIXED = [

@@ -40,7 +40,8 @@ GRAMS = 2048
 GRAM_WEIGHT, FEW = 16, 20
 #: Rows whose buckets are unpacked at once.
 STRIP = 128
-STEPS = 20
+#: Steps of a score in which labels are counted for its calibration, and how many each way.
+CALIBRATION_STEP, STEPS = 0.25, 400
 KEEP_FROM = 0.4
 
 
@@ -105,7 +106,7 @@ class View:
         self.total = counts[:, 0, :].sum(axis=1)
         self.weights = np.log(counts[1] / self.total[1]) - np.log(counts[0] / self.total[0])
         self.prior = float(np.log(self.total[1] / self.total[0]))
-        self.edges = self.odds = None
+        self.slope, self.level = 1.0, 0.0
         if on is not None:
             self.gram_weights = self._centred(np.log(on[1] / n[1]) - np.log(on[0] / n[0]))
 
@@ -148,10 +149,8 @@ class View:
         return out
 
     def calibrated(self, raw):
-        """Log-odds of good by the labels of documents with a like score."""
-        import numpy as np
-
-        return np.interp(raw, self.edges, self.odds)
+        """Log-odds of good by the labels: a line in the score."""
+        return self.slope * raw + self.level
 
 
 def step(raw):
@@ -306,8 +305,33 @@ def _fit(table: DataFrame, text: View | None, meta: View | None) -> tuple[View,
     return View(counts[0], counts[2], counts[0][:, 0, :].sum(axis=1) - BINS * 0.5 + 1), View(counts[1])
 
 
+def line(raw, good, bad) -> tuple[float, float]:
+    """Slope, not below 0, and level of the log-odds that make counts of good and bad at scores most likely, by Newton steps.
+
+    Each class has a share of 1 / (its count + 2) on the other's side, so that few or
+    well-parted labels don't make a view sure of itself; without labels, 0 and 0.
+    """
+    import numpy as np
+
+    n1, n0 = good.sum(), bad.sum()
+    up, down = (n1 + 1) / (n1 + 2), 1 / (n0 + 2)
+    n, hits = good + bad, good * up + bad * down
+    scale = max(1.0, float(np.abs(raw).max(initial=0.0)))
+    x = np.stack([raw / scale, np.ones(len(raw))])
+    w = np.array([0.0, float(np.log((n1 + 1) / (n0 + 1)))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        step_ = np.linalg.solve((x * (n * p * (1 - p))) @ x.T + np.eye(2) * 1e-6, x @ (hits - n * p))
+        w = w + np.clip(step_, -4, 4)
+        if np.abs(step_).max() < 1e-9:
+            break
+    if w[0] < 0:
+        return 0.0, float(np.log((n1 + 1) / (n0 + 1)))
+    return float(w[0] / scale), float(w[1])
+
+
 def _calibrate(table: DataFrame, views: tuple[View, View]) -> float:
-    """Sets each view's calibration by the share of good labels in steps of its score; returns the prior log-odds.
+    """Sets each view's calibration by the labels in steps of its score; returns the prior log-odds.
 
     Each labelled document is scored by the counts of all others, so that the
     score it is calibrated on isn't one that its own label has made.
@@ -319,28 +343,17 @@ def _calibrate(table: DataFrame, views: tuple[View, View]) -> float:
         use = ~np.isnan(y)
         for k, (view, (x, bits)) in enumerate(zip(views, both, strict=True)):
             raw = view.without(x[use], y[use], None if bits is None else bits[use])
-            steps = np.clip(np.floor(raw), -STEPS, STEPS).astype(int)
+            steps = np.clip(np.floor(raw / CALIBRATION_STEP), -STEPS, STEPS).astype(int)
             for s, good in zip(steps.tolist(), y[use].astype(int).tolist(), strict=True):
                 yield (k, s, good), 1.0
 
     got = _sums(table, count, "view step y")
     all_good, all_bad = (sum(v for (k, _, y), v in got.items() if k == 0 and y == c) for c in (1, 0))
-    prior = float(np.log((all_good + 0.5) / (all_bad + 0.5)))
-    rate = (all_good + 0.5) / (all_good + all_bad + 1)
     for k, view in enumerate(views):
-        steps = np.arange(-STEPS, STEPS + 1)
-        good = np.array([got.get((k, int(s), 1), 0.0) for s in steps])
-        bad = np.array([got.get((k, int(s), 0), 0.0) for s in steps])
-        odds = np.log((good + 2 * rate) / (bad + 2 * (1 - rate)))
-        weight = good + bad + 0.5
-        blocks: list[list[float]] = []
-        for o, w in zip(odds, weight, strict=True):  # pooled until they don't fall
-            blocks.append([o, w, 1])
-            while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
-                b, a = blocks.pop(), blocks.pop()
-                blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-        view.edges, view.odds = steps + 0.5, np.concatenate([np.full(int(n), o) for o, _, n in blocks])
-    return prior
+        steps = sorted({s for v, s, _ in got if v == k})
+        good, bad = (np.array([got.get((k, s, y), 0.0) for s in steps]) for y in (1, 0))
+        view.slope, view.level = line((np.array(steps, dtype=float) + 0.5) * CALIBRATION_STEP, good, bad)
+    return float(np.log((all_good + 1) / (all_bad + 1)))
 
 
 def cotrained(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:

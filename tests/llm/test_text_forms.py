@@ -459,6 +459,23 @@ def test_cotraining_against_brute_force(spark):
     assert np.allclose(model.meta.without(m[use], y), [v for v in left_out[1] if v is not None], atol=1e-6)
 
 
+def test_calibration_is_the_likeliest_line():
+    """Against a search on a grid; without labels it says nothing, and a score that runs the wrong way is dropped."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    raw = np.linspace(-6, 6, 49)
+    n = rng.integers(1, 30, 49).astype(float)
+    good = rng.binomial(n.astype(int), 1 / (1 + np.exp(-(0.8 * raw + 1)))).astype(float)
+    a, b = quality.line(raw, good, n - good)
+    up, down = (good.sum() + 1) / (good.sum() + 2), 1 / ((n - good).sum() + 2)
+    loss = lambda a, b: (n * np.logaddexp(0, a * raw + b) - (good * up + (n - good) * down) * (a * raw + b)).sum()
+    assert abs(a - 0.8) < 0.15 and abs(b - 1) < 0.3
+    assert all(loss(a, b) <= loss(a + i, b + j) + 1e-6 for i in (-0.05, 0, 0.05) for j in (-0.1, 0, 0.1))
+    assert quality.line(np.zeros(0), np.zeros(0), np.zeros(0)) == (0.0, 0.0)
+    assert quality.line(raw, (raw < 0) * 5.0, (raw >= 0) * 5.0)[0] == 0.0
+
+
 def test_scores_are_those_of_the_texts(spark, odd):
     """From the training's features or from texts anew: the same."""
     labels = spark.createDataFrame([(3, 1), (6, 0)], "doc_id long, quality int")

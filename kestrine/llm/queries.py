@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, media, mixing, packing, pii, quality, sharding, simhash, warc
+from . import chat, credentials, exact, media, mixing, negatives, packing, pii, quality, runs, sharding, simhash, warc
 from .common import fresh_path, removed
 
 
@@ -77,8 +77,30 @@ def op10_media_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = credentials.secrets(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{credentials.KINDS[k]}")
+    return got.select(F.col("id").alias("doc_id"), *map(of_kind, range(3)), F.sha2(credentials.listed("base").cast("binary"), 256).alias("base_sha256"), credentials.listed("spans").alias("spans"), F.size("links").cast("long").alias("n_linked"))
+
+
+def op12_gnat_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.planted().alias("text"))
+    got = runs.periodic_runs(docs)
+    # the longest, by the contract's ties
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return got.withColumn("b", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"), F.floor(F.col("b.length") * 1000 / -F.col("b.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_cotraining, op2_simhash_near_dedup, op3_mix_sources, op4_exact_dedup, op5_best_fit_packing, op6_chat_formatting, op7_rendezvous_sharding, op8_pii_surrogates, op9_warc_reassembly, op10_media_chunking)}
+    return {f.__name__: f for f in (op1_quality_cotraining, op2_simhash_near_dedup, op3_mix_sources, op4_exact_dedup, op5_best_fit_packing, op6_chat_formatting, op7_rendezvous_sharding, op8_pii_surrogates, op9_warc_reassembly, op10_media_chunking, op11_credential_linking, op12_gnat_hard_negatives, op13_kruskal_runs)}
 
 
 OP3 = """
@@ -125,6 +147,16 @@ select d.page_id, cast(d.n as bigint) as payload_bytes, d.sha as payload_digest,
   case when d.n >= 100 and d.page_id <> f.first_id then f.first_id end as refers_to from d join f using (sha)
 """
 
+OP12 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label, cast(list_inner_product(a.v, b.v) as bigint) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where label = anchor_label qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as int) as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and s.label <> s.anchor_label and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3, "op4_exact_dedup": OP4, "op6_chat_formatting": OP6, "op9_warc_reassembly": OP9}
+    return {"op3_mix_sources": OP3, "op4_exact_dedup": OP4, "op6_chat_formatting": OP6, "op9_warc_reassembly": OP9, "op12_gnat_hard_negatives": OP12}

@@ -40,6 +40,10 @@ POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
 #: Distances are rounded; by so much ranges are widened.
 SLACK = 1e-6
+#: Types of stored vectors.
+TYPES = ("<i2", "<i4", "<f8")
+#: Windows of scores of one query, numbered, so that they share its vector.
+WINDOWS = "array<struct<slot: int, low: double, high: double>>"
 
 
 def vectors(table: DataFrame) -> DataFrame:
@@ -111,27 +115,34 @@ def routed(nodes: list[tuple], x):
 
 
 def matrix(column, width: int):
-    """A binary column of doubles as rows of `width`; shorter vectors end in zeros."""
+    """A binary column of numbers as rows of `width`; the first byte of each names their type, and shorter vectors end in zeros."""
     import numpy as np
 
     out = np.zeros((len(column), width))
     for i, b in enumerate(column.to_pylist()):
-        v = np.frombuffer(b, dtype="<f8")
+        v = np.frombuffer(b, dtype=TYPES[b[0]], offset=1)
         out[i, : len(v)] = v
     return out
 
 
+def stored(v) -> bytes:
+    """A vector as bytes, in the narrowest type that holds it."""
+    import numpy as np
+
+    most = max(map(abs, v), default=0)
+    kind = 0 if most < 1 << 15 else 1 if most < 1 << 31 else 2
+    return bytes([kind]) + np.asarray(v, dtype=TYPES[kind]).tobytes()
+
+
 def placed(rows: DataFrame, nodes: list[tuple], width: int) -> DataFrame:
     """rows with vec (binary) for v, and leaf."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            raw = [np.asarray(v, dtype="<f8").tobytes() for v in b.column("v").to_pylist()]
-            vec = pa.array(raw, pa.binary())
+            vec = pa.array([stored(v) for v in b.column("v").to_pylist()], pa.binary())
             yield pa.record_batch([b.column("id"), b.column("label"), vec, pa.array(routed(nodes, matrix(vec, width))[0])], ["id", "label", "vec", "leaf"])
 
     return rows.mapInArrow(run, "id long, label long, vec binary, leaf long")
@@ -205,7 +216,7 @@ class Tree:
         self.known = ranges(self.rows, self.nodes, self.width)
 
     def queries(self, rows: DataFrame) -> DataFrame:
-        """rows (id, label, vec, leaf) of this tree as queries without a window: all leaves may hold an answer."""
+        """rows (id, label, vec, leaf) of this tree as queries with one window that lets all scores in."""
         return rows.select(F.col("id").alias("q"), F.col("label").alias("q_label"), F.col("vec").alias("q_vec"), F.col("leaf").alias("home"), F.lit(0).alias("slot"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
 
     def blocks(self, most: int) -> DataFrame:
@@ -216,25 +227,31 @@ class Tree:
         return cut(dealt.groupBy("leaf", "n_blocks", "block").agg(F.collect_list(F.struct("id", "label", "vec")).alias("rows")))
 
     def visits(self, queries: DataFrame) -> DataFrame:
-        """queries with leaf, one row for each leaf that their window reaches."""
+        """(q, q_label, q_vec, windows, leaf): queries with windows, one row for each leaf with the windows that reach it."""
         nodes, known, width = self.nodes, self.known, self.width
 
         def run(batches: Iterator) -> Iterator:
+            import numpy as np
             import pyarrow as pa
 
             for b in batches:
-                got = reached(nodes, known, matrix(b.column("q_vec"), width), b.column("low").to_numpy(), b.column("high").to_numpy())
-                yield b.append_column("leaves", pa.array(got, pa.list_(pa.int64())))
+                of, low, high, windows = unpacked(b.column("windows"))
+                by_leaf: dict[tuple[int, int], list] = {}
+                for k, leaves in enumerate(reached(nodes, known, matrix(b.column("q_vec"), width)[of], low, high)):
+                    for leaf in leaves:
+                        by_leaf.setdefault((int(of[k]), leaf), []).append(windows[k])
+                rows = pa.array(np.array([q for q, _ in by_leaf], dtype=np.int64))
+                told = pa.array(list(by_leaf.values()), b.schema.field("windows").type)
+                yield pa.record_batch([*(b.column(c).take(rows) for c in ("q", "q_label", "q_vec")), told, pa.array([leaf for _, leaf in by_leaf], pa.int64())], ["q", "q_label", "q_vec", "windows", "leaf"])
 
-        schema = "q long, q_label long, q_vec binary, home long, slot int, low double, high double, leaves array<long>"
-        return queries.mapInArrow(run, schema).withColumn("leaf", F.explode("leaves")).drop("leaves")
+        return queries.mapInArrow(run, f"q long, q_label long, q_vec binary, windows {WINDOWS}, leaf long")
 
     def compared(self, visits: DataFrame, blocks: DataFrame, n_queries: int, alike: bool, most: int) -> DataFrame:
-        """(q, q_label, q_vec, slot, id, score): of each visit and block the first `most` answers, of the query's label or of others."""
+        """(q, q_label, slot, id, score): of each window of a visit and block the first `most` answers, of the query's label or of others."""
         width = self.width
         leaves = F.broadcast(blocks.select("leaf", "n_blocks").distinct())
-        dealt = visits.join(leaves, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("pack", F.pmod(F.xxhash64("q", "q_label", "slot"), F.lit(-(-max(n_queries, 1) // PACK))))
-        packs = dealt.groupBy("leaf", "block", "pack").agg(F.collect_list(F.struct("q", "q_label", "q_vec", "slot", "low", "high")).alias("asked"))
+        dealt = visits.join(leaves, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("pack", F.pmod(F.xxhash64("q", "q_label", "q_vec"), F.lit(-(-max(n_queries, 1) // PACK))))
+        packs = dealt.groupBy("leaf", "block", "pack").agg(F.collect_list(F.struct("q", "q_label", "q_vec", "windows")).alias("asked"))
         small_batches(blocks.sparkSession)
 
         def run(batches: Iterator) -> Iterator:
@@ -248,18 +265,20 @@ class Tree:
                     q = dict(zip((f.name for f in asked.type), asked.flatten(), strict=True))
                     scores = matrix(q["q_vec"], width) @ x.T
                     own = labels[None, :] == q["q_label"].to_numpy()[:, None]
-                    fits = (own if alike else ~own) & (scores >= q["low"].to_numpy()[:, None]) & (scores <= q["high"].to_numpy()[:, None]) & (ids[None, :] != q["q"].to_numpy()[:, None])
-                    at, to = [], []
-                    for i in np.flatnonzero(fits.any(axis=1)).tolist():
-                        ok = np.flatnonzero(fits[i])
+                    able = (own if alike else ~own) & (ids[None, :] != q["q"].to_numpy()[:, None])
+                    of, low, high, windows = unpacked(q["windows"])
+                    at, to, slots = [], [], []
+                    for j, i in enumerate(of.tolist()):
+                        ok = np.flatnonzero(able[i] & (scores[i] >= low[j]) & (scores[i] <= high[j]))
                         if len(ok) > 4 * most:  # what is below the last of the first ones is never sorted
                             ok = ok[scores[i, ok] >= np.partition(scores[i, ok], -most)[-most]]
-                        best = ok[np.lexsort((ids[ok], -scores[i, ok]))[:most]]
+                        best = ok[np.lexsort((ids[ok], -scores[i, ok]))[:most]].tolist()
                         at += [i] * len(best)
-                        to += best.tolist()
+                        to += best
+                        slots += [windows[j]["slot"]] * len(best)
                     if at:
                         pick = pa.array(at)
-                        yield pa.record_batch([*(q[c].take(pick) for c in ("q", "q_label", "q_vec", "slot")), pa.array(ids[to]), pa.array(scores[at, to].astype(np.int64))], ["q", "q_label", "q_vec", "slot", "id", "score"])
+                        yield pa.record_batch([*(q[c].take(pick) for c in ("q", "q_label", "q_vec")), pa.array(slots, pa.int32()), pa.array(ids[to]), pa.array(scores[at, to].astype(np.int64))], ["q", "q_label", "q_vec", "slot", "id", "score"])
 
         met = packs.join(blocks.select("leaf", "block", "rows"), ["leaf", "block"]).select("rows", "asked")
         return met.mapInArrow(run, "q long, q_label long, q_vec binary, slot int, id long, score long")
@@ -268,10 +287,20 @@ class Tree:
         """(q, q_label, q_vec, slot, id, score, rank): the first `most` rows with a score in each query's window, by score, then id."""
         by = ["q", "q_label", "q_vec", "slot"]
         order = [F.col("score").desc(), F.col("id")]
-        home = self.compared(queries.withColumn("leaf", F.col("home")), blocks, n_queries, alike, most)
+        grouped = lambda rows: rows.groupBy("q", "q_label", "q_vec", "home").agg(F.collect_list(F.struct("slot", "low", "high")).alias("windows"))
+        home = self.compared(grouped(queries).withColumn("leaf", F.col("home")), blocks, n_queries, alike, most)
         last = firsts(home, by, order, most).where(F.col("rank") == most).select(*by, F.col("score").cast("double").alias("least"))
         narrowed = queries.join(last, by, "left").withColumn("low", F.greatest("low", F.coalesce("least", "low"))).select(*queries.columns)
-        return firsts(self.compared(self.visits(narrowed), blocks, n_queries, alike, most), by, order, most)
+        return firsts(self.compared(self.visits(grouped(narrowed)), blocks, n_queries, alike, most), by, order, most)
+
+
+def unpacked(column) -> tuple:
+    """Of a column of windows: the row of each window, its bounds, and the windows."""
+    import numpy as np
+
+    flat, offsets = column.flatten(), column.offsets.to_numpy()
+    _, low, high = flat.flatten()
+    return np.repeat(np.arange(len(column)), np.diff(offsets)), low.to_numpy(zero_copy_only=False), high.to_numpy(zero_copy_only=False), flat.to_pylist()
 
 
 def hard_negatives(table: DataFrame, every: int = 50, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
@@ -295,6 +324,6 @@ def hard_negatives(table: DataFrame, every: int = 50, positives: int = POSITIVES
     # a window in hundredths: 100 scores of it are whole numbers
     windows = found.where("score >= 0").join(asked.select("q", "q_label", "q_vec", "home"), ["q", "q_label", "q_vec"])
     asked = windows.select("q", "q_label", "q_vec", "home", F.col("rank").alias("slot"), F.ceil(F.col("score") * LOW / F.lit(100)).cast("double").alias("low"), F.floor(F.col("score") * HIGH / F.lit(100)).cast("double").alias("high"))
-    got = tree.search(asked, blocks, n * positives, False, negatives)
+    got = tree.search(asked, blocks, n, False, negatives)
     told = found.select("q", "q_label", "q_vec", F.col("rank").alias("slot"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     return told.join(got, ["q", "q_label", "q_vec", "slot"]).select(F.col("q").alias("anchor_id"), "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -203,24 +203,36 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, value: str) ->
 
 
 def _ranked_counts(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, value, n_, to_, m_) per distinct value: how many rows have it, how many have it or less, and all.
+    """(keys, value, n_, to_, m_) per distinct value: how many rows have it, how many of its keys have it or less, and all.
 
-    Without keys, values are cut into ranges by Spark and each range starts
-    where the ranges before it end, so no task holds them all.
+    Keys and values are cut into ranges by Spark, and a key's part of a range
+    starts where its parts in the ranges before end, so no task holds all
+    values of a key that many rows have. There is a part per key, and one more
+    per range.
     """
     from ..session import settled
 
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
-    if keys:
-        return n.withColumn("to_", F.sum("n_").over(Window.partitionBy(*keys).orderBy(value))).withColumn("m_", F.sum("n_").over(Window.partitionBy(*keys)))
-    cut_up = settled(n.repartitionByRange(value).withColumn("range_", F.spark_partition_id()))
-    before, starts = 0, []
-    for r in sorted(cut_up.groupBy("range_").agg(F.sum("n_").alias("s")).collect()):
-        starts += [F.lit(r.range_), F.lit(before)]
-        before += r.s
-    start = F.element_at(F.create_map(*starts), F.col("range_")) if starts else F.lit(0)
-    own = F.sum("n_").over(Window.partitionBy("range_").orderBy(value))
-    return cut_up.withColumn("to_", own + start).withColumn("m_", F.lit(before)).drop("range_")
+    cut_up = settled(n.repartitionByRange(*keys, value).withColumn("range_", F.spark_partition_id()))
+    whole = Window.partitionBy(*keys)
+    parts = cut_up.groupBy("range_", *keys).agg(F.sum("n_").alias("s_")).withColumns({"start_": F.coalesce(F.sum("s_").over(whole.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "m_": F.sum("s_").over(whole)})
+    same = F.col("a.range_") == F.col("b.range_")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    met = cut_up.alias("a").join(parts.alias("b"), same).select(*[f"a.{c}" for c in ("range_", *keys, value, "n_")], "b.start_", "b.m_")
+    own = F.sum("n_").over(Window.partitionBy("range_", *keys).orderBy(value))
+    return met.select(*keys, value, "n_", (own + F.col("start_")).alias("to_"), "m_")
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(keys, at array, m): interpolated percentiles of each key's values, exactly, and how many there are; nulls are left out."""
+    cum = _ranked_counts(df, value, keys)
+    place = F.col("s_") * (F.col("m_") - 1)
+    at = cum.select("*", F.posexplode(F.array(*map(F.lit, shares))).alias("i_", "s_")).withColumns({"lo_": F.floor(place), "hi_": F.ceil(place)})
+    has = lambda c: (F.col(c) < F.col("to_")) & (F.col(c) >= F.col("to_") - F.col("n_"))
+    two = at.where(has("lo_") | has("hi_")).groupBy(*keys, "i_", "m_").agg(F.min(value).alias("a_"), F.max(value).alias("b_"), F.first(place - F.col("lo_")).alias("f_"))
+    mixed = F.col("a_") + (F.col("b_") - F.col("a_")) * F.col("f_")
+    return two.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i_", mixed.alias("x_")))), lambda s: s["x_"]).alias("at"), F.first("m_").alias("m"))
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int, *keys: str) -> DataFrame:

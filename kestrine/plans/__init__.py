@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "series", "io", "shapes")
+MODULES = ("core", "series", "io", "shapes", "fits")
 
 
 def queries() -> dict:

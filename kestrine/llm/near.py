@@ -13,8 +13,13 @@ everything by numpy exclusive-or and bit counts; full tiles are cut as op2's.
 A tile emits a forest of shortest distances: each text is tied to the nearest
 one, groups by their nearest members, so edges don't grow with pairs. Each
 edge is then checked exactly on the shingles of both texts, so that unlike
-texts stay. If the nearest tie of a text falls short of the similarity, those
-farther off aren't tried.
+texts stay. Then come turns, as a tie may fall short of the similarity where
+one farther off wouldn't: texts that checked edges join are one, pairs within
+one aren't looked at again, and each text is tied to the nearest of others
+that it hasn't been tried with, to AGAIN at first and four times as many in
+each further turn. The turns end when no tile had to leave one out, and then
+every pair of a tile within the radius has been checked, or is joined by
+checked ones.
 """
 
 from __future__ import annotations
@@ -22,17 +27,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, small_batches, text_bytes
-from .simhash import TILE, first_of_each, tile_arrays, tiles
+from .simhash import TILE, tile_arrays, tiles
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 WORDS, RADIUS = 4, 56
 SEED = 42
+#: Nearest texts that a text is tried with in the first turn.
+AGAIN = 16
 #: Comparisons with one text that share a copy of it; more are dealt to other copies, which may go to other tasks.
 SHARE = 64
 
@@ -91,8 +98,13 @@ def signature(hashes) -> tuple[list[int], list[int]]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist(), np.packbits(over * 2 > len(hashes), bitorder="little").view(np.int64).tolist()
 
 
+def identity() -> list[Column]:
+    """128 bits that tell texts apart, as two columns."""
+    return [F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("text_key2")]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row (id, text_key long, keys array, fp array) per row of docs."""
+    """One row (id, text_key long, text_key2 long, keys array, fp array) per row of docs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -100,10 +112,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             got = [signature(shingles(t)) for t in text_bytes(b, "text")]
-            yield pa.record_batch([b.column("id"), b.column("text_key"), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (0, 1))], ["id", "text_key", "keys", "fp"])
+            yield pa.record_batch([*(b.column(c) for c in ("id", "text_key", "text_key2")), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (0, 1))], ["id", "text_key", "text_key2", "keys", "fp"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), "text")
-    return got.mapInArrow(run, "id long, text_key long, keys array<long>, fp array<long>")
+    got = docs.select(F.col("doc_id").cast("long").alias("id"), *identity(), "text")
+    return got.mapInArrow(run, "id long, text_key long, text_key2 long, keys array<long>, fp array<long>")
 
 
 def distances(a, b):
@@ -114,16 +126,15 @@ def distances(a, b):
     return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int16) for k in range(a.shape[1]))
 
 
-def forest(fps, nodes, sides):
-    """Edges (a, b), a < b, of a forest of shortest distances within the radius over a tile's nodes, or between two tiles if sides has both. Ties go by nodes."""
+def spaced(fps, nodes, sides):
+    """(nodes, order, distances) of a tile's nodes, sorted by side and node, or between two tiles if sides has both; beyond the radius and on one side they are `none`, the largest."""
     import numpy as np
 
     order = np.lexsort((nodes, sides))
-    fps, nodes, sides = fps[order], nodes[order], sides[order]
+    fps, sides = fps[order], sides[order]
     n, none = len(nodes), 64 * WORDS + 1
-    two = sides[0] != sides[-1]
     far = np.full((n, n), none, dtype=np.int16)
-    if two:
+    if sides[0] != sides[-1]:
         m = int(np.searchsorted(sides, 1))
         far[:m, m:] = distances(fps[:m], fps[m:])
         far[m:, :m] = far[:m, m:].T
@@ -131,6 +142,16 @@ def forest(fps, nodes, sides):
         far[:] = distances(fps, fps)
         np.fill_diagonal(far, none)
     far[far > RADIUS] = none
+    return nodes[order], order, far
+
+
+def forest(fps, nodes, sides):
+    """Edges (a, b), a < b, of a forest of shortest distances within the radius over a tile's nodes, or between two tiles if sides has both. Ties go by nodes."""
+    import numpy as np
+
+    none = 64 * WORDS + 1
+    nodes, _, far = spaced(fps, nodes, sides)
+    n = len(nodes)
     todo = np.flatnonzero((far < none).any(axis=1))
     edges, best, to = [], np.full(n, none, dtype=np.int16), np.zeros(n, dtype=np.int64)
     waits = np.zeros(n, dtype=bool)
@@ -145,6 +166,22 @@ def forest(fps, nodes, sides):
     return [(min(e), max(e)) for e in edges]
 
 
+def apart(fps, nodes, sides, roots, most: int):
+    """(pairs (a, b), a < b, of a tile's nodes of different roots within the radius, whether there are more): of each node the nearest `most`."""
+    import numpy as np
+
+    none = 64 * WORDS + 1
+    nodes, order, far = spaced(fps, nodes, sides)
+    roots = roots[order]
+    far[roots[:, None] == roots[None, :]] = none
+    # the nearest first, then the smallest node: nodes are sorted
+    rank = np.argsort(far, axis=1, kind="stable")[:, :most]
+    at, kth = np.nonzero(np.take_along_axis(far, rank, axis=1) < none)
+    a, b = nodes[at], nodes[rank[at, kth]]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+    return pairs, bool(((far < none).sum(axis=1) > most).any())
+
+
 def candidates(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """Different edges (a, b) of the forests of the tiles of rows (key, n, node, ones, f0 ...)."""
 
@@ -160,6 +197,22 @@ def candidates(rows: DataFrame, tile: int = TILE) -> DataFrame:
     return tiles(rows, ["key"], "node", RADIUS + 1, tile).mapInArrow(run, "a long, b long").distinct()
 
 
+def others(rows: DataFrame, most: int, tile: int = TILE) -> DataFrame:
+    """Different (a, b, more): the pairs of apart() of the tiles of rows (key, n, node, root, ones, f0 ...), and whether a tile that had one has more."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for side, node, root, *fp in tile_arrays(batches, ["key", "x", "y"], ["side", "node", "root", *(f"f{k}" for k in range(WORDS))]):
+            got, more = apart(np.stack(fp, axis=1), node, side, root, most)
+            if len(got):
+                yield pa.record_batch([*(pa.array(np.ascontiguousarray(got[:, k])) for k in (0, 1)), pa.array(np.full(len(got), more))], ["a", "b", "more"])
+
+    found = tiles(rows, ["key"], "node", RADIUS + 1, tile).mapInArrow(run, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) have a similarity of SIMILAR or more."""
     small_batches(texts.sparkSession)
@@ -187,30 +240,53 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """One row (id, text_key, component_id) per row of docs (doc_id, text): components of the checked links, named by their smallest id.
+    """One row (id, text_key, text_key2, root, component_id) per row of docs (doc_id, text): components of the checked links, named by their smallest id.
 
     Null and wordless texts are equal to each other; very long texts are read
-    whole; null ids name a component only if it has no other; rows that repeat
-    an id or a text each get a row; an empty table gives an empty result;
-    other columns are ignored. Texts are told apart by a 64-bit hash.
+    whole; null ids name a component only if it has no other, so root (any
+    number) tells components apart; rows that repeat an id or a text each get
+    a row; an empty table gives an empty result; other columns are ignored.
+    Texts are told apart by 128 bits.
     """
     rows = cut(signatures(docs))
-    nodes = cut(rows.groupBy("text_key").agg(F.min("id").alias("least"), F.first(F.struct("keys", "fp")).alias("s")).select(F.col("text_key").alias("node"), "least", "s.*"))
+    # nodes are numbered where they are stored, so that a lost task gives the same numbers again
+    nodes = cut(rows.groupBy("text_key", "text_key2").agg(F.min("id").alias("least"), F.first(F.struct("keys", "fp")).alias("s")).select("text_key", "text_key2", "least", "s.*")).withColumn("node", F.monotonically_increasing_id())
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)]
     ones = sum((F.bit_count(F.col("fp")[k]) for k in range(1, WORDS)), F.bit_count(F.col("fp")[0]))
     # population counts in steps of the radius, so that full tiles are cut into few
     keyed = nodes.select(F.explode("keys").alias("key"), "node", (F.floor(ones / (RADIUS + 1)) * (RADIUS + 1)).cast("int").alias("ones"), *words)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = cut(candidates(cut(keyed.join(sizes, "key")), tile))
+    keyed = cut(keyed.join(sizes, "key"))
+    pairs = cut(candidates(keyed, tile))
+    # a forest spans all that have another within the radius: no later pair needs another text
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = cut(docs.select(F.xxhash64("text").alias("node"), "text").join(used, "node", "left_semi").dropDuplicates(["node"]))
-    roots = components(checked(pairs, texts))
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(used, "node").select("node", "text_key", "text_key2")
+    texts = cut(docs.select(*identity(), "text").join(named, ["text_key", "text_key2"]).select("node", "text").dropDuplicates(["node"]))
+    edges, most = cut(checked(pairs, texts)), AGAIN
+    keyed = cut(keyed.join(used, "node", "left_semi"))
+    while True:
+        roots = components(edges)
+        rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("a_"), F.max("root").alias("b_")).where("a_ < b_").select("key")
+        met = cut(others(rooted.join(several, "key", "left_semi"), most, tile))
+        fresh = cut(met.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+        more = cut(checked(fresh, texts))
+        edges, pairs = edges.unionByName(more), pairs.unionByName(fresh)
+        if met.where("more").isEmpty():
+            break
+        most *= 4
+    roots = components(edges) if not more.isEmpty() else roots
+    rooted = nodes.join(roots, "node", "left").select("text_key", "text_key2", "least", F.coalesce("root", "node").alias("root"))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # cut, so that a large component's join can be split
-    classes = rooted.join(named, "root").select(F.col("node").alias("text_key"), "component_id")
-    return rows.select("id", "text_key").join(classes, "text_key")
+    classes = rooted.join(named, "root").select("text_key", "text_key2", "root", "component_id")
+    return rows.select("id", "text_key", "text_key2").join(classes, ["text_key", "text_key2"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays; the columns are those of docs, whatever their names."""
-    return first_of_each(docs, near_duplicates(docs))
+    """docs without near copies: of each component the row with the smallest doc_id stays, once; the columns are those of docs, whatever their names."""
+    found = near_duplicates(docs)
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("text_key", "text_key2")).alias("k_"), F.first("id").alias("id_")).select("id_", F.col("k_.text_key").alias("a_"), F.col("k_.text_key2").alias("b_"))
+    keyed = docs.withColumns(dict(zip(("a__", "b__"), identity(), strict=True)))
+    out = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["id_"]) & (keyed["a__"] == stay["a_"]) & (keyed["b__"] == stay["b_"]), "left_semi").drop("a__", "b__")
+    twice = found.groupBy("id", "text_key", "text_key2").count().where("count > 1")
+    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])

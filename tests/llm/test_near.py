@@ -83,6 +83,52 @@ def test_groups_of_many_likes_and_unlikes(spark, docs_of, tile):
     assert got == dict(enumerate(want)) and 5 < len(set(want)) < len(texts)
 
 
+def families(seed=3, n=12, copies=30, words=200):
+    """Texts with 2 to 5 of their words changed, again and again: many lie below the similarity of each other, and above that of some."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for _ in range(n):
+        base = [word() for _ in range(words)]
+        for _ in range(copies):
+            like = list(base)
+            for _ in range(rnd.randrange(2, 6)):
+                like[rnd.randrange(words)] = word()
+            texts.append(" ".join(like))
+    return texts
+
+
+@pytest.mark.parametrize("again", [1, 16])
+def test_no_link_is_lost_where_the_nearest_tie_fails(docs_of, monkeypatch, again):
+    monkeypatch.setattr(near, "AGAIN", again)
+    texts = families()
+    want = brute_components(texts)
+    got = {r.id: r.component_id for r in near.near_duplicates(docs_of(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(want))
+    kept = near.keep_one(docs_of(list(enumerate(texts)))).count()
+    assert kept == len(set(want))
+
+
+def test_a_farther_text_links_where_the_nearest_does_not(docs_of):
+    """Of three texts two are nearer by fingerprint but unlike; the like pair is found by the turn after."""
+    import numpy as np
+
+    texts = families(seed=9, n=3, copies=40, words=120)
+    sign = [near.signature(near.shingles(t.encode())) for t in texts]
+    far = near.distances(np.array([f for _, f in sign]), np.array([f for _, f in sign]))
+    np.fill_diagonal(far, 999)
+    sets = [grams(t) for t in texts]
+    like = np.array([[jaccard(a, b) >= 0.8 for b in sets] for a in sets])
+    np.fill_diagonal(like, False)
+    assert any(like[i].any() and not like[i, far[i].argmin()] for i in range(len(texts)))
+    got = {r.id: r.component_id for r in near.near_duplicates(docs_of(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(brute_components(texts)))
+
+
+def test_unlike_texts_without_ids_stay(docs_of):
+    assert near.keep_one(docs_of([(None, "one of them here now"), (None, "quite another text again"), (None, "one of them here now")])).count() == 2
+
+
 def test_chains_reach_their_smallest_id(docs_of):
     """Each text is like the next one only; all are one group."""
     w = [f"w{i}" for i in range(400)]

@@ -73,7 +73,7 @@ def test_percentiles_of_hot_keys(spark):
     import numpy as np
 
     rng = random.Random(4)
-    rows = [(None if rng.random() < 0.1 else rng.choice([1, 1, 1, 1, 2]), rng.choice([rng.randrange(5), rng.random() * 100])) for _ in range(3000)] + [(3, None), (4, 7.0)]
+    rows = [(None if rng.random() < 0.1 else rng.choice([1, 1, 1, 1, 2]), float(rng.choice([rng.randrange(5), rng.random() * 100]))) for _ in range(3000)] + [(3, None), (4, 7.0)]
     got = {r.k: r for r in percentiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", [0.0, 0.05, 0.5, 0.95, 1.0]).collect()}
     assert set(got) == {None, 1, 2, 4}
     for k, r in got.items():

@@ -13,13 +13,15 @@ everything by numpy exclusive-or and bit counts; full tiles are cut as op2's.
 A tile emits a forest of shortest distances: each text is tied to the nearest
 one, groups by their nearest members, so edges don't grow with pairs. Each
 edge is then checked exactly on the shingles of both texts, so that unlike
-texts stay. Then come turns, as a tie may fall short of the similarity where
-one farther off wouldn't: texts that checked edges join are one, pairs within
-one aren't looked at again, and each text is tied to the nearest of others
-that it hasn't been tried with, to AGAIN at first and four times as many in
-each further turn. The turns end when no tile had to leave one out, and then
-every pair of a tile within the radius has been checked, or is joined by
-checked ones.
+texts stay. But a tie may fall short of the similarity where one farther off
+wouldn't. So texts that checked ties join are one from then on, and where
+texts of several such groups lie within the radius in a tile, all their pairs
+are compared exactly: texts go to blocks of BLOCK in which anything is left to
+compare, the sizes of all intersections come from products of matrices, and
+again only a forest of links leaves a block. A pair that shares several tiles
+is compared in the first. So every pair of a tile within the radius has been
+compared exactly, or is joined by links that have; what is shuffled are texts
+per block, never pairs.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 WORDS, RADIUS = 4, 56
 SEED = 42
-#: Nearest texts that a text is tried with in the first turn.
-AGAIN = 16
+#: Texts of a block that is compared exactly, at most, with itself or another; hashes that are counted at once.
+BLOCK, COLUMNS = 256, 4096
 #: Comparisons with one text that share a copy of it; more are dealt to other copies, which may go to other tasks.
 SHARE = 64
 
@@ -166,20 +168,60 @@ def forest(fps, nodes, sides):
     return [(min(e), max(e)) for e in edges]
 
 
-def apart(fps, nodes, sides, roots, most: int):
-    """(pairs (a, b), a < b, of a tile's nodes of different roots within the radius, whether there are more): of each node the nearest `most`."""
+def open_pairs(fps, nodes, sides, roots, keys, own: int):
+    """(order, open): a tile's nodes by side and node, and which pairs of them are left: of different roots, within the radius, and in no earlier tile than `own`, a column of keys."""
     import numpy as np
 
-    none = 64 * WORDS + 1
-    nodes, order, far = spaced(fps, nodes, sides)
-    roots = roots[order]
-    far[roots[:, None] == roots[None, :]] = none
-    # the nearest first, then the smallest node: nodes are sorted
-    rank = np.argsort(far, axis=1, kind="stable")[:, :most]
-    at, kth = np.nonzero(np.take_along_axis(far, rank, axis=1) < none)
-    a, b = nodes[at], nodes[rank[at, kth]]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-    return pairs, bool(((far < none).sum(axis=1) > most).any())
+    _, order, far = spaced(fps, nodes, sides)
+    roots, keys = roots[order], keys[order]
+    left = (far <= RADIUS) & (roots[:, None] != roots[None, :])
+    for band in range(own):
+        left &= keys[:, None, band] != keys[None, :, band]
+    return order, left
+
+
+def intersections(sets: list):
+    """Sizes of the intersections of all pairs of sorted arrays of different hashes."""
+    import numpy as np
+
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    shared = times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    out = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+        has = np.zeros((n, COLUMNS), dtype=np.float32)
+        has[owner[i:j], column[i:j] - lo] = 1
+        out += has @ has.T
+    np.fill_diagonal(out, sizes)
+    return out
+
+
+def linked(sets: list, left) -> list[tuple[int, int]]:
+    """Places (i, j) of a forest of the pairs that are left and have a similarity of SIMILAR or more."""
+    import numpy as np
+
+    both, sizes = intersections(sets), np.array([len(x) for x in sets], dtype=np.float32)
+    either = sizes[:, None] + sizes[None, :] - both
+    # two texts without words are equal
+    like = left & np.where(either > 0, both.astype(np.float64) / np.maximum(either, 1) >= SIMILAR, True)
+    up, out = list(range(len(sets))), []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, j in np.argwhere(np.triu(like | like.T, 1)).tolist():
+        a, b = top(i), top(j)
+        if a != b:
+            up[b] = a
+            out.append((i, j))
+    return out
 
 
 def candidates(rows: DataFrame, tile: int = TILE) -> DataFrame:
@@ -197,22 +239,6 @@ def candidates(rows: DataFrame, tile: int = TILE) -> DataFrame:
     return tiles(rows, ["key"], "node", RADIUS + 1, tile).mapInArrow(run, "a long, b long").distinct()
 
 
-def others(rows: DataFrame, most: int, tile: int = TILE) -> DataFrame:
-    """Different (a, b, more): the pairs of apart() of the tiles of rows (key, n, node, root, ones, f0 ...), and whether a tile that had one has more."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for side, node, root, *fp in tile_arrays(batches, ["key", "x", "y"], ["side", "node", "root", *(f"f{k}" for k in range(WORDS))]):
-            got, more = apart(np.stack(fp, axis=1), node, side, root, most)
-            if len(got):
-                yield pa.record_batch([*(pa.array(np.ascontiguousarray(got[:, k])) for k in (0, 1)), pa.array(np.full(len(got), more))], ["a", "b", "more"])
-
-    found = tiles(rows, ["key"], "node", RADIUS + 1, tile).mapInArrow(run, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) have a similarity of SIMILAR or more."""
     small_batches(texts.sparkSession)
@@ -239,6 +265,76 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_text(with_text(pairs, "b", "a"), "a", "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+_TILE = ["key", "x", "y"]
+
+
+def _tile_columns() -> list[str]:
+    return ["side", "node", "root", "band", *(f"f{k}" for k in range(WORDS)), *(f"k{k}" for k in range(BANDS))]
+
+
+def _of_tile(columns: list):
+    """(side, node, root, band, fps, keys) of tile_arrays() of _tile_columns()."""
+    import numpy as np
+
+    side, node, root, band, *rest = columns
+    return side, node, root, int(band[0]), np.stack(rest[:WORDS], axis=1), np.stack(rest[WORDS:], axis=1)
+
+
+def blocks(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """(key, x, y, p, q, node, side, root, band, f0.., k0..): the rows (key, n, node, root, band, ones, f0.., k0..) of the blocks p and q of tiles in which pairs are left, and have one left themselves."""
+    columns = _tile_columns()
+    long = [f"{c} long" for c in ("node", "root", *(f"f{k}" for k in range(WORDS)), *(f"k{k}" for k in range(BANDS)))]
+    tiled = tiles(rows, ["key"], "node", RADIUS + 1, tile)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for key, x, y, *columns_ in tile_arrays(batches, _TILE, [*_TILE, *columns]):
+            side, node, root, band, fps, keys = _of_tile(columns_)
+            order, left = open_pairs(fps, node, side, root, keys, band)
+            some = np.flatnonzero(left.any(axis=1))
+            for lo in range(0, len(some), BLOCK):
+                for hi in range(lo, len(some), BLOCK):
+                    here, there = some[lo : lo + BLOCK], some[hi : hi + BLOCK]
+                    met = left[np.ix_(here, there)]
+                    if met.any():
+                        at = order[np.union1d(here[met.any(axis=1)], there[met.any(axis=0)])]
+                        same = [pa.array(np.full(len(at), v)) for v in (key[0], int(x[0]), int(y[0]), lo // BLOCK, hi // BLOCK)]
+                        yield pa.record_batch([*same, *(pa.array(c[at]) for c in columns_)], ["key", "x", "y", "p", "q", *columns])
+
+    return tiled.mapInArrow(run, ", ".join(["key long, x long, y long, p long, q long, side int", *long[:2], "band int", *long[2:]]))
+
+
+def settled_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Different links (a, b) that span what is left in the blocks() and has a similarity of SIMILAR or more; texts are (node, text)."""
+    small_batches(texts.sparkSession)
+    columns, job = _tile_columns(), [*_TILE, "p", "q"]
+
+    def sets_of(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            sets = [shingles(t).tobytes() for t in text_bytes(b, "text")]
+            yield pa.record_batch([b.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for *columns_, raw in tile_arrays(batches, job, [*columns, "hashes"]):
+            side, node, root, band, fps, keys = _of_tile(columns_)
+            order, left = open_pairs(fps, node, side, root, keys, band)
+            got = linked([np.frombuffer(raw[i], dtype=np.uint64) for i in order.tolist()], left)
+            if got:
+                ends = [sorted((int(node[order[i]]), int(node[order[j]]))) for i, j in got]
+                yield pa.record_batch([pa.array([e[k] for e in ends]) for k in (0, 1)], ["a", "b"])
+
+    hashed = texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(sets_of, "node long, hashes binary")
+    dealt = members.join(hashed, "node").repartition(*job).sortWithinPartitions(*job)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """One row (id, text_key, text_key2, root, component_id) per row of docs (doc_id, text): components of the checked links, named by their smallest id.
 
@@ -254,7 +350,8 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)]
     ones = sum((F.bit_count(F.col("fp")[k]) for k in range(1, WORDS)), F.bit_count(F.col("fp")[0]))
     # population counts in steps of the radius, so that full tiles are cut into few
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", (F.floor(ones / (RADIUS + 1)) * (RADIUS + 1)).cast("int").alias("ones"), *words)
+    bands = [F.col("keys")[k].alias(f"k{k}") for k in range(BANDS)]
+    keyed = nodes.select(F.posexplode("keys").alias("band", "key"), "node", (F.floor(ones / (RADIUS + 1)) * (RADIUS + 1)).cast("int").alias("ones"), *words)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = cut(keyed.join(sizes, "key"))
     pairs = cut(candidates(keyed, tile))
@@ -262,20 +359,13 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     named = nodes.join(used, "node").select("node", "text_key", "text_key2")
     texts = cut(docs.select(*identity(), "text").join(named, ["text_key", "text_key2"]).select("node", "text").dropDuplicates(["node"]))
-    edges, most = cut(checked(pairs, texts)), AGAIN
-    keyed = cut(keyed.join(used, "node", "left_semi"))
-    while True:
-        roots = components(edges)
-        rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = rooted.groupBy("key").agg(F.min("root").alias("a_"), F.max("root").alias("b_")).where("a_ < b_").select("key")
-        met = cut(others(rooted.join(several, "key", "left_semi"), most, tile))
-        fresh = cut(met.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
-        more = cut(checked(fresh, texts))
-        edges, pairs = edges.unionByName(more), pairs.unionByName(fresh)
-        if met.where("more").isEmpty():
-            break
-        most *= 4
-    roots = components(edges) if not more.isEmpty() else roots
+    edges = cut(checked(pairs, texts))
+    rooted = keyed.join(used, "node", "left_semi").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # tiles with several groups only
+    several = rooted.groupBy("key").agg(F.min("root").alias("a_"), F.max("root").alias("b_"), F.count(F.lit(1)).alias("n")).where("a_ < b_").select("key", "n")
+    again = cut(rooted.drop("n").join(several, "key").join(nodes.select("node", *bands), "node"))
+    edges = edges.unionByName(settled_pairs(cut(blocks(again, tile)), texts))
+    roots = components(edges)
     rooted = nodes.join(roots, "node", "left").select("text_key", "text_key2", "least", F.coalesce("root", "node").alias("root"))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # cut, so that a large component's join can be split
     classes = rooted.join(named, "root").select("text_key", "text_key2", "root", "component_id")

@@ -98,9 +98,9 @@ def families(seed=3, n=12, copies=30, words=200):
     return texts
 
 
-@pytest.mark.parametrize("again", [1, 16])
-def test_no_link_is_lost_where_the_nearest_tie_fails(docs_of, monkeypatch, again):
-    monkeypatch.setattr(near, "AGAIN", again)
+@pytest.mark.parametrize("block", [7, 256])
+def test_no_link_is_lost_where_the_nearest_tie_fails(docs_of, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
     texts = families()
     want = brute_components(texts)
     got = {r.id: r.component_id for r in near.near_duplicates(docs_of(list(enumerate(texts)))).collect()}
@@ -109,8 +109,18 @@ def test_no_link_is_lost_where_the_nearest_tie_fails(docs_of, monkeypatch, again
     assert kept == len(set(want))
 
 
+def test_intersections(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(near, "COLUMNS", 16)
+    rnd = random.Random(1)
+    sets = [np.unique(np.array([rnd.randrange(100) for _ in range(rnd.randrange(0, 60))], dtype=np.uint64)) for _ in range(40)]
+    assert near.intersections(sets).astype(int).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    assert near.linked([sets[0][:0], sets[0][:0], sets[1]], np.ones((3, 3), dtype=bool)) == [(0, 1)]
+
+
 def test_a_farther_text_links_where_the_nearest_does_not(docs_of):
-    """Of three texts two are nearer by fingerprint but unlike; the like pair is found by the turn after."""
+    """Of three texts two are nearer by fingerprint but unlike; the like pair is found by the exact blocks."""
     import numpy as np
 
     texts = families(seed=9, n=3, copies=40, words=120)

@@ -41,7 +41,7 @@ BANDS, ROWS = 16, 4
 WORDS, RADIUS = 4, 56
 SEED = 42
 #: Texts of a block that is compared exactly, at most, with itself or another; hashes that are counted at once.
-BLOCK, COLUMNS = 256, 4096
+BLOCK, COLUMNS = 512, 4096
 #: Comparisons with one text that share a copy of it; more are dealt to other copies, which may go to other tasks.
 SHARE = 64
 

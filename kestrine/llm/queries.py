@@ -67,7 +67,7 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    told = warc.resolved(warc.read(spark, path))
+    told = warc.resolved(warc.measured(warc.parsed(spark.read.format("binaryFile").load(path))))
     removed(spark, path)
     return told
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches
 
 #: Largest block of a record; an archive holds at most FILE_RECORDS records, so its size is bounded (128 MB unzipped).
-SEGMENT = 32 << 10
+SEGMENT = 4 << 10
 FILE_RECORDS = 4000
 #: Bytes of a chunk in transfer framing.
 CHUNK = 8192
@@ -141,22 +141,13 @@ def parsed(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(run, PARSED)
 
 
-def payloads(found: DataFrame) -> DataFrame:
-    """Records of parsed() put together: (record_id, page_id, uri, type, digest, refers_to, payload).
+KEEP = ["record_id", "page_id", "uri", "type", "digest", "refers_to"]
+PAYLOADS = "record_id string, page_id long, uri string, type string, digest string, refers_to long, payload binary"
 
-    Whole records pass where they are; only segments are shuffled, by their
-    origin. A missing segment, a wrong total length or a broken frame raises
-    ValueError; revisits have an empty payload.
-    """
-    keep = ["record_id", "page_id", "uri", "type", "digest", "refers_to"]
-    schema = "record_id string, page_id long, uri string, type string, digest string, refers_to long, payload binary"
 
-    def whole(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            got = [unframed(x) if kind == "response" else b"" for x, kind in zip(b.column("block").to_pylist(), b.column("type").to_pylist(), strict=True)]
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(got, pa.binary())], [*keep, "payload"])
+def assembled(found: DataFrame) -> DataFrame:
+    """Payloads of the segmented records of parsed(): grouped by origin, ordered by number, checked, and put together."""
+    keep = KEEP
 
     def joined(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -178,22 +169,62 @@ def payloads(found: DataFrame) -> DataFrame:
         if held:
             yield done(held)
 
-    one = found.where("segment is null and type in ('response', 'revisit')").mapInArrow(whole, schema)
     parts = found.where("segment is not null").withColumn("origin", F.coalesce("origin", "record_id"))
-    many = parts.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(joined, schema)
-    return one.unionByName(many)
+    return parts.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(joined, PAYLOADS)
+
+
+def payloads(found: DataFrame) -> DataFrame:
+    """Records of parsed() put together: (record_id, page_id, uri, type, digest, refers_to, payload).
+
+    Whole records pass where they are; only segments are shuffled, by their
+    origin. A missing segment, a wrong total length or a broken frame raises
+    ValueError; revisits have an empty payload.
+    """
+    keep, schema = KEEP, PAYLOADS
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            got = [unframed(x) if kind == "response" else b"" for x, kind in zip(b.column("block").to_pylist(), b.column("type").to_pylist(), strict=True)]
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(got, pa.binary())], [*keep, "payload"])
+
+    one = found.where("segment is null and type in ('response', 'revisit')").mapInArrow(whole, schema)
+    return one.unionByName(assembled(found))
 
 
 def read(spark, path: str) -> DataFrame:
     return payloads(parsed(spark.read.format("binaryFile").load(path)))
 
 
-def resolved(found: DataFrame) -> DataFrame:
-    """One row (page_id, payload_bytes, payload_digest, record_type, refers_to) per response or revisit; a revisit's payload is that of its response.
+def measured(found: DataFrame) -> DataFrame:
+    """(page_id, type, digest, refers_to, payload_bytes, payload_digest) of the records of parsed(), which is read once.
 
-    Archives are read once: what is told of each record is cut, and the join of revisits with responses reads that.
+    One pass takes the measures of whole records and lets segments through;
+    what it tells is cut, so archives aren't parsed again for the segments.
     """
-    rows = cut(found.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "type", "refers_to", "digest"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            segments, kinds, blocks = (b.column(c).to_pylist() for c in ("segment", "type", "block"))
+            told = [None if n is not None else unframed(x) if kind == "response" else b"" for n, kind, x in zip(segments, kinds, blocks, strict=True)]
+            rest = [None if n is None else x for n, x in zip(segments, blocks, strict=True)]
+            measures = [pa.array([None if t is None else len(t) for t in told], pa.int64()), pa.array([None if t is None else hashlib.sha256(t).hexdigest() for t in told], pa.string())]
+            yield pa.record_batch([*(b.column(c) for c in b.schema.names if c != "block"), pa.array(rest, pa.binary()), *measures], [*(c for c in b.schema.names if c != "block"), "block", "payload_bytes", "payload_digest"])
+
+    once = cut(found.where("segment is not null or type in ('response', 'revisit')").mapInArrow(run, f"{PARSED}, payload_bytes long, payload_digest string"))
+    columns = ["page_id", "type", "digest", "refers_to", "payload_bytes", "payload_digest"]
+    many = assembled(once).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    return once.where("segment is null").select(*columns).unionByName(many.select(*columns))
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """One row (page_id, payload_bytes, payload_digest, record_type, refers_to) per response or revisit of measured() or read(); a revisit's payload is that of its response."""
+    if "payload" in found.columns:
+        found = found.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    rows = cut(found.select("page_id", "payload_bytes", "payload_digest", "type", "refers_to", "digest"))
     base = rows.where("type = 'response'")
     told = rows.where("type = 'revisit'").select("page_id", "refers_to", "digest")
     target = base.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("payload_bytes"))

@@ -236,6 +236,27 @@ def test_no_pages(spark, tmp_path):
     assert warc.resolved(warc.read(spark, path)).count() == 0
 
 
+def test_the_given_pages_are_segmented_and_read_once(spark, tmp_path):
+    path = str(tmp_path / "w")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    warc.write(pages, path)
+    found = warc.parsed(spark.read.format("binaryFile").load(path))
+    assert found.where("type = 'continuation'").count() > 30
+    assert found.where("segment is not null").agg(F.max(F.octet_length("block"))).first()[0] <= warc.SEGMENT
+    told = {r.page_id: r.payload_digest for r in warc.resolved(warc.measured(found)).collect()}
+    assert told == {r.page_id: r.d for r in pages.select("page_id", F.sha2(F.coalesce(F.col("html").cast("binary"), F.lit(b"")), 256).alias("d")).collect()}
+    assert warc.measured(found)._jdf.queryExecution().toString().count("binaryFile") == 0  # what is told is cut: the rest of the plan doesn't parse again
+
+
+def test_pages_of_some_megabytes(spark, tmp_path):
+    path = str(tmp_path / "w")
+    rows = [(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000), (3, "u", "x" * 100_001), (4, "u", None)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.resolved(warc.measured(warc.parsed(spark.read.format("binaryFile").load(path)))).collect()}
+    assert got == {1: (6_000_000, "response", None), 2: (6_000_000, "revisit", 1), 3: (100_001, "response", None), 4: (0, "response", None)}
+
+
+
 # media
 
 def brute_media(text):

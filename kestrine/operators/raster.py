@@ -21,48 +21,61 @@ def block_max(df: DataFrame, value: str, tile: str = "tile", size: int = 2) -> D
     return df.groupBy(tile, F.floor(F.col("i") / size).alias("bi"), F.floor(F.col("j") / size).alias("bj")).agg(F.max(value).alias("most"))
 
 
-def around(df: DataFrame, radius: int, tile: str = "tile", value: str = "v") -> DataFrame:
-    """(tile, i, j, d2, v_): each cell that has a value, sent to all cells of the square of `radius` around it; d2 is their squared distance."""
-    step = F.sequence(F.lit(-radius), F.lit(radius))
-    sent = df.where(F.col(value).isNotNull()).select(tile, "i", "j", F.col(value).cast("double").alias("v_"), F.explode(step).alias("di"))
-    sent = sent.withColumn("dj", F.explode(step))
-    return sent.select(F.col(tile), (F.col("i") + F.col("di")).cast("int").alias("i"), (F.col("j") + F.col("dj")).cast("int").alias("j"), (F.col("di") * F.col("di") + F.col("dj") * F.col("dj")).alias("d2"), "v_")
+def neighbourhoods(df: DataFrame, radius: int, tile: str = "tile", value: str = "v") -> DataFrame:
+    """df (tile, i, j, value) with near: array of (v, d2), the values in the square of `radius` around each cell, and their squared distances.
 
-
-def _with(df: DataFrame, found: DataFrame, tile: str) -> DataFrame:
-    return df.join(found, [tile, "i", "j"], "left")
+    Cells go to chunks of some four radii a side, and those near a border to
+    the chunks beyond it as well: one shuffle, of about two rows per cell
+    whatever the radius. Windows are then cut out of the chunk's rows. Null
+    values are no one's neighbour; a cell is one of its own.
+    """
+    size = max(16, 4 * radius)
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / size), F.floor((F.col(c) + radius) / size)))
+    sent = df.withColumn("ci_", reach("i")).withColumn("cj_", reach("j"))
+    own = (F.col("ci_") == F.floor(F.col("i") / size)) & (F.col("cj_") == F.floor(F.col("j") / size))
+    chunk = [tile, "ci_", "cj_"]
+    cells = sent.select(*chunk, "i", F.when(F.col(value).isNotNull(), F.struct("j", F.col(value).cast("double").alias("v"))).alias("c_"), F.when(own, F.struct(*df.columns)).alias("m_")).repartition(*chunk)
+    rows = cells.groupBy(*chunk, "i").agg(F.collect_list("c_").alias("cells"), F.collect_list("m_").alias("mine_"))
+    whole = rows.groupBy(*chunk).agg(F.collect_list(F.struct("i", "cells")).alias("rows_"), F.flatten(F.collect_list("mine_")).alias("mine_"))
+    m = whole.select("rows_", F.explode("mine_").alias("m"))
+    i, j = F.col("m.i"), F.col("m.j")
+    in_row = lambda r: F.transform(F.filter(r["cells"], lambda c: F.abs(c["j"] - j) <= radius), lambda c: F.struct(c["v"].alias("v"), ((c["j"] - j) * (c["j"] - j) + (r["i"] - i) * (r["i"] - i)).alias("d2")))
+    return m.select("m.*", F.flatten(F.transform(F.filter("rows_", lambda r: F.abs(r["i"] - i) <= radius), in_row)).alias("near"))
+
+
+def _mean(near: str, weight) -> Column:
+    """Mean of the values of a neighbourhood under weight(x); null if it is empty."""
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s"))
+    weighed = F.transform(near, lambda x: F.struct(weight(x).alias("w"), x["v"].alias("v")))
+    return F.aggregate(weighed, zero, lambda t, x: F.struct((t["w"] + x["w"]).alias("w"), (t["s"] + x["w"] * x["v"]).alias("s")), lambda t: t["s"] / F.nullif(t["w"], F.lit(0.0)))
 
 
 def bilateral(df: DataFrame, radius: int = 4, sigma_px: float = 2.0, sigma_v: float = 1.0, tile: str = "tile", value: str = "v") -> DataFrame:
-    """df (tile, i, j, value) with filtered: edge-keeping mean; weights fall with distance and with difference of value. No data stays so.
-
-    One shuffle by cell serves the join and the sums.
-    """
-    met = around(df, radius, tile, value).join(df.where(F.col(value).isNotNull()).select(tile, "i", "j", F.col(value).alias("own_")), [tile, "i", "j"])
-    nearness, likeness = F.col("d2") / (2.0 * sigma_px * sigma_px), F.pow(F.col("v_") - F.col("own_"), 2) / (2.0 * sigma_v * sigma_v)
-    w = F.exp(-nearness - likeness)
-    return _with(df, met.groupBy(tile, "i", "j").agg((F.sum(w * F.col("v_")) / F.sum(w)).alias("filtered")), tile)
+    """df (tile, i, j, value) with filtered: edge-keeping mean; weights fall with distance and with difference of value. No data stays so."""
+    own = F.col(value).cast("double")
+    weight = lambda x: F.exp(-x["d2"] / (2.0 * sigma_px * sigma_px) - (x["v"] - own) * (x["v"] - own) / (2.0 * sigma_v * sigma_v))
+    return neighbourhoods(df, radius, tile, value).withColumn("filtered", F.when(own.isNotNull(), _mean("near", weight))).drop("near")
 
 
 def idw_fill(df: DataFrame, radius: int = 6, least: int = 3, tile: str = "tile", value: str = "v", stale: str | None = None) -> DataFrame:
     """df (tile, i, j, value) with filled: own value, or the mean by inverse squared distance of at least `least` cells of the square around.
 
     Cells marked in the column `stale` stay empty: what they had has ended.
-    Sums are combined before the shuffle.
     """
-    w = 1 / F.greatest(F.lit(0.25), F.col("d2"))
-    donors = around(df, radius, tile, value).groupBy(tile, "i", "j").agg((F.sum(w * F.col("v_")) / F.sum(w)).alias("f_"), F.count(F.lit(1)).alias("n_"))
-    open_ = F.col("n_") >= least
+    open_ = F.size("near") >= least
     if stale:
         open_ = open_ & ~F.coalesce(F.col(stale), F.lit(False))
-    return _with(df, donors, tile).withColumn("filled", F.coalesce(F.col(value), F.when(open_, F.col("f_")))).drop("f_", "n_")
+    around = _mean("near", lambda x: 1 / F.greatest(F.lit(0.25), x["d2"]))
+    return neighbourhoods(df, radius, tile, value).withColumn("filled", F.when(F.col(value).isNotNull(), F.col(value).cast("double")).when(open_, around)).drop("near")
 
 
 def window_percentile(df: DataFrame, radius: int, share: float, least_share: float = 0.15, tile: str = "tile", value: str = "v") -> DataFrame:
     """df (tile, i, j, value) with context: an interpolated percentile of the square around, null where too few cells have a value."""
-    got = around(df, radius, tile, value).groupBy(tile, "i", "j").agg(F.percentile("v_", share).alias("p_"), F.count(F.lit(1)).alias("n_"))
     few = least_share * (2 * radius + 1) ** 2
-    return _with(df, got, tile).withColumn("context", F.when(F.col("n_") > few, F.col("p_"))).drop("p_", "n_")
+    place = (F.size("s_") - 1) * F.lit(share)
+    low, high = F.get("s_", F.floor(place).cast("int")), F.get("s_", F.ceil(place).cast("int"))
+    ranked = neighbourhoods(df, radius, tile, value).withColumn("s_", F.array_sort(F.transform("near", lambda x: x["v"]))).drop("near")
+    return ranked.withColumn("context", F.when(F.size("s_") > few, low + (high - low) * (place - F.floor(place)))).drop("s_")
 
 
 def bilinear(points: DataFrame, grid: DataFrame, ids: Sequence[str], tile: str = "tile", value: str = "v") -> DataFrame:

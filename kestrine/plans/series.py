@@ -240,10 +240,10 @@ def bilateral_filter(spark, d):
     return G.bilateral(cells(spark, d)).where("v is not null").select("tile", "i", "j", F.round("filtered", 6).alias("filtered"))
 
 
-@query(f"with {_CELLS}, f as (select a.tile, a.i, a.j, case when count(*) >= 3 then sum(b.v / power(greatest(0.5, sqrt(power(a.i - b.i, 2) + power(a.j - b.j, 2))), 2)) / sum(1 / power(greatest(0.5, sqrt(power(a.i - b.i, 2) + power(a.j - b.j, 2))), 2)) end as f from cells a join cells b on a.tile = b.tile and a.i between b.i - 3 and b.i + 3 and a.j between b.j - 3 and b.j + 3 and b.v is not null where a.v is null and not a.stale group by 1, 2, 3) select c.tile, c.i, c.j, round(coalesce(c.v, f.f), 6) as filled from cells c left join f on c.tile = f.tile and c.i = f.i and c.j = f.j")
+@query(f"with {_CELLS}, f as (select a.tile, a.i, a.j, case when count(*) >= 3 then sum(b.v / power(greatest(0.5, sqrt(power(a.i - b.i, 2) + power(a.j - b.j, 2))), 2)) / sum(1 / power(greatest(0.5, sqrt(power(a.i - b.i, 2) + power(a.j - b.j, 2))), 2)) end as f from cells a join cells b on a.tile = b.tile and a.i between b.i - 6 and b.i + 6 and a.j between b.j - 6 and b.j + 6 and b.v is not null where a.v is null and not a.stale group by 1, 2, 3) select c.tile, c.i, c.j, round(coalesce(c.v, f.f), 6) as filled from cells c left join f on c.tile = f.tile and c.i = f.i and c.j = f.j")
 def idw_fill(spark, d):
     """T5: holes filled from the cells of the square around, but for those that are stale."""
-    return G.idw_fill(cells(spark, d), 3, stale="stale").select("tile", "i", "j", F.round("filled", 6).alias("filled"))
+    return G.idw_fill(cells(spark, d), 6, stale="stale").select("tile", "i", "j", F.round("filled", 6).alias("filled"))
 
 
 @query(f"with {_CELLS} select a.tile, a.i, a.j, case when count(b.v) > 0.15 * 25 then round(quantile_cont(b.v, 0.75), 6) end as context from cells a left join cells b on a.tile = b.tile and abs(a.i - b.i) <= 2 and abs(a.j - b.j) <= 2 and b.v is not null group by 1, 2, 3")
@@ -252,6 +252,13 @@ def context_percentile(spark, d):
     return G.window_percentile(cells(spark, d), 2, 0.75).select("tile", "i", "j", F.round("context", 6).alias("context"))
 
 
+@query(f"with {_CELLS}, c as (select a.tile, a.i, a.j, a.v, case when count(b.v) > 0.15 * 81 then quantile_cont(b.v, 0.75) end as context from cells a left join cells b on a.tile = b.tile and abs(a.i - b.i) <= 4 and abs(a.j - b.j) <= 4 and b.v is not null group by 1, 2, 3, 4) select tile, i, j, not coalesce(context >= 50 and v < 0.4 * context, false) as kept from c where v is not null")
+def windowed_context_screen(spark, d):
+    """Slow cells among fast ones go; the context is the upper quartile of the square of four cells around."""
+    c = G.window_percentile(cells(spark, d), 4, 0.75).where("v is not null")
+    return c.select("tile", "i", "j", T.context_screen("v", "context", 50.0, 0.4).alias("kept"))
+
+
 @query(f"""with {_CELLS}, p as (select c_custkey as id, c_custkey * 10 // 4096 as tile, c_custkey * 37 % 640 / 10.0::double as x, c_custkey * 53 % 640 / 10.0::double as y from customer),
 c as (select p.*, a.a, b.b, case when a.a = 1 then x - floor(x) else 1 - (x - floor(x)) end * case when b.b = 1 then y - floor(y) else 1 - (y - floor(y)) end as w from p, (values (0), (1)) a(a), (values (0), (1)) b(b)),
 s as (select id, case when sum(w) > 0.05 then sum(w * v) / sum(w) end as sampled from c join cells g on g.tile = c.tile and g.j = floor(c.x) + c.a and g.i = floor(c.y) + c.b where v is not null group by 1) select p.id, round(s.sampled, 6) as sampled from p left join s using (id)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A group of staged parts is far apart beyond this many metres, and has many parts beyond this number.
@@ -56,10 +56,14 @@ def preview(staged: DataFrame, existing: DataFrame, name: str, role: str, distan
 
 
 def photos_by_content(uploads: DataFrame, content: str, order: list[str]) -> DataFrame:
-    """uploads with sha256, photo_id (the first upload with that content) and dedupe."""
+    """uploads with sha256, photo_id (the first upload with that content) and dedupe; null contents are one.
+
+    The first one is a minimum, combined before the shuffle, and the join is one that Spark may split: uploads of one content don't meet in a task.
+    """
     h = uploads.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
-    first = F.first("id").over(Window.partitionBy("sha256").orderBy(*order))
-    return h.withColumn("photo_id", first).withColumn("dedupe", F.col("photo_id") != F.col("id"))
+    first = h.groupBy(F.col("sha256").alias("s_")).agg(F.min_by("id", F.struct(*order)).alias("photo_id"))
+    met = h.join(first, F.coalesce("sha256", F.lit("")) == F.coalesce("s_", F.lit(""))).drop("s_")
+    return met.withColumn("dedupe", F.col("photo_id") != F.col("id"))
 
 
 def unlinked(links: DataFrame, gone: DataFrame, photos: DataFrame, record: str, photo: str) -> tuple[DataFrame, DataFrame]:

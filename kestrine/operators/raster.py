@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import col
+from .relational import percentiles
 
 
 def block_mean(df: DataFrame, value: str, tile: str = "tile", size: int = 2) -> DataFrame:
@@ -90,10 +91,10 @@ def bilinear(points: DataFrame, grid: DataFrame, ids: Sequence[str], tile: str =
 
 def stretch(df: DataFrame, keys: Sequence[str], value: str = "v", low: float = 0.02, high: float = 0.98) -> DataFrame:
     """df with level 0..255 between the percentiles of each band."""
-    p = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p_"))
+    p = percentiles(df, keys, value, [low, high]).select(*keys, F.col("at").alias("p_"))
     a, b = F.get("p_", F.lit(0)), F.get("p_", F.lit(1))
     level = F.when((b > a) & F.col(value).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col(value) - a) / (b - a) * 255)))
-    return df.join(p, list(keys)).withColumn("level", F.round(level)).drop("p_")
+    return df.join(p, list(keys), "left").withColumn("level", F.round(level)).drop("p_")
 
 
 def tile_pyramid(points: DataFrame, lon: str, lat: str, zooms: range) -> DataFrame:

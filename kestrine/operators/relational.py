@@ -291,9 +291,14 @@ def primary_flags(parts: DataFrame, parent: str, role: str, primary: str, ids: S
 
 
 def disambiguated(df: DataFrame, slug: Column, id_col: str) -> DataFrame:
-    """df with slug: the smallest id keeps it, the others get their id appended; '' stays ''."""
-    rn = F.row_number().over(Window.partitionBy("slug").orderBy(id_col))
-    return df.withColumn("slug", slug).withColumn("slug", F.when((F.col("slug") == "") | (rn == 1), F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col(id_col).cast("string"))))
+    """df with slug: the smallest id keeps it, the others get their id appended; '' and null stay. Ids are unique.
+
+    The smallest id is a minimum, combined before the shuffle; rows whose slug says nothing take no part in the join.
+    """
+    slugged = df.withColumn("slug", slug)
+    first = slugged.where("slug <> ''").groupBy(F.col("slug").alias("s_")).agg(F.min(id_col).alias("first_"))
+    met = slugged.join(first, F.nullif(F.col("slug"), F.lit("")) == F.col("s_"), "left")
+    return met.withColumn("slug", F.when(F.col("s_").isNull() | (F.col("first_") == F.col(id_col)), F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col(id_col).cast("string")))).drop("s_", "first_")
 
 
 def strided(df: DataFrame, step: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import histograms as H, particles as PT, raster as G, timeseries as T
+from ..operators.relational import percentiles
 from .roles import DATED, RECORDS, TRACES, YEAR_CODE, dated, records, traces
 
 QUERIES: dict = {}
@@ -119,7 +120,9 @@ def band_table(spark, d):
     """A33 A36."""
     band = F.when(F.col("value") < 10, "slow").when(F.col("value") < 100, "middle").otherwise("fast")
     v = F.col("value")
-    return traces(spark, d).groupBy(band.alias("band"), "sensor").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("value", 0.5), 5).alias("median"), F.round(F.sqrt(F.sum(v * v * v) / F.sum(v)), 4).alias("wrms")).where("n >= 30")
+    b = traces(spark, d).select(band.alias("band"), "sensor", "value")
+    median = percentiles(b, ["band", "sensor"], "value", [0.5]).select("band", "sensor", F.round(F.get("at", F.lit(0)), 5).alias("median"))
+    return b.groupBy("band", "sensor").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.sum(v * v * v) / F.sum(v)), 4).alias("wrms")).where("n >= 30").join(median, ["band", "sensor"])
 
 
 @query(f"""with {TRACES}, y as (select cell, cast(day - date '2024-01-01' as int) as yr, avg(value) as v from traces group by 1, 2), n as (select *, lead(v) over (partition by cell order by yr) as nv, lead(yr) over (partition by cell order by yr) as ny from y) select cell, yr, round(case when ny = yr + 1 then v * 0.75 + nv * 0.25 else v end, 6) as blended, ny = yr + 1 as consecutive from n""")

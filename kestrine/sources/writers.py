@@ -54,8 +54,10 @@ def write_sorted(df: DataFrame, path: str, by: str, partitions: int | None = Non
 
 
 def cropped(df: DataFrame, period: str, value: str, least: int) -> DataFrame:
-    """Rows from the first to the last period with more than `least` values."""
+    """Rows from the first to the last period with more than `least` values; ValueError if there is none."""
     first, last = df.groupBy(period).agg(F.count(value).alias("n_")).where(F.col("n_") > least).agg(F.min(period), F.max(period)).first()
+    if first is None:
+        raise ValueError(f"no period has more than {least} values")
     return df.where(F.col(period).between(F.lit(first), F.lit(last)))
 
 

@@ -135,3 +135,48 @@ def tiered_fit(spark, d):
     p = pairs(spark, d)
     got = T.tiered_fit(p, ["cell"], REFERENCE, SINCE)
     return got.select("cell", *[F.round(c, 2 if c == "phase" else 4).alias(c) for c in ("v0", "amp", "phase", "trend")], "n", F.round("resid", 4).alias("resid"), F.round("t_first", 6).alias("t_first"), F.round("t_last", 6).alias("t_last"), "recent", "source")
+
+
+def monthly(spark, d):
+    """orders as monthly series of seven years: a cell per two nations, a month by order key, noise from mean prices, seasons and their overtones by cell."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    g = o.groupBy(F.floor(F.col("c_nationkey") / 2).alias("cell"), (F.col("o_orderkey") % 84).alias("at")).agg(F.avg("o_totalprice").alias("p"), F.avg(F.col("o_custkey") % 101).alias("q"))
+    g = g.withColumn("t", 1992 + (F.col("at") + 0.5) / 12)
+    return g.selectExpr("cell", "at", "t", "150 + 3 * (t - 1995) + 12 * (cell % 3) * cos(2 * pi() * t) + 7 * (cell % 2) * sin(4 * pi() * t) + 3.5D * (cell % 5) * cos(6 * pi() * t) + p / 60000D as vx", "60 + 9 * (cell % 3) * sin(2 * pi() * t) - 4 * (cell % 2) * cos(4 * pi() * t) + q / 25D as vy")
+
+
+def _harmonics_sql() -> str:
+    out = ["""g as (select c_nationkey // 2 as cell, o_orderkey % 84 as mo, avg(o_totalprice) as p, avg(o_custkey % 101) as q from orders join customer on o_custkey = c_custkey group by 1, 2),
+v as (select cell, mo, 1992 + (mo + 0.5::double) / 12 as t, p, q from g),
+f as (select cell, mo, t, 150 + 3 * (t - 1995) + 12 * (cell % 3) * cos(2 * pi() * t) + 7 * (cell % 2) * sin(4 * pi() * t) + 3.5::double * (cell % 5) * cos(6 * pi() * t) + p / 60000.0::double as vx, 60 + 9 * (cell % 3) * sin(2 * pi() * t) - 4 * (cell % 2) * cos(4 * pi() * t) + q / 25.0::double as vy from v),
+w as (select cell, sqrt(pow(avg(vx), 2) + pow(avg(vy), 2)) as speed, min(mo) as lo, max(mo) as hi from f group by 1 having count(*) = (select count(distinct mo) from f)),
+e as (select f.cell, f.mo, f.t, f.vx - (select avg(b.vx) from f b, (select unnest(range(-6, 7)) as h) x where b.cell = f.cell and b.mo = greatest(w.lo, least(w.hi, f.mo + x.h))) as rx, f.vy - (select avg(b.vy) from f b, (select unnest(range(-6, 7)) as h) x where b.cell = f.cell and b.mo = greatest(w.lo, least(w.hi, f.mo + x.h))) as ry from f join w using (cell)),
+r0 as materialized (select cell, t, rx, ry, floor(t) % 2 as odd from e), s0 as (select w.cell, speed, sum(rx * rx + ry * ry) as whole, 'infinity'::double as amp_before, 0.0::double as total from w join r0 using (cell) group by 1, 2)"""]
+    keep = "cell, speed, whole"
+    for k in (1, 2, 3):
+        c, s = f"cos({2 * k} * pi() * t)", f"sin({2 * k} * pi() * t)"
+        parts = {"xc": f"rx * {c}", "xs": f"rx * {s}", "yc": f"ry * {c}", "ys": f"ry * {s}"}
+        aggs = ", ".join([f"sum({v}) / sum({c} * {c}) as {p}" for p, v in parts.items()] + [f"sum({v}) filter (where odd = {h}) / sum({c} * {c}) filter (where odd = {h}) as {p}{h}" for p, v in parts.items() for h in (0, 1)])
+        norm = lambda h: "sqrt(" + " + ".join(f"{p}{h} * {p}{h}" for p in parts) + ")"
+        gate = f"dot / greatest(n0 * n1, 1e-9) > {(0.60, 0.78, 0.88)[k - 1]} and greatest(n0, n1) / greatest(least(n0, n1), 1e-9) < 2.5 and amp > 3"
+        if k > 1:
+            gate += f" and kept_{k - 1} and amp < 0.7 * amp_before and total + amp < greatest(6.0, 0.6 * speed)"
+        before = "".join(f", kept_{j}, " + ", ".join(f"{p}_{j}" for p in parts) + f", explained_{j}" for j in range(1, k))
+        out.append(f"""h{k} as (select cell, {aggs} from r{k - 1} group by 1), a{k} as (select *, {norm(0)} as n0, {norm(1)} as n1, {norm('')} as amp, {' + '.join(f'{p}0 * {p}1' for p in parts)} as dot from h{k}),
+k{k} as (select s.*, {', '.join(f'a.{p}' for p in parts)}, amp, {gate} as kept_{k} from s{k - 1} s join a{k} a using (cell)),
+c{k} as materialized (select {keep}{before}, kept_{k}, {', '.join(f'case when kept_{k} then {p} else 0 end as {p}_{k}' for p in parts)}, case when kept_{k} then amp else amp_before end as amp_before, total + case when kept_{k} then amp else 0 end as total from k{k}),
+r{k} as materialized (select cell, t, rx - xc_{k} * {c} - xs_{k} * {s} as rx, ry - yc_{k} * {c} - ys_{k} * {s} as ry, odd from r{k - 1} join c{k} using (cell)),
+s{k} as materialized (select c.*, 1 - rest / whole as explained_{k} from c{k} c join (select cell, sum(rx * rx + ry * ry) as rest from r{k} group by 1) using (cell))""")
+    return ",\n".join(out)
+
+
+_HARMONIC = [f"{p}_{k}" for k in (1, 2, 3) for p in ("xc", "xs", "yc", "ys", "explained")]
+
+
+@query(f"with {_harmonics_sql()} select cell, round(speed, 6) as speed, kept_1, kept_2, kept_3, {', '.join(f'round({c}, 6) as {c}' for c in _HARMONIC)} from s3")
+def harmonic_cycle(spark, d):
+    """Harmonics of monthly series, each fitted to what those before leave, kept if even and odd years agree."""
+    from ..operators.harmonics import harmonics
+
+    got = harmonics(monthly(spark, d), ["cell"], "at", "t")
+    return got.select("cell", F.round("speed", 6).alias("speed"), "kept_1", "kept_2", "kept_3", *[F.round(c, 6).alias(c) for c in _HARMONIC])

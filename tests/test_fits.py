@@ -79,3 +79,21 @@ def test_percentiles_of_hot_keys(spark):
     for k, r in got.items():
         mine = [v for j, v in rows if j == k and v is not None]
         assert r.m == len(mine) and np.allclose(r.at, np.percentile(mine, [0, 5, 50, 95, 100]))
+
+
+def test_harmonics(spark):
+    from kestrine.operators.harmonics import harmonics
+
+    rng = random.Random(8)
+    rows = []
+    for cell, first, second, noise in ((1, 20, 0, 0.5), (2, 20, 9, 0.5), (3, 20, 18, 0.5), (4, 0, 0, 0.5), (5, 0, 9, 0.5), (6, 20, 9, 0.5)):
+        for m in range(96):
+            t = 2000 + (m + 0.5) / 12
+            v = 100 + 2 * (t - 2000) + first * math.cos(2 * math.pi * t) + second * math.sin(4 * math.pi * t) + rng.gauss(0, noise)
+            rows.append((cell, m, t, v if (cell, m) != (6, 40) else None, 50 + rng.gauss(0, noise)))
+    got = {r.cell: r for r in harmonics(spark.createDataFrame(rows, "cell int, m int, t double, vx double, vy double"), ["cell"], "m", "t").collect()}
+    assert set(got) == {1, 2, 3, 4, 5}  # 6 lacks a month
+    # the second is kept where it is there and decays, never without the first
+    assert {c: (r.kept_1, r.kept_2, r.kept_3) for c, r in got.items()} == {1: (True, False, False), 2: (True, True, False), 3: (True, False, False), 4: (False, False, False), 5: (False, False, False)}
+    assert abs(got[2].xc_1 - 20) < 1.5 and abs(got[2].xs_2 - 9) < 1.5 and got[2].xc_3 == 0 and got[2].explained_2 > 0.95 > got[4].explained_3
+    assert harmonics(spark.createDataFrame([], "cell int, m int, t double, vx double, vy double"), ["cell"], "m", "t").count() == 0

@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Entities are found by one regular expression with an alternative for each
-kind; numbers in the form of cards or IBANs count only with right check
+kind; numbers in the form of cards count only with right check
 digits. A surrogate is drawn from a keyed hash of the kind and the canonical
 entity, so an entity has the same surrogate everywhere (coreference), with the
 letter case, separators, script, honorific, gender and check digits of what it
@@ -26,7 +26,7 @@ from .common import cut
 
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία"
 NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"
-KEYWORD = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY) ?[=:] ?\"?"
+KEYWORD = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY)[\"']? ?[=:] ?[\"']?"
 #: Kinds in order of precedence, with Java patterns; none has a capturing group.
 KINDS = {
     "email": r"(?<![\w.+%-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",

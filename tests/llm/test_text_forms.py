@@ -514,3 +514,13 @@ def test_odd_documents_score(spark, odd):
     assert kept.columns == odd.columns
     assert quality.keep_good(odd.limit(0), labels).count() == 0
     assert quality.scored(odd, quality.train(odd, labels.limit(0))).count() == len(ODD)
+
+
+def test_quoted_keys_of_secrets(docs_of):
+    texts = ['{"password": "hunter2hunter2x", "api_key": "Zk81mmQpLw09vv"}', "{'secret':'abcDEF123456xyz'}", 'the "key": is here', 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"']
+    got = {r.doc_id: r.text for r in pii.pseudonymised(docs_of(list(enumerate(texts)))).collect()}
+    assert not any(x in got[0] + got[1] + got[3] for x in ("hunter2", "Zk81mm", "abcDEF", "24be64"))
+    assert got[2] == texts[2]
+    # what stands around the secret stays, and so do the form and length
+    assert re.fullmatch(r'\{"password": "[a-z]{6}\d[a-z]{6}\d[a-z]", "api_key": "[A-Z][a-z]\d\d[a-z]{2}[A-Z][a-z][A-Z][a-z]\d\d[a-z]{2}"\}', got[0])
+    assert re.fullmatch(r"\{'secret':'[a-z]{3}[A-Z]{3}\d{6}[a-z]{3}'\}", got[1])

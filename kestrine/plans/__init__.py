@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "series", "io", "shapes", "fits", "overlay")
+MODULES = ("core", "series", "io", "shapes", "fits", "overlay", "arrangement")
 
 
 def queries() -> dict:

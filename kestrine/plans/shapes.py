@@ -253,7 +253,7 @@ def field_values(spark, d):
 
 @query(f"""with {PARTS} select parent_id || '-' || line || '-' || pkey || '-' || skey as id, case when line % 4 = 0 then 'sides cross' when line % 4 = 1 and pkey % 2 = 0 then 'no area' when line % 4 = 2 and pkey % 2 = 0 then 'too few points' end as problem from parts""")
 def shape_problems(spark, d):
-    """why a shape isn't valid. Repair isn't built."""
+    """why a shape isn't valid."""
     n, zero = F.col("line"), F.lit(0)
     box, bow = _box(zero, zero, n, n + 1), _ring((zero, zero), (n, n), (n, zero), (zero, n))
     flat, few = _ring((zero, zero), (n, n), (n + 1, n + 1)), _ring((zero, zero), (n, n), (zero, zero))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "series", "io", "shapes", "fits", "overlay", "arrangement", "fields")
+MODULES = ("core", "series", "io", "shapes", "fits", "overlay", "arrangement", "fields", "imports")
 
 
 def queries() -> dict:

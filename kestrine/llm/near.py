@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, text_bytes
+from .common import components, small_batches, swept, text_bytes
 from .simhash import TILE, tile_arrays, tiles
 
 SHINGLE = 5
@@ -344,37 +344,38 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     a row; an empty table gives an empty result; other columns are ignored.
     Texts are told apart by 128 bits.
     """
-    rows = cut(signatures(docs))
+    rows = swept(signatures(docs))
     # nodes are numbered where they are stored, so that a lost task gives the same numbers again
-    nodes = cut(rows.groupBy("text_key", "text_key2").agg(F.min("id").alias("least"), F.first(F.struct("keys", "fp")).alias("s")).select("text_key", "text_key2", "least", "s.*")).withColumn("node", F.monotonically_increasing_id())
+    nodes = swept(rows.groupBy("text_key", "text_key2").agg(F.min("id").alias("least"), F.first(F.struct("keys", "fp")).alias("s")).select("text_key", "text_key2", "least", "s.*")).withColumn("node", F.monotonically_increasing_id())
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)]
     ones = sum((F.bit_count(F.col("fp")[k]) for k in range(1, WORDS)), F.bit_count(F.col("fp")[0]))
     # population counts in steps of the radius, so that full tiles are cut into few
     bands = [F.col("keys")[k].alias(f"k{k}") for k in range(BANDS)]
     keyed = nodes.select(F.posexplode("keys").alias("band", "key"), "node", (F.floor(ones / (RADIUS + 1)) * (RADIUS + 1)).cast("int").alias("ones"), *words)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = cut(keyed.join(sizes, "key"))
-    pairs = cut(candidates(keyed, tile))
+    keyed = swept(keyed.join(sizes, "key"))
+    pairs = swept(candidates(keyed, tile))
     # a forest spans all that have another within the radius: no later pair needs another text
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     named = nodes.join(used, "node").select("node", "text_key", "text_key2")
-    texts = cut(docs.select(*identity(), "text").join(named, ["text_key", "text_key2"]).select("node", "text").dropDuplicates(["node"]))
-    edges = cut(checked(pairs, texts))
-    rooted = keyed.join(used, "node", "left_semi").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = swept(docs.select(*identity(), "text").join(named, ["text_key", "text_key2"]).select("node", "text").dropDuplicates(["node"]))
+    edges = swept(checked(pairs, texts))
+    stars = components(edges)
+    rooted = keyed.join(used, "node", "left_semi").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # tiles with several groups only
     several = rooted.groupBy("key").agg(F.min("root").alias("a_"), F.max("root").alias("b_"), F.count(F.lit(1)).alias("n")).where("a_ < b_").select("key", "n")
-    again = cut(rooted.drop("n").join(several, "key").join(nodes.select("node", *bands), "node"))
-    edges = edges.unionByName(settled_pairs(cut(blocks(again, tile)), texts))
-    roots = components(edges)
+    again = swept(rooted.drop("n").join(several, "key").join(nodes.select("node", *bands), "node"))
+    # from the stars on, so that there are no paths to shorten but those that the new links make
+    roots = components(stars.toDF("a", "b").unionByName(settled_pairs(swept(blocks(again, tile)), texts)))
     rooted = nodes.join(roots, "node", "left").select("text_key", "text_key2", "least", F.coalesce("root", "node").alias("root"))
-    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # cut, so that a large component's join can be split
+    named = swept(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # cut, so that a large component's join can be split
     classes = rooted.join(named, "root").select("text_key", "text_key2", "root", "component_id")
     return rows.select("id", "text_key", "text_key2").join(classes, ["text_key", "text_key2"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays, once; the columns are those of docs, whatever their names."""
-    found = near_duplicates(docs)
+    found = swept(near_duplicates(docs))  # it is read twice
     stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("text_key", "text_key2")).alias("k_"), F.first("id").alias("id_")).select("id_", F.col("k_.text_key").alias("a_"), F.col("k_.text_key2").alias("b_"))
     keyed = docs.withColumns(dict(zip(("a__", "b__"), identity(), strict=True)))
     out = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["id_"]) & (keyed["a__"] == stay["a_"]) & (keyed["b__"] == stay["b_"]), "left_semi").drop("a__", "b__")

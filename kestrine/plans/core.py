@@ -517,7 +517,7 @@ select u_id, b_id, case when round(i / (s - i), 9) >= 0.999 then 'update' when s
 def collision_classes(spark, d):
     """What to do with an upload whose box meets a stored one: same shape, same name, or to be looked at."""
     b = table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_nationkey as g", "s_suppkey % 5 as k", "cast(s_suppkey % 40 / 10.0 as double) as x0", "cast(s_suppkey % 40 / 10.0 + 1 + s_suppkey % 3 as double) as x1", "cast(s_suppkey % 7 / 10.0 as double) as y0", "cast(s_suppkey % 7 / 10.0 + 2 as double) as y1")
-    moved = lambda c: F.when(F.col("id") % 3 == 0, F.col(c)).otherwise(F.round(F.col(c) + 0.2, 6)).alias(c)
+    moved = lambda c: F.when(F.col("id") % 3 == 0, F.col(c)).otherwise(F.col(c) + 0.2).alias(c)
     u = b.select("id", "g", "k", moved("x0"), moved("x1"), "y0", "y1")
     at = lambda s: {k: F.col(f"{s}_{k}") for k in ("x0", "y0", "x1", "y1")}
     pairs = R.meeting_boxes(u, b, 2.0, ["g"]).withColumn("iou", F.round(geo.box_iou(at("a"), at("b")), 9))

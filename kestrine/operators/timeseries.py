@@ -124,9 +124,32 @@ def season_of(c, s) -> tuple[Column, Column]:
     return F.hypot(col(c), col(s)), F.when((col(c) != 0) | (col(s) != 0), day)
 
 
+def interpolated(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
+    """(keys, at, n): the value at a share of a key's sorted values, between two neighbours mixed with one rounding, as SQL's quantile_cont is; n counts nulls too.
+
+    A mix rounded twice may fall short of a limit that the exact one reaches.
+    A key's different values meet in one row, with their counts.
+    """
+    each = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).cast("double").alias("v"), F.col("n_").alias("n")))
+    s = each.groupBy(*keys).agg(F.sum("n_").alias("n"), F.sort_array(F.collect_list(known)).alias("s_"))
+    placed = s.withColumn("place_", (F.aggregate("s_", F.lit(0).cast("long"), lambda t, x: t + x["n"]) - 1) * F.lit(share))
+    none = F.lit(None).cast("double")
+
+    def step(t: Column, x: Column) -> Column:
+        to = t["to"] + x["n"]
+        pick = lambda old, at: F.when((t["to"] <= at("place_")) & (at("place_") < to), x["v"]).otherwise(old)
+        return F.struct(to.alias("to"), pick(t["a"], F.floor).alias("a"), pick(t["b"], F.ceil).alias("b"))
+
+    ends = placed.withColumn("e_", F.aggregate("s_", F.struct(F.lit(0).cast("long").alias("to"), none.alias("a"), none.alias("b")), step)).select(*keys, "n", "e_.a", "e_.b", (F.col("place_") - F.floor("place_")).alias("f_"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    mixed = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), zero(F.col("a")), 1 - F.col("f_"), zero(F.col("b")) * F.col("f_")).cast("double")
+    return ends.select(*keys, F.when(F.col("f_") == 0, F.col("a")).when(F.col("a").isNotNull(), mixed).alias("at"), "n")
+
+
 def context_screen(value, context, fast: float, share: float) -> Column:
-    """False for a slow value where its surroundings are fast: under `share` of a context of `fast` or more. Without context, true."""
-    return F.coalesce(~((col(context) >= fast) & (col(value) < share * col(context))), F.lit(True))
+    """False for a slow value where its surroundings are fast: under `share` of a context of `fast` or more. Without context, true; null for no value among fast ones."""
+    return F.coalesce(col(context) < fast, F.lit(True)) | ~(col(value) < share * col(context))
 
 
 def model_value(coef: Column, t: Column, first: Column, last: Column, reference: float, slack: float = 0.5) -> Column:

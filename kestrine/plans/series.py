@@ -154,7 +154,7 @@ def yearly_context(spark, d):
 def context_screen(spark, d):
     """Slow values among fast ones go; the context is the upper quartile of what is around."""
     t = traces(spark, d)
-    c = t.groupBy("cell", "day").agg(F.percentile("value", 0.75).alias("context"), F.count(F.lit(1)).alias("n")).select("cell", "day", F.when(F.col("n") > 3, F.col("context")).alias("context"))
+    c = T.interpolated(t, ["cell", "day"], "value", 0.75).select("cell", "day", F.when(F.col("n") > 3, F.col("at")).alias("context"))
     return t.join(c, ["cell", "day"]).select("event_id", T.context_screen("value", "context", 60.0, 0.25).alias("kept"))
 
 

@@ -54,19 +54,35 @@ def boxes_in_cells(df: DataFrame, size: float, box: tuple[str, str, str, str] =
     return df.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
 
 
-def meeting_boxes(left: DataFrame, right: DataFrame, size: float, on: Sequence[str] = ()) -> DataFrame:
+def alike(df: DataFrame, id_col: str, most: int = 1024) -> DataFrame:
+    """Rows that are equal but for their id as one, with an array ids of structs; about `most` ids in each, so that many make several."""
+    cols = [c for c in df.columns if c != id_col]
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*cols)) / most)
+    return df.withColumn("part_", F.pmod(F.xxhash64(id_col), parts)).groupBy(*cols, "part_").agg(F.collect_list(F.struct(F.col(id_col).alias("id"))).alias("ids")).drop("part_")
+
+
+def meeting_boxes(left: DataFrame, right: DataFrame, size: float, on: Sequence[str] = (), spread: int = 1) -> DataFrame:
     """Pairs of rows whose boxes meet, and that agree in the columns `on`: an equi-join on cells of `size`, about as wide as boxes are.
 
     Columns are named a_ and b_ by side; both have x0, y0, x1, y1. A pair is
     found in each cell that both meet and kept in the first of them, the one
-    with the lower left corner of what they share.
+    with the lower left corner of what they share. Small tables may have many
+    pairs, so the join's tasks are as many as the cores can use, whatever the
+    tables' size, and no side is held as a whole. Where cells are few and
+    full, `spread` deals the left rows of a cell to so many tasks.
     """
+    spark = left.sparkSession
     side = lambda df, p: boxes_in_cells(df, size).select(*(F.col(c).alias(c if c in (*on, "cx", "cy") else f"{p}_{c}") for c in (*df.columns, "cx", "cy")))
-    a, b = side(left, "a"), side(right, "b")
+    a, b, cell = side(left, "a"), side(right, "b"), [*on, "cx", "cy"]
+    if spread > 1:
+        a = a.withColumn("deal_", F.pmod(F.xxhash64(*a.columns), F.lit(spread)).cast("int"))
+        b = b.withColumn("deal_", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        cell = [*cell, "deal_"]
     low_x, low_y = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
     first = (F.col("cx") == F.floor(low_x / size)) & (F.col("cy") == F.floor(low_y / size))
-    return a.join(b, [*on, "cx", "cy"]).where(meet & first).drop("cx", "cy")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return a.repartition(tasks, *cell).join(b.hint("merge"), cell).where(meet & first).drop("cx", "cy", "deal_")
 
 
 def covering_shapes(points: DataFrame, shapes: DataFrame, size: float, x: str, y: str, geom: str = "geom") -> DataFrame:

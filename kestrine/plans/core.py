@@ -515,13 +515,14 @@ u as (select id, g, k, case when id % 3 = 0 then x0 else x0 + 0.2 end as x0, cas
 j as (select u.id as u_id, b.id as b_id, greatest(0, least(u.x1, b.x1) - greatest(u.x0, b.x0)) * greatest(0, least(u.y1, b.y1) - greatest(u.y0, b.y0)) as i, (u.x1 - u.x0) * (u.y1 - u.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) as s, u.k = b.k as same_name, u.k % 3 = b.k % 3 as same_key from u join b on u.g = b.g and u.x0 <= b.x1 and b.x0 <= u.x1 and u.y0 <= b.y1 and b.y0 <= u.y1)
 select u_id, b_id, case when round(i / (s - i), 9) >= 0.999 then 'update' when same_name then 'block' when same_key or round(i / (s - i), 9) > 0.8 then 'review' end as class from j""")
 def collision_classes(spark, d):
-    """What to do with an upload whose box meets a stored one: same shape, same name, or to be looked at."""
+    """What to do with an upload whose box meets a stored one: same shape, same name, or to be looked at. Records of equal boxes and names are compared as one."""
     b = table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_nationkey as g", "s_suppkey % 5 as k", "cast(s_suppkey % 40 / 10.0 as double) as x0", "cast(s_suppkey % 40 / 10.0 + 1 + s_suppkey % 3 as double) as x1", "cast(s_suppkey % 7 / 10.0 as double) as y0", "cast(s_suppkey % 7 / 10.0 + 2 as double) as y1")
     moved = lambda c: F.when(F.col("id") % 3 == 0, F.col(c)).otherwise(F.col(c) + 0.2).alias(c)
     u = b.select("id", "g", "k", moved("x0"), moved("x1"), "y0", "y1")
     at = lambda s: {k: F.col(f"{s}_{k}") for k in ("x0", "y0", "x1", "y1")}
-    pairs = R.meeting_boxes(u, b, 2.0, ["g"]).withColumn("iou", F.round(geo.box_iou(at("a"), at("b")), 9))
-    return pairs.select(F.col("a_id").alias("u_id"), "b_id", M.collision(F.col("iou"), F.col("a_k") % 3, F.col("b_k") % 3, F.col("a_k"), F.col("b_k")).alias("class"))
+    pairs = R.meeting_boxes(R.alike(u, "id"), R.alike(b, "id"), 2.0, ["g"], spread=8).withColumn("iou", F.round(geo.box_iou(at("a"), at("b")), 9))
+    each = pairs.select("a_ids", "b_ids", M.collision(F.col("iou"), F.col("a_k") % 3, F.col("b_k") % 3, F.col("a_k"), F.col("b_k")).alias("class"))
+    return each.select("b_ids", "class", F.explode("a_ids").alias("u")).select("u", "class", F.explode("b_ids").alias("b")).select(F.col("u.id").alias("u_id"), F.col("b.id").alias("b_id"), "class")
 
 
 @query(f"with {RECORDS} select id, row_number() over (partition by owner_id order by coalesce(flagged, false) desc, day, id) - 1 as position from records")

@@ -32,3 +32,21 @@ def test_pairs_of_a_small_table_are_made_by_many_tasks(spark):
     made = plans.queries()["collision_classes"](spark, SF)
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert made.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_upright_boxes_are_told_from_other_rings(spark):
+    from kestrine.functions import geo
+
+    box = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)]
+    rings = [box, box[::-1], [*box, box[0]], box[1:] + box[:1], [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 2.0)], [(0.0, 0.0), (2.0, 0.0), (0.0, 1.0), (2.0, 1.0)], [(0.0, 0.0)] * 4, [(0.0, 0.0), (0.0, 1.0), (0.0, 1.0), (0.0, 0.0)], box[:3], [], None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "i int, r array<struct<x: double, y: double>>")
+    assert [r[0] for r in df.orderBy("i").select(geo.is_upright("r")).collect()] == [True] * 4 + [False] * 7
+
+
+def test_a_ring_is_worked_out_once(spark):
+    """An expression for a ring stands once among its edges, so that clips of clips don't multiply."""
+    from kestrine.functions import geo
+
+    ring = F.array(*[F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((77, 0), (1, 0), (0, 1))])
+    plan = spark.range(1).select(geo.edges(ring).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("77") == 1

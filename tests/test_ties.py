@@ -35,3 +35,8 @@ def test_values_at_a_share_of_a_context_between_two_values(held):
     days += [[i / 100, *(round(4 * i / 100 + j, 2) for j in (-0.3, -0.01, 0.03))] for i in range(1500, 1600)]
     rows = ", ".join(f"({10 * k + i}, {k}, {'null' if v is None else v})" for k, vs in enumerate(days) for i, v in enumerate(vs))
     assert held("context_screen", events=f"select c0::bigint as event_id, timestamp '2024-01-01' as ts, c1::bigint as user_id, 'view' as event_type, c2::double as value from (values {rows}) t(c0, c1, c2)") > 400
+
+
+def test_overlaps_of_boxes_that_touch(held):
+    """Equal boxes many times over, and overlaps that are next to nothing."""
+    assert held("convex_overlaps", supplier="select range as s_suppkey, 1::int as s_nationkey from range(0, 300) union all select range * 840, 2 from range(0, 30)") > 10_000

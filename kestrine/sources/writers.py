@@ -77,3 +77,16 @@ def write_snapshot(tables: Mapping[str, tuple[DataFrame, str]], members: DataFra
 def manifest(df: DataFrame, key: str) -> DataFrame:
     """Keys with rows, in order, and how many."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 0").orderBy(key)
+
+
+def write_chunks(cells: DataFrame, path: str, sizes: tuple[float, float], x: str = "x", y: str = "y", group: int = 8 << 20) -> DataFrame:
+    """Writes cells with their chunk (xc, yc) in order of chunks, and returns the table at path.
+
+    Files hold ranges of chunks, cut into row groups of some `group` bytes by
+    whose bounds readers skip what they don't need. There are as many files
+    as tasks, however many chunks there are: a folder per chunk takes longer
+    to make and list than its rows to write.
+    """
+    at = {"xc": F.floor(F.col(x) / sizes[0]).cast("int"), "yc": F.floor(F.col(y) / sizes[1]).cast("int")}
+    cells.withColumns(at).repartitionByRange("xc", "yc").sortWithinPartitions("xc", "yc").write.option("parquet.block.size", group).parquet(path)
+    return cells.sparkSession.read.parquet(path)

@@ -6,11 +6,17 @@ is the signed sum, over pairs of their edges above the same stretch of x, of
 what their trapezoids share: the integral of the lower of two straight lines.
 That holds for crossings, touching and shared edges alike, without a case of
 its own for any. Edges are cut at strips of x, so that an edge meets only
-those of its strips, and a large shape is many rows, not one.
+those of its strips, and a large shape is many rows, not one (overlaps).
+Where shapes are small and pairs many, a pair is one row that has both outlines
+(shared_areas): only shapes are shuffled, never pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +85,80 @@ def overlaps(pairs: DataFrame, a: DataFrame, b: DataFrame, width: float, geom: s
     sums = met.groupBy("a_id", "b_id").agg(F.sum(own).alias("both"))
     out = known.drop("a_low", "b_low").join(sums, ["a_id", "b_id"], "left").withColumn("both", F.greatest(F.lit(0.0), F.least("area_a", "area_b", F.coalesce("both", F.lit(0.0)))))
     return out.withColumn("iou", F.col("both") / F.nullif(F.col("area_a") + F.col("area_b") - F.col("both"), F.lit(0.0)))
+
+
+def outlined(shapes: DataFrame, geom: str = "geom") -> DataFrame:
+    """shapes with area and, instead of geom, outlines xs and ys: closed rings with the inside on their left, each ended by NaN. Shapes must be valid."""
+    def ring(r: Column, i: Column) -> Column:
+        # turned the right way, closed and ended
+        way = F.signum(geo.ring_sums(r)["a"]) * F.when(i == 0, 1).otherwise(-1)
+        end = F.struct(F.lit(float("nan")).alias("x"), F.lit(float("nan")).alias("y"))
+        points = F.transform(F.when(way < 0, F.reverse(r)).otherwise(r), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+        return F.flatten(F.transform(F.array(points), lambda q: F.concat(q, F.slice(q, 1, 1), F.array(end))))
+
+    line = F.flatten(F.flatten(F.transform(geom, lambda p: F.transform(p, ring))))
+    rest = [c for c in shapes.columns if c != geom]
+    return shapes.select(*rest, geo.area(geom).alias("area"), line.alias("l_")).where("l_ is not null").select(*rest, "area", F.col("l_.x").alias("xs"), F.col("l_.y").alias("ys"))
+
+
+def _edges(xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, ...]:
+    """x0, y0, x1, y1, s of the edges of outlines, how many each has, and where they start."""
+    lens = np.asarray(xs.value_lengths(), dtype=np.int64)
+    x, y = np.asarray(xs.flatten(), dtype=float), np.asarray(ys.flatten(), dtype=float)
+    row = np.repeat(np.arange(len(lens)), lens)
+    k = np.flatnonzero((x[:-1] < x[1:]) | (x[:-1] > x[1:]))
+    right = x[k] < x[k + 1]
+    a, b = np.where(right, k, k + 1), np.where(right, k + 1, k)
+    n = np.bincount(row[k], minlength=len(lens))
+    return x[a], y[a], x[b], y[b], np.where(right, -1.0, 1.0), n, np.cumsum(n) - n
+
+
+def _shared_by_row(e: tuple[np.ndarray, ...], f: tuple[np.ndarray, ...], base: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """_shared() of all edges of each row's two outlines, `block` pairs of edges at a time."""
+    ex0, ey0, ex1, ey1, es, en, e_at = e
+    fx0, fy0, fx1, fy1, fs, fn, f_at = f
+    size = en * fn
+    to = np.cumsum(size)
+    out = np.zeros(len(size))
+    for first in range(0, int(to[-1]) if len(to) else 0, block):
+        last = min(first + block, int(to[-1]))
+        r0, r1 = np.searchsorted(to, (first, last - 1), "right")
+        cut = np.minimum(to[r0:r1 + 1], last) - np.maximum(to[r0:r1 + 1] - size[r0:r1 + 1], first)
+        row = np.repeat(np.arange(r0, r1 + 1), cut)
+        place = np.arange(first, last) - (to - size)[row]
+        i, j = np.divmod(place, fn[row])
+        i += e_at[row]
+        j += f_at[row]
+        lo, hi = np.maximum(ex0[i], fx0[j]), np.minimum(ex1[i], fx1[j])
+        met = np.flatnonzero(lo < hi)
+        i, j, row, lo, hi = i[met], j[met], row[met], lo[met], hi[met]
+        em, fm, low = (ey1[i] - ey0[i]) / (ex1[i] - ex0[i]), (fy1[j] - fy0[j]) / (fx1[j] - fx0[j]), base[row]
+        f0, f1 = fy0[j] + fm * (lo - fx0[j]) - low, fy0[j] + fm * (hi - fx0[j]) - low
+        d0, d1 = ey0[i] + em * (lo - ex0[i]) - low - f0, ey0[i] + em * (hi - ex0[i]) - low - f1
+        under, over = np.minimum(d0, 0.0), np.minimum(d1, 0.0)
+        gap = np.abs(d0 - d1)
+        crossed = d0 * d1 < 0
+        # the mean of the lower line: of f, less where e dips under it
+        dip = np.where(crossed, -(under * under + over * over) / 2 / np.where(crossed, gap, 1.0), (under + over) / 2)
+        out += np.bincount(row, weights=es[i] * fs[j] * (hi - lo) * ((f0 + f1) / 2 + dip), minlength=len(out))
+    return out
+
+
+def shared_areas(pairs: DataFrame) -> DataFrame:
+    """pairs of outlined() shapes with boxes, as meeting_boxes gives them, with both and iou instead of outlines, boxes and areas.
+
+    A pair is worked out where it is made, in batches; nothing is shuffled. iou is null if both are without area.
+    """
+    names = [f"{n}_{c}" for n in "ab" for c in ("xs", "ys", "area", "x0", "x1", "y1", "y0")]
+    rest = [c for c in pairs.columns if c not in names]
+    known = pairs.select(*rest, "a_xs", "a_ys", "b_xs", "b_ys", "a_area", "b_area", F.least("a_y0", "b_y0").alias("low_"))
+    schema = pairs.select(*rest, F.col("a_area").alias("area_a"), F.col("b_area").alias("area_b"), F.col("a_area").alias("both")).schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = lambda n: b.column(b.schema.get_field_index(n))  # noqa: E731, B023
+            both = _shared_by_row(_edges(c("a_xs"), c("a_ys")), _edges(c("b_xs"), c("b_ys")), np.asarray(c("low_"), dtype=float))
+            yield pa.RecordBatch.from_arrays([*map(c, rest), c("a_area"), c("b_area"), pa.array(both)], names=[*rest, "area_a", "area_b", "both"])
+
+    out = known.mapInArrow(work, schema).withColumn("both", F.greatest(F.lit(0.0), F.least("area_a", "area_b", "both")))
+    return out.withColumn("iou", F.col("both") / F.nullif(F.col("area_a") + F.col("area_b") - F.col("both"), F.lit(0.0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import col
@@ -54,6 +54,11 @@ def boxes_in_cells(df: DataFrame, size: float, box: tuple[str, str, str, str] =
     return df.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks keep all cores busy with what a small table makes much work of."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def alike(df: DataFrame, id_col: str, most: int = 1024) -> DataFrame:
     """Rows that are equal but for their id as one, with an array ids of structs; about `most` ids in each, so that many make several."""
     cols = [c for c in df.columns if c != id_col]
@@ -71,7 +76,6 @@ def meeting_boxes(left: DataFrame, right: DataFrame, size: float, on: Sequence[s
     tables' size, and no side is held as a whole. Where cells are few and
     full, `spread` deals the left rows of a cell to so many tasks.
     """
-    spark = left.sparkSession
     side = lambda df, p: boxes_in_cells(df, size).select(*(F.col(c).alias(c if c in (*on, "cx", "cy") else f"{p}_{c}") for c in (*df.columns, "cx", "cy")))
     a, b, cell = side(left, "a"), side(right, "b"), [*on, "cx", "cy"]
     if spread > 1:
@@ -81,8 +85,7 @@ def meeting_boxes(left: DataFrame, right: DataFrame, size: float, on: Sequence[s
     low_x, low_y = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
     first = (F.col("cx") == F.floor(low_x / size)) & (F.col("cy") == F.floor(low_y / size))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return a.repartition(tasks, *cell).join(b.hint("merge"), cell).where(meet & first).drop("cx", "cy", "deal_")
+    return a.repartition(tasks(left.sparkSession), *cell).join(b.hint("merge"), cell).where(meet & first).drop("cx", "cy", "deal_")
 
 
 def covering_shapes(points: DataFrame, shapes: DataFrame, size: float, x: str, y: str, geom: str = "geom") -> DataFrame:

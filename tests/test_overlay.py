@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,29 @@ def test_projection_of_nested_shapes(spark):
     s = spark.createDataFrame([(1, [[[(1.0, 2.0), (3.0, 4.0)]]])], SCHEMA)
     r = s.select(O.flat("geom", lambda x, y: (x * 10, y + 1)).alias("g")).first()
     assert [tuple(p) for p in r.g[0][0]] == [(10.0, 3.0), (30.0, 5.0)] and O.trapezoids(s.where(F.lit(False)), "id", 1.0).count() == 0
+
+
+def test_pairs_by_their_outlines_equal_pairs_by_strips(spark):
+    """Stars with holes, parts and rings either way, null and empty shapes; in one block and in many."""
+    from kestrine.functions import geo
+    from kestrine.operators import relational as R
+
+    rng = random.Random(12)
+
+    def star():
+        cx, cy = rng.uniform(0, 6), rng.uniform(0, 4)
+        ring = [(cx + r * math.cos(a), cy + r * math.sin(a)) for a, r in ((2 * math.pi * k / 9, rng.uniform(0.6, 3)) for k in range(9))]
+        return [ring[:: rng.choice((1, -1))], [(cx + x, cy + y) for x, y in ((-0.2, -0.2), (0.2, -0.2), (0.2, 0.2), (-0.2, 0.2))][:: rng.choice((1, -1))]][: rng.choice((1, 2))]
+
+    shapes = [(i, [star()] if i % 5 else [star(), [[(x + 20, y) for x, y in box(0.0, 0.0, 1.0, 1.0)]]]) for i in range(25)] + [(30, None), (31, [])]
+    s = spark.createDataFrame(shapes, SCHEMA)
+    boxed = O.outlined(s.select("id", "geom", geo.box_of("geom").alias("b")).select("id", "geom", "b.*"))
+    pairs = R.meeting_boxes(boxed, boxed, 2.0)
+    got = {(r.a_id, r.b_id): r for r in O.shared_areas(pairs).collect()}
+    want = {(r.a_id, r.b_id): r for r in O.overlaps(pairs.select("a_id", "b_id"), s, s, 1.0).collect()}
+    assert got.keys() == want.keys() and len(got) > 200
+    assert all(got[k].both == pytest.approx(want[k].both, abs=1e-9) and got[k].iou == pytest.approx(want[k].iou, abs=1e-9) for k in got)
+    one = boxed.where("id < 25").toArrow().to_batches()[0]
+    e = O._edges(one["xs"], one["ys"])
+    low = np.full(25, -9.0)
+    assert np.allclose(O._shared_by_row(e, e, low), O._shared_by_row(e, e, low, 7)) and np.allclose(O._shared_by_row(e, e, low), one["area"])

@@ -78,8 +78,7 @@ def concave_overlaps(spark, d):
 @query(f"with {_stars_sql('a', 0.0)}, {_stars_sql('u', 0.001)}, {_pairs_sql('u', 'a', 'true')}, v as (select *, round(shared / (area_a + area_b - shared), 9) as iou from i) select a_id as u_id, b_id, case when iou >= 0.999 then 'update' when a_id % 11 = b_id % 11 then 'block' when a_id % 11 % 3 = b_id % 11 % 3 or iou > 0.8 then 'review' end as class from v")
 def shape_collisions(spark, d):
     """What to do with an upload whose outline meets a stored one, by their exact overlap: same shape, same name, or to be looked at."""
-    stored, new = settled(stars(spark, d)), settled(stars(spark, d, 0.001))
-    pairs = R.meeting_boxes(new.drop("geom"), stored.drop("geom"), CELL).select("a_id", "b_id", "a_name", "b_name")
+    stored, new = settled(O.outlined(stars(spark, d))), settled(O.outlined(stars(spark, d, 0.001)))
     iou = F.round("iou", 9)
-    got = O.overlaps(pairs, new, stored, 500.0)
+    got = O.shared_areas(R.meeting_boxes(new, stored, CELL))
     return got.select(F.col("a_id").alias("u_id"), "b_id", M.collision(iou, F.col("a_name") % 3, F.col("b_name") % 3, F.col("a_name"), F.col("b_name")).alias("class"))

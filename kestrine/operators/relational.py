@@ -111,29 +111,39 @@ def nearest_shapes(points: DataFrame, shapes: DataFrame, key: str, reach: float,
     In each turn points look at shapes within the reach, by cells of its size,
     and those that found one are done; the reach doubles for the others, so
     that no point meets all shapes unless it is as far from them as they are
-    wide.
+    wide. A point is measured to the shape whose box is nearest, and then only
+    to those whose boxes are nearer than that. Equal places and equal shapes
+    are looked at once. Shapes without points are none.
     """
     from ..functions.geo import box_of, distance_to
     from ..session import settled
 
-    boxed = shapes.select(*on, geom, box_of(geom).alias("b_")).select(*on, geom, "b_.*")
-    todo = points.join(shapes.select(*on).distinct(), list(on), "left_semi") if on else (points if not shapes.isEmpty() else points.limit(0))
+    spark = points.sparkSession
+    known = shapes.select(*on, geom).distinct().select(*on, geom, box_of(geom).alias("b_")).where("b_.x0 is not null").select(*on, geom, "b_.*").repartition(tasks(spark))
+    boxed = settled(known.withColumn("sid", F.monotonically_increasing_id()))
+    places = points.select(*on, "x", "y").distinct().join(boxed.select(*on).distinct(), list(on), "left_semi") if on else points.select("x", "y").distinct().where(F.lit(not boxed.isEmpty()))
+    todo = settled(places.where("x is not null and y is not null").withColumn("pid", F.monotonically_increasing_id()))
+    box = F.hypot(*(F.greatest(F.lit(0.0), F.col(f"b_{c}lo") - F.col(f"a_{c}"), F.col(f"a_{c}") - F.col(f"b_{c}hi")) for c in "xy"))
     done = None
     for _ in range(turns):
-        wide = boxed.select(*on, geom, *((F.col(c) + by).alias(c) for c, by in (("x0", -reach), ("y0", -reach), ("x1", reach), ("y1", reach))))
-        cells = boxes_in_cells(wide, 2 * reach)
-        placed = todo.withColumns({"cx": F.floor(F.col("x") / (2 * reach)), "cy": F.floor(F.col("y") / (2 * reach))})
-        near = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-        met = placed.join(cells, [*on, "cx", "cy"]).where(near).withColumn("m_", distance_to(geom, "x", "y"))
-        found = settled(met.groupBy(key).agg(F.min("m_").alias("nearest")).where(F.col("nearest") <= reach))
+        wide = boxed.select(*on, "sid", *(F.col(f"{c}0").alias(f"{c}lo") for c in "xy"), *(F.col(f"{c}1").alias(f"{c}hi") for c in "xy"), *((F.col(c) + by).alias(c) for c, by in (("x0", -reach), ("y0", -reach), ("x1", reach), ("y1", reach))))
+        placed = lambda p: p.select("*", *(F.col(c).alias(c + n) for c in "xy" for n in "01"))
+        met = lambda p: meeting_boxes(placed(p), wide, 2 * reach, on, spread=8).withColumn("box_", box)
+        measured = lambda pairs: pairs.join(boxed.select("sid", geom), "sid").withColumn("m_", distance_to(geom, "x", "y"))
+        near = met(todo).groupBy(F.col("a_pid").alias("pid")).agg(F.min_by("b_sid", "box_").alias("sid"))
+        one = settled(measured(todo.join(near, "pid")).select(*on, "x", "y", "pid", "m_"))
+        nearer = met(one).where(F.col("box_") < F.col("a_m_")).select(F.col("a_pid").alias("pid"), F.col("a_x").alias("x"), F.col("a_y").alias("y"), F.col("b_sid").alias("sid"))
+        best = one.select("pid", "m_").unionByName(measured(nearer).select("pid", "m_")).groupBy("pid").agg(F.min("m_").alias("nearest")).where(F.col("nearest") <= reach)
+        found = settled(todo.join(best, "pid").select(*on, "x", "y", "nearest"))
         done = found if done is None else done.unionByName(found)
-        todo = settled(todo.join(found, key, "left_anti"))
+        todo = settled(todo.join(found, [*on, "x", "y"], "left_anti"))
         if todo.isEmpty():
             break
         reach *= 2
     else:
         raise ValueError("shapes are too far away; start with a larger reach")
-    return points.select(key).join(done, key, "left")
+    own = points.join(done, [*on, "x", "y"]).groupBy(key).agg(F.min("nearest").alias("nearest"))
+    return points.select(key).join(own, key, "left")
 
 
 def delta(current: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -50,3 +50,18 @@ def test_a_ring_is_worked_out_once(spark):
     ring = F.array(*[F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((77, 0), (1, 0), (0, 1))])
     plan = spark.range(1).select(geo.edges(ring).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("77") == 1
+
+
+def test_nearest_of_equal_and_empty_shapes(spark):
+    """Places and shapes many times over, groups whose shapes have no points, points without coordinates."""
+    from kestrine.functions import geo
+
+    rnd = random.Random(13)
+    ring = lambda x, y, w: [[[(x, y), (x + w, y), (x, y + w)]]]
+    some = [("a", ring(float(rnd.randint(0, 9)), float(rnd.randint(0, 9)), 2.0)) for _ in range(40)]
+    s = spark.createDataFrame([*some, *some, ("a", None), ("a", []), ("b", []), ("c", ring(30.0, 0.0, 1.0))], "g string, geom array<array<array<struct<x: double, y: double>>>>")
+    p = spark.createDataFrame([(i, rnd.choice("aaabc"), float(rnd.randint(-5, 20)), rnd.randint(-5, 20) / 3) for i in range(80)] + [(90, "a", None, 1.0), (91, "a", 3.0, 3.0), (92, "a", 3.0, 3.0)], "id int, g string, x double, y double")
+    want = {r.id: r.m for r in p.join(s.where("size(geom) > 0"), "g").groupBy("id").agg(F.min(geo.distance_to("geom", "x", "y")).alias("m")).collect()}
+    got = {r.id: r.nearest for r in R.nearest_shapes(p, s, "id", 1.0, ["g"]).collect()}
+    assert len(got) == 83 and got[90] is None
+    assert all((n is None and want.get(i) is None) or abs(n - want[i]) < 1e-12 for i, n in got.items())
